@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from specgrid.llm import decontaminate, mixing, sharding
+from specgrid.llm import decontaminate, mixing, ngram_join, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_positional_index": decontaminate.op3_positional_index,
+    "op5_count_vector_rtree": ngram_join.op5_count_vector_rtree,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
 }
 ORACLE_SQL: dict[str, str] = {}
