@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from specgrid.llm import decontaminate, langid, mixing, ngram_join, sharding, toxicity
+from specgrid.llm import ann, decontaminate, html_text, langid, mixing, ngram_join, sharding, toxicity
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_positional_index": decontaminate.op3_positional_index,
     "op4_nearest_centroid": langid.op4_nearest_centroid,
     "op5_count_vector_rtree": ngram_join.op5_count_vector_rtree,
+    "op6_site_template": html_text.op6_site_template,
+    "op7_cross_polytope": ann.op7_cross_polytope,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op10_noisy_channel": toxicity.op10_noisy_channel,
 }
