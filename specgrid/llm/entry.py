@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specgrid.llm import ann, decontaminate, html_text, langid, mixing, ngram_join, sharding, toxicity
+from specgrid.llm import ann, decontaminate, html_text, langid, mixing, ngram_join, preference, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_cumulative_link": quality.op1_cumulative_link,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_positional_index": decontaminate.op3_positional_index,
     "op4_nearest_centroid": langid.op4_nearest_centroid,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_site_template": html_text.op6_site_template,
     "op7_cross_polytope": ann.op7_cross_polytope,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
+    "op9_preference_format": preference.op9_preference_format,
     "op10_noisy_channel": toxicity.op10_noisy_channel,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_preference_format": preference.OP9_SQL}
