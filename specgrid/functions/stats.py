@@ -33,13 +33,22 @@ def ratio(x: Column, parts: tuple[tuple[float, ...], tuple[float, ...]]) -> Colu
     return polynomial(x, parts[0]) / polynomial(x, parts[1])
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, however often f reads it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def qnorm(p: Column) -> Column:
     """Standard normal quantile; null outside (0, 1)."""
-    q = p - 0.5
-    r = F.sqrt(-F.log(F.least(p, 1 - p)))
-    tail = F.when(r <= 5, ratio(r - 1.6, MIDDLE)).otherwise(ratio(r - 5, FAR))
-    inner = q * ratio(F.lit(0.180625) - q * q, CENTRE)
-    return F.when((p <= 0) | (p >= 1), F.lit(None).cast("double")).when(F.abs(q) <= 0.425, inner).otherwise(F.when(q < 0, -tail).otherwise(tail))
+    def tail(p: Column, r: Column) -> Column:
+        x = F.when(r <= 5, ratio(r - 1.6, MIDDLE)).otherwise(ratio(r - 5, FAR))
+        return F.when(p < 0.5, -x).otherwise(x)
+
+    def inside(p: Column) -> Column:
+        inner = let(p - 0.5, lambda q: q * ratio(F.lit(0.180625) - q * q, CENTRE))
+        return F.when((p <= 0) | (p >= 1), F.lit(None).cast("double")).when(F.abs(p - 0.5) <= 0.425, inner).otherwise(let(F.sqrt(-F.log(F.least(p, 1 - p))), lambda r: tail(p, r)))
+
+    return let(p, inside)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

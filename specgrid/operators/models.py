@@ -165,7 +165,7 @@ class Moments:
         return value, beta, inverse, rss / free
 
 
-def minimise(f, start: np.ndarray, lower: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, bool]:
+def minimise(f, start: np.ndarray, lower: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, float, bool]:
     """Projected quasi-Newton (BFGS) with numeric gradients and halving steps."""
     x = np.maximum(start, lower)
     value, h = f(x), np.eye(len(x))
@@ -188,6 +188,7 @@ def minimise(f, start: np.ndarray, lower: np.ndarray, rounds: int = 60) -> tuple
         step = -(h[np.ix_(free, free)] @ g[free])
         if step @ g[free] >= 0:
             h, step = np.eye(len(x)), -g[free]
+        step = step / max(1.0, float(np.linalg.norm(step)))  # relative factors are of order one
         size = 1.0
         while size > 1e-8:
             new = x.copy()
@@ -325,7 +326,7 @@ def select_interaction(terms: DataFrame, by: list[str], a: str = "cong", b: str
     """(by..., n_terms, term, estimate, error): the a:b term in either order, level suffixes allowed; none gives null, several an error."""
     parts = F.split(F.col("term"), ":")
     suffix = r"([0-9.+-]|\[.*\])*$"
-    side = lambda i, name: F.element_at(parts, i).rlike(f"^{name}{suffix}")
+    side = lambda i, name: F.coalesce(F.get(parts, i - 1), F.lit("")).rlike(f"^{name}{suffix}")
     hit = (F.size(parts) == 2) & ((side(1, a) & side(2, b)) | (side(1, b) & side(2, a)))
     got = terms.withColumn("hit", hit).groupBy(*by).agg(F.count(F.when(F.col("hit"), 1)).alias("n_terms"), F.min(F.when(F.col("hit"), F.col("term"))).alias("term"), F.min(F.when(F.col("hit"), F.col("estimate"))).alias("estimate"))
     one = F.col("n_terms") == 1
