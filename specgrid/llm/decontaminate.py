@@ -108,8 +108,9 @@ def alignments(index: DataFrame, anchor_rows: list[tuple[bytes, int, int, int, i
         .select("doc_id", "item", "pair", "place", "need", F.explode("positions").alias("at"), "offset")
         .select("doc_id", "item", "pair", "need", (F.col("at") - F.col("offset")).alias("start"), "place")
     )
-    met = shifted.groupBy("doc_id", "item", "pair", "start").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return met.where(F.col("n") == F.col("need")).select("doc_id", "item", "start").distinct()
+    # places are 0 and 1 (0 alone for a window of one word), whatever the number of rows that share an id
+    met = shifted.groupBy("doc_id", "item", "pair", "start").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("need").alias("need"))
+    return met.where((F.col("low") == 0) & (F.col("high") == F.col("need") - 1)).select("doc_id", "item", "start").distinct()
 
 
 def proximity_matches(index: DataFrame, anchor_rows: list[tuple[bytes, int, int, int, int]], slop: int = 5) -> DataFrame:
