@@ -128,7 +128,7 @@ def found_in_buckets(base: DataFrame, queries: DataFrame, k: int, tables: int, p
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int | None = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score) from rows (vec_id, v) of both: each query's k nearest by cosine."""
     good = vectors.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    few = good.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    few = good.select("vec_id", "v").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     base = saved(few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("tag")).select("tag", "v"))
     asked = saved(queries.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("tag"), "v"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
