@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GRID = 200
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once, however often f reads it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def quantile_type8(values: Column, p: Column | float) -> Column:
     """Type-8 quantile of a sorted array: place h = (n + 1/3) p + 1/3, kept inside the array, linear between neighbours."""
     n = F.size(values)
+
+    def at(h: Column) -> Column:
+        low = F.floor(h).cast("int")
+        below = F.element_at(values, low)
+        return F.when(h > low, below + (h - low) * (F.element_at(values, F.least(low + 1, n)) - below)).otherwise(below)
+
     h = (n + F.lit(1 / 3)) * (F.lit(p) if isinstance(p, float) else p) + F.lit(1 / 3)
-    low = F.least(F.greatest(F.floor(h), F.lit(1)), n).cast("int")
-    high = F.least(low + 1, n).cast("int")
-    share = F.greatest(F.least(h - low, F.lit(1.0)), F.lit(0.0))
-    return F.element_at(values, low) + share * (F.element_at(values, high) - F.element_at(values, low))
+    return let(F.least(F.greatest(h, F.lit(1.0)), n.cast("double")), at)
 
 
 def on_grid(values: Column, tau: Column, grid: int = GRID) -> Column:
     """The quantile curve of a sorted array, known at `grid` evenly spaced knots, read at tau by linear interpolation: two knots are evaluated."""
-    at = F.greatest(F.least(tau, F.lit(1.0)), F.lit(0.0)) * (grid - 1)
-    right = F.greatest(F.least(F.ceil(at), F.lit(grid - 1)), F.lit(1))
-    left = right - 1
-    low, high = (quantile_type8(values, knot / F.lit(float(grid - 1))) for knot in (left, right))
-    return low + (at - left) * (high - low)
+    def read(at: Column) -> Column:
+        left = F.greatest(F.least(F.ceil(at), F.lit(grid - 1)), F.lit(1)) - 1
+        return let(quantile_type8(values, left / F.lit(float(grid - 1))), lambda low: low + (at - left) * (quantile_type8(values, (left + 1) / F.lit(float(grid - 1))) - low))
+
+    return let(F.greatest(F.least(tau, F.lit(1.0)), F.lit(0.0)) * (grid - 1), read)
 
 
 def inverse_on_grid(curve: Column, value: Column) -> Column:

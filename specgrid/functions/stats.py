@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from specgrid.functions.quantile import let
+
 #: Coefficients of Wichura's AS241 (PPND16) normal quantile: fixed values, numerators and denominators of its three ranges from the highest power down.
 CENTRE = (
     (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
@@ -33,11 +35,6 @@ def ratio(x: Column, parts: tuple[tuple[float, ...], tuple[float, ...]]) -> Colu
     return polynomial(x, parts[0]) / polynomial(x, parts[1])
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with value evaluated once, however often f reads it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def qnorm(p: Column) -> Column:
     """Standard normal quantile; null outside (0, 1)."""
     def tail(p: Column, r: Column) -> Column:

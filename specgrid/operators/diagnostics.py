@@ -109,7 +109,8 @@ def time_bin_contrast(df: DataFrame, by: list[str], bins: int = 5) -> DataFrame:
 
 
 def branch_diagnostics(df: DataFrame, by: list[str], approximate: int | None = None) -> DataFrame:
-    """Every diagnostic of every branch, joined on the branch's keys, with a text of warnings."""
+    """Every diagnostic of every branch, joined on the branch's keys, with a text of warnings. The trials are kept, since six aggregates read them."""
+    df = df.select(*dict.fromkeys([*by, "participant_id", "study", "source_row", "trial_index", "block_index", "cong", "prev_cong", "rt", "prev_correct"])).persist()
     parts = [pooled(df, by, approximate), cse_summary(df, by), lag1_autocorrelation(df, by), trial_slope(df, by), block_spread(df, by), time_bin_contrast(df, by)]
     got = reduce(lambda a, b: a.join(b, by, "left"), parts)
     warn = F.array_compact(F.array(

@@ -103,11 +103,22 @@ def quantile_map(df: DataFrame, keys: list[str], curves: DataFrame | None, kappa
         good = sparse.withColumn("__tau", F.when(F.col("__n") >= 2, F.col("__tau")).otherwise(F.coalesce(inverse_on_grid(F.col("curve"), F.col("rt")), F.col("__tau")))).drop("curve")
     else:
         good = good.withColumn("__tau", F.when(F.col("__n") >= 2, F.col("__tau")).otherwise(0.0))
-    margin = lambda by, name: df.where(usable()).groupBy(*by).agg(F.array_sort(F.collect_list("rt")).alias(name))
-    good = good.join(margin([*keys, "cong"], "__row"), [*keys, "cong"]).join(margin([*keys, "prev_cong"], "__col"), [*keys, "prev_cong"]).join(margin(keys, "__grand"), keys)
-    curve = lambda c: on_grid(F.col(c), F.col("__tau"), grid)
-    mapped = F.when(F.col("__all") < 2, F.col("rt")).otherwise(curve("__row") + curve("__col") - curve("__grand"))
-    return good.withColumn("rt", mapped).select(*df.columns).unionByName(df.where(~usable()))
+    # the sorted margins stay in one row for each group, beside its trials, and are never joined to them
+    margins = {(c, v): f"__{c}_{v}" for c in ("cong", "prev_cong") for v in (1, -1)}
+    sorted_list = lambda value: F.array_sort(F.collect_list(value))
+    kept = [c for c in df.columns if c != "rt"]
+    rows = good.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(
+        sorted_list(F.col("rt")).alias("__grand"), *(sorted_list(F.when(F.col(c) == v, F.col("rt"))).alias(name) for (c, v), name in margins.items()),
+        F.collect_list(F.struct(*kept, "rt", "__tau", "__all")).alias("__trials"),
+    )
+
+    def mapped(t: Column) -> Column:
+        side = lambda c: F.when(t[c] == 1, F.col(margins[c, 1])).otherwise(F.col(margins[c, -1]))
+        curve = lambda values: on_grid(values, t["__tau"], grid)
+        value = curve(side("cong")) + curve(side("prev_cong")) - curve(F.col("__grand"))
+        return F.struct(*(t[c].alias(c) for c in kept), F.when(t["__all"] < 2, t["rt"]).otherwise(value).alias("rt"))
+
+    return rows.select(F.inline(F.transform("__trials", mapped))).select(*df.columns).unionByName(df.where(~usable()))
 
 
 def additive_qmap(df: DataFrame, kappa: float = KAPPA, grid: int = GRID) -> DataFrame:

@@ -48,9 +48,12 @@ def sd_rule_stats(effects: DataFrame, members: DataFrame, rules: tuple[str, ...]
 
 
 def grid_stats(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...], seed: str = sampling.SEED) -> DataFrame:
-    """(sample_size, sample, subsample_id, strip_method, outlier, transformation, participant_id, cong, prev_cong, n, sy, syy) for the whole grid."""
-    effects = nullify.long_effects(nullify.all_effects(trials, strips), strips).select(*CELL, "source_row", "strip_method", "rt")
-    members = sampling.membership(trials, samples, seed)
+    """(sample_size, sample, subsample_id, strip_method, outlier, transformation, participant_id, cong, prev_cong, n, sy, syy) for the whole grid.
+
+    The effects and the samples are read by several branches of the plan, so they are kept (in memory and on disk).
+    """
+    effects = nullify.long_effects(nullify.all_effects(trials, strips), strips).select(*CELL, "strip_method", "rt").persist()
+    members = sampling.membership(trials, samples, seed).persist()
     fixed, sd = tuple(r for r in rules if r == "none" or r.startswith("range_")), tuple(r for r in rules if r.startswith("sd_"))
     if other := set(rules) - {*fixed, *sd}:
         raise ValueError(f"rules that need a median per sample aren't part of this plan: {sorted(other)}; use simple_grid_stats")
