@@ -19,7 +19,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +34,16 @@ AS_LETTER, DROP_SIGN, DROP_SEPARATOR, DROP_DOUBLE, DROP_RUN = 0.5, 4.0, 0.5, 3.0
 BEAM = 40
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_@$!|]|[ .\-_*]{1,2}[0-9@$!|]){3,}(?![^\W_])")
 DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_']+[^\W\d_]|^[0-9@$!|+(<€£¡][^\W\d_]|([^\W\d_])\1\1")
-HINT = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_'][^\s]*[^\W\d_]|(?:^|\s)[0-9@$!|+(<€£¡][^\W\d_]|([^\W\d_])\1\1")
+#: Cheap signs that a text holds any of these, and the tokens that are then looked at.
+MAY_BE_SPACED = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}\S[ .\-_*]{1,2}\S")
+SIGN_BEFORE_LETTER = re.compile(r"[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])")
+WITH_SIGN = re.compile(r"\S*[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])\S*")
+DRAWN_OUT = re.compile(r"\S*([^\W\d_])\1\1\S*")
+TRIPLES = tuple(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
 EDGES = re.compile(r"^[^\w@$!|+(<€£¡]+|(?:[^\w]{2,}|[^\w@$!|+])$")
-WORD = re.compile(r"[^\W\d_]+")
+#: Lower-case text as bytes: ASCII but letters to a space.
+LETTERS_ONLY = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: Lengths in bytes of the pieces of a word, its edges included, and the slots they hash into.
 GRAMS = (4, 5, 6)
 FEATURES = 1 << 20
 #: Labelled rows of each class that are used to fit; two thirds give the word weights and the others the regression.
@@ -56,7 +62,7 @@ def count_grams(docs: DataFrame) -> np.ndarray:
     """Counts of 4-character sequences of words (edges included) over all texts: at most LETTERS ** 4 rows reach the driver."""
 
     def spelled(words: Counter) -> pa.RecordBatch:
-        own = [(w, n) for w, n in ((fold(w), n) for w, n in words.items()) if w.isascii()]
+        own = [(w, n) for w, n in ((fold(w.decode("utf-8", "replace")), n) for w, n in words.items()) if w.isascii()]
         b = np.frombuffer(("```" + "```".join(w for w, _ in own) + "```").encode(), np.uint8).astype(np.int64) - 96
         weight = np.repeat([n for _, n in own], [len(w) + 3 for w, _ in own])
         code = ((b[:-3] * LETTERS + b[1:-2]) * LETTERS + b[2:-1]) * LETTERS + b[3:]
@@ -69,7 +75,7 @@ def count_grams(docs: DataFrame) -> np.ndarray:
         words = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words.update(WORD.findall(text or ""))
+                words.update((text or "").lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())
             if len(words) > 300_000:
                 yield spelled(words)
                 words = Counter()
@@ -144,59 +150,67 @@ class Restorer:
         return got
 
     def text(self, text: str) -> str:
-        text = SPACED.sub(lambda m: decode(re.sub(r"[ .\-_*]", "", m[0]), self.lm), text)
-        if HINT.search(text):
-            text = " ".join(map(self.token, text.split()))
+        if MAY_BE_SPACED.search(f" {text}"):
+            text = SPACED.sub(lambda m: decode(re.sub(r"[ .\-_*]", "", m[0]), self.lm), text)
+        if SIGN_BEFORE_LETTER.search(text):
+            text = WITH_SIGN.sub(lambda m: self.token(m[0]), text)
+        low = text.lower()
+        if any(x in low for x in TRIPLES):
+            text = DRAWN_OUT.sub(lambda m: self.token(m[0]), text)
         return text
 
 
-def features(word: str) -> list[int]:
-    edged = f"^{word}$"
-    grams = [edged[i : i + n] for n in GRAMS for i in range(len(edged) - n + 1)] + [edged]
-    return [xxhash.xxh32_intdigest(g) % FEATURES for g in grams]
+def restored_words(text: str | None, restorer: Restorer) -> list[bytes]:
+    """The distinct words of the restored text."""
+    return sorted(set(restorer.text(text).lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())) if text else []
 
 
-def restored_words(text: str | None, restorer: Restorer) -> set[str]:
-    return set(WORD.findall(restorer.text(text).lower())) if text else set()
+def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed pieces of all words, the word each is of): runs of GRAMS bytes of ^word$."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    raw = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8)
+    of = np.cumsum(raw == 94) - 1
+    h, out, owner = raw.astype(np.uint32), [], []
+    for n in range(2, max(GRAMS) + 1):
+        h = h[:-1] * np.uint32(16777619) ^ raw[n - 1 :]
+        if n in GRAMS:
+            inside = of[: len(h)] == of[n - 1 :]
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
+            out.append((mixed >> np.uint32(12))[inside])
+            owner.append(of[: len(h)][inside])
+    return np.concatenate(out).astype(np.int64), np.concatenate(owner)
 
 
 class Scorer:
     """A text's pooled evidence: its three strongest words, how many are strong, and all evidence together."""
 
-    def __init__(self, lm: np.ndarray, weights: dict[int, float]):
-        self.restorer, self.weights, self.known = Restorer(lm), weights, {}
-
-    def word(self, word: str) -> float:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            got = self.known[word] = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
-        return got
+    def __init__(self, lm: np.ndarray, weights: np.ndarray):
+        self.restorer, self.weights = Restorer(lm), weights
 
     def pooled(self, text: str | None) -> list[float]:
         words = restored_words(text, self.restorer)
-        best = sorted((x for x in map(self.word, words) if x > 0), reverse=True)
-        top = (best + [0.0] * 3)[:3]
-        return [*top, np.log1p(sum(x > 1.5 for x in best)), sum(best) / np.sqrt(1 + len(words))]
-
-
-def word_weights(sample: DataFrame, lm: np.ndarray) -> dict[int, float]:
-    """Lower bounds of the log odds of hashed features, from rows (text, toxic): those that are clearly above 0."""
+        h, owner = pieces(words)
+        value = self.weights[h]
+        strong = value > 0
+        per_word = np.zeros(len(words))
+        np.maximum.at(per_word, owner[strong], value[strong])
+        best = np.sort(per_word[per_word > 0])[::-1]
+        top = [*best[:3], 0.0, 0.0, 0.0][:3]
+        return [*map(float, top), float(np.log1p((best > 1.5).sum())), float(best.sum() / np.sqrt(1 + len(words)))]
+
+
+def word_weights(sample: DataFrame, lm: np.ndarray) -> np.ndarray:
+    """Lower bounds of the log odds of hashed pieces of words, from rows (text, toxic): those that are clearly above 0, else 0."""
     held = sample.sparkSession.sparkContext.broadcast(lm)
 
     def count(batches):
-        restorer, known = Restorer(held.value), {}
+        restorer = Restorer(held.value)
         n = np.zeros((2, FEATURES), np.int32)
         rows = [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set()
-                for w in restored_words(text, restorer):
-                    if w not in known:
-                        known[w] = features(w)
-                    own.update(known[w])
-                n[toxic, list(own)] += 1
+                n[toxic, np.unique(pieces(restored_words(text, restorer))[0])] += 1
                 rows[toxic] += 1
         has = np.flatnonzero(n[0] + n[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(n[1, has], rows[1]).astype(np.int64)), pa.array(np.append(n[0, has], rows[0]).astype(np.int64))], ["f", "a", "b"])
@@ -204,7 +218,7 @@ def word_weights(sample: DataFrame, lm: np.ndarray) -> dict[int, float]:
     got = sample.select("text", "toxic").mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rows = got.where("f < 0 or a >= 4").collect()
     total = next(((r["a"], r["b"]) for r in rows if r["f"] < 0), (0, 0))
-    out = {}
+    out = np.zeros(FEATURES, np.float32)
     for f, a, b in rows:
         if f >= 0:
             odds = np.log((a + 0.5) / (total[0] + 1)) - np.log((b + 0.5) / (total[1] + 1))
@@ -229,7 +243,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, float], np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(language model, word weights, coefficients) from docs and rows (doc_id, toxic) that may be learned from; None without rows of both classes."""
     lm = language_model(count_grams(docs))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -257,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, float
     return lm, weights, logistic(x, y, weight)
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], np.ndarray] | None, columns: list[str] | None = None) -> DataFrame:
+def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None, columns: list[str] | None = None) -> DataFrame:
     """The named columns of docs (doc_id) and score, for every row."""
     columns = columns or ["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -277,7 +291,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], np.ndarra
     return got
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, float], np.ndarray] | None:
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """The model of all documents and of the labels that aren't held out."""
     return fit(docs, labels.where(F.coalesce(crc_mod("doc_id", 5), F.lit(0)) != 0).select("doc_id", "toxic"))
 
