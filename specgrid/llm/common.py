@@ -48,3 +48,12 @@ def utf8(text: str | Column = "text") -> Column:
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % n
+
+
+#: Rows of a few numbers that are broadcast at most.
+SMALL_ROWS = 1_000_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it is counted to be small enough; beyond that Spark shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import SPACED_WORD, saved, table
+from specgrid.llm.common import SPACED_WORD, saved, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     here = keyed(docs)
     drawn = rounded_copies(here.select("doc_id", "source", word_count().alias("size"), F.col("__h").alias("h")), **how)
     drawn = saved(drawn.where((F.col("base") > 0) | (F.col("extra") > 0)).select(F.col("h").alias("__h"), "m", "base", F.col("extra").alias("__extra")))
-    got = here.join(drawn.withColumnsRenamed({"m": "__m", "base": "__base"}), "__h")
+    got = here.join(small(drawn.withColumnsRenamed({"m": "__m", "base": "__base"})), "__h")
     if (drawn.agg(F.max("m")).first()[0] or 0) > 1:
         got = got.withColumn("__nth", F.row_number().over(Window.partitionBy("__h").orderBy("__m")))
     else:
