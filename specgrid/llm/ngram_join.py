@@ -7,11 +7,15 @@ that whole group, which two sets that merely share a passage hardly ever do. Siz
 
 Inside a page each set is a point, the counts of its shingles in DIMS groups. Points are packed into an R-tree; the sum of
 the coordinate-wise minima of two nodes' upper corners bounds the overlap of anything below them, so most pairs fall out
-near the root. What survives is verified on the sets themselves.
+near the root. Leaves hold a second, finer vector, the parities of the counts in PARITIES groups: no more of them can differ
+than shingles do. What survives is verified on the sets themselves.
 
-For components, every page first tries its members against one centre only; pages whose members are then in one component
-are finished, so large groups of near copies cost a row for each member, not for each pair. The pages that are left are
-joined through the R-tree between components. Nothing is capped: pages of over BLOCK members are joined block by block.
+Pages with the same least member are joined as one, and so are those whose members meet a common lesser one elsewhere, so
+that a set is sent about once and not for each page.
+A task first tells which members have a pair that the bounds leave possible; only those members' sets are made and sent. The
+second time, pairs are verified, and for components a pair that is already connected in the task is skipped, so that a group
+of near copies gives a link for each member and not for each pair. Nothing is capped: centres with more than BLOCK members
+or BLOCK_BYTES of sets are joined block by block.
 
 Equal sets are one point, whatever the number of documents; copies are collapsed in each task before anything is shuffled.
 
@@ -29,14 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import saved, table, utf8
+from specgrid.llm.common import saved, small, table, utf8
 
 #: Coordinates of a point.
 DIMS = 32
+#: Coordinates of the vector of parities.
+PARITIES = 1024
 #: Points in a leaf of the R-tree, and children of an inner node.
 LEAF = 32
-#: Members of a page that are joined in one task; larger pages are joined block by block.
+#: Members of a centre that are joined in one task, and bytes of their sets; larger ones are joined block by block.
 BLOCK = 4096
+BLOCK_BYTES = 48_000_000
 #: Entries (page name and set) that one bucket of the index holds on average.
 BUCKET_ENTRIES = 500_000
 #: Bits of the filter that tells which documents' sets are needed: a bound on what is broadcast, whatever the input.
@@ -55,7 +62,7 @@ class Words(dict):
     """Hashes of the words a task has met."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -104,10 +111,20 @@ def counts(own: np.ndarray) -> np.ndarray:
     return np.bincount((mix(own + ODD) >> np.uint64(33)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.int32)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of PARITIES groups holds an odd number of the set's shingles, as packed bits."""
+    return np.packbits((np.bincount((mix(own ^ ODD) >> np.uint64(33)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8))
+
+
 def overlap_needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (na + nb) - 1e-6)
 
 
+def may_link(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, t: float) -> np.ndarray:
+    """Whether the parities (rows of 64-bit words) leave it possible that two sets are of similarity t."""
+    return np.bitwise_count(pa_ ^ pb).sum(axis=1) <= (1 - t) / (1 + t) * (na + nb) + 1e-6
+
+
 class RTree:
     """Points packed by size and leading coordinates: levels of nodes with their upper corners, least sizes and labels."""
 
@@ -165,7 +182,7 @@ def narrow(docs: DataFrame, k: int) -> DataFrame:
 
 
 def pages(docs: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
-    """(page, sig, centre): the members of every page of at least two, and the page's least member."""
+    """(centre, sig): the members of every page of at least two, by the page's least member."""
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(0.5 * total / BUCKET_ENTRIES))
 
@@ -190,7 +207,7 @@ def pages(docs: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
                 names.append(got)
                 sigs.append(np.full(len(got), sig, np.int64))
                 held += len(got)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield emit(names, sigs)
                     names, sigs, held = [], [], 0
         if held:
@@ -212,14 +229,19 @@ def pages(docs: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
         size = np.diff(np.append(first, len(names)))
         keep = np.repeat(size > 1, size)
         centre = np.repeat(sigs[first], size)
-        return pa.Table.from_arrays([pa.array(x[keep]) for x in (names.view(np.int64), sigs, centre)], ["page", "sig", "centre"])
+        both = np.unique(np.stack([centre[keep], sigs[keep]], axis=1), axis=0)
+        return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["centre", "sig"])
 
     blobs = docs.select(utf8().alias("text")).mapInArrow(index, "bucket int, names binary, sigs binary")
-    return saved(blobs.groupBy("bucket").applyInArrow(gather, "page long, sig long, centre long"))
+    held = saved(blobs.groupBy("bucket").applyInArrow(gather, "centre long, sig long").distinct())
+    # the least centre that any member of a centre has met takes all its members
+    met = held.groupBy("sig").agg(F.min("centre").alias("met"))
+    to = held.join(met, "sig").groupBy("centre").agg(F.min("met").alias("to"))
+    return saved(held.join(to, "centre").select(F.col("to").alias("centre"), "sig").distinct())
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """(sig, n, point, own): the sets with the given signatures, made again from the texts.
+def made_again(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int, columns: dict) -> DataFrame:
+    """(sig, n, and one binary column for each entry of columns, a function of the set): the sets with the given signatures, made again from the texts.
 
     Which documents are needed is told by a filter of FILTER_BITS bits over hashed ids, built in Spark: its false positives
     cost time only, as the sets are joined to the signatures afterwards.
@@ -233,7 +255,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int) -> DataFr
         cache, seen, bits = Words(), set(), held.value
         for batch in batches:
             spots = batch.column(0).to_numpy()
-            sig, n, point, sets = [], [], [], []
+            sig, n, out = [], [], [[] for _ in columns]
             need = [i for i, s in enumerate(spots) if in_bits(bits, int(s))]
             for text in batch.column(1).take(pa.array(need, pa.int64())).to_pylist():
                 own = shingles(text, k, cache)
@@ -242,14 +264,22 @@ def sets_of(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int) -> DataFr
                     seen.add(name)
                     sig.append(name)
                     n.append(len(own))
-                    point.append(counts(own).tobytes())
-                    sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(point, pa.binary()), pa.array(sets, pa.binary())], ["sig", "n", "point", "own"])
+                    for x, f in zip(out, columns.values(), strict=True):
+                        x.append(f(own).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["sig", "n", *columns])
 
-    made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, n long, point binary, own binary")
+    made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, n long, " + ", ".join(f"{c} binary" for c in columns))
     return saved(made.join(sigs, "sig", "left_semi").dropDuplicates(["sig"]))
 
 
+POINTS = {"point": lambda own: counts(own).astype(np.uint16 if len(own) < 65536 else np.int32), "parity": parities}
+
+
+def points_of(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
+    """(sig, n, point, parity)."""
+    return made_again(docs, rows, sigs, k, POINTS)
+
+
 def in_bits(bits: dict[int, bytes], spot: int) -> bool:
     """Whether Spark's bitmap functions have set this position (bucket and bit as bitmap_bucket_number and bitmap_bit_position say)."""
     bucket, bit = (1 + (spot - 1) // 32768, (spot - 1) % 32768) if spot > 0 else (-spot // 32768, -spot % 32768)
@@ -257,22 +287,9 @@ def in_bits(bits: dict[int, bytes], spot: int) -> bool:
     return got is not None and bool(got[bit >> 3] >> (bit & 7) & 1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets link: 100 * intersection >= percent * union."""
-    left = sets.select(F.col("sig").alias("a"), F.col("own").alias("own_a"))
-    right = sets.select(F.col("sig").alias("b"), F.col("own").alias("own_b"))
-
-    def compare(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b")
-    return saved(full.mapInArrow(compare, "a long, b long"))
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    """Points as rows of int32, whichever width they were stored in."""
+    return np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * DIMS else np.int32) for x in blobs], np.int32).reshape(-1, DIMS)
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -292,59 +309,96 @@ def labels(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def page_pairs(members: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b), a < b, of members (page, sig, label, n, point) of a page with different labels that the R-tree can't rule out."""
-    size = members.groupBy("page").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, "page").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+def dealt(members: DataFrame) -> DataFrame:
+    """members (centre, sig, n, ...) with block, i and j: every pair of a centre's members meets in one group (centre, i, j)."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int")
+    size = members.groupBy("centre").agg(blocks.alias("blocks"))
+    got = members.join(size, "centre").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    got = got.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return got.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")}).drop("__other", "blocks")
+
+
+def bounded_pairs(held: pa.Table, i: int, j: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group whose sizes, count vectors and parities leave similarity t possible, each pair once."""
+    block, n = held.column("block").to_numpy(), held.column("n").to_numpy()
+    points = unpacked(held.column("point").to_pylist())
+    parity = np.frombuffer(b"".join(held.column("parity").to_pylist()), np.uint64).reshape(len(n), -1)
+    mine, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(mine) or not len(theirs):
+        return mine[:0], mine[:0]
+    a = RTree(points[mine], n[mine], mine)
+    b = a if i == j else RTree(points[theirs], n[theirs], theirs)
+    p, q = tree_join(a, b, t)
+    x, y = mine[p], theirs[q]
+    if i == j:
+        x, y = x[x < y], y[x < y]
+    good = [may_link(n[x[k : k + 65536]], n[y[k : k + 65536]], parity[x[k : k + 65536]], parity[y[k : k + 65536]], t) for k in range(0, len(x), 65536)]
+    good = np.concatenate(good) if good else np.zeros(0, bool)
+    return x[good], y[good]
+
+
+def possible_members(members: DataFrame, t: float) -> DataFrame:
+    """(centre, sig) of the members (centre, sig, n, point, parity) that have a possible partner with the same centre."""
 
     def join(key, held):
-        i, j = key[1].as_py(), key[2].as_py()
-        block = held.column("block").to_numpy()
-        sig, n, label = (held.column(c).to_numpy() for c in ("sig", "n", "label"))
-        points = np.frombuffer(b"".join(held.column("point").to_pylist()), np.int32).reshape(-1, DIMS)
-        found = []
-        mine, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if len(mine) and len(theirs):
-            a = RTree(points[mine], n[mine], label[mine])
-            b = a if i == j else RTree(points[theirs], n[theirs], label[theirs])
-            p, q = tree_join(a, b, t)
-            x, y = mine[p], theirs[q]
-            good = (label[x] != label[y]) & (sig[x] < sig[y] if i == j else sig[x] != sig[y])
-            found = np.stack([np.minimum(sig[x], sig[y])[good], np.maximum(sig[x], sig[y])[good]])
-        return pa.Table.from_arrays([pa.array(found[0] if len(found) else [], pa.int64()), pa.array(found[1] if len(found) else [], pa.int64())], ["a", "b"])
+        x, y = bounded_pairs(held, key[1].as_py(), key[2].as_py(), t)
+        alive = np.unique(np.concatenate([x, y]))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(alive), pa.int64()), held.column("sig").take(pa.array(alive)).combine_chunks()], ["centre", "sig"])
+
+    keyed = dealt(members).select("centre", "i", "j", "block", "sig", "n", "point", "parity")
+    return saved(keyed.groupBy("centre", "i", "j").applyInArrow(join, "centre long, sig long").distinct())
+
+
+def verified_links(members: DataFrame, t: float, percent: int, spanning: bool) -> DataFrame:
+    """Links (a, b), a < b, between members (centre, sig, n, point, parity, own): 100 * intersection >= percent * union.
 
-    keyed = dealt.select("page", "i", "j", "block", "sig", "label", "n", "point")
-    return keyed.groupBy("page", "i", "j").applyInArrow(join, "a long, b long").distinct()
+    spanning: only as many as connect what is linked in the group, else all.
+    """
+
+    def join(key, held):
+        x, y = bounded_pairs(held, key[1].as_py(), key[2].as_py(), t)
+        sig, own = held.column("sig").to_numpy(), [np.frombuffer(b, np.uint64) for b in held.column("own").to_pylist()]
+        root = list(range(len(sig)))
+
+        def find(k):
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        found = []
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(p), find(q)
+            if spanning and a == b:
+                continue
+            both = len(np.intersect1d(own[p], own[q], assume_unique=True))
+            if 100 * both >= percent * (len(own[p]) + len(own[q]) - both):
+                root[max(a, b)] = min(a, b)
+                found.append((min(sig[p], sig[q]), max(sig[p], sig[q])))
+        found = np.array(found, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    keyed = dealt(members).select("centre", "i", "j", "block", "sig", "n", "point", "parity", "own")
+    return saved(keyed.groupBy("centre", "i", "j").applyInArrow(join, "a long, b long").distinct())
+
+
+def found_links(docs: DataFrame, rows: DataFrame, k: int, percent: int, spanning: bool) -> DataFrame:
+    t = percent / 100
+    held = pages(docs, rows, k, t)
+    members = possible_members(held.join(points_of(docs, rows, held.select("sig").distinct(), k), "sig"), t)
+    sets = made_again(docs, rows, members.select("sig").distinct(), k, {**POINTS, "own": lambda own: own})
+    return verified_links(members.join(sets, "sig"), t, percent, spanning)
 
 
 def links(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(all links between different sets as pairs of signatures, membership (doc_id, h, n, sig)): the full join, for uses that need every pair."""
     rows = narrow(docs, k)
-    held = pages(docs, rows, k, percent / 100)
-    sets = sets_of(docs, rows, held.select("sig").distinct(), k)
-    members = held.select("page", "sig").join(sets.select("sig", "n", "point"), "sig").withColumn("label", F.col("sig"))
-    return verified(page_pairs(members, percent / 100), sets, percent), rows
+    return found_links(docs, rows, k, percent, spanning=False), rows
 
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, h, n, sig, component, component_id) for every row: component names it by a signature (null for an empty set)."""
-    t, rows = percent / 100, narrow(docs, k)
-    held = pages(docs, rows, k, t)
-    sets = sets_of(docs, rows, held.select("sig").distinct(), k)
-    tried = held.where("centre <> sig").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct()
-    linked = verified(tried, sets, percent)
-    found = labels(linked)
-    # pages whose members aren't in one component yet; of pages with the same members one is enough
-    members = held.select("page", "sig").join(found, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    open_ = members.groupBy("page").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("who"))
-    open_ = saved(open_.where("low <> high").groupBy("size", "who").agg(F.min("page").alias("page")))
-    rest = members.join(open_.select("page"), "page", "left_semi").join(sets.select("sig", "n", "point"), "sig")
-    more = page_pairs(rest, t).join(tried, ["a", "b"], "left_anti")
-    more = verified(more, sets, percent)
-    if not more.isEmpty():
-        found = labels(linked.unionByName(more))
+    rows = narrow(docs, k)
+    found = labels(found_links(docs, rows, k, percent, spanning=True))
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(found, "sig", "left").withColumn("component", F.coalesce("label", "sig"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = saved(classes.select("sig", "component").join(least, "component"))
@@ -359,7 +413,7 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataF
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     best = rows.groupBy(F.col("component").alias("c")).agg(F.min(rank).alias("best"))
     gone = rows.join(best, F.col("component") == F.col("c")).where(rank != F.col("best")).select("doc_id", "h").distinct()
-    gone = saved(gone.select(F.col("doc_id").alias("__gone"), F.col("h").alias("__gone_h")))
+    gone = small(saved(gone.select(F.col("doc_id").alias("__gone"), F.col("h").alias("__gone_h"))))
     kept = docs.withColumn("__h", F.xxhash64("text"))
     kept = kept.join(gone, (F.col("__h") == F.col("__gone_h")) & F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
     # equal ids with equal texts: rare, so a shuffle of whole rows is only paid for when there are any
