@@ -234,10 +234,12 @@ def pages(docs: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
 
     blobs = docs.select(utf8().alias("text")).mapInArrow(index, "bucket int, names binary, sigs binary")
     held = saved(blobs.groupBy("bucket").applyInArrow(gather, "centre long, sig long").distinct())
-    # the least centre that any member of a centre has met takes all its members
-    met = held.groupBy("sig").agg(F.min("centre").alias("met"))
-    to = held.join(met, "sig").groupBy("centre").agg(F.min("met").alias("to"))
-    return saved(held.join(to, "centre").select(F.col("to").alias("centre"), "sig").distinct())
+    # the least centre that any member of a centre has met takes all its members, twice over
+    for _ in range(2):
+        met = held.groupBy("sig").agg(F.min("centre").alias("met"))
+        to = held.join(met, "sig").groupBy("centre").agg(F.min("met").alias("to"))
+        held = saved(held.join(to, "centre").select(F.col("to").alias("centre"), "sig").distinct())
+    return held
 
 
 def made_again(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int, columns: dict) -> DataFrame:
@@ -269,7 +271,7 @@ def made_again(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int, column
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["sig", "n", *columns])
 
     made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, n long, " + ", ".join(f"{c} binary" for c in columns))
-    return saved(made.join(sigs, "sig", "left_semi").dropDuplicates(["sig"]))
+    return made.join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
 
 
 POINTS = {"point": lambda own: counts(own).astype(np.uint16 if len(own) < 65536 else np.int32), "parity": parities}
