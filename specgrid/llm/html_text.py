@@ -1,7 +1,7 @@
 """Main text of web pages: site templates are found as element subtrees that recur on a host, and removed.
 
 Each page becomes a small tree of elements. The hashes of its block subtrees are counted per host in Spark, once for each
-page; those that recur on many pages of their host are template and are deleted. Subtrees that their tag, role, class or id
+different text of a page; those that recur on many different pages of their host are template and are deleted. Subtrees that their tag, role, class or id
 marks as menu, header, footer, sidebar, notice, advert, form or comments are deleted wherever they stand. What is left of
 the article (else of the main element, else of the body) is the text, block by block.
 
@@ -9,7 +9,7 @@ Inside an article or main element only containers are taken for template, not pa
 repeat sentences in what they publish, and those belong to the text.
 
 Cases: a null or empty page and one without text give the empty string; a page whose url has no host counts with the other
-pages of no host; repeated pages are pages of their own; unclosed, misnested and cut-off markup is read as far as it goes;
+pages of no host; repeated pages keep rows of their own but count once, so copies don't turn their text into template; unclosed, misnested and cut-off markup is read as far as it goes;
 other columns are ignored.
 """
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -171,10 +170,12 @@ def may_be_template(node: Node, article: Node) -> bool:
     return not any_above(node, ("article", "main")) and article.tag not in ("article", "main") or (node.tag not in PARAGRAPHS and any_above(node, (article.tag,)))
 
 
-def template_keys(page: str | None, host: bytes) -> set[int]:
+def template_keys(page: str | None, host: bytes) -> tuple[set[int], int]:
+    """The keys that may be template, and a key of the page: that of its whole text, equal for copies whose rest differs."""
     nodes = hash_subtrees(parse(page))
     article = article_of(nodes)
-    return {key_of(host, x.hash) for x in nodes if may_be_template(x, article)}
+    keys = {key_of(host, x.hash) for x in nodes if may_be_template(x, article)}
+    return keys, xxhash.xxh3_64_intdigest(host + b"\n" + text_below(article, lambda x: False).encode()) - (1 << 63) if keys else 0
 
 
 def key_of(host: bytes, subtree: int) -> int:
@@ -185,6 +186,11 @@ def text_of(page: str | None, host: bytes, is_template) -> str:
     """The page's main text; is_template tells of a key whether it recurs on its host."""
     nodes = hash_subtrees(parse(page))
     article = article_of(nodes)
+    return text_below(article, lambda x: may_be_template(x, article) and is_template(key_of(host, x.hash)))
+
+
+def text_below(article: Node, left_out) -> str:
+    """The article's text, block by block, without marked elements and those that left_out tells of."""
     blocks, now = [], []
 
     def end():
@@ -205,7 +211,7 @@ def text_of(page: str | None, host: bytes, is_template) -> str:
             now.append(x)
         elif x.tag == "br":
             now.append(" ")
-        elif x.dropped or (x is not article and may_be_template(x, article) and is_template(key_of(host, x.hash))):
+        elif x.dropped or (x is not article and left_out(x)):
             if x.tag not in INLINE:
                 end()
         else:
@@ -225,26 +231,26 @@ def host_of(url: str | Column = "url") -> Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, key): the subtrees that recur on their host."""
+    """(host, key): the subtrees that recur on different pages of their host."""
 
     def count(batches):
-        # what one task has seen twice is sent once; the dictionary is emptied before it grows large
-        seen = Counter()
+        # what one task has seen twice is sent once; the set is emptied before it grows large
+        seen = set()
         for batch in batches:
             hosts = batch.column(0).to_pylist()
             for host, page in zip(hosts, batch.column(1).to_pylist(), strict=True):
-                for key in template_keys(page, host.encode()):
-                    seen[host, key] += 1
+                keys, own = template_keys(page, host.encode())
+                seen.update((host, key, own) for key in keys)
             if len(seen) > 300_000:
                 yield rows(seen)
-                seen = Counter()
+                seen = set()
         yield rows(seen)
 
     def rows(seen):
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "key", "page"])
 
-    seen = pages.select(host_of().alias("host"), "html").mapInArrow(count, "host string, key long, n long")
-    found = seen.groupBy("host", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+    seen = pages.select(host_of().alias("host"), "html").mapInArrow(count, "host string, key long, page long")
+    found = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     sizes = pages.groupBy(host_of().alias("host")).agg(F.count("*").alias("pages"))
     return saved(found.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key"))
 

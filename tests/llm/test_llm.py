@@ -358,6 +358,20 @@ def test_templates_and_marked_blocks(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_copied_pages_are_not_template(spark):
+    boxed = "<body><div>Site name</div><article><h1>One</h1><div><p>Own words.</p><p>More of them.</p></div></article></body>"
+    bare = "<body><div>Site name</div><h1>Two</h1><p>Bare words.</p><ul><li>point</ul></body>"
+    urls = [f"{s}://c.example/a{q}" for s in ("http", "https") for q in ("", "?utm_source=x", "?utm_source=y")]
+    rows = [(i, url, page) for page in (boxed, bare + "<footer>%d</footer>") for i, url in enumerate(urls)]
+    rows = [(i + 10 * ("%d" in page), url, page.replace("%d", str(i))) for i, url, page in rows] + [(100 + i, "http://c.example/", f"<div>Site name</div><p>Page {i}</p>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for keys in (html_text.BROADCAST_KEYS, -1):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df, broadcast_keys=keys).collect()}
+        assert {got[i] for i in range(6)} == {"One\nOwn words.\nMore of them."}
+        assert {got[10 + i] for i in range(6)} == {"Two\nBare words.\npoint"}
+        assert [got[100 + i] for i in range(5)] == [f"Page {i}" for i in range(5)] and len(got) == 17
+
+
 def test_pages_of_the_table(spark, sf):
     import html
     import re
