@@ -37,6 +37,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+#: A tag that the page's end cuts off; one with an unclosed quote ends by its first >.
+UNFINISHED = re.compile(r"<(?:/?[a-zA-Z]|[!?]|/$)[^>]*(?:>|$)")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,8 +109,8 @@ def parse(page: str | None) -> Node:
         top.parts.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             top = node
-    if at < len(page) and "<" not in page[at:]:
-        top.parts.append(html.unescape(page[at:]))
+    if at < len(page):
+        top.parts.append(html.unescape(UNFINISHED.sub("", page[at:])))
     return root
 
 

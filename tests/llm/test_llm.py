@@ -358,6 +358,14 @@ def test_templates_and_marked_blocks(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("tail", "text"), [
+    ("last words <a hre", "last words"), ("last words <a href='x y", "last words"), ("last words </", "last words"), ("last words <!-", "last words"), ("a < b and 3<4 &lt; 5", "a < b and 3<4 < 5"),
+    ("a < b <b", "a < b"), ("less <", "less <"), ('see <a href="x>this and the rest', "see this and the rest"),
+])
+def test_text_after_the_last_tag(tail, text):
+    assert html_text.text_of("<body><p>First.</p><p>" + tail, b"", lambda key: False) == "First.\n" + text
+
+
 def test_copied_pages_are_not_template(spark):
     boxed = "<body><div>Site name</div><article><h1>One</h1><div><p>Own words.</p><p>More of them.</p></div></article></body>"
     bare = "<body><div>Site name</div><h1>Two</h1><p>Bare words.</p><ul><li>point</ul></body>"
