@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,9 @@ from pyspark.sql import functions as F
 
 from specgrid.llm.common import saved, table
 
-#: A subtree is template if it is on so many pages of its host and on at least so large a share of them.
+#: A subtree is template if it is on so many different pages of its host, however many the host has.
 MIN_PAGES = 5
-MIN_SHARE = 0.002
-#: Template hashes that are broadcast at most; beyond, they are joined to the pages by host (at most subtrees per page / MIN_SHARE of them a host).
+#: Template hashes that are broadcast at most; beyond, they are joined to the pages' own.
 BROADCAST_KEYS = 1_000_000
 
 TOKEN = re.compile(
@@ -232,34 +232,47 @@ def host_of(url: str | Column = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, key): the subtrees that recur on different pages of their host."""
 
     def count(batches):
-        # what one task has seen twice is sent once; the set is emptied before it grows large
-        seen = set()
+        # min_pages different pages of a key tell enough, so no task sends more at once; the sets are emptied before they grow large
+        seen = defaultdict(set)
         for batch in batches:
             hosts = batch.column(0).to_pylist()
             for host, page in zip(hosts, batch.column(1).to_pylist(), strict=True):
                 keys, own = template_keys(page, host.encode())
-                seen.update((host, key, own) for key in keys)
+                for key in keys:
+                    if len(found := seen[host, key]) < min_pages:
+                        found.add(own)
             if len(seen) > 300_000:
                 yield rows(seen)
-                seen = set()
+                seen = defaultdict(set)
         yield rows(seen)
 
     def rows(seen):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "key", "page"])
+        flat = [(*key, page) for key, found in seen.items() for page in found]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "key", "page"])
 
     seen = pages.select(host_of().alias("host"), "html").mapInArrow(count, "host string, key long, page long")
-    found = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.groupBy(host_of().alias("host")).agg(F.count("*").alias("pages"))
-    return saved(found.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key"))
+    return saved(seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "key"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def own_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """(host, page, keys): the template subtrees of each different html of a host, named by its md5."""
+
+    def each(batches):
+        for batch in batches:
+            found = [(host, page, key) for host, html_of, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for key in template_keys(html_of, host.encode())[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "page", "key"])
+
+    own = pages.select("host", "html", "page").mapInArrow(each, "host string, page string, key long")
+    return own.join(templates, ["host", "key"]).groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages."""
-    templates = site_templates(pages, min_pages, min_share)
+    templates = site_templates(pages, min_pages)
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def rows(batch, texts):
@@ -287,7 +300,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             own = (batch.column(i).to_pylist() for i in (2, 3, 4))
             yield rows(batch, [text_of(page, host.encode(), set(keys or ()).__contains__) for host, page, keys in zip(*own, strict=True)])
 
-    return named.join(templates.groupBy("host").agg(F.collect_list("key").alias("keys")), "host", "left").select("page_id", "url", "host", "html", "keys").mapInArrow(with_own, schema)
+    named = named.withColumn("page", F.md5("html"))
+    return named.join(own_templates(named, templates), ["host", "page"], "left").select("page_id", "url", "host", "html", "keys").mapInArrow(with_own, schema)
 
 
 def op6_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,6 +380,14 @@ def test_copied_pages_are_not_template(spark):
         assert [got[100 + i] for i in range(5)] == [f"Page {i}" for i in range(5)] and len(got) == 17
 
 
+def test_template_of_a_large_host(spark):
+    notice = "<div><p>Section notice</p></div>"
+    df = spark.range(3000).selectExpr("id as page_id", "'http://large.example/' as url", f"concat('<article><p>Page ', id, '</p>', if(id < 5, '{notice}', ''), if(id between 10 and 13, '<div><p>four</p></div>', ''), '</article>') as html")
+    for keys in (html_text.BROADCAST_KEYS, -1):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df, broadcast_keys=keys).collect()}
+        assert got == {i: f"Page {i}" + "\nfour" * (10 <= i <= 13) for i in range(3000)}
+
+
 def test_pages_of_the_table(spark, sf):
     import html
     import re
