@@ -15,6 +15,9 @@ are not its neighbours; a null id can be neither; an empty table gives an empty
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,8 +91,23 @@ def hashed(rows: DataFrame, tables: int, probes: int | None) -> DataFrame:
     return rows.select("tag", "v").mapInArrow(run, f"dims int, tab int, bucket int, tag {tag}, v binary"), kind
 
 
+def kth(near: np.ndarray, first: np.ndarray, ids: list[list[int]], me: int, k: int) -> float:
+    """The score by which k different ids other than me are reached, -inf if there are fewer; first are the k best rows."""
+    while True:
+        found = set()
+        for j in first[np.argsort(-near[first], kind="stable")]:
+            if near[j] > -np.inf:
+                found.update(ids[j])
+                if len(found) - (me in found) >= k:
+                    return near[j]
+        if len(first) == len(near):
+            return -np.inf
+        n = min(4 * len(first), len(near))
+        first = np.argpartition(-near, n - 1)[:n]
+
+
 def found_in_buckets(base: DataFrame, queries: DataFrame, k: int, tables: int, probes: int | None) -> DataFrame:
-    """(query_id, vec_id, score): for each bucket that a query probes, its k best rows there."""
+    """(query_id, vec_id, score): for each bucket that a query probes, the k best of the other ids there, each by its best row."""
     (rows, kind), (asked, _) = hashed(base, tables, 1), hashed(queries, tables, probes)
     rows, asked, bucket = saved(rows), saved(asked), ["dims", "tab", "bucket"]
     # a few rows for each bucket of each table: 2 * dims * tables
@@ -107,19 +125,34 @@ def found_in_buckets(base: DataFrame, queries: DataFrame, k: int, tables: int, p
         asked_id = left.column("tag").to_pylist()
         out = [], [], []
         norm = np.sqrt((x * x).sum(axis=1))
+        close = 8 * d * np.finfo(np.float64).eps
+        alone = defaultdict(list)
+        for j, own in enumerate(ids):
+            if len(own) == 1:
+                alone[own[0]].append(j)
         for at in range(0, len(q) if len(x) else 0, 256):
-            part = q[at : at + 256]
-            near = (part @ x.T) / norm
-            best = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, : k + 1]
-            for i, own in enumerate(best):
+            part, asker = q[at : at + 256], asked_id[at : at + 256]
+            length = np.sqrt((part * part).sum(axis=1))
+            near = (part @ x.T) / norm / length[:, None]
+            for i, me in enumerate(asker):
+                if me in alone:
+                    near[i, alone[me]] = -np.inf
+            first = np.argpartition(-near, min(k, len(x)) - 1, axis=1)[:, :k]
+            # rounding moves a score by less than `close`, so no row of the k best or equal to the last of them is left out
+            least = np.array([kth(near[i], first[i], ids, me, k) for i, me in enumerate(asker)]) - close
+            which, rows_of = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+            for i, own in enumerate(np.split(rows_of, np.searchsorted(which, np.arange(1, len(part))))):
                 # once more, with the same order of additions for every pair, so that equal pairs score equally
-                exact = (part[i] * x[own]).sum(axis=1) / (np.sqrt((part[i] * part[i]).sum()) * norm[own])
-                for j, s in zip(own, exact, strict=True):
+                exact = (part[i] * x[own]).sum(axis=1) / (length[i] * norm[own])
+                best = {}
+                for j, s in zip(own, exact.tolist(), strict=True):
                     for vec in ids[j]:
-                        if vec != asked_id[at + i]:
-                            out[0].append(asked_id[at + i])
-                            out[1].append(vec)
-                            out[2].append(s)
+                        if vec != asker[i] and s > best.get(vec, -np.inf):
+                            best[vec] = s
+                for vec, s in heapq.nsmallest(k, best.items(), key=lambda item: (-item[1], item[0])):
+                    out[0].append(asker[i])
+                    out[1].append(vec)
+                    out[2].append(s)
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     return asked.select(*key, "tag", "v").groupBy(*key).cogroup(rows.select(*key, "tag", "v").groupBy(*key)).applyInArrow(score, "query_id long, vec_id long, score double")

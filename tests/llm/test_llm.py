@@ -428,6 +428,26 @@ def test_neighbours_odd_rows(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_neighbours_scaled_and_shared_ids(spark):
+    rng = np.random.default_rng(3)
+    v = [1.0, 2.0, 3.0, 4.0]
+    scaled = [(int(i), [x * 2.0**p for x in v]) for p, i in enumerate(rng.permutation(40))]
+    near = lambda by: [float(x) for x in np.array(v) + by * rng.standard_normal(4)]
+    # the query's id and one other stand on many rows nearer than the true neighbours
+    shared = [(0, v)] + [(0, near(1e-4)) for _ in range(12)] + [(1, near(1e-3)) for _ in range(30)] + [(i, near(1e-2)) for i in range(2, 12)]
+    for rows in (scaled, shared):
+        df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+        asked = spark.createDataFrame([(0, v)], df.schema)
+        plain = {}
+        for i, w in rows:
+            score = float((np.array(v) * np.array(w)).sum() / (np.sqrt((np.array(v) ** 2).sum()) * np.sqrt((np.array(w) ** 2).sum())))
+            plain[i] = max(score, plain.get(i, -2))
+        want = sorted((-s, i) for i, s in plain.items() if i != 0)[:5]
+        for tables, probes in ((1, None), (ann.TABLES, ann.PROBES)):
+            got = sorted(ann.nearest(df, asked, tables=tables, probes=probes).collect(), key=lambda r: r["rank"])
+            assert [r["vec_id"] for r in got] == [i for _, i in want] and np.allclose([-r["score"] for r in got], [s for s, _ in want])
+
+
 def test_preference_pairs(spark, sf):
     df = run("op9_preference_format", spark, sf)
     c = duckdb.connect()
