@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,23 +151,23 @@ def validate_trials(df: DataFrame, min_cell: int = 1, allow_na_prev: bool = True
     return found
 
 
-def branch_contract(branches: DataFrame, n_base: int, n_transforms: int, n_outliers: int, n_variants: int, n_models: int) -> DataFrame:
-    """(rule, n_bad): labels that don't go together, ids that repeat, and counts other than the axes call for."""
+def branch_contract(branches: DataFrame, n_base: int, n_transforms: int, n_outliers: int, n_variants: int, n_models: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rule, n_bad): labels that don't go together, ids that repeat, and counts other than the axes call for."""
     data = n_base * n_transforms * n_outliers * n_variants
     wrong = ((F.col("effect_condition") == "present") & (F.col("strip_method") != "none")) | ((F.col("effect_condition") == "null_interaction") & (F.col("strip_method") == "none"))
-    ids = branches.groupBy("branch_id").count()
-    sums = branches.agg(n(wrong).alias("labels"), F.abs(F.count("*") - data * n_models).alias("rows"), F.abs(F.count_distinct("data_id") - data).alias("data_ids"))
-    wide = sums.crossJoin(ids.agg(n(F.col("count") > 1).alias("repeated_ids")))
-    return wide.select(F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).cast("long").alias("n_bad")) for k in ("labels", "rows", "data_ids", "repeated_ids")))))
+    ids = branches.groupBy(*by, "branch_id").count().groupBy(*by).agg(n(F.col("count") > 1).alias("repeated_ids"))
+    sums = branches.groupBy(*by).agg(n(wrong).alias("labels"), F.abs(F.count("*") - data * n_models).alias("rows"), F.abs(F.count_distinct("data_id") - data).alias("data_ids"))
+    wide = sums.join(ids, list(by)) if by else sums.crossJoin(ids)
+    return wide.select(*by, F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).cast("long").alias("n_bad")) for k in ("labels", "rows", "data_ids", "repeated_ids")))))
 
 
-def branch_coverage(branches: DataFrame, done: DataFrame) -> DataFrame:
-    held = branches.join(done.select("branch_id").distinct().withColumn("__done", F.lit(True)), "branch_id", "left")
-    return held.agg(F.count("*").alias("expected"), n(F.col("__done")).alias("present"), n(F.col("__done").isNull()).alias("missing"))
+def branch_coverage(branches: DataFrame, done: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    held = branches.join(done.select(*by, "branch_id").distinct().withColumn("__done", F.lit(True)), [*by, "branch_id"], "left")
+    return held.groupBy(*by).agg(F.count("*").alias("expected"), n(F.col("__done")).alias("present"), n(F.col("__done").isNull()).alias("missing"))
 
 
-def attach_data_id(results: DataFrame, branches: DataFrame) -> DataFrame:
+def attach_data_id(results: DataFrame, branches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Results with their data_id; a result without a branch, or a branch id that repeats, is marked in id_problem."""
-    ids = branches.groupBy("branch_id").agg(F.min("data_id").alias("data_id"), F.count("*").alias("__n"))
-    got = results.drop("data_id").join(ids, "branch_id", "left")
+    ids = branches.groupBy(*by, "branch_id").agg(F.min("data_id").alias("data_id"), F.count("*").alias("__n"))
+    got = results.drop("data_id").join(ids, [*by, "branch_id"], "left")
     return got.withColumn("id_problem", F.when(F.col("__n").isNull(), "absent").when(F.col("__n") > 1, "repeated")).drop("__n")

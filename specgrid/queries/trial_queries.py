@@ -280,6 +280,22 @@ def grid_coverage(df):
     return audit.branch_coverage(one, done).crossJoin(problems)
 
 
+@query("trials_li", "study:s rule:s n_bad", "select study, unnest(['labels', 'rows', 'data_ids', 'repeated_ids']) as rule, 0 as n_bad from (select distinct study from trials) s")
+def grid_contract_studies(df):
+    """grid_contract over every study."""
+    return audit.branch_contract(branches_of(df), 9, 2, 10, 6, 4, by=["study"])
+
+
+@query("trials_li", "study:s expected present missing n_problem", f"""
+select study, count(*) as expected, count(case when branch_idx % 5 = 0 then 1 end) as present, count(case when branch_idx % 5 <> 0 then 1 end) as missing, 0 as n_problem from ({BRANCHES}) b, (select distinct study from trials) s group by study""")
+def grid_coverage_studies(df):
+    """grid_coverage over every study."""
+    every = branches_of(df)
+    done = every.where("branch_idx % 5 = 0")
+    problems = audit.attach_data_id(done.drop("data_id"), every, by=["study"]).groupBy("study").agg(F.count("id_problem").alias("n_problem"))
+    return audit.branch_coverage(every, done, by=["study"]).join(problems, "study", "left").withColumn("n_problem", F.coalesce("n_problem", F.lit(0)))
+
+
 @query("trials_li", "study:s strategy:s data_level:s formula:s denominator:s")
 def grid_strategies(df):
     return df.select("study").distinct().crossJoin(grid.strategy_table(df.sparkSession))
@@ -332,12 +348,27 @@ select source_row, participant_id, case when na < 2 then rt else {grid_sql('r',
 
 @query("trials_li", "source_row participant_id:s rt:f", f"with {QMAP}")
 def nullify_qmap(df):
-    """Trials of cells of two or more; the others need curves over everyone, which the tests cover."""
+    """Trials of cells of two or more; nullify_qmap_whole has every trial."""
     dense = df.groupBy("participant_id", "cong", "prev_cong").count().where("count >= 2").drop("count")
     rows = df.where("cong is not null and prev_cong is not null").join(dense, ["participant_id", "cong", "prev_cong"], "left_semi").select("source_row")
     return nullify.additive_qmap(df).join(rows, "source_row", "left_semi")
 
 
+# as QMAP, with every trial: in a cell of one, tau is read off the cell's curve over everyone; trials without a code or time pass through
+QMAP_WHOLE = QMAP[: QMAP.index("select source_row")] + f""", o as (select cong, prev_cong, list(rt order by rt) as o from good group by all), y as (select cong, prev_cong, [{', '.join(type8_sql('o', f'{k} / 199.0') for k in range(200))}] as y from o),
+s as (select t.* exclude (tau), y, tau as own_tau, len(list_filter(y, lambda v: v < rt)) as before from t join y using (cong, prev_cong)),
+u as (select s.* exclude (y, own_tau, before), case when nc >= 2 then own_tau when rt <= y[1] then 0 when rt >= y[200] then 1
+  else (before - 1 + case when y[before + 1] - y[before] < 2.2e-16 then 0 else (rt - y[before]) / (y[before + 1] - y[before]) end) / 199 end as tau from s)
+select source_row, participant_id, case when na < 2 then rt else {grid_sql('r', 'tau')} + {grid_sql('c', 'tau')} - {grid_sql('g', 'tau')} end as rt from u join r using (participant_id, cong) join c using (participant_id, prev_cong) join g using (participant_id)
+union all select source_row, participant_id, rt from trials where rt is null or cong is null or prev_cong is null"""
+
+
+@query("trials_li", "source_row participant_id:s rt:f", f"with {QMAP_WHOLE}")
+def nullify_qmap_whole(df):
+    """nullify_qmap over every trial."""
+    return nullify.additive_qmap(df)
+
+
 @query("trials_ev", "source_row participant_id:s rt:d")
 def nullify_qmap_sparse(df):
     return nullify.additive_qmap(df)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from specgrid.functions import stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
-from specgrid.operators import diagnostics, grid, models, nullify, sampling
+from specgrid.operators import audit, diagnostics, grid, models, nullify, sampling
 from specgrid.plans import scale
 from specgrid.sources import io
 
@@ -89,6 +89,41 @@ def test_sparse_cells_and_nulls_pass_through(spark):
         assert all(np.isfinite(v) for v in values.values() if v is not None)
 
 
+def test_qmap_of_sparse_cells_equals_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    rt = lambda: float(np.round(rng.gamma(9, 60), 1))
+    rows = [("rich", c, q, rt()) for _ in range(7) for c, q in CELLS] + [("poor", c, q, rt()) for c, q in [*CELLS, (1, 1)]] + [("one", 1, -1, rt())]
+    taus = np.linspace(0, 1, 200)
+
+    def curve(xs):
+        xs = np.sort(xs)
+        h = np.clip((len(xs) + 1 / 3) * taus + 1 / 3, 1, len(xs))
+        low = np.floor(h).astype(int)
+        return xs[low - 1] + (h - low) * (xs[np.minimum(low, len(xs) - 1)] - xs[low - 1])
+
+    got = {r["source_row"]: r["rt"] for r in nullify.additive_qmap(trials(spark, [*rows, ("poor", -1, None, 480)])).collect()}
+    assert len(got) == len(rows) + 1 and got[len(rows) + 1] == 480
+    for i, (p, c, q, x) in enumerate(rows):
+        own = [r for r in rows if r[0] == p]
+        cell = np.array([r[3] for r in own if r[1:3] == (c, q)])
+        y = curve([r[3] for r in rows if r[1:3] == (c, q)])
+        tau = (cell <= x).mean() if len(cell) > 1 else 0.0 if x <= y[0] else np.interp(x, *(lambda at: (y[at], taus[at]))(np.unique(y, return_index=True)[1]))
+        want = x if len(own) < 2 else sum(sign * np.interp(tau, taus, curve([r[3] for r in own if keep(r)])) for sign, keep in ((1, lambda r: r[1] == c), (1, lambda r: r[2] == q), (-1, lambda r: True)))  # noqa: B023
+        assert abs(got[i + 1] - want) < 1e-6, (i, p, c, q)
+
+
+def test_branch_checks_of_every_study(spark):
+    g = grid.Grid(fractions=(0.5, 1.0), samples=3, outliers=("none", "sd_2"), models=("rmanova",))
+    every = grid.model_branches(spark, g).crossJoin(spark.createDataFrame([("s1",), ("s2",), ("s3",)], "study string"))
+    twice = every.where("study = 's2' and branch_idx = 1")
+    bad = {(r["study"], r["rule"]): r["n_bad"] for r in audit.branch_contract(every.unionByName(twice), 4, 2, 2, 6, 1, by=["study"]).collect()}
+    assert len(bad) == 12 and {k: v for k, v in bad.items() if v} == {("s2", "rows"): 1, ("s2", "repeated_ids"): 1}
+    got = {tuple(r) for r in audit.branch_coverage(every, every.where("study = 's3' or branch_idx = 1"), by=["study"]).collect()}
+    assert got == {("s1", 96, 1, 95), ("s2", 96, 1, 95), ("s3", 96, 96, 0)}
+    marked = audit.attach_data_id(every, every.unionByName(twice).where("study <> 's3'"), by=["study"]).where("id_problem is not null").groupBy("study", "id_problem").count()
+    assert {tuple(r) for r in marked.collect()} == {("s2", "repeated", 1), ("s3", "absent", 96)}
+
+
 def test_empty_table(spark):
     df = location(spark, 1, 1).where("false")
     for method in grid.STRIPS:
