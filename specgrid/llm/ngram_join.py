@@ -1,23 +1,23 @@
 """N-gram Jaccard self-join: shingle groups, a count-vector R-tree and exact verification.
 
-Two sets x and y whose Jaccard similarity is at least t differ in at most (1 - t) / (1 + t) * (|x| + |y|) shingles. So if
-shingles are hashed into more groups than that, some group that isn't empty holds the same shingles in both. Such groups
-are the pages of the index: a page is named by the hash of one group's shingles, and sets meet in it only if they agree on
-that whole group, which two sets that merely share a passage hardly ever do. Size classes fix the number of groups.
+A set's point holds the counts of its shingles in groups, about one group for every eight to sixteen shingles, so the sum of
+the coordinate-wise minima of two points bounds their overlap closely at every length: unrelated sets fall far below what a
+link needs. Points are packed into R-trees, whose inner nodes carry upper corners and so the same bound. Leaves hold a second,
+finer vector, the parities of the counts in one to two groups a shingle: no more of them can differ than shingles do. What
+survives is verified on the sets themselves.
 
-Inside a page each set is a point, the counts of its shingles in DIMS groups. Points are packed into an R-tree; the sum of
-the coordinate-wise minima of two nodes' upper corners bounds the overlap of anything below them, so most pairs fall out
-near the root. Leaves hold a second, finer vector, the parities of the counts in PARITIES groups: no more of them can differ
-than shingles do. What survives is verified on the sets themselves.
+No tree over a whole corpus can prune by counts alone (unrelated texts of one length have like counts in few groups, and in
+many groups an upper corner covers everything), so the top level of the index splits by equality. Two sets of similarity t
+differ in at most (1 - t) / (1 + t) * (|x| + |y|) shingles. If shingles are hashed into more groups than that, some group that
+isn't empty holds the same shingles in both. Such a group is a page of the index, named by its shingles, and linked sets
+always share one: no pair is lost. Size classes fix the number of groups.
 
-Pages with the same least member are joined as one, and so are those whose members meet a common lesser one elsewhere, so
-that a set is sent about once and not for each page.
-A task first tells which members have a pair that the bounds leave possible; only those members' sets are made and sent. The
-second time, pairs are verified, and for components a pair that is already connected in the task is skipped, so that a group
-of near copies gives a link for each member and not for each pair. Nothing is capped: centres with more than BLOCK members
-or BLOCK_BYTES of sets are joined block by block.
+Each step finds connected parts, not all pairs. Pages are joined under the bounds, which gives candidate components, and each
+of these is verified with every set sent once. Members beyond BLOCK are dealt into parts that each also hold the group's first
+member; only members that are not connected to it after that meet the other parts. So a group of copies costs a comparison
+for each member, however large, and nothing is capped.
 
-Equal sets are one point, whatever the number of documents; copies are collapsed in each task before anything is shuffled.
+Equal sets are one point, whatever the number of documents.
 
 Cases: a null, empty or blank text has an empty set (0 shingles), is linked with nothing and is its own component; fewer
 words than a shingle make one shingle of all of them; repeated rows and ids are kept, each row by its own text; a component
@@ -27,28 +27,41 @@ whose ids are all null has a null id; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgrid.llm.common import saved, small, table, utf8
 
-#: Coordinates of a point.
-DIMS = 32
-#: Coordinates of the vector of parities.
-PARITIES = 1024
 #: Points in a leaf of the R-tree, and children of an inner node.
 LEAF = 32
-#: Members of a centre that are joined in one task, and bytes of their sets; larger ones are joined block by block.
-BLOCK = 4096
-BLOCK_BYTES = 48_000_000
+#: Members of a group that are joined in one task; larger groups are dealt over several.
+BLOCK = 400
+#: The same for members that are not connected to their group's first member, and the parts that they meet.
+REST = 4096
+#: Bytes of sets of such a part, on average.
+PART_BYTES = 24_000_000
 #: Entries (page name and set) that one bucket of the index holds on average.
 BUCKET_ENTRIES = 500_000
+#: Entries that a bucket holds before they are matched.
+CHUNK_ENTRIES = 2_000_000
+#: Bytes of text that a task hashes at once.
+SLICE_BYTES = 2_000_000
 #: Bits of the filter that tells which documents' sets are needed: a bound on what is broadcast, whatever the input.
 FILTER_BITS = 1 << 25
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Odd base of the words' polynomial hashes, and its inverse modulo 2^64.
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: A number for each byte, the same for A-Z as for a-z, and which bytes separate words.
+BYTES = np.random.default_rng(17).integers(0, 1 << 64, 256, dtype=np.uint64)
+BYTES[65:91] = BYTES[97:123]
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,27 +71,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Words(dict):
-    """Hashes of the words a task has met."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes | None, k: int, cache: Words) -> np.ndarray:
-    """The set of the text's hashed k-word shingles, sorted."""
-    ws = text.lower().split() if text else []
-    h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-    if not ws:
-        return h
-    size = min(k, len(ws))
-    got = np.full(len(ws) - size + 1, size, np.uint64)
-    for i in range(size):
-        got = got * ODD + h[i : len(ws) - size + 1 + i]
-    return np.unique(mix(got))
+class Powers:
+    """Powers of BASE and INVERSE, as many as a task has needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, SLICE_BYTES)
+            self.up, self.down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, x, np.uint64)))) for x in (BASE, INVERSE))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of texts that lie one after another in data, and the number of each text's first word (one more at the end)."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    word = ~BLANK[data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    begins[edge], ends[edge - 1] = word[edge], word[edge - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    powers.reach(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTES[data] * powers.up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers.down[start]), np.searchsorted(start, offsets)
+
+
+def sets_of(texts: pa.Array, k: int, powers: Powers) -> Iterator[np.ndarray]:
+    """The set of each text's hashed k-word shingles, sorted."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.empty(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        to = min(len(texts), max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES))))
+        h, first = word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], powers)
+        words = np.diff(first)
+        size = np.minimum(words, k)
+        many = np.where(words > 0, words - size + 1, 0)
+        begin = np.concatenate(([0], np.cumsum(many)))
+        place = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], many)
+        left = np.repeat(size, many)
+        got = left.astype(np.uint64)
+        for i in range(k):
+            here = slice(None) if i == 0 else np.flatnonzero(left > i)
+            got[here] = got[here] * ODD + h[place[here] + i]
+        got = mix(got)
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            own = got[a:b]
+            own.sort()
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
+        at = to
+
+
+def shingles(text: bytes | None, k: int) -> np.ndarray:
+    """The set of one text's hashed k-word shingles, sorted."""
+    return next(sets_of(pa.array([text or b""], pa.binary()), k, Powers()))
 
 
 def signature(own: np.ndarray) -> int:
@@ -106,14 +157,20 @@ def page_names(own: np.ndarray, t: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+def level_of(n: int) -> int:
+    return int(n).bit_length()
+
+
 def counts(own: np.ndarray) -> np.ndarray:
-    """The set's point: how many of its shingles are in each of DIMS groups."""
-    return np.bincount((mix(own + ODD) >> np.uint64(33)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.int32)
+    """The set's point: how many of its shingles are in each group; 2^(level - 4) groups, 32 at least."""
+    dims = max(32, 1 << max(0, level_of(len(own)) - 4))
+    return np.bincount((mix(own + ODD) >> np.uint64(33)).astype(np.int64) % dims, minlength=dims).astype(np.uint16)
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Whether each of PARITIES groups holds an odd number of the set's shingles, as packed bits."""
-    return np.packbits((np.bincount((mix(own ^ ODD) >> np.uint64(33)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8))
+    """Whether each of 2^level groups (64 at least) holds an odd number of the set's shingles, as packed bits."""
+    groups = max(64, 1 << level_of(len(own)))
+    return np.packbits((np.bincount((mix(own ^ ODD) >> np.uint64(33)).astype(np.int64) % groups, minlength=groups) & 1).astype(np.uint8))
 
 
 def overlap_needed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
@@ -126,33 +183,36 @@ def may_link(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, t:
 
 
 class RTree:
-    """Points packed by size and leading coordinates: levels of nodes with their upper corners, least sizes and labels."""
+    """Points packed by size and leading coordinates: levels of nodes with their upper corners and least sizes."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, label: np.ndarray):
-        order = np.lexsort((points[:, 2], points[:, 1], points[:, 0], n))
-        self.order, self.levels = order, [(points[order], n[order], label[order], label[order])]
+    def __init__(self, points: np.ndarray, n: np.ndarray):
+        self.order = np.lexsort((points[:, 2], points[:, 1], points[:, 0], n))
+        self.levels = [(points[self.order], n[self.order])]
         while len(self.levels[-1][1]) > 1:
-            upper, least, low, high = self.levels[-1]
+            upper, least = self.levels[-1]
             first = np.arange(0, len(least), LEAF)
-            self.levels.append((np.maximum.reduceat(upper, first), np.minimum.reduceat(least, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)))
+            self.levels.append((np.maximum.reduceat(upper, first), np.minimum.reduceat(least, first)))
 
 
 def tree_join(a: RTree, b: RTree, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs, of different labels, whose overlap by coordinate minima can reach similarity t."""
+    """Places of the pairs whose overlap by coordinate minima can reach similarity t."""
     depth = max(len(a.levels), len(b.levels))
     i = j = np.zeros(1, np.int64)
     for level in range(depth - 1, -1, -1):
-        (ua, na, la, ha), (ub, nb, lb, hb) = (x.levels[min(level, len(x.levels) - 1)] for x in (a, b))
-        keep_i, keep_j = [], []
-        for at in range(0, len(i), 65536):
-            p, q = i[at : at + 65536], j[at : at + 65536]
-            bound = np.minimum(ua[p], ub[q]).sum(axis=1)
-            good = (bound >= overlap_needed(na[p], nb[q], t)) & ~((la[p] == ha[p]) & (la[p] == lb[q]) & (lb[q] == hb[q]))
+        (ua, na), (ub, nb) = (x.levels[min(level, len(x.levels) - 1)] for x in (a, b))
+        if a is b:  # each pair once
+            i, j = i[i <= j], j[i <= j]
+        keep_i, keep_j, step = [i[:0]], [j[:0]], max(256, 4_000_000 // ua.shape[1])
+        for at in range(0, len(i), step):
+            p, q = i[at : at + step], j[at : at + step]
+            good = np.minimum(ua[p], ub[q]).sum(axis=1) >= overlap_needed(na[p], nb[q], t)
             keep_i.append(p[good])
             keep_j.append(q[good])
         i, j = np.concatenate(keep_i), np.concatenate(keep_j)
         if level:
             i, j = expand(i, j, len(a.levels[min(level - 1, len(a.levels) - 1)][1]), len(b.levels[min(level - 1, len(b.levels) - 1)][1]), level < len(a.levels), level < len(b.levels))
+    if a is b:
+        i, j = i[i < j], j[i < j]
     return a.order[i], b.order[j]
 
 
@@ -167,119 +227,218 @@ def expand(i: np.ndarray, j: np.ndarray, na: int, nb: int, down_a: bool, down_b:
     return x[good], y[good]
 
 
-def narrow(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, h, n, sig) for every row: the text's hash, its number of shingles and its set's signature."""
+class Members:
+    """The members of one group: sizes, and points and parities as a matrix for each level."""
+
+    def __init__(self, n: np.ndarray, point: list[bytes], parity: list[bytes]):
+        self.n, self.levels = n, {}
+        level = np.array([level_of(x) for x in n.tolist()], np.int64)
+        for x in np.unique(level).tolist():
+            at = np.flatnonzero(level == x)
+            points = np.frombuffer(b"".join(point[i] for i in at), np.uint16).reshape(len(at), -1).astype(np.int32)
+            self.levels[x] = at, points, np.frombuffer(b"".join(parity[i] for i in at), np.uint64).reshape(len(at), -1)
+
+    def possible(self, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that sizes, count vectors and parities leave possible, each once."""
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for level, (at, points, parity) in self.levels.items():
+            tree = RTree(points, self.n[at])
+            for other in (level, level + 1):  # similar sets' sizes differ by less than a factor of two
+                if other not in self.levels:
+                    continue
+                to, far, bits = self.levels[other]
+                if other > level:  # groups of the finer vectors fold into those of the coarser
+                    far, bits = (x if x.shape[1] == y.shape[1] else f(x.reshape(len(x), 2, -1)) for x, y, f in ((far, points, lambda x: x.sum(axis=1)), (bits, parity, lambda x: x[:, 0] ^ x[:, 1])))
+                i, j = tree_join(tree, tree if other == level else RTree(far, self.n[to]), t)
+                for k in range(0, len(i), 65536):
+                    p, q = i[k : k + 65536], j[k : k + 65536]
+                    good = may_link(self.n[at[p]], self.n[to[q]], parity[p], bits[q], t)
+                    left.append(at[p[good]])
+                    right.append(to[q[good]])
+        return np.concatenate(left), np.concatenate(right)
+
+
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (the least member of each connected part) after the pairs x, y are connected too."""
+    while len(x):
+        a, b = label[x], label[y]
+        np.minimum.at(label, a, b)
+        np.minimum.at(label, b, a)
+        while not np.array_equal(label, again := label[label]):
+            label = again
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+    return label
+
+
+def verified(x: np.ndarray, y: np.ndarray, own: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for each pair."""
+    good = np.zeros(len(x), bool)
+    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = own[p], own[q]
+        both = np.sort(np.concatenate((a, b)), kind="stable")
+        both = int((both[1:] == both[:-1]).sum())
+        good[k] = 100 * both >= percent * (len(a) + len(b) - both)
+    return good
+
+
+def spanned(x: np.ndarray, y: np.ndarray, label: np.ndarray, own: list[np.ndarray], percent: int) -> np.ndarray:
+    """Labels after verifying, of the pairs x < y, as many as tell what is connected."""
+    while len(x):
+        pick = np.unique(y, return_index=True)[1]
+        good = verified(x[pick], y[pick], own, percent)
+        label = joined(label, x[pick[good]], y[pick[good]])
+        left = np.ones(len(x), bool)
+        left[pick] = False
+        left &= label[x] != label[y]
+        x, y = x[left], y[left]
+    return label
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows with equal keys (numbers), from rows sorted by them."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        if not len(held):
+            continue
+        new = np.zeros(len(held), bool)
+        for key in keys:
+            column = held.column(key).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def indexed(docs: DataFrame, k: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, pages) from one pass over the texts.
+
+    rows (doc_id, h, n, sig) for every row: the text's hash, its number of shingles and its set's signature. pages (centre,
+    sig): the members of every page of at least two, under one of them.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, int(0.055 * size / BUCKET_ENTRIES))  # about a word for every six bytes, and a name for every three shingles
 
-    def count(batches):
-        cache = Words()
-        for batch in batches:
-            sets = [shingles(x, k, cache) for x in batch.column(2).to_pylist()]
-            n, sig = pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, sig], ["doc_id", "h", "n", "sig"])
-
-    return saved(docs.select("doc_id", F.xxhash64("text").alias("h"), utf8().alias("text")).mapInArrow(count, f"doc_id {id_type}, h long, n long, sig long"))
-
-
-def pages(docs: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
-    """(centre, sig): the members of every page of at least two, by the page's least member."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, int(0.5 * total / BUCKET_ENTRIES))
-
-    def emit(names, sigs):
+    def emit(names, sigs, kind):
         names, sigs = np.concatenate(names), np.concatenate(sigs)
         bucket = (names >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         which, first = np.unique(bucket[order], return_index=True)
         split = lambda x: [y.tobytes() for y in np.split(x[order], first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(split(names), pa.binary()), pa.array(split(sigs), pa.binary())], ["bucket", "names", "sigs"])
+        none = pa.nulls(len(which), kind)
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(split(names), pa.binary()), pa.array(split(sigs), pa.binary()), none, *(pa.nulls(len(which), pa.int64()) for _ in range(3))], columns)
+
+    columns = ["bucket", "names", "sigs", "doc_id", "h", "n", "sig"]
 
     def index(batches):
-        cache, seen, names, sigs, held = Words(), set(), [], [], 0
+        powers, seen, names, sigs, held, at = Powers(), set(), [], [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = shingles(text, k, cache)
-                sig = signature(own)
-                if sig in seen:
+            kind, sig, n = batch.schema.field(0).type, [], []
+            for own in sets_of(whole(batch.column(2)), k, powers):
+                sig.append(signature(own))
+                n.append(len(own))
+                if sig[-1] in seen:
                     continue
-                seen.add(sig)
+                seen.add(sig[-1])
                 got = page_names(own, t)
                 names.append(got)
-                sigs.append(np.full(len(got), sig, np.int64))
+                sigs.append(np.full(len(got), sig[-1], np.int64))
                 held += len(got)
                 if held > 1_000_000:
-                    yield emit(names, sigs)
+                    yield emit(names, sigs, kind)
                     names, sigs, held = [], [], 0
+            bucket = (np.arange(at, at + len(n)) % buckets).astype(np.int32)
+            at += len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.nulls(len(n), pa.binary()) for _ in range(2)), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], columns)
         if held:
-            yield emit(names, sigs)
-
-    def gather(held):
-        names = np.frombuffer(b"".join(held.column("names").to_pylist()), np.uint64)
-        sigs = np.frombuffer(b"".join(held.column("sigs").to_pylist()), np.int64)
-        order = np.argsort(names)
-        names, sigs = names[order], sigs[order]
-        same = names[1:] == names[:-1]
-        several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        names, sigs = names[several], sigs[several]
-        order = np.lexsort((sigs, names))
-        names, sigs = names[order], sigs[order]
-        fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (sigs[1:] != sigs[:-1]))) if len(names) else np.zeros(0, bool)
-        names, sigs = names[fresh], sigs[fresh]
-        first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(names)))
-        keep = np.repeat(size > 1, size)
-        centre = np.repeat(sigs[first], size)
-        both = np.unique(np.stack([centre[keep], sigs[keep]], axis=1), axis=0)
-        return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["centre", "sig"])
-
-    blobs = docs.select(utf8().alias("text")).mapInArrow(index, "bucket int, names binary, sigs binary")
-    held = saved(blobs.groupBy("bucket").applyInArrow(gather, "centre long, sig long").distinct())
-    # the least centre that any member of a centre has met takes all its members, twice over
-    for _ in range(2):
-        met = held.groupBy("sig").agg(F.min("centre").alias("met"))
-        to = held.join(met, "sig").groupBy("centre").agg(F.min("met").alias("to"))
-        held = saved(held.join(to, "centre").select(F.col("to").alias("centre"), "sig").distinct())
-    return held
-
-
-def made_again(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int, columns: dict) -> DataFrame:
-    """(sig, n, and one binary column for each entry of columns, a function of the set): the sets with the given signatures, made again from the texts.
+            yield emit(names, sigs, kind)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, centres = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted names and the member that stands for each
+        names, sigs, held, kind = [], [], 0, None
+
+        def matched():
+            nonlocal known, centres
+            name, sig = np.frombuffer(b"".join(names), np.uint64), np.frombuffer(b"".join(sigs), np.int64)
+            order = np.lexsort((sig, name))
+            name, sig = name[order], sig[order]
+            first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+            many = np.diff(np.append(first, len(name)))
+            place = np.minimum(np.searchsorted(known, name[first]), max(0, len(known) - 1))
+            met = known[place] == name[first] if len(known) else np.zeros(len(first), bool)
+            centre = np.where(met, centres[place] if len(known) else 0, sig[first])
+            keep = np.repeat(met | (many > 1), many)
+            pairs = np.stack([np.repeat(centre, many)[keep], sig[keep]], axis=1)
+            pairs = np.unique(np.concatenate([pairs, np.repeat(pairs[:, :1], 2, axis=1)]), axis=0)  # the centre is a member
+            fresh = first[~met]
+            known, centres = np.concatenate([known, name[fresh]]), np.concatenate([centres, sig[fresh]])
+            order = np.argsort(known)
+            known, centres = known[order], centres[order]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), kind), *(pa.nulls(len(pairs), pa.int64()) for _ in range(2))], out)
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            is_row = batch.column("names").is_null()
+            rows = batch.filter(is_row)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), rows.column("sig"), rows.column("doc_id"), rows.column("h"), rows.column("n")], out)
+            blobs = batch.filter(pc.invert(is_row))
+            names += blobs.column("names").to_pylist()
+            sigs += blobs.column("sigs").to_pylist()
+            held += sum(map(len, names[len(names) - len(blobs) :])) // 8
+            if held > CHUNK_ENTRIES:
+                yield matched()
+                names, sigs, held = [], [], 0
+        if held:
+            yield matched()
+
+    out = ["centre", "sig", "doc_id", "h", "n"]
+    entries = docs.select("doc_id", F.xxhash64("text").alias("h"), utf8().alias("text")).mapInArrow(index, f"bucket int, names binary, sigs binary, doc_id {id_type}, h long, n long, sig long")
+    both = saved(entries.groupBy("bucket").applyInArrow(gather, f"centre long, sig long, doc_id {id_type}, h long, n long"))
+    return both.where("centre is null").select("doc_id", "h", "n", "sig"), saved(both.where("centre is not null").select("centre", "sig").distinct())
+
+
+def whole(texts: pa.Array) -> pa.Array:
+    """Texts without nulls, which count as empty."""
+    return texts.fill_null(b"") if texts.null_count else texts
+
+
+POINTS = {"point": counts, "parity": parities}
+SETS = {**POINTS, "own": lambda own: own}
+
+
+def made_again(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, columns: dict) -> DataFrame:
+    """The rows of `to` (sig and others) with one binary column for each entry of columns, a function of the set, made again from the texts.
 
     Which documents are needed is told by a filter of FILTER_BITS bits over hashed ids, built in Spark: its false positives
-    cost time only, as the sets are joined to the signatures afterwards.
+    cost time only, as the sets are joined to the signatures afterwards, before anything is sent.
     """
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    wanted = rows.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select(spot.alias("spot"))
+    wanted = rows.join(to, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select(spot.alias("spot")).distinct()
     parts = wanted.groupBy(F.bitmap_bucket_number("spot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
     held = docs.sparkSession.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in parts})
 
     def make(batches):
-        cache, seen, bits = Words(), set(), held.value
+        powers, seen, bits = Powers(), set(), held.value
         for batch in batches:
-            spots = batch.column(0).to_numpy()
-            sig, n, out = [], [], [[] for _ in columns]
-            need = [i for i, s in enumerate(spots) if in_bits(bits, int(s))]
-            for text in batch.column(1).take(pa.array(need, pa.int64())).to_pylist():
-                own = shingles(text, k, cache)
+            spots = batch.column(0).to_pylist()
+            need = pa.array([i for i, s in enumerate(spots) if in_bits(bits, s)], pa.int64())
+            sig, out = [], [[] for _ in columns]
+            for own in sets_of(whole(batch.column(1).take(need)), k, powers):
                 name = signature(own)
                 if len(own) and name not in seen:
                     seen.add(name)
                     sig.append(name)
-                    n.append(len(own))
                     for x, f in zip(out, columns.values(), strict=True):
                         x.append(f(own).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["sig", "n", *columns])
-
-    made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, n long, " + ", ".join(f"{c} binary" for c in columns))
-    return made.join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
-
-
-POINTS = {"point": lambda own: counts(own).astype(np.uint16 if len(own) < 65536 else np.int32), "parity": parities}
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["sig", *columns])
 
-
-def points_of(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """(sig, n, point, parity)."""
-    return made_again(docs, rows, sigs, k, POINTS)
+    made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, " + ", ".join(f"{c} binary" for c in columns))
+    return made.join(small(to), "sig")
 
 
 def in_bits(bits: dict[int, bytes], spot: int) -> bool:
@@ -289,11 +448,6 @@ def in_bits(bits: dict[int, bytes], spot: int) -> bool:
     return got is not None and bool(got[bit >> 3] >> (bit & 7) & 1)
 
 
-def unpacked(blobs: list[bytes]) -> np.ndarray:
-    """Points as rows of int32, whichever width they were stored in."""
-    return np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * DIMS else np.int32) for x in blobs], np.int32).reshape(-1, DIMS)
-
-
 def labels(edges: DataFrame) -> DataFrame:
     """(sig, label): the least signature of each node's component, by alternating large and small stars until nothing changes."""
     edges, before = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), None
@@ -303,104 +457,118 @@ def labels(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # in `large` every row points down, u > v: the small star links u and its lower neighbours to the least of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
-        edges = saved(small.distinct())
+        small_ = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
+        edges = saved(small_.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("sig"), F.col("v").alias("label"))
         before = now
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """members (centre, sig, n, ...) with block, i and j: every pair of a centre's members meets in one group (centre, i, j)."""
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int")
-    size = members.groupBy("centre").agg(blocks.alias("blocks"))
-    got = members.join(size, "centre").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    got = got.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return got.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")}).drop("__other", "blocks")
-
-
-def bounded_pairs(held: pa.Table, i: int, j: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a group whose sizes, count vectors and parities leave similarity t possible, each pair once."""
-    block, n = held.column("block").to_numpy(), held.column("n").to_numpy()
-    points = unpacked(held.column("point").to_pylist())
-    parity = np.frombuffer(b"".join(held.column("parity").to_pylist()), np.uint64).reshape(len(n), -1)
-    mine, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(mine) or not len(theirs):
-        return mine[:0], mine[:0]
-    a = RTree(points[mine], n[mine], mine)
-    b = a if i == j else RTree(points[theirs], n[theirs], theirs)
-    p, q = tree_join(a, b, t)
-    x, y = mine[p], theirs[q]
-    if i == j:
-        x, y = x[x < y], y[x < y]
-    good = [may_link(n[x[k : k + 65536]], n[y[k : k + 65536]], parity[x[k : k + 65536]], parity[y[k : k + 65536]], t) for k in range(0, len(x), 65536)]
-    good = np.concatenate(good) if good else np.zeros(0, bool)
-    return x[good], y[good]
+KEYS = ["centre", "part", "block"]
 
 
-def possible_members(members: DataFrame, t: float) -> DataFrame:
-    """(centre, sig) of the members (centre, sig, n, point, parity) that have a possible partner with the same centre."""
+def parts_of(count: F.Column, n: F.Column, most: int) -> F.Column:
+    """Parts into which rows are dealt: at most so many rows, and PART_BYTES of sets, on average."""
+    return F.greatest(F.ceil(count / most), F.ceil(n * 8 / PART_BYTES), F.lit(1)).cast("int")
 
-    def join(key, held):
-        x, y = bounded_pairs(held, key[1].as_py(), key[2].as_py(), t)
-        alive = np.unique(np.concatenate([x, y]))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(alive), pa.int64()), held.column("sig").take(pa.array(alive)).combine_chunks()], ["centre", "sig"])
 
-    keyed = dealt(members).select("centre", "i", "j", "block", "sig", "n", "point", "parity")
-    return saved(keyed.groupBy("centre", "i", "j").applyInArrow(join, "centre long, sig long").distinct())
+def dealt(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups (centre, sig, n) dealt into parts that each hold the centre too, and the groups of several parts."""
+    size = groups.groupBy("centre").agg(parts_of(F.count("*"), F.sum("n"), BLOCK).alias("parts"))
+    large = saved(size.where("parts > 1"))
+    got = groups.join(small(large), "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    part = F.explode(F.when(F.col("sig") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+    return got.select("centre", part.alias("part"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("label"), F.lit(True).alias("rest")), groups.join(small(large.select("centre")), "centre")
 
 
-def verified_links(members: DataFrame, t: float, percent: int, spanning: bool) -> DataFrame:
-    """Links (a, b), a < b, between members (centre, sig, n, point, parity, own): 100 * intersection >= percent * union.
+def crossed(groups: DataFrame) -> DataFrame:
+    """groups (centre, sig, n, label, rest) dealt so that all marked as rest meet all of their group: parts of the group by blocks of the rest."""
+    size = groups.groupBy("centre").agg(parts_of(F.count("*"), F.sum("n"), REST).alias("parts"), parts_of(F.count_if("rest"), F.sum(F.when(F.col("rest"), F.col("n"))), REST).alias("blocks"), F.max("rest").alias("any"))
+    got = groups.join(size.where("any").drop("any"), "centre")
+    spot = F.xxhash64("sig")
+    one, each = (lambda c: F.array(F.pmod(spot, F.col(c)).cast("int"))), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
+    met = got.withColumn("rest", F.lit(False)).withColumn("part", F.explode(one("parts"))).withColumn("block", F.explode(each("blocks")))
+    rest = got.where("rest").withColumn("part", F.explode(each("parts"))).withColumn("block", F.explode(one("blocks")))
+    return met.unionByName(rest).groupBy(*KEYS, "sig").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("rest").alias("rest"))
 
-    spanning: only as many as connect what is linked in the group, else all.
-    """
 
-    def join(key, held):
-        x, y = bounded_pairs(held, key[1].as_py(), key[2].as_py(), t)
-        sig, own = held.column("sig").to_numpy(), [np.frombuffer(b, np.uint64) for b in held.column("own").to_pylist()]
-        root = list(range(len(sig)))
+def edges_in(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, t: float, percent: int | None, every: bool = False) -> DataFrame:
+    """(a, b) from groups (centre, part, block, sig, n, label, rest): edges that connect what is linked, or every link.
 
-        def find(k):
-            while root[k] != k:
-                root[k] = k = root[root[k]]
-            return k
+    percent None: pairs that the bounds leave possible count as linked; else sets are verified. Pairs of one label are known to
+    be connected, and of each pair one must be marked as rest.
+    """
 
-        found = []
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = find(p), find(q)
-            if spanning and a == b:
+    def join(batches):
+        for group in runs(batches, KEYS):
+            sig = group.column("sig").to_numpy()
+            if len(sig) < 2:
                 continue
-            both = len(np.intersect1d(own[p], own[q], assume_unique=True))
-            if 100 * both >= percent * (len(own[p]) + len(own[q]) - both):
-                root[max(a, b)] = min(a, b)
-                found.append((min(sig[p], sig[q]), max(sig[p], sig[q])))
-        found = np.array(found, np.int64).reshape(-1, 2)
-        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    keyed = dealt(members).select("centre", "i", "j", "block", "sig", "n", "point", "parity", "own")
-    return saved(keyed.groupBy("centre", "i", "j").applyInArrow(join, "a long, b long").distinct())
-
-
-def found_links(docs: DataFrame, rows: DataFrame, k: int, percent: int, spanning: bool) -> DataFrame:
-    t = percent / 100
-    held = pages(docs, rows, k, t)
-    members = possible_members(held.join(points_of(docs, rows, held.select("sig").distinct(), k), "sig"), t)
-    sets = made_again(docs, rows, members.select("sig").distinct(), k, {**POINTS, "own": lambda own: own})
-    return verified_links(members.join(sets, "sig"), t, percent, spanning)
+            centre = group.column("centre")[0].as_py()
+            first = np.unique(sig, return_index=True)[1]  # a set may have been made from two documents
+            first = np.concatenate([first[sig[first] == centre], first[sig[first] != centre]])
+            sig, name, rest = sig[first], group.column("label").to_numpy()[first], group.column("rest").to_numpy(zero_copy_only=False)[first]
+            blobs = lambda c: [x for x in group.column(c).take(pa.array(first)).to_pylist()]  # noqa: B023, E731
+            x, y = Members(group.column("n").to_numpy()[first], blobs("point"), blobs("parity")).possible(t)
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            one = np.unique(name, return_index=True, return_inverse=True)
+            start = one[1][one[2]]
+            open_ = (rest[x] | rest[y]) & (start[x] != start[y])
+            x, y = x[open_], y[open_]
+            own = [np.frombuffer(b, np.uint64) for b in blobs("own")] if percent else []
+            if every:
+                good = verified(x, y, own, percent)
+                a, b = sig[x[good]], sig[y[good]]
+            else:
+                label = spanned(x, y, start.copy(), own, percent) if percent else joined(start.copy(), x, y)
+                moved = np.flatnonzero((start == np.arange(len(start))) & (label != start))
+                a, b = sig[label[moved]], sig[moved]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    made = made_again(docs, rows, to, k, SETS if percent else POINTS)
+    return saved(made.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(join, "a long, b long").distinct())
+
+
+def connected(docs: DataFrame, rows: DataFrame, groups: DataFrame, k: int, t: float, percent: int | None) -> DataFrame:
+    """(sig, label) of what is linked inside groups (centre, sig), directly or through others; a set that is alone has no row."""
+    groups = saved(groups.join(rows.groupBy("sig").agg(F.first("n").alias("n")), "sig"))
+    to, large = dealt(groups)
+    edges = edges_in(docs, rows, saved(to), k, t, percent)
+    found = labels(edges)
+    if not large.isEmpty():
+        label = F.coalesce("label", "sig")
+        large = large.join(found, "sig", "left").withColumn("label", label)
+        first = found.select(F.col("sig").alias("centre"), F.col("label").alias("__first"))
+        large = saved(large.join(first, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("__first", "centre")).drop("__first"))
+        if not large.where("rest").isEmpty():
+            more = edges_in(docs, rows, saved(crossed(large)), k, t, percent)
+            found = labels(found.select(F.col("label").alias("a"), F.col("sig").alias("b")).unionByName(more))
+    return found
+
+
+def candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): groups (centre, sig) of at least two sets, which hold every link inside one group each."""
+    rows, pages = indexed(docs, k, percent / 100)
+    found = connected(docs, rows, pages, k, percent / 100, None)
+    return rows, found.select(F.col("label").alias("centre"), "sig").unionByName(found.select(F.col("label").alias("centre"), F.col("label").alias("sig")).distinct())
 
 
 def links(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(all links between different sets as pairs of signatures, membership (doc_id, h, n, sig)): the full join, for uses that need every pair."""
-    rows = narrow(docs, k)
-    return found_links(docs, rows, k, percent, spanning=False), rows
+    rows, groups = candidates(docs, k, percent)
+    groups = groups.join(rows.groupBy("sig").agg(F.first("n").alias("n")), "sig").withColumn("label", F.col("sig")).withColumn("rest", F.lit(True))
+    return edges_in(docs, rows, saved(crossed(saved(groups))), k, percent / 100, percent, every=True), rows
 
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, h, n, sig, component, component_id) for every row: component names it by a signature (null for an empty set)."""
-    rows = narrow(docs, k)
-    found = labels(found_links(docs, rows, k, percent, spanning=True))
+    rows, groups = candidates(docs, k, percent)
+    found = connected(docs, rows, groups, k, percent / 100, percent)
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(found, "sig", "left").withColumn("component", F.coalesce("label", "sig"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = saved(classes.select("sig", "component").join(least, "component"))
