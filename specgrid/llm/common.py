@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specgrid.sources.scratch import saved, scratch
+
+__all__ = ["ALNUM_AZ", "LOWER_AZ", "PART_ROWS", "SMALL_ROWS", "SPACE", "SPACED_WORD", "crc_mod", "parts", "saved", "scratch", "small", "table", "utf8"]
+
 #: Bytes that separate words on white space: space and \t \n \v \f \r.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -21,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Where none is set, as in tests on one machine, a temporary folder is set for the session.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written as a table in the scratch folder and read back: its lineage ends here and a lost executor costs no work."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8(text: str | Column = "text") -> Column:
     """The text's UTF-8 bytes, which Arrow hands to Python without decoding."""
     return (F.col(text) if isinstance(text, str) else text).cast("binary")
@@ -50,10 +35,21 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % n
 
 
+#: Rows that a task turns into Python objects at once.
+PART_ROWS = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of PART_ROWS rows: what a task holds as Python objects stays small, whatever the length of texts."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 #: Rows of a few numbers that are broadcast at most.
 SMALL_ROWS = 1_000_000
 
 
-def small(rows: DataFrame) -> DataFrame:
+def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """A written table of narrow rows, to be broadcast if it is counted to be small enough; beyond that Spark shuffles both sides."""
-    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+    return F.broadcast(rows) if rows.count() <= most else rows

@@ -7,8 +7,9 @@ largest cosine, which is also the score; a text farther from it than nearly all
 marked as rejected.
 
 Cases: a text that is null or has no letter is `und` with score 0; rows without a language teach nothing; a null id is
-never held out; ties go to the language first by code point; without any training row every text is `und`; repeated rows
-count as often as they occur; other columns are ignored.
+never held out; ties go to the language first by code point; without any training row every text is `und`; in document
+frequencies repeated rows count as often as they occur, in the sample once; invalid UTF-8 is read with replacement characters;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import crc_mod, table
+from specgrid.llm.common import crc_mod, parts, table, utf8
 
 DIMS = 4096
 CENTROIDS = 4
@@ -29,21 +30,23 @@ SAMPLE = 400
 SAMPLE_ALL = 8000
 #: Share of a centroid's training texts that its radius leaves out.
 OUTSIDE = 0.01
+#: Word characters that may be letters (numerals such as ² or Ⅷ are among them).
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII but lower-case letters to a space.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def term_counts(text: str | None) -> np.ndarray | None:
+def term_counts(raw: bytes | None) -> np.ndarray | None:
     """Counts of the text's hashed byte trigrams; None for a text without letters."""
-    if not text or not LETTER.search(text):
+    text = raw.decode("utf-8", "replace") if raw else ""
+    if not any(m[0].isalpha() for m in LETTER.finditer(text)):
         return None
     b = np.frombuffer(b" " + b" ".join(text.lower().encode().translate(LETTERS).split()) + b" ", np.uint8).astype(np.int64)
     h = (b[:-2] * 7919 + b[1:-1] * 104729 + b[2:] * 1299709) * 2654435761 >> 16
     return np.bincount(h & (DIMS - 1), minlength=DIMS)
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vectors(texts: list[bytes | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which texts have letters, their unit vectors)."""
     found = [(i, x) for i, x in enumerate(map(term_counts, texts)) if x is not None]
     if not found:
@@ -57,14 +60,14 @@ def inverse_frequencies(train: DataFrame) -> np.ndarray:
 
     def count(batches):
         n, df = 0, np.zeros(DIMS, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for x in map(term_counts, batch.column(0).to_pylist()):
                 if x is not None:
                     n, df = n + 1, df + (x > 0)
         has = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(df[has], n))], ["dim", "df"])
 
-    got = train.select("text").mapInArrow(count, "dim long, df long").groupBy("dim").agg(F.sum("df")).collect()
+    got = train.select(utf8().alias("text")).mapInArrow(count, "dim long, df long").groupBy("dim").agg(F.sum("df")).collect()
     df = np.zeros(DIMS)
     n = 0
     for dim, k in got:
@@ -101,16 +104,17 @@ def fit(train: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray
     each = max(1, min(SAMPLE, SAMPLE_ALL // len(sizes)))
     spot = F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    sample = train.where(spot < share[F.col("lang")] * (1 << 30))
+    # about `each` different texts for each language
+    sample = train.where(spot < share[F.col("lang")] * (1 << 30)).select("lang", utf8().alias("text")).distinct()
 
     def cluster(key, held):
-        _, x = vectors(held.column("text").to_pylist()[: 4 * each], idf)
+        _, x = vectors(held.column("text").to_pylist(), idf)
         if not len(x):
             return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.float64())], ["lang", "centre", "radius"])
         c, radius = spherical_kmeans(x, CENTROIDS)
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(c), pa.string()), pa.array([y.tobytes() for y in c], pa.binary()), pa.array(radius)], ["lang", "centre", "radius"])
 
-    rows = sorted((r[0], bytes(r[1]), r[2]) for r in sample.select("lang", "text").groupBy("lang").applyInArrow(cluster, "lang string, centre binary, radius double").collect())
+    rows = sorted((r[0], bytes(r[1]), r[2]) for r in sample.groupBy("lang").applyInArrow(cluster, "lang string, centre binary, radius double").collect())
     return [r[0] for r in rows], np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(-1, DIMS), np.array([r[2] for r in rows]), idf
 
 
@@ -121,21 +125,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.
 
     def judge(batches):
         langs, centres, radius, idf = held.value
-        for batch in batches:
+        for batch in parts(batches):
             n, texts = batch.num_rows, batch.column(1).to_pylist()
             lang, score, rejected = ["und"] * n, np.zeros(n), np.ones(n, bool)
-            for at in range(0, n if langs else 0, 1000):
-                which, x = vectors(texts[at : at + 1000], idf)
-                if len(which):
-                    near = x @ centres.T
-                    best = np.argmax(near, axis=1)
-                    value = near[np.arange(len(best)), best]
-                    score[at + which], rejected[at + which] = np.clip(value, 0, 1), value < radius[best]
-                    for i, b in zip(which, best, strict=True):
-                        lang[at + i] = langs[b]
+            which, x = vectors(texts if langs else [], idf)
+            if len(which):
+                near = x @ centres.T
+                best = np.argmax(near, axis=1)
+                value = near[np.arange(len(best)), best]
+                score[which], rejected[which] = np.clip(value, 0, 1), value < radius[best]
+                for i, b in zip(which, best, strict=True):
+                    lang[i] = langs[b]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", utf8().alias("text")).mapInArrow(judge, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
 
 
 def op4_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
