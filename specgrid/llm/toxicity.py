@@ -7,8 +7,9 @@ from labelled rows (lower confidence bounds of the log odds, so that only clear
 regression over the strongest words gives the probability of label 1.
 
 Cases: a null or empty text has no words and gets the base rate's score; rows with several labels are toxic if any is; rows
-without a label teach nothing but the language model; without training rows every score is 0; repeated rows score alike;
-other columns are ignored or, in `without_toxic`, kept.
+without a label teach nothing but the language model; of several texts of one labelled id the least one teaches; without
+training rows every score is 0; repeated rows score alike; invalid UTF-8 is read with replacement characters; other columns
+are ignored or, in `without_toxic`, kept.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import crc_mod, table
+from specgrid.llm.common import crc_mod, parts, saved, table, utf8
 
 #: What a sign may stand for.
 SIGNS = {
@@ -31,13 +32,12 @@ SIGNS = {
 }
 #: Costs (in nats) of reading a sign as a letter, of dropping a sign, of dropping a separator, and of dropping a letter of a run of two or of more.
 AS_LETTER, DROP_SIGN, DROP_SEPARATOR, DROP_DOUBLE, DROP_RUN = 0.5, 4.0, 0.5, 3.0, 0.5
-BEAM = 40
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_@$!|]|[ .\-_*]{1,2}[0-9@$!|]){3,}(?![^\W_])")
-DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_']+[^\W\d_]|^[0-9@$!|+(<€£¡][^\W\d_]|([^\W\d_])\1\1")
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_@$!|]|[ .\-_*]{1,2}[0-9@$!|]){2,}(?![^\W_])")
+DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_']+[^\W\d_]|^[0-9@$!|+(<€£¡][^\W\d_]|[^\W\d_][0-9$@]+$|([^\W\d_])\1\1")
 #: Cheap signs that a text holds any of these, and the tokens that are then looked at.
 MAY_BE_SPACED = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}\S[ .\-_*]{1,2}\S")
-SIGN_BEFORE_LETTER = re.compile(r"[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])")
-WITH_SIGN = re.compile(r"\S*[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])\S*")
+SIGN_BY_LETTER = re.compile(r"[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[^\W\d_][0-9$@]")
+WITH_SIGN = re.compile(r"\S*(?:[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[^\W\d_][0-9$@])\S*")
 DRAWN_OUT = re.compile(r"\S*([^\W\d_])\1\1\S*")
 TRIPLES = tuple(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
 EDGES = re.compile(r"^[^\w@$!|+(<€£¡]+|(?:[^\w]{2,}|[^\w@$!|+])$")
@@ -48,6 +48,8 @@ GRAMS = (4, 5, 6)
 FEATURES = 1 << 20
 #: Labelled rows of each class that are used to fit; two thirds give the word weights and the others the regression.
 SAMPLE = 6000
+#: Toxic rows that a piece of a word must occur in to have a weight.
+LEAST_ROWS = 4
 POOLED = 5
 LETTERS = 27  # a word's edge and a to z
 
@@ -73,15 +75,15 @@ def count_grams(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         words = Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
-                words.update((text or "").lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())
+                words.update((text or b"").decode("utf-8", "replace").lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())
             if len(words) > 300_000:
                 yield spelled(words)
                 words = Counter()
         yield spelled(words)
 
-    got = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
+    got = docs.select(utf8().alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
     grams = np.zeros(LETTERS**4)
     for gram, n in got:
         grams[gram] = n
@@ -98,24 +100,34 @@ def language_model(grams: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """The likeliest spelling of a disguised token: a beam of the best path for each three-letter context."""
+def arcs_of(chars: str, i: int) -> list[tuple[str, str, float]] | None:
+    """What character i may stand for: (letter for the language model, what is shown, cost); None for a letter of another script."""
+    ch = chars[i]
+    base = FOLD.get(ord(ch), ch)
+    if "a" <= base <= "z":
+        arcs = [(base, ch, 0.0)]
+        if i and chars[i - 1] == ch:
+            run = i > 1 and chars[i - 2] == ch or chars[i + 1 : i + 2] == ch
+            arcs.append(("", "", DROP_RUN if run else DROP_DOUBLE))
+        return arcs
+    if ch in SIGNS:
+        return [(x, x, AS_LETTER) for x in SIGNS[ch]] + [("", "", DROP_SIGN)]
+    return None if ch.isalpha() else [("", "", DROP_SEPARATOR)]
+
+
+def decode(token: str, lm: np.ndarray, spread: float | None = None) -> str:
+    """The likeliest spelling of a disguised token: the best path for each three-letter context.
+
+    From two contexts the same continuation differs by three letters' probabilities at most (`spread`, the largest such
+    difference), so a path that is farther behind the best than that can't win.
+    """
     chars = token.lower()
+    spread = 3 * float(lm.max() - lm.min()) if spread is None else spread
     paths = {(0, 0, 0): (0.0, "")}
-    for i, ch in enumerate(chars):
-        base = FOLD.get(ord(ch), ch)
-        arcs = []
-        if "a" <= base <= "z":
-            arcs.append((base, ch, 0.0))
-            if i and chars[i - 1] == ch:
-                run = i > 1 and chars[i - 2] == ch or chars[i + 1 : i + 2] == ch
-                arcs.append(("", "", DROP_RUN if run else DROP_DOUBLE))
-        elif ch in SIGNS:
-            arcs += [(x, x, AS_LETTER) for x in SIGNS[ch]] + [("", "", DROP_SIGN)]
-        elif ch.isalpha():
+    for i in range(len(chars)):
+        arcs = arcs_of(chars, i)
+        if arcs is None:
             return token
-        else:
-            arcs.append(("", "", DROP_SEPARATOR))
         step = {}
         for (a, b, c), (score, text) in paths.items():
             for letter, shown, cost in arcs:
@@ -126,7 +138,8 @@ def decode(token: str, lm: np.ndarray) -> str:
                     to, got = (a, b, c), score - cost
                 if to not in step or got > step[to][0]:
                     step[to] = (got, text + shown)
-        paths = dict(sorted(step.items(), key=lambda x: (-x[1][0], x[1][1]))[:BEAM])
+        least = max(x[0] for x in step.values()) - spread
+        paths = {k: x for k, x in step.items() if x[0] >= least} if len(step) > 8 else step
     return max(((s + float(lm[a, b, c, 0]), t) for (a, b, c), (s, t) in paths.items()), default=(0, token))[1]
 
 
@@ -134,7 +147,7 @@ class Restorer:
     """Restores texts; keeps what it has decoded for the task's other texts."""
 
     def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+        self.lm, self.known, self.spread = lm, {}, 3 * float(lm.max() - lm.min())
 
     def token(self, token: str) -> str:
         got = self.known.get(token)
@@ -143,7 +156,7 @@ class Restorer:
             while core != last:
                 last, core = core, EDGES.sub("", core)
             letters = sum(map(str.isalpha, core))
-            got = decode(core, self.lm) if core and 3 * letters >= len(core) and DISGUISED.search(core) else token
+            got = decode(core, self.lm, self.spread) if core and 3 * letters >= len(core) and DISGUISED.search(core) else token
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[token] = got
@@ -151,8 +164,8 @@ class Restorer:
 
     def text(self, text: str) -> str:
         if MAY_BE_SPACED.search(f" {text}"):
-            text = SPACED.sub(lambda m: decode(re.sub(r"[ .\-_*]", "", m[0]), self.lm), text)
-        if SIGN_BEFORE_LETTER.search(text):
+            text = SPACED.sub(lambda m: decode(re.sub(r"[ .\-_*]", "", m[0]), self.lm, self.spread), text)
+        if SIGN_BY_LETTER.search(text):
             text = WITH_SIGN.sub(lambda m: self.token(m[0]), text)
         low = text.lower()
         if any(x in low for x in TRIPLES):
@@ -160,9 +173,9 @@ class Restorer:
         return text
 
 
-def restored_words(text: str | None, restorer: Restorer) -> list[bytes]:
+def restored_words(raw: bytes | None, restorer: Restorer) -> list[bytes]:
     """The distinct words of the restored text."""
-    return sorted(set(restorer.text(text).lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())) if text else []
+    return sorted(set(restorer.text(raw.decode("utf-8", "replace")).lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())) if raw else []
 
 
 def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +201,7 @@ class Scorer:
     def __init__(self, lm: np.ndarray, weights: np.ndarray):
         self.restorer, self.weights = Restorer(lm), weights
 
-    def pooled(self, text: str | None) -> list[float]:
+    def pooled(self, text: bytes | None) -> list[float]:
         words = restored_words(text, self.restorer)
         h, owner = pieces(words)
         value = self.weights[h]
@@ -208,7 +221,7 @@ def word_weights(sample: DataFrame, lm: np.ndarray) -> np.ndarray:
         restorer = Restorer(held.value)
         n = np.zeros((2, FEATURES), np.int32)
         rows = [0, 0]
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n[toxic, np.unique(pieces(restored_words(text, restorer))[0])] += 1
                 rows[toxic] += 1
@@ -216,7 +229,7 @@ def word_weights(sample: DataFrame, lm: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(n[1, has], rows[1]).astype(np.int64)), pa.array(np.append(n[0, has], rows[0]).astype(np.int64))], ["f", "a", "b"])
 
     got = sample.select("text", "toxic").mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = got.where("f < 0 or a >= 4").collect()
+    rows = got.where((F.col("f") < 0) | (F.col("a") >= LEAST_ROWS)).collect()
     total = next(((r["a"], r["b"]) for r in rows if r["f"] < 0), (0, 0))
     out = np.zeros(FEATURES, np.float32)
     for f, a, b in rows:
@@ -252,14 +265,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
         return None
     spot = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30))
     chosen = known.where(spot < F.when(F.col("toxic") == 1, min(1.0, SAMPLE / sizes[1])).otherwise(min(1.0, SAMPLE / sizes[0])) * (1 << 30))
-    # about SAMPLE rows of each class: a bound on what is broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("third", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(3)))
+    # about SAMPLE ids of each class, with one text each: a bound on what is broadcast and on what is learned from
+    sample = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = saved(sample).withColumn("third", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(3)))
     weights = word_weights(sample.where("third < 2"), lm)
     held = docs.sparkSession.sparkContext.broadcast((lm, weights))
 
     def pool(batches):
         scorer = Scorer(*held.value)
-        for batch in batches:
+        for batch in parts(batches):
             x = np.array([scorer.pooled(t) for t in batch.column(0).to_pylist()]).reshape(-1, POOLED)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["toxic", *(f"x{i}" for i in range(POOLED))])
 
@@ -280,14 +294,14 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | N
     def judge(batches):
         model = held.value
         scorer = Scorer(*model[:2]) if model else None
-        for batch in batches:
+        for batch in parts(batches):
             got = np.zeros(batch.num_rows)
             if scorer:
                 x = np.array([scorer.pooled(t) for t in batch.column("__text").to_pylist()]).reshape(-1, POOLED)
                 got = 1 / (1 + np.exp(-np.clip(x @ model[2][:-1] + model[2][-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(got)], [*columns, "__score"])
 
-    got = docs.select(*columns, F.col("text").alias("__text")).mapInArrow(judge, f"{schema}, __score double")
+    got = docs.select(*columns, utf8().alias("__text")).mapInArrow(judge, f"{schema}, __score double")
     return got
 
 
