@@ -9,10 +9,14 @@ Three passes over the documents, none of which gathers a document set anywhere:
    alignments (document, item, start); those are compared word by word with the document (exact phrases), while word pairs
    that meet within a few words of each other without being aligned are proximity matches.
 
+A document is known by the hash of its text, so rows that repeat an id, or have none, never meet each other's lists, and equal
+texts are compared once. Only texts with an alignment are sent to be compared.
+
 Cases: a null text has no words; an item without words matches nothing; an item of fewer words than a window is one window;
-repeated items count by item id, repeated rows each by their own text; documents whose ids repeat or are null share
-alignments, which only costs comparisons, as each row is judged by its own text; an empty table of documents gives an
-empty result and an empty benchmark hits nothing. Benchmark words are broadcast only in blocks of at most BLOCK_WORDS.
+repeated items count by item id; an item without an id hits words but is not listed or counted among the items; an empty
+table of documents gives an empty result and an empty benchmark hits nothing; `clean` keeps columns of any name,
+`decontaminate` replaces those named like its own. The benchmark is worked through in blocks of about BLOCK_BYTES of text:
+a block's words are what the driver and each task hold.
 """
 
 from __future__ import annotations
@@ -24,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import ALNUM_AZ, saved, table, utf8
+from specgrid.llm.common import ALNUM_AZ, parts, saved, small, table, utf8
 
 WINDOW = 13
-#: A benchmark is worked through in blocks of so many words; each block's words are what is broadcast.
-BLOCK_WORDS = 2_000_000
+#: A word, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A benchmark is worked through in blocks of so much text, on average; each block's words are what is broadcast.
+BLOCK_BYTES = 12_000_000
+#: Words by which a pair of rare words may be off its distance in the item to be near.
+SLOP = 5
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -48,7 +56,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes,
 
     def count(batches):
         own, n = held.value, Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 n.update(own.intersection(words(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["term", "df"])
@@ -73,14 +81,17 @@ def anchors(items: dict[int, list[bytes]], df: dict[bytes, int], window: int = W
     return rows
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text").alias("doc")
+
+
 def build_index(docs: DataFrame, terms: set[bytes]) -> DataFrame:
-    """(term, doc_id, positions): the stored posting lists of the given words in all documents, one row for each document and word."""
+    """(term, doc, positions): the stored posting lists of the given words in all documents, one row for each row and word; doc is the text's hash."""
     held = docs.sparkSession.sparkContext.broadcast(terms)
-    id_type = docs.schema["doc_id"].dataType
 
     def postings(batches):
         own = held.value
-        for batch in batches:
+        for batch in parts(batches):
             term, at, places = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ws = words(text)
@@ -94,113 +105,127 @@ def build_index(docs: DataFrame, terms: set[bytes]) -> DataFrame:
                     places += lists.values()
                     at += [i] * len(lists)
             ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.binary()), ids, pa.array(places, pa.list_(pa.int32()))], ["term", "doc_id", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.binary()), ids, pa.array(places, pa.list_(pa.int32()))], ["term", "doc", "positions"])
 
-    return saved(docs.select("doc_id", utf8().alias("text")).mapInArrow(postings, f"term binary, doc_id {id_type.simpleString()}, positions array<int>"))
+    return saved(docs.select(text_hash(), utf8().alias("text")).mapInArrow(postings, "term binary, doc long, positions array<int>"))
 
 
 def alignments(index: DataFrame, anchor_rows: list[tuple[bytes, int, int, int, int]]) -> DataFrame:
-    """(doc_id, item, start): where the shifted lists of both anchors of some window meet. start may be negative if the item begins before the document."""
-    lists = index.sparkSession.createDataFrame([(bytearray(t), *rest) for t, *rest in anchor_rows], "term binary, item int, offset int, pair int, place int")
+    """(doc, item, start): where the shifted lists of both anchors of some window meet. start may be negative if the item begins before the document."""
+    lists = index.sparkSession.createDataFrame([(bytearray(t), *rest) for t, *rest in anchor_rows], "term binary, item long, offset int, pair int, place int")
     need = lists.groupBy("item", "pair").agg(F.count("*").alias("need"))
     shifted = (
         index.join(lists.join(need, ["item", "pair"]), "term")
-        .select("doc_id", "item", "pair", "place", "need", F.explode("positions").alias("at"), "offset")
-        .select("doc_id", "item", "pair", "need", (F.col("at") - F.col("offset")).alias("start"), "place")
+        .select("doc", "item", "pair", "place", "need", F.explode("positions").alias("at"), "offset")
+        .select("doc", "item", "pair", "need", (F.col("at") - F.col("offset")).alias("start"), "place")
     )
-    # places are 0 and 1 (0 alone for a window of one word), whatever the number of rows that share an id
-    met = shifted.groupBy("doc_id", "item", "pair", "start").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("need").alias("need"))
-    return met.where((F.col("low") == 0) & (F.col("high") == F.col("need") - 1)).select("doc_id", "item", "start").distinct()
+    # places are 0 and 1 (0 alone for a window of one word), whatever the number of rows that share a text
+    met = shifted.groupBy("doc", "item", "pair", "start").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("need").alias("need"))
+    return met.where((F.col("low") == 0) & (F.col("high") == F.col("need") - 1)).select("doc", "item", "start").distinct()
 
 
-def proximity_matches(index: DataFrame, anchor_rows: list[tuple[bytes, int, int, int, int]], slop: int = 5) -> DataFrame:
-    """(doc_id, item, at, other, drift): both anchors of a window, in the item's order, at most slop words off their distance in the item.
+def proximity_matches(index: DataFrame, anchor_rows: list[tuple[bytes, int, int, int, int]], slop: int = SLOP) -> DataFrame:
+    """(doc, item, at, other, drift): both anchors of a window, in the item's order, at most slop words off their distance in the item.
 
     drift 0 is an exact alignment. Positions are compared inside cells of slop + the anchors' distance, so no list meets another whole.
     """
-    lists = index.sparkSession.createDataFrame([(bytearray(t), *rest) for t, *rest in anchor_rows], "term binary, item int, offset int, pair int, place int")
-    first = index.join(lists.where("place = 0"), "term").select("doc_id", "item", "pair", F.col("offset").alias("o1"), F.explode("positions").alias("at"))
-    second = index.join(lists.where("place = 1"), "term").select("doc_id", "item", "pair", F.col("offset").alias("o2"), F.explode("positions").alias("other"))
+    lists = index.sparkSession.createDataFrame([(bytearray(t), *rest) for t, *rest in anchor_rows], "term binary, item long, offset int, pair int, place int")
+    first = index.join(lists.where("place = 0"), "term").select("doc", "item", "pair", F.col("offset").alias("o1"), F.explode("positions").alias("at"))
+    second = index.join(lists.where("place = 1"), "term").select("doc", "item", "pair", F.col("offset").alias("o2"), F.explode("positions").alias("other"))
     cell = WINDOW + slop
     first = first.withColumn("cell", F.explode(F.array(F.floor(F.col("at") / cell), F.floor(F.col("at") / cell) + 1)))
     second = second.withColumn("cell", F.floor(F.col("other") / cell))
     drift = (F.col("other") - F.col("at")) - (F.col("o2") - F.col("o1"))
-    got = first.join(second, ["doc_id", "item", "pair", "cell"]).withColumn("drift", drift)
-    return got.where((F.col("other") > F.col("at")) & (F.abs("drift") <= slop)).select("doc_id", "item", "at", "other", "drift").distinct()
+    got = first.join(second, ["doc", "item", "pair", "cell"]).withColumn("drift", drift)
+    return got.where((F.col("other") > F.col("at")) & (F.abs("drift") <= slop)).select("doc", "item", "at", "other", "drift").distinct()
 
 
-def hits(ws: list[bytes], starts: list[tuple[int, int]], items: dict[int, list[bytes]], window: int = WINDOW) -> tuple[list[tuple[int, int]], set[int]]:
-    """The document's spans that windows of the aligned items cover, and those items."""
-    spans, found = [], set()
-    for item, start in starts:
-        own = items[item]
-        size, run = min(len(own), window), 0
+def matched(ws: list[bytes], own: list[bytes], starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """The document's spans that windows of an item cover, which may begin at the given words."""
+    spans, size = [], min(len(own), window)
+    for start in starts:
+        run = 0
         for j in range(max(0, -start), min(len(own), len(ws) - start)):
             run = run + 1 if ws[start + j] == own[j] else 0
             if run >= size:
                 spans.append((start + j - size + 1, start + j + 1))
-                found.add(item)
-    return spans, found
+    return spans
+
 
+def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1]["end"]:
+            out[-1]["end"] = max(b, out[-1]["end"])
+        else:
+            out.append({"first": a, "end": b})
+    return out
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, columns: list[str] | None = None) -> DataFrame:
-    """docs (or the named columns of it) with n_words, hit_spans (array of [first, end) word positions, merged), item_ids.
 
-    The benchmark's own columns are item_id and text.
+HITS = "doc long, n_words long, hit_spans array<struct<first: int, end: int>>, item_ids array<string>"
+
+
+def found_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(hits, near) by text hash: hits (doc, n_words, hit_spans, item_ids) of texts with an alignment; near (doc, n_near), how many pairs of rare words meet without being aligned.
+
+    hit_spans are merged [first, end) word positions. The benchmark's own columns are item_id and text.
     """
-    spark, columns = docs.sparkSession, columns or [c for c in docs.columns if not c.startswith("__")]
-    items: dict[int, list[bytes]] = {}
-    names: list[str | None] = []
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), utf8()).toLocalIterator():
-        if ws := words(text and bytes(text)):
-            items[len(names)] = ws
-            names.append(item_id)
-    blocks, size = [{}], 0
-    for k, ws in items.items():
-        if blocks[-1] and size + len(ws) > BLOCK_WORDS:
-            blocks.append({})
-            size = 0
-        blocks[-1][k] = ws
-        size += len(ws)
-    found = None
-    for block in blocks:
-        df = document_frequencies(docs, {w for ws in block.values() for w in ws})
-        rows = anchors(block, df, window)
-        got = alignments(build_index(docs, {r[0] for r in rows}), rows)
+    items = saved(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), utf8().alias("item_text")))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) // BLOCK_BYTES))
+    found, close = None, None
+    for block in range(blocks):
+        own = {r["item"]: words(r["item_text"] and bytes(r["item_text"])) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()}
+        df = document_frequencies(docs, {w for ws in own.values() for w in ws})
+        rows = anchors(own, df, window)
+        index = build_index(docs, {r[0] for r in rows})
+        got = alignments(index, rows)
         found = got if found is None else found.unionByName(got)
+        if near:
+            got = proximity_matches(index, rows).where("drift <> 0")
+            close = got if close is None else close.unionByName(got)
     found = saved(found)
-    by_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("item", "start")).alias("__starts"))
-    need = saved(by_doc)
-    aligned = {r[0] for r in found.select("item").distinct().collect()}
-    held = spark.sparkContext.broadcast(({k: items[k] for k in aligned}, {k: names[k] for k in aligned}))
-    added = "n_words long, hit_spans array<struct<first: int, end: int>>, item_ids array<string>"
+    starts = found.groupBy("doc", "item").agg(F.collect_list("start").alias("starts")).join(small(items, 20_000), "item")
+    starts = starts.groupBy("doc").agg(F.collect_list(F.struct("item_id", "item_text", "starts")).alias("items"))
+    texts = docs.select(text_hash(), utf8().alias("text")).join(small(saved(found.select("doc").distinct())), "doc", "left_semi").dropDuplicates(["doc"])
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
-    def judge(batches):
-        own, ids = held.value
-        for batch in batches:
+    def compare(batches):
+        for batch in parts(batches):
             n, spans, which = [], [], []
-            for text, starts in zip(batch.column("__utf8").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
-                ws = words(text)
+            for text, aligned in zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                ws, raw, of = words(text), [], set()
+                for x in aligned:
+                    if got := matched(ws, words(x["item_text"]), x["starts"], window):
+                        raw += got
+                        of.add(x["item_id"])
                 n.append(len(ws))
-                merged, of = [], set()
-                if starts:
-                    raw, of = hits(ws, [(x["item"], x["start"]) for x in starts], own, window)
-                    for a, b in sorted(raw):
-                        if merged and a <= merged[-1]["end"]:
-                            merged[-1]["end"] = max(b, merged[-1]["end"])
-                        else:
-                            merged.append({"first": a, "end": b})
-                spans.append(merged)
-                which.append(sorted({ids[k] for k in of if ids[k] is not None}))
-            keep = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(spans, span_type), pa.array(which, pa.list_(pa.string()))], [*columns, "n_words", "hit_spans", "item_ids"])
-
-    clash = [c for c in ("n_words", "hit_spans", "item_ids") if c in columns]
-    columns = [c for c in columns if c not in clash]
-    wide = docs.select(*columns, F.col("doc_id").alias("__doc"), utf8().alias("__utf8")).join(need, F.col("__doc").eqNullSafe(F.col("__id")), "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return wide.select(*columns, "__utf8", "__starts").mapInArrow(judge, f"{schema}, {added}")
+                spans.append(merged(raw))
+                which.append(sorted(of - {None}))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(spans, span_type), pa.array(which, pa.list_(pa.string()))], ["doc", "n_words", "hit_spans", "item_ids"])
+
+    hits = saved(texts.join(starts, "doc").select("doc", "text", "items").mapInArrow(compare, HITS))
+    return hits, None if close is None else saved(close.groupBy("doc").agg(F.count("*").alias("n_near")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, columns: list[str] | None = None, near: bool = False) -> DataFrame:
+    """docs (or the named columns of it) with n_words, hit_spans (array of [first, end) word positions, merged), item_ids and, if near, n_near.
+
+    Columns of the input that are named like an added one are replaced.
+    """
+    hits, close = found_hits(docs, benchmark, window, near)
+    own, added = columns or docs.columns, ["n_words", "hit_spans", "item_ids"] + ["n_near"] * near
+    here = docs.select(*(c for c in own if c not in added), word_count().alias("__decon_words"), text_hash().alias("__decon_doc"))
+    got = here.join(small(hits.withColumnRenamed("doc", "__decon_hit"), 100_000), F.col("__decon_doc") == F.col("__decon_hit"), "left")
+    spans, ids = (F.from_json(F.lit("[]"), hits.schema[c].dataType) for c in ("hit_spans", "item_ids"))
+    got = got.withColumns({"n_words": F.coalesce("n_words", "__decon_words"), "hit_spans": F.coalesce("hit_spans", spans), "item_ids": F.coalesce("item_ids", ids)})
+    if near:
+        got = got.join(small(close.withColumnRenamed("doc", "__decon_near")), F.col("__decon_doc") == F.col("__decon_near"), "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return got.select(*(c for c in own if c not in added), *added)
+
+
+def word_count() -> Column:
+    """The number of words, as `words` finds them."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def n_hit() -> Column:
@@ -214,14 +239,15 @@ def contaminated() -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with docs's columns."""
-    return decontaminate(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    hits, _ = found_hits(docs, benchmark)
+    gone = small(saved(hits.where(contaminated()).select(F.col("doc").alias("__decon_gone"))))
+    return docs.join(gone, F.xxhash64("text") == F.col("__decon_gone"), "left_anti")
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's words, hit words and matching benchmark items."""
-    got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    """Each document's words, hit words and matching benchmark items, and its proximity matches."""
+    got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"], near=True)
     return got.select(
         "doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), contaminated().alias("contaminated"), "n_near",
     )
-
