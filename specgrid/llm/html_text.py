@@ -1,23 +1,25 @@
 """Main text of web pages: site templates are found as element subtrees that recur on a host, and removed.
 
 Each page becomes a small tree of elements. The hashes of its block subtrees are counted per host in Spark, once for each
-different text of a page; those that recur on many different pages of their host are template and are deleted. Subtrees that their tag, role, class or id
-marks as menu, header, footer, sidebar, notice, advert, form or comments are deleted wherever they stand. What is left of
-the article (else of the main element, else of the body) is the text, block by block.
+different text of a page; those that recur on many different pages of their host are template and are deleted: menus, notices,
+adverts, footers and whatever else a site puts around what it publishes, with or without telling tags and classes. A second,
+smaller step deletes subtrees that their tag, role, class or id marks as such, since a site may be known by few pages or fill
+them in differently each time. What is left of the article (else of the main element, else of the body) is the text, block by
+block.
 
 Inside an article or main element only containers are taken for template, not paragraphs, headings or list items: sites
 repeat sentences in what they publish, and those belong to the text.
 
 Cases: a null or empty page and one without text give the empty string; a page whose url has no host counts with the other
-pages of no host; repeated pages keep rows of their own but count once, so copies don't turn their text into template; unclosed, misnested and cut-off markup is read as far as it goes;
-other columns are ignored.
+pages of no host; repeated pages keep rows of their own but count once, so copies don't turn their text into template; unclosed,
+misnested and cut-off markup is read as far as it goes, with the effort of one pass at any depth; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import saved, table
+from specgrid.llm.common import parts, saved, table
 
 #: A subtree is template if it is on so many different pages of its host, however many the host has.
 MIN_PAGES = 5
@@ -34,13 +36,15 @@ BROADCAST_KEYS = 1_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)",
     re.S | re.I,
 )
 #: A tag that the page's end cuts off; one with an unclosed quote ends by its first >.
 UNFINISHED = re.compile(r"<(?:/?[a-zA-Z]|[!?]|/$)[^>]*(?:>|$)")
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Attributes of a tag, and cheap signs that one of those that are looked at is there.
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+LOOKED_AT = re.compile(r"class|id\s*=|role|hidden|style", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold no text of the article.
@@ -55,20 +59,55 @@ LABELS = re.compile(
     r"|related|recommend(?:ed|ations?)?|widget|pagination|pager|skip|complementary|contentinfo|dialog)(?:$|[\s_-])",
     re.I,
 )
-TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Labels of an article's own head, whose title and first lines are text.
+OWN_HEAD = re.compile(r"(?:^|\s)(?:(?:post|entry|article|content|story|page|blog|news|text)[_-]+)(?:header|banner|masthead)(?=$|\s)", re.I)
+NOT_MAIN = re.compile(r"(?:^|[\s_-])(?:comment|reply|related|ad|ads|promo)s?(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "label", "hash", "size")
+    """An element. inside: an article or main element is above it; live: neither it nor anything above it is dropped."""
+
+    __slots__ = ("tag", "parent", "parts", "dropped", "label", "hash", "size", "inside", "live")
 
     def __init__(self, tag: str, parent: Node | None, label: str = "", dropped: bool = False):
         self.tag, self.parent, self.parts, self.label, self.dropped = tag, parent, [], label, dropped
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.live = not dropped and (parent is None or parent.live)
         self.hash, self.size = 0, 0
 
 
+def marks(attributes: str) -> tuple[str, bool]:
+    """(class, id and role, whether the element is hidden)."""
+    if not attributes or not LOOKED_AT.search(attributes):
+        return "", False
+    found = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), next(filter(None, values), ""))
+    hidden = "hidden" in found and found["hidden"].lower() != "false" or found.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(found.get("style", "")))
+    return " ".join(x for x in (found.get(k) for k in ("class", "id", "role")) if x), hidden
+
+
+def is_marked(tag: str, label: str, hidden: bool, inside: bool) -> bool:
+    """Whether tag, label or a hidden state tell that the element is no text of the article."""
+    if tag in DROPPED or (tag == "header" and not inside) or (hidden and tag != "body"):
+        return True
+    if not label or tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return bool(NOT_MAIN.search(label))
+    return bool(LABELS.search(OWN_HEAD.sub(" ", label)))
+
+
 def parse(page: str | None) -> Node:
     root = top = Node("html", None)
-    page, at = page or "", 0
+    page, at, opened = page or "", 0, Counter()  # opened: how many elements of each tag stand open
+
+    def leave(node):
+        nonlocal top
+        while top is not node:
+            opened[top.tag] -= 1
+            top = top.parent
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             top.parts.append(html.unescape(page[at : m.start()]))
@@ -76,52 +115,42 @@ def parse(page: str | None) -> Node:
         if not tag or tag == "html":
             continue
         if m[2]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if opened[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                leave(node.parent)
             elif tag == "p":
                 top.parts.append(Node("p", top))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             node = top
             while node is not root and (node.tag in INLINE or node.tag == "p"):
                 if node.tag == "p":
-                    top = node.parent
+                    leave(node.parent)
                     break
                 node = node.parent
         elif tag in SIBLINGS:
             ends, until = SIBLINGS[tag]
             node = top
-            while node is not root and node.tag not in until:
-                if node.tag in ends:
-                    top = node.parent
+            while any(opened[x] for x in ends) and node is not root and node.tag not in until:
+                node, own = node.parent, node
+                if own.tag in ends:
+                    leave(node)
                     if tag != "tr":
                         break
-                node = node.parent
-        label = " ".join(next(filter(None, x[1:]), "") for x in NAMED.findall(m[4])) if m[4] else ""
-        inside = tag == "header" and any_above(top, ("article", "main"))
-        dropped = tag in DROPPED or (tag == "header" and not inside) or bool(label and tag not in ("html", "body", "article", "main") and LABELS.search(label)) or bool(m[4] and tag != "body" and HIDDEN.search(m[4]))
-        if tag == "article" and label and re.search(r"(?:^|[\s_-])(?:comment|reply|related|ad|ads|promo)s?(?:$|[\s_-])", label, re.I):
-            dropped = True
-        node = Node(tag, top, label, dropped)
+        attributes = m[4] if m[4] is not None else m[5]
+        label, hidden = marks(attributes)
+        node = Node(tag, top, label, is_marked(tag, label, hidden, top.inside or top.tag in ("article", "main")))
         top.parts.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             top = node
+            opened[tag] += 1
     if at < len(page):
         top.parts.append(html.unescape(UNFINISHED.sub("", page[at:])))
     return root
 
 
-def any_above(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def below(root: Node) -> list[Node]:
     """All elements, parents first."""
     found, stack = [], [root]
@@ -151,48 +180,50 @@ def hash_subtrees(root: Node) -> list[Node]:
 
 def article_of(nodes: list[Node]) -> Node:
     """The longest article, else the longest main element, else the whole page."""
-
-    def live(node):
-        while node is not None:
-            if node.dropped:
-                return False
-            node = node.parent
-        return True
-
-    for pick in (lambda x: x.tag == "article", lambda x: x.tag == "main" or re.search(r"\bmain\b", x.label)):
-        if found := [x for x in nodes if pick(x) and x.size and live(x)]:
+    for pick in (lambda x: x.tag == "article", lambda x: x.tag == "main" or re.search(r"(?:^|\s)main(?:$|\s)", x.label)):
+        if found := [x for x in nodes if x.size and x.live and pick(x)]:
             return max(found, key=lambda x: x.size)
     return nodes[0]
 
 
-def may_be_template(node: Node, article: Node) -> bool:
-    """Whether the element can be deleted as template: a block with text, and inside an article no paragraph and nothing around one."""
-    if node.tag in INLINE or node.tag in ("html", "body", "head", "article", "main") or not node.size or node.dropped:
+def may_be_template(node: Node) -> bool:
+    """Whether the element can be deleted as template: a block with text, and inside an article no paragraph."""
+    if node.tag in INLINE or node.tag in ("html", "body", "head", "article", "main") or not node.size:
         return False
-    return not any_above(node, ("article", "main")) and article.tag not in ("article", "main") or (node.tag not in PARAGRAPHS and any_above(node, (article.tag,)))
+    return not node.inside or node.tag not in PARAGRAPHS
 
 
 def template_keys(page: str | None, host: bytes) -> tuple[set[int], int]:
     """The keys that may be template, and a key of the page: that of its whole text, equal for copies whose rest differs."""
     nodes = hash_subtrees(parse(page))
-    article = article_of(nodes)
-    keys = {key_of(host, x.hash) for x in nodes if may_be_template(x, article)}
-    return keys, xxhash.xxh3_64_intdigest(host + b"\n" + text_below(article, lambda x: False).encode()) - (1 << 63) if keys else 0
+    keys = {key_of(host, x.hash) for x in nodes if may_be_template(x)}
+    return keys, xxhash.xxh3_64_intdigest(host + b"\n" + text_below(article_of(nodes)).encode()) - (1 << 63) if keys else 0
 
 
 def key_of(host: bytes, subtree: int) -> int:
     return xxhash.xxh3_64_intdigest(host + subtree.to_bytes(8, "little")) - (1 << 63)
 
 
-def text_of(page: str | None, host: bytes, is_template) -> str:
-    """The page's main text; is_template tells of a key whether it recurs on its host."""
-    nodes = hash_subtrees(parse(page))
-    article = article_of(nodes)
-    return text_below(article, lambda x: may_be_template(x, article) and is_template(key_of(host, x.hash)))
+def text_of(page: str | None, host: bytes, is_template) -> tuple[str, int]:
+    """The page's main text and how many template subtrees it had; is_template tells of a key whether it recurs on its host."""
+    root = parse(page)
+    nodes, gone = hash_subtrees(root), []
+    stack = [root]
+    while stack:  # the outermost ones
+        node = stack.pop()
+        if may_be_template(node) and is_template(key_of(host, node.hash)):
+            gone.append(node)
+        else:
+            stack += [x for x in node.parts if isinstance(x, Node)]
+    for node in gone:
+        node.dropped = True
+        for x in below(node):
+            x.live = False
+    return text_below(article_of(nodes)), len(gone)
 
 
-def text_below(article: Node, left_out) -> str:
-    """The article's text, block by block, without marked elements and those that left_out tells of."""
+def text_below(article: Node) -> str:
+    """The article's text, block by block, without dropped elements."""
     blocks, now = [], []
 
     def end():
@@ -213,7 +244,7 @@ def text_below(article: Node, left_out) -> str:
             now.append(x)
         elif x.tag == "br":
             now.append(" ")
-        elif x.dropped or (x is not article and left_out(x)):
+        elif x.dropped:
             if x.tag not in INLINE:
                 end()
         else:
@@ -238,7 +269,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     def count(batches):
         # min_pages different pages of a key tell enough, so no task sends more at once; the sets are emptied before they grow large
         seen = defaultdict(set)
-        for batch in batches:
+        for batch in parts(batches):
             hosts = batch.column(0).to_pylist()
             for host, page in zip(hosts, batch.column(1).to_pylist(), strict=True):
                 keys, own = template_keys(page, host.encode())
@@ -262,7 +293,7 @@ def own_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """(host, page, keys): the template subtrees of each different html of a host, named by its md5."""
 
     def each(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = [(host, page, key) for host, html_of, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for key in template_keys(html_of, host.encode())[0]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "page", "key"])
 
@@ -271,12 +302,13 @@ def own_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages."""
+    """(page_id, url, text, n_chars, n_template) for every row of pages; n_template: the template subtrees that were deleted."""
     templates = site_templates(pages, min_pages)
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_template int"
 
-    def rows(batch, texts):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def rows(batch, found):
+        texts = [x for x, _ in found]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array([n for _, n in found], pa.int32())], ["page_id", "url", "text", "n_chars", "n_template"])
 
     named = pages.select("page_id", "url", host_of().alias("host"), "html")
     if templates.count() <= broadcast_keys:
@@ -290,13 +322,13 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
                 i = np.searchsorted(keys, key)
                 return i < len(keys) and keys[i] == key
 
-            for batch in batches:
+            for batch in parts(batches):
                 yield rows(batch, [text_of(page, host.encode(), known) for host, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
 
         return named.mapInArrow(with_all, schema)
 
     def with_own(batches):
-        for batch in batches:
+        for batch in parts(batches):
             own = (batch.column(i).to_pylist() for i in (2, 3, 4))
             yield rows(batch, [text_of(page, host.encode(), set(keys or ()).__contains__) for host, page, keys in zip(*own, strict=True)])
 
