@@ -4,10 +4,11 @@ A record hashes into one of a few thousand slots that never change; bytes are su
 maps slots to shards. Rebalancing or growing edits that table (moving as few slots as it needs to), never the hash, so a
 new version tells exactly which records move.
 
-Cases: a null text counts 0 bytes (size 1) and has a null crc32; a null id hashes as null together with its text; repeated
-rows fall into the same slot and get different places; an empty table gives an empty result; other columns of the input
-are kept out of the way (internal columns begin with two underscores), and columns of the input that are named like a
-result column are replaced.
+Cases: a null text counts as empty (size 1, crc32 0); a null id hashes as null together with its text; repeated rows fall
+into the same slot and get different places, but rows that are repeated more than SAME times are told apart by a number that
+is written beside them, so that they spread over all slots like any others; an empty table gives an empty result; other columns
+of the input are kept out of the way (internal columns begin with two underscores), and columns of the input that are named
+like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import scratch, table
+from specgrid.llm.common import saved, scratch, small, table
 
 #: Virtual slots, and the parts into which each is dealt for numbering: bounds of every table that is collected or broadcast.
 SLOTS = 4096
 PARTS = 4
+#: Rows of one id and crc32 that may share a slot.
+SAME = 50
 MAP_SCHEMA = "version int, slot int, shard int, bytes long"
 ADDED = ("size", "text_crc32", "virtual_slot", "map_version", "shard", "slot")
 
 
-def virtual_slot(doc_id: Column, text_crc32: Column) -> Column:
-    """The record's slot: its id and text decide, so that null or repeated ids don't gather in one slot."""
-    return F.pmod(F.xxhash64(doc_id, text_crc32), F.lit(SLOTS)).cast("int")
+def virtual_slot(doc_id: Column, text_crc32: Column, row: Column) -> Column:
+    """The record's slot: its id and text decide, so that null or repeated ids don't gather in one slot; row (mostly null) tells much repeated rows apart."""
+    return F.pmod(F.xxhash64(doc_id, text_crc32, row), F.lit(SLOTS)).cast("int")
 
 
 def initial_map(shards: int) -> dict[int, int]:
@@ -117,9 +120,18 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    keyed = docs.withColumns({"__size": size, "__crc": F.crc32(F.col(text).cast("binary"))}).withColumns({
-        "__slot": virtual_slot(F.col(doc_id), F.col("__crc")),
-        "__part": F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), F.col("__crc")), F.lit(PARTS)).cast("int"),
+    added = {"__size": size, "__crc": F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0))}
+    keyed = docs.withColumns(added)
+    same = saved(keyed.groupBy(F.col(doc_id).alias("__id"), F.col("__crc").alias("__own")).count().where(F.col("count") > SAME).select("__id", "__own"))
+    if same.isEmpty():
+        keyed = keyed.withColumn("__row", F.lit(None).cast("long"))
+    else:  # the numbers must stay as they are, so they are written
+        keyed = saved(docs.withColumn("__number", F.monotonically_increasing_id())).withColumns(added)
+        keyed = keyed.join(small(same), (F.col("__crc") == F.col("__own")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+        keyed = keyed.withColumn("__row", F.when(F.col("__own").isNotNull(), F.col("__number")))
+    keyed = keyed.withColumns({
+        "__slot": virtual_slot(F.col(doc_id), F.col("__crc"), F.col("__row")),
+        "__part": F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), F.col("__crc"), F.col("__row")), F.lit(PARTS)).cast("int"),
     })
     # SLOTS * PARTS rows at most
     cells = {(r[0], r[1]): (r[2], r[3]) for r in keyed.groupBy("__slot", "__part").agg(F.sum("__size"), F.count("*")).collect()}
@@ -136,7 +148,7 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
         rows.append((slot, part, version, to, before[to]))
         before[to] += n
     offsets = spark.createDataFrame(rows, "__slot int, __part int, map_version int, shard int, __before long")
-    place = Window.partitionBy("__slot", "__part").orderBy(doc_id, "__crc", "__size")
+    place = Window.partitionBy("__slot", "__part").orderBy(doc_id, "__crc", "__size", "__row")
     clash = [c for c in ADDED if c in docs.columns]
     return (
         keyed.drop(*clash).withColumn("__at", F.row_number().over(place))
