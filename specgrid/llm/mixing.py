@@ -73,11 +73,11 @@ def settled(units: DataFrame, seed: int) -> DataFrame:
     """(key, extra 0 or 1) for units (source, key, cap, mass): the reduction tree, a level of buckets at a time."""
     found, level = None, 0
     while True:
-        counts = units.groupBy("source").agg(F.count("*").alias("__n")).withColumnRenamed("source", "__source")
+        counts = saved(units.groupBy("source").agg(F.count("*").alias("__n")).withColumnRenamed("source", "__source"))
         most = counts.agg(F.max("__n")).first()[0] or 0
-        dealt = units.join(counts, F.col("source").eqNullSafe(F.col("__source"))).select(
+        dealt = units.join(small(counts), F.col("source").eqNullSafe(F.col("__source"))).select(
             "source", F.pmod(F.xxhash64(F.lit(seed + level), "key"), F.ceil(F.col("__n") / BUCKET)).alias("bucket"), F.struct("cap", "key", "mass").alias("unit"),
-        )
+        ).repartition("source", "bucket")
         folded = dealt.groupBy("source", "bucket").agg(F.reverse(F.array_sort(F.collect_list("unit"))).alias("units"))
         folded = saved(folded.select("source", F.expr(STEP.format(unit=UNIT, seed=seed + level)).alias("got")))
         done = folded.select(F.explode("got.done").alias("d")).select("d.key", "d.extra")
@@ -123,8 +123,14 @@ def rounded_copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     return long.unionByName(short).select("doc_id", "source", "size", "h", "m", "source_size", "target", "base", "extra")
 
 
+def row_hash() -> Column:
+    """Tells rows apart by id, text and source; a null differs from every value."""
+    columns = ("doc_id", "text", "source")
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__h", F.xxhash64("doc_id", "text", "source"))
+    return docs.withColumn("__h", row_hash())
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -143,7 +149,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, over all documents."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text", "source").alias("h"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"), row_hash().alias("h"))
     got = rounded_copies(rows).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     copies = F.col("base") + (F.col("nth") <= F.col("extra")).cast("long")
     return got.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), "source", copies.cast("long").alias("copies"))
