@@ -47,11 +47,13 @@ REST = 4096
 #: Bytes of sets of such a part, on average.
 PART_BYTES = 24_000_000
 #: Entries (page name and set) that one bucket of the index holds on average.
-BUCKET_ENTRIES = 500_000
+BUCKET_ENTRIES = 250_000
+#: Entries that a task sends at once.
+EMIT_ENTRIES = 500_000
 #: Entries that a bucket holds before they are matched.
-CHUNK_ENTRIES = 2_000_000
+CHUNK_ENTRIES = 1_000_000
 #: Bytes of text that a task hashes at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Bits of the filter that tells which documents' sets are needed: a bound on what is broadcast, whatever the input.
 FILTER_BITS = 1 << 25
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -349,7 +351,7 @@ def indexed(docs: DataFrame, k: int, t: float) -> tuple[DataFrame, DataFrame]:
                 names.append(got)
                 sigs.append(np.full(len(got), sig[-1], np.int64))
                 held += len(got)
-                if held > 1_000_000:
+                if held > EMIT_ENTRIES:
                     yield emit(names, sigs, kind)
                     names, sigs, held = [], [], 0
             bucket = (np.arange(at, at + len(n)) % buckets).astype(np.int32)
@@ -412,7 +414,7 @@ SETS = {**POINTS, "own": lambda own: own}
 
 
 def made_again(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, columns: dict) -> DataFrame:
-    """The rows of `to` (sig and others) with one binary column for each entry of columns, a function of the set, made again from the texts.
+    """The rows of `to` (sig and others) with n and one binary column for each entry of columns, a function of the set, made again from the texts.
 
     Which documents are needed is told by a filter of FILTER_BITS bits over hashed ids, built in Spark: its false positives
     cost time only, as the sets are joined to the signatures afterwards, before anything is sent.
@@ -427,17 +429,18 @@ def made_again(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, columns:
         for batch in batches:
             spots = batch.column(0).to_pylist()
             need = pa.array([i for i, s in enumerate(spots) if in_bits(bits, s)], pa.int64())
-            sig, out = [], [[] for _ in columns]
+            sig, n, out = [], [], [[] for _ in columns]
             for own in sets_of(whole(batch.column(1).take(need)), k, powers):
                 name = signature(own)
                 if len(own) and name not in seen:
                     seen.add(name)
                     sig.append(name)
+                    n.append(len(own))
                     for x, f in zip(out, columns.values(), strict=True):
                         x.append(f(own).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["sig", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["sig", "n", *columns])
 
-    made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, " + ", ".join(f"{c} binary" for c in columns))
+    made = docs.select(spot.alias("spot"), utf8().alias("text")).mapInArrow(make, "sig long, n long, " + ", ".join(f"{c} binary" for c in columns))
     return made.join(small(to), "sig")
 
 
@@ -480,7 +483,7 @@ def dealt(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = groups.join(small(large), "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
     part = F.explode(F.when(F.col("sig") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
-    return got.select("centre", part.alias("part"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("label"), F.lit(True).alias("rest")), groups.join(small(large.select("centre")), "centre")
+    return got.select("centre", part.alias("part"), F.lit(0).alias("block"), "sig", F.col("sig").alias("label"), F.lit(True).alias("rest")), groups.join(small(large.select("centre")), "centre")
 
 
 def crossed(groups: DataFrame) -> DataFrame:
@@ -491,11 +494,11 @@ def crossed(groups: DataFrame) -> DataFrame:
     one, each = (lambda c: F.array(F.pmod(spot, F.col(c)).cast("int"))), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
     met = got.withColumn("rest", F.lit(False)).withColumn("part", F.explode(one("parts"))).withColumn("block", F.explode(each("blocks")))
     rest = got.where("rest").withColumn("part", F.explode(each("parts"))).withColumn("block", F.explode(one("blocks")))
-    return met.unionByName(rest).groupBy(*KEYS, "sig").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max("rest").alias("rest"))
+    return met.unionByName(rest).groupBy(*KEYS, "sig").agg(F.first("label").alias("label"), F.max("rest").alias("rest"))
 
 
 def edges_in(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, t: float, percent: int | None, every: bool = False) -> DataFrame:
-    """(a, b) from groups (centre, part, block, sig, n, label, rest): edges that connect what is linked, or every link.
+    """(a, b) from groups (centre, part, block, sig, label, rest): edges that connect what is linked, or every link.
 
     percent None: pairs that the bounds leave possible count as linked; else sets are verified. Pairs of one label are known to
     be connected, and of each pair one must be marked as rest.
@@ -535,8 +538,7 @@ def edges_in(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, t: float,
 
 
 def connected(docs: DataFrame, rows: DataFrame, groups: DataFrame, k: int, t: float, percent: int | None) -> DataFrame:
-    """(sig, label) of what is linked inside groups (centre, sig), directly or through others; a set that is alone has no row."""
-    groups = saved(groups.join(rows.groupBy("sig").agg(F.first("n").alias("n")), "sig"))
+    """(sig, label) of what is linked inside groups (centre, sig, n), directly or through others; a set that is alone has no row."""
     to, large = dealt(groups)
     edges = edges_in(docs, rows, saved(to), k, t, percent)
     found = labels(edges)
@@ -552,17 +554,19 @@ def connected(docs: DataFrame, rows: DataFrame, groups: DataFrame, k: int, t: fl
 
 
 def candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): groups (centre, sig) of at least two sets, which hold every link inside one group each."""
+    """(rows, groups): groups (centre, sig, n) of at least two sets, which hold every link inside one group each."""
     rows, pages = indexed(docs, k, percent / 100)
-    found = connected(docs, rows, pages, k, percent / 100, None)
-    return rows, found.select(F.col("label").alias("centre"), "sig").unionByName(found.select(F.col("label").alias("centre"), F.col("label").alias("sig")).distinct())
+    # points are small, so pages are dealt by their members' number alone
+    found = connected(docs, rows, pages.withColumn("n", F.lit(0)), k, percent / 100, None)
+    groups = found.select(F.col("label").alias("centre"), "sig").unionByName(found.select(F.col("label").alias("centre"), F.col("label").alias("sig")).distinct())
+    return rows, saved(groups.join(rows.groupBy("sig").agg(F.first("n").alias("n")), "sig"))
 
 
 def links(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(all links between different sets as pairs of signatures, membership (doc_id, h, n, sig)): the full join, for uses that need every pair."""
     rows, groups = candidates(docs, k, percent)
-    groups = groups.join(rows.groupBy("sig").agg(F.first("n").alias("n")), "sig").withColumn("label", F.col("sig")).withColumn("rest", F.lit(True))
-    return edges_in(docs, rows, saved(crossed(saved(groups))), k, percent / 100, percent, every=True), rows
+    groups = groups.withColumn("label", F.col("sig")).withColumn("rest", F.lit(True))
+    return edges_in(docs, rows, saved(crossed(groups)), k, percent / 100, percent, every=True), rows
 
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
