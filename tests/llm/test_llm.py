@@ -76,6 +76,19 @@ def test_sharding_odd_rows(odd, none):
     assert len(got) == len(ODD) and {r["label"] for r in got} == {"z"} and sharding.shard(none).count() == 0
 
 
+def test_equal_rows_keep_the_law(spark):
+    rows = [(7, "the same")] * 9000 + [(None, None)] * 3000 + [(i, "x" * (i % 90)) for i in range(6000)]
+    for text_rows in (rows, rows[:12000]):
+        got = sharding.shard(spark.createDataFrame(text_rows, "doc_id long, text string").repartition(5), 8).collect()
+        load, places = defaultdict(int), defaultdict(list)
+        for r in got:
+            load[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert len(got) == len(text_rows) and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values())
+        assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert {(r["size"], r["text_crc32"]) for r in got if r["text"] is None} == {(1, 0)}
+
+
 def plain_targets(sizes):
     """Targets by reshare until none is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
@@ -124,7 +137,9 @@ def test_mixing_is_fair_and_conserves_words(spark):
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd)
     assert got.columns == odd.columns and mixing.mix(none).count() == 0
-    rows = odd.select("doc_id", "source", mixing.word_count().alias("size"), F.xxhash64("doc_id", "text", "source").alias("h"))
+    rows = odd.select("doc_id", "source", mixing.word_count().alias("size"), mixing.row_hash().alias("h"))
+    hashes = [r[0] for r in odd.sparkSession.createDataFrame([(1, None, "a"), (1, "a", None), (None, None, None)], "doc_id long, text string, source string").select(mixing.row_hash()).collect()]
+    assert len(set(hashes)) == 3
     assert sum(r["m"] for r in mixing.rounded_copies(rows).collect()) == len(ODD)
 
 
@@ -154,7 +169,8 @@ def plain_contamination(docs, items, window=13):
 def test_decontamination(spark, sf, docs):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = plain_contamination([(r["doc_id"], r["text"]) for r in docs.collect()], items)
-    assert sorted(map(tuple, run("op3_positional_index", spark, sf).collect()), key=str) == want and any(r[-1] for r in want)
+    got = run("op3_positional_index", spark, sf)
+    assert got.columns[-1] == "n_near" and sorted((tuple(r)[:-1] for r in got.collect()), key=str) == want and any(r[-1] for r in want)
 
 
 def test_decontamination_odd_rows(spark, odd, none):
@@ -169,13 +185,45 @@ def test_decontamination_odd_rows(spark, odd, none):
 def test_proximity(spark):
     words = " ".join(f"w{i}" for i in range(13))
     near = " ".join(f"w{i}" + (" extra" if i == 6 else "") for i in range(13))
-    docs = spark.createDataFrame([(1, words), (2, near), (3, "w3 w1")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, words), (2, near), (3, " ".join(f"w{i}" for i in range(1, 12)))], "doc_id long, text string")
     items = {0: decontaminate.words(words.encode())}
     df = decontaminate.document_frequencies(docs, set(items[0]))
     rows = decontaminate.anchors({0: items[0]}, {w: (1 if w in (b"w0", b"w12") else 5) for w in df})
     index = decontaminate.build_index(docs, {r[0] for r in rows})
-    assert {r["doc_id"] for r in decontaminate.alignments(index, rows).collect()} == {1}
-    assert {(r["doc_id"], r["drift"]) for r in decontaminate.proximity_matches(index, rows).collect()} == {(1, 0), (2, 1)}
+    ids = {r["doc"]: r["doc_id"] for r in docs.select("doc_id", decontaminate.text_hash()).collect()}
+    assert {ids[r["doc"]] for r in decontaminate.alignments(index, rows).collect()} == {1}
+    assert {(ids[r["doc"]], r["drift"]) for r in decontaminate.proximity_matches(index, rows).collect()} == {(1, 0), (2, 1)}
+    bench = spark.createDataFrame([("a", words)], "item_id string, text string")
+    assert {r["doc_id"]: r["n_near"] for r in decontaminate.decontaminate(docs, bench, near=True).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_contamination_in_blocks_and_with_odd_rows(spark, monkeypatch):
+    """Several blocks of items, repeated and missing ids on both sides, copies of one text, and columns named like the operator's."""
+    rng = random.Random(6)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st uv wx yz".split()) + str(rng.randrange(40))
+    items = [(f"i{i % 9}", " ".join(word() for _ in range(rng.randrange(1, 40)))) for i in range(12)] + [(None, " ".join(word() for _ in range(20))), ("e", ""), ("n", None)]
+    texts = []
+    for i in range(60):
+        ws = [word() for _ in range(rng.randrange(1, 60))]
+        if i % 3 == 0:
+            own = (items[rng.randrange(13)][1] or "").split()
+            ws[rng.randrange(len(ws)) :] = own[rng.randrange(3) :] if i % 2 else own
+        texts.append(" ".join(ws))
+    texts += texts[:20]
+    rows = [(None if i % 7 == 0 else i % 5, t, 777, "x", "y") for i, t in enumerate(texts)] + [(1, None, 777, "x", "y"), (None, "", 777, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, `__words` string, item_ids string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    plain = {t: rest for t, rest in ((r[0], r[1:]) for r in plain_contamination([(t, t) for t in {r[1] for r in rows}], [(k if k is not None else "?", t) for k, t in items]))}
+    got = decontaminate.decontaminate(docs, bench)
+    assert got.columns == ["doc_id", "text", "__words", "n_words", "hit_spans", "item_ids"]
+    got = got.withColumn("n_hit", decontaminate.n_hit()).withColumn("bad", decontaminate.contaminated()).collect()
+    assert len(got) == len(rows) and any(r["bad"] for r in got)
+    for r in got:
+        n_words, n_hit, _, _, bad = plain[r["text"]]
+        assert (r["n_words"], r["n_hit"], r["bad"]) == (n_words, n_hit, bad)
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(map(str, (r["text"] for r in kept.collect()))) == sorted(str(r[1]) for r in rows if not plain[r[1]][-1]) and {r["n_words"] for r in kept.collect()} == {777}
 
 
 # --- similarity
@@ -215,7 +263,25 @@ def test_components_of_planted_copies(spark):
         got = sorted((r["doc_id"], r["n"], r["component_id"]) for r in ngram_join.components(df, k, percent).collect())
         assert got == want and len({c for _, _, c in want}) < len(rows)
     every, _ = ngram_join.links(df, 5, 80)
-    assert every.count() >= 1
+    assert every.count() == n_links  # no two rows of one text here
+
+
+def test_components_dealt_over_parts(spark, monkeypatch):
+    """A large group of near copies, a chain whose ends aren't similar, and texts that share a passage only, in parts of a few members."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, passage, chain = [word() for _ in range(60)], [word() for _ in range(25)], [word() for _ in range(80)]
+    texts = [base[:i] + [word()] + base[i + 1 :] for i in range(60)]
+    texts += [passage + [word() for _ in range(6)] for _ in range(25)] + [passage + [word()] for _ in range(3)]
+    texts += [chain[i : i + 60] for i in range(0, 21, 2)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for name, value in (("BLOCK", 4), ("REST", 5), ("CHUNK_ENTRIES", 500), ("SLICE_BYTES", 700)):
+        monkeypatch.setattr(ngram_join, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, n_links = plain_components(rows, 4, 85)
+    assert sorted((r["doc_id"], r["n"], r["component_id"]) for r in ngram_join.components(df).collect()) == want
+    assert {c for _, _, c in want} != {i for i, _ in rows} and ngram_join.links(df)[0].count() == n_links
 
 
 def test_components_of_the_table(spark, sf, docs):
@@ -238,13 +304,32 @@ def test_page_names_meet_for_every_similar_pair():
 def test_tree_join_equals_all_pairs():
     rng = np.random.default_rng(3)
     n = rng.integers(20, 60, 300)
-    points = np.stack([np.bincount(rng.integers(0, ngram_join.DIMS, k), minlength=ngram_join.DIMS) for k in n]).astype(np.int32)
-    points[150:] = points[:150] + (rng.random((150, ngram_join.DIMS)) < 0.1)
-    n, label = points.sum(axis=1), np.arange(300)
-    tree = ngram_join.RTree(points, n, label)
-    got = {(i, j) for i, j in zip(*ngram_join.tree_join(tree, tree, 0.85), strict=True) if i < j}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if np.minimum(points[i], points[j]).sum() >= np.ceil(0.85 / 1.85 * (n[i] + n[j]) - 1e-6)}
-    assert got == want and len(want) >= 100
+    points = np.stack([np.bincount(rng.integers(0, 32, k), minlength=32) for k in n]).astype(np.int32)
+    points[150:] = points[:150] + (rng.random((150, 32)) < 0.1)
+    n = points.sum(axis=1)
+    good = lambda i, j: np.minimum(points[i], points[j]).sum() >= np.ceil(0.85 / 1.85 * (n[i] + n[j]) - 1e-6)
+    tree = ngram_join.RTree(points, n)
+    got = [(min(i, j), max(i, j)) for i, j in zip(*ngram_join.tree_join(tree, tree, 0.85), strict=True)]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if good(i, j)}
+    assert set(got) == want and len(got) == len(want) >= 100
+    few, many = np.arange(20), np.arange(20, 300)
+    got = ngram_join.tree_join(ngram_join.RTree(points[few], n[few]), ngram_join.RTree(points[many], n[many]), 0.85)
+    assert set(zip(few[got[0]], many[got[1]], strict=True)) == {(i, j) for i in few for j in many if good(i, j)}
+    left, right = np.repeat([[9, 0] * 16], 40, axis=0), np.repeat([[0, 9] * 16], 40, axis=0)
+    assert not len(ngram_join.tree_join(ngram_join.RTree(left, left.sum(axis=1)), ngram_join.RTree(right, right.sum(axis=1)), 0.85)[0])
+
+
+def test_bounds_keep_every_similar_pair():
+    """Count vectors and parities of neighbouring levels, folded, never rule out a pair that is similar."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (6, 31, 60, 64, 130, 255, 500, 1030, 2040):
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[int(drop * n) :], rng.integers(0, 1 << 62, int(add * n)).astype(np.uint64)])) for drop, add in ((0, 0), (0.1, 0), (0, 0.16), (0.05, 0.05), (0.3, 0))]
+    members = ngram_join.Members(np.array(list(map(len, sets))), [ngram_join.counts(x).tobytes() for x in sets], [ngram_join.parities(x).tobytes() for x in sets])
+    got = {(min(i, j), max(i, j)) for i, j in zip(*members.possible(0.85), strict=True)}
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.85 * len(np.union1d(sets[i], sets[j]))}
+    assert similar <= got and len(similar) > 30 and len(got) < 200
 
 
 def test_near_copies_odd_rows(odd, none):
@@ -272,6 +357,63 @@ def test_language_odd_rows(odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"} and langid.predict(none, langid.fit(odd.select("doc_id", "text", "lang").where("lang = 'en'"))).count() == 0
 
 
+def ranked(pairs):
+    """Share of (score, label) pairs of both labels that are in the right order."""
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
+def test_the_three_classifier_queries(spark):
+    """On rows that the fit may not use: languages, toxic rows and quality ratings."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    crc = lambda i, n: zlib.crc32(str(i).encode()) % n
+    got = run("op4_nearest_centroid", spark, sf).collect()
+    assert len(got) == len(docs) and all(r["held_out"] == (crc(r["doc_id"], 3) == 1) for r in got)
+    held = [r for r in got if r["held_out"] and docs[r["doc_id"]]["lang"] is not None]
+    assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) > 0.95
+    got = run("op1_cumulative_link", spark, sf).collect()
+    assert len(got) == len(docs) and all(r["selected"] == (r["tail_probability"] >= 0.5) for r in got)
+    assert ranked([(r["expected_grade"], labels[r["doc_id"]]["quality"]) for r in got if r["held_out"] and r["doc_id"] in labels]) > 0.95
+    sf = "/root/testdata/sf0.1"  # smaller tables hold a handful of toxic rows
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = run("op10_noisy_channel", spark, sf).collect()
+    assert len(got) == 10_000 and all(r["held_out"] == (crc(r["doc_id"], 5) == 0) and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert ranked([(r["score"], labels[r["doc_id"]]["toxic"]) for r in got if r["held_out"] and r["doc_id"] in labels]) > 0.9
+
+
+def test_decoder_finds_the_likeliest_spelling():
+    """Against all paths through the lattice of short tokens."""
+    rng = np.random.default_rng(5)
+    lm = toxicity.language_model(rng.poisson(0.3, toxicity.LETTERS**4).astype(float))
+    tokens = ["1d10t", "$tuuupid", "a(1|<", "m00r0n!", "l.o.l", "4@$8!", "heeello", "x", "7+1|!", "b8b8b8"] + ["".join(rng.choice(list("ab1|$0."), 7)) for _ in range(20)]
+    for token in tokens:
+        paths = [((0, 0, 0), 0.0, "")]
+        for i in range(len(token)):
+            paths = [((*c[1:], ord(x) - 96) if x else c, s - cost + (float(lm[(*c, ord(x) - 96)]) if x else 0), t + shown) for c, s, t in paths for x, shown, cost in toxicity.arcs_of(token, i)]
+        best = max(s + float(lm[(*c, 0)]) for c, s, _ in paths)
+        own = toxicity.decode(token, lm)
+        assert max(s + float(lm[(*c, 0)]) for c, s, t in paths if t == own) == pytest.approx(best, abs=1e-5), token
+
+
+def test_invalid_utf8(spark):
+    raw = spark.createDataFrame([(i, bytearray(b"some words \xff\xfe here \xe9t\xe9")) for i in range(3)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text", "'en' as lang", "doc_id % 2 as toxic")
+    assert {r["lang_pred"] for r in langid.predict(raw, langid.fit(raw)).collect()} == {"en"}
+    assert toxicity.scores(raw, toxicity.fit(raw, raw)).count() == 3
+    ratings = raw.select("doc_id", F.col("toxic").cast("int").alias("grade"))
+    assert quality.grade(raw, quality.fit(raw, ratings)).where("expected_grade is not null").count() == 3
+
+
+def test_repeated_ids_and_numerals(spark):
+    rows = spark.createDataFrame([(i // 300, f"text {i}", i // 300) for i in range(600)] + [(9, "²½Ⅷ", None)], "doc_id long, text string, grade int")
+    grades, w, _ = quality.fit(rows, rows.select("doc_id", "grade").distinct())
+    assert grades == [0, 1] and len(w) == quality.DIMS
+    a, b = (quality.features(x, quality.Powers()) for x in (b"good cats", b"evil dogs"))
+    assert not np.array_equal(a, b) and np.array_equal(a, quality.features(b"good cats", quality.Powers()))
+    assert langid.term_counts("²½Ⅷ".encode()) is None and langid.term_counts("²½a".encode()) is not None
+
+
 def test_decoder():
     words = "you are an idiot and a stupid moron with some trash in the house said the clown".split()
     grams = np.zeros(toxicity.LETTERS**4)
@@ -281,6 +423,7 @@ def test_decoder():
             grams[((c[i] * 27 + c[i + 1]) * 27 + c[i + 2]) * 27 + c[i + 3]] += 1
     r = toxicity.Restorer(toxicity.language_model(grams))
     assert r.text("you 1d10t and stuuupid m0r0n") == "you idiot and stupid moron"
+    assert r.text("a m0r0n5 and some tras7") == "a morons and some trast" or "moron" in r.text("m0r0n5")
     assert "stupid" in r.text("so s t u p i d it is") and "clown" in r.text("a c.l.0.w.n here") and r.text("plain words stay as they are") == "plain words stay as they are"
 
 
@@ -352,6 +495,7 @@ def test_templates_and_marked_blocks(spark):
         got = {r["page_id"]: r for r in html_text.extract(df, broadcast_keys=keys).collect()}
         for i in range(8):
             assert got[i]["text"] == f"Title {i}\nFirst & bold {i} line\nSame words everywhere.\nitem {i}\ntwo"
+            assert got[i]["n_template"] >= 4
         assert got[8]["text"] == "Only <this>\ntail" and got[9]["text"] == got[10]["text"] == "" and got[11]["text"] == "cut off" and got[8]["n_chars"] == 16
     bare = spark.createDataFrame([(i, "http://b.example/", f"<body><div><span>Site name</span></div><div>Own words {i}</div></body>") for i in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in html_text.extract(bare).collect()} == {f"Own words {i}" for i in range(9)}
@@ -363,7 +507,36 @@ def test_templates_and_marked_blocks(spark):
     ("a < b <b", "a < b"), ("less <", "less <"), ('see <a href="x>this and the rest', "see this and the rest"),
 ])
 def test_text_after_the_last_tag(tail, text):
-    assert html_text.text_of("<body><p>First.</p><p>" + tail, b"", lambda key: False) == "First.\n" + text
+    assert html_text.text_of("<body><p>First.</p><p>" + tail, b"", lambda key: False)[0] == "First.\n" + text
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>3 < 5 is true", "3 < 5 is true"), ('<article class="overflow-hidden"><p>x</p></article>', "x"), ('<p>a <a href="/the/hidden/gem">gem</a></p>', "a gem"), ('<article><div class="post-header"><h1>Title</h1></div><p>a</p></article>', "Title\na"),
+    ('<p class="x>Hello</p>', "Hello"), ('<p title="a > b">Hello</p>', "Hello"), ("<div hidden>a</div><div style='color:red; display: none'>b</div><div aria-hidden=true>c</div>d", "d"), ('<article><header><h1>T</h1></header>a</article><header>b</header>', "T\na"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table><p>x<p>y<div>z</div>", "a\nb\nc\nd\n1\n2\n3\nx\ny\nz"), ('<article><p>a</p><article class="related-post"><p>b</p></article></article>', "a"), ("</p></x>a</div>b", "ab"),
+])
+def test_markup(page, text):
+    assert html_text.text_of(page, b"", lambda key: False)[0] == text
+
+
+def test_deep_nesting_takes_one_pass():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert html_text.text_of("<div>" * n + "deep" + "</p></x></div>" * n + "<p>after", b"", lambda key: False)[0].startswith("deep")
+        return time.process_time() - began
+
+    assert took(20000) < 40 * max(0.01, took(2000))
+
+
+def test_site_without_telling_tags_or_classes(spark):
+    around = "<div><div>Our shop</div><div>Buy it now</div></div>"
+    rows = [(i, "http://plain.example/%d" % i, f"<html><body>{around}<div><p>Story {i} begins.</p><p>And ends.</p></div><div>Call us<div>every day</div></div></body></html>") for i in range(6)]
+    rows += [(10 + i, "http://other.example/%d" % i, f"<body>{around}<div>Few pages {i}</div></body>") for i in range(4)]
+    got = {r["page_id"]: (r["text"], r["n_template"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # the second paragraph recurs as well, on pages that mark no article
+    assert all(got[i] == (f"Story {i} begins.", 3) for i in range(6)) and all(got[10 + i] == (f"Our shop\nBuy it now\nFew pages {i}", 0) for i in range(4))
 
 
 def test_copied_pages_are_not_template(spark):
@@ -393,7 +566,9 @@ def test_pages_of_the_table(spark, sf):
     import re
 
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    for r in run("op6_site_template", spark, sf).collect():
+    got = run("op6_site_template", spark, sf).collect()
+    assert run("op6_site_template", spark, "/root/testdata/sf0.1").agg(F.sum("n_template")).first()[0] > 1000  # more pages of a host
+    for r in got:
         body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body))
         assert r["text"] == "\n".join(b for b in blocks if b)
@@ -418,6 +593,39 @@ def test_neighbours(spark, sf):
     assert got.keys() == want.keys() and sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_recall_ranks_and_scores(spark):
+    """The largest table of vectors at hand: recall against brute force, and what is returned is exact and in order."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    norm = np.sqrt((x * x).sum(axis=1))
+    got = defaultdict(list)
+    for r in run("op7_cross_polytope", spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = (x * x[q]).sum(axis=1) / (norm * norm[q])
+        order = [j for j in np.lexsort((ids, -score)) if j != q][:5]
+        rank, vec, s = zip(*got[ids[q]], strict=True)
+        place = {v: j for j, v in enumerate(ids)}
+        assert rank == (1, 2, 3, 4, 5) and all(a >= b - ann.TIE for a, b in zip(s, s[1:], strict=False)) and np.allclose(s, [score[place[v]] for v in vec], atol=1e-12)
+        hit, total = hit + len(set(ids[order]) & set(vec)), total + 5
+    assert len(got) == total // 5 and hit >= 0.9 * total
+
+
+def test_neighbours_in_split_slots(spark, monkeypatch):
+    """Slots dealt over several groups, for rows and for queries, find what one group finds; parallel vectors tie by id."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)] + [(300 + i, [(1.0 + i) * x for x in (1.0, 2.0, 3.0, 4.0, 0.0, 1.0, 0.0, 1.0)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    found = lambda: sorted(map(tuple, ann.nearest(df, asked).collect()))
+    want = found()
+    monkeypatch.setattr(ann, "GROUP_ROWS", 7)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 3)
+    assert found() == want and [r[2] for r in want if r[0] == 300] == [301, 302, 303, 304, 305] and [r[2] for r in want if r[0] == 320] == [300, 301, 302, 303, 304]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(30)] + [(100, [0.0, 0.0, 0.0]), (101, None), (102, [1.0, None, 2.0]), (103, [float("nan"), 1.0, 1.0]), (104, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (105, [3.0, 1.0, 0.0]), (106, [1.0, 1.0]), (107, []), (0, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
