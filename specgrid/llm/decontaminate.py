@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from specgrid.llm.common import ALNUM_AZ, parts, saved, small, table, utf8
 
 WINDOW = 13
-#: A word, before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A benchmark is worked through in blocks of so much text, on average; each block's words are what is broadcast.
 BLOCK_BYTES = 12_000_000
 #: Words by which a pair of rare words may be off its distance in the item to be near.
@@ -214,18 +212,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """
     hits, close = found_hits(docs, benchmark, window, near)
     own, added = columns or docs.columns, ["n_words", "hit_spans", "item_ids"] + ["n_near"] * near
-    here = docs.select(*(c for c in own if c not in added), word_count().alias("__decon_words"), text_hash().alias("__decon_doc"))
-    got = here.join(small(hits.withColumnRenamed("doc", "__decon_hit"), 100_000), F.col("__decon_doc") == F.col("__decon_hit"), "left")
+    kept = [c for c in own if c not in added]
+    got = counted(docs, kept).join(small(hits.withColumnRenamed("doc", "__decon_hit"), 100_000), F.col("__decon_doc") == F.col("__decon_hit"), "left")
     spans, ids = (F.from_json(F.lit("[]"), hits.schema[c].dataType) for c in ("hit_spans", "item_ids"))
     got = got.withColumns({"n_words": F.coalesce("n_words", "__decon_words"), "hit_spans": F.coalesce("hit_spans", spans), "item_ids": F.coalesce("item_ids", ids)})
     if near:
         got = got.join(small(close.withColumnRenamed("doc", "__decon_near")), F.col("__decon_doc") == F.col("__decon_near"), "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-    return got.select(*(c for c in own if c not in added), *added)
+    return got.select(*kept, *added)
 
 
-def word_count() -> Column:
-    """The number of words, as `words` finds them."""
-    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns with the text's hash and its number of words."""
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
+
+    def count(batches):
+        for batch in parts(batches):
+            n = [len(words(text)) for text in batch.column("__decon_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), batch.column("__decon_doc"), pa.array(n, pa.int64())], [*columns, "__decon_doc", "__decon_words"])
+
+    wide = docs.select(*columns, text_hash().alias("__decon_doc"), utf8().alias("__decon_text"))
+    return wide.mapInArrow(count, f"{schema}__decon_doc long, __decon_words long")
 
 
 def n_hit() -> Column:
