@@ -33,11 +33,11 @@ SIGNS = {
 #: Costs (in nats) of reading a sign as a letter, of dropping a sign, of dropping a separator, and of dropping a letter of a run of two or of more.
 AS_LETTER, DROP_SIGN, DROP_SEPARATOR, DROP_DOUBLE, DROP_RUN = 0.5, 4.0, 0.5, 3.0, 0.5
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_@$!|]|[ .\-_*]{1,2}[0-9@$!|]){2,}(?![^\W_])")
-DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_']+[^\W\d_]|^[0-9@$!|+(<€£¡][^\W\d_]|[^\W\d_][0-9$@]+$|([^\W\d_])\1\1")
+DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_']+[^\W\d_]|^[0-9@$!|+(<€£¡][^\W\d_]|[^\W\d_](?:[0-9]+|[$@])$|([^\W\d_])\1\1")
 #: Cheap signs that a text holds any of these, and the tokens that are then looked at.
 MAY_BE_SPACED = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}\S[ .\-_*]{1,2}\S")
-SIGN_BY_LETTER = re.compile(r"[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[^\W\d_][0-9$@]")
-WITH_SIGN = re.compile(r"\S*(?:[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[^\W\d_][0-9$@])\S*")
+SIGN_BY_LETTER = re.compile(r"[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[0-9$@](?<=[^\W\d_].)(?=[0-9]*[.,;:!?]?(?!\S))")
+WITH_SIGN = re.compile(r"\S*(?:[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[0-9$@](?<=[^\W\d_].)(?=[0-9]*[.,;:!?]?(?!\S)))\S*")
 DRAWN_OUT = re.compile(r"\S*([^\W\d_])\1\1\S*")
 TRIPLES = tuple(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
 EDGES = re.compile(r"^[^\w@$!|+(<€£¡]+|(?:[^\w]{2,}|[^\w@$!|+])$")
