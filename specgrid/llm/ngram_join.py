@@ -420,7 +420,8 @@ def made_again(docs: DataFrame, rows: DataFrame, to: DataFrame, k: int, columns:
     cost time only, as the sets are joined to the signatures afterwards, before anything is sent.
     """
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    wanted = rows.join(to, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select(spot.alias("spot")).distinct()
+    # copies of a set, and groups that share one, are combined before they meet
+    wanted = rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(to.select("sig").distinct(), "sig", "left_semi").select(spot.alias("spot")).distinct()
     parts = wanted.groupBy(F.bitmap_bucket_number("spot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
     held = docs.sparkSession.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in parts})
 
