@@ -1,9 +1,23 @@
-"""The corpus pipeline, stage by stage, on the smallest tables."""
+"""The corpus pipeline, stage by stage, on the smallest tables and on awkward rows."""
+
+from collections import defaultdict
+
+import pytest
 
 import corpus_pipeline
 from specgrid.llm import decontaminate, ngram_join
 from specgrid.llm.common import saved
-from tests.llm.test_llm import plain_components, plain_contamination
+from tests.llm.test_llm import ODD, plain_components, plain_contamination, plain_targets
+
+
+def words_of(rows):
+    """Words by source, and the most words of a document of each."""
+    total, most = defaultdict(int), defaultdict(int)
+    for r in rows:
+        n = len((r["text"] or "").encode().split())
+        total[r["source"]] += n
+        most[r["source"]] = max(most[r["source"]], n)
+    return total, most
 
 
 def test_stages(spark, sf):
@@ -13,8 +27,9 @@ def test_stages(spark, sf):
         before, docs = docs, saved(stage(spark, docs, sf))
         if name != "sharding":
             assert docs.columns == columns
-        rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-        kept = {r["doc_id"] for r in docs.collect()}
+        held, got = before.collect(), docs.collect()
+        rows = [(r["doc_id"], r["text"]) for r in held]
+        kept = {r["doc_id"] for r in got}
         if name == "toxicity":
             labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
             gone = {i for i, _ in rows} - kept
@@ -24,9 +39,45 @@ def test_stages(spark, sf):
         if name == "decontamination":
             bench = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert kept == {r[0] for r in plain_contamination(rows, bench) if not r[-1]}
+        if name == "mixing":
+            (sizes, most), (took, _) = words_of(held), words_of(got)
+            copies = defaultdict(int)
+            for r in got:
+                copies[r["doc_id"], r["text"]] += 1
+            assert max(copies.values()) <= 2 and kept <= {i for i, _ in rows}
+            assert all(abs(took[s] - t) <= most[s] for s, t in plain_targets(sizes).items())
+        if name == "sharding":
+            load, places = defaultdict(int), defaultdict(list)
+            for r in got:
+                assert r["size"] == len((r["text"] or "").encode()) + 1
+                load[r["shard"]] += r["size"]
+                places[r["shard"]].append(r["slot"])
+            assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in places.values())
+            assert max(load.values()) - min(load.values()) <= 0.05 * sum(load.values())
     assert {"shard", "slot", "size"} <= set(docs.columns) and docs.count() > 0
 
 
+#: Columns that the operators use themselves.
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_words long, hit_spans string, item_ids string, size string, shard string, slot string, n long, sig long, h long, label string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, sf, empty):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, clashing columns, and a table without rows."""
+    rows = [(*r, 7, "spans", "ids", "size", "shard", "slot", 5, 6, 8, "z") for r in ODD + [ODD[6], ODD[3]]]
+    docs = spark.createDataFrame([] if empty else rows, CLASH)
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        got = saved(stage(spark, docs, sf))
+        assert set(docs.columns) <= set(got.columns) and (name == "sharding" or got.columns == docs.columns)
+        clash = [c for c in ("n_words", "hit_spans", "item_ids", "n", "sig", "h", "label") if c in docs.columns]
+        assert all(r[c] == dict(zip(docs.columns, rows[0], strict=True))[c] for r in got.collect() for c in clash)
+        docs = got
+        seen.append(got.count())
+    # toxicity keeps all; of the equal texts "one" and those of id 7 one row each stays; nothing is contaminated; mixing draws copies
+    assert seen[:3] == ([0, 0, 0] if empty else [12, 8, 8]) and seen[3] == seen[4]
+
+
 def test_helpers_are_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "decontamination", "mixing", "sharding"]
     assert decontaminate.WINDOW == 13 and ngram_join.BLOCK > 0 and corpus_pipeline.ORACLE_SQL is None
