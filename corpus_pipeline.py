@@ -3,6 +3,11 @@ contaminated documents go, sources are mixed to their target weights, and what i
 
 Each stage gets all that its predecessor kept, as a written table, and returns it with the columns of documents (the last
 one adds the shard columns).
+
+Cases: rows of null, empty or blank text pass every filter (they have no words, no shingles and no hits) and are mixed and
+sharded like others; of rows equal in text one stays, that of the least id, null ids last; ties are broken by id and then by
+hashes, so reruns agree; further columns are kept whatever their names, but for those that sharding adds, which are replaced;
+a table without rows stays without.
 """
 
 from __future__ import annotations
