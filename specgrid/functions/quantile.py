@@ -28,13 +28,12 @@ def quantile_type8(values: Column, p: Column | float) -> Column:
     return let(F.least(F.greatest(h, F.lit(1.0)), n.cast("double")), at)
 
 
-def on_grid(values: Column, tau: Column, grid: int = GRID) -> Column:
-    """The quantile curve of a sorted array, known at `grid` evenly spaced knots, read at tau by linear interpolation: two knots are evaluated."""
-    def read(at: Column) -> Column:
-        left = F.greatest(F.least(F.ceil(at), F.lit(grid - 1)), F.lit(1)) - 1
-        return let(quantile_type8(values, left / F.lit(float(grid - 1))), lambda low: low + (at - left) * (quantile_type8(values, (left + 1) / F.lit(float(grid - 1))) - low))
-
-    return let(F.greatest(F.least(tau, F.lit(1.0)), F.lit(0.0)) * (grid - 1), read)
+def read_knots(curve: Column, tau: Column, grid: int = GRID) -> Column:
+    """A curve's `grid` knots on [0, 1], read at tau by linear interpolation."""
+    at = F.greatest(F.least(tau, F.lit(1.0)), F.lit(0.0)) * (grid - 1)
+    right = F.greatest(F.least(F.ceil(at), F.lit(grid - 1)), F.lit(1)).cast("int")
+    low = F.element_at(curve, right)
+    return low + (at - (right - 1)) * (F.element_at(curve, right + 1) - low)
 
 
 def inverse_on_grid(curve: Column, value: Column) -> Column:

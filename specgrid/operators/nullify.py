@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrid.functions.quantile import GRID, inverse_on_grid, on_grid
+from specgrid.functions.order import quantiles
+from specgrid.functions.quantile import GRID, inverse_on_grid, quantile_type8, read_knots
 
 CELLS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
 MIN_CELL, BINS, KAPPA = 5, 4, 5.0
@@ -71,22 +72,9 @@ def local_median_residual(df: DataFrame, min_cell: int = MIN_CELL, bins: int = B
 
 
 def cell_curves(df: DataFrame, grid: int = GRID) -> DataFrame:
-    """(cong, prev_cong, curve): the type-8 quantiles of each cell over everyone, at `grid` knots.
-
-    Spark's exact percentile is of type 7; the same order statistics are reached at a share that depends on the cell's size,
-    so the four sizes are counted first.
-    """
-    good = df.where(usable())
-    sizes = {(r[0], r[1]): r[2] for r in good.groupBy("cong", "prev_cong").count().collect()}
-    shares = {}
-    for cell, n in sizes.items():
-        place = [min(max((n + 1 / 3) * k / (grid - 1) + 1 / 3, 1.0), float(n)) for k in range(grid)]
-        shares[cell] = [(h - 1) / (n - 1) if n > 1 else 0.0 for h in place]
-    parts = [good.where((F.col("cong") == c) & (F.col("prev_cong") == p)).agg(F.lit(c).alias("cong"), F.lit(p).alias("prev_cong"), F.percentile("rt", s).alias("curve")) for (c, p), s in sorted(shares.items())]
-    out = parts[0] if parts else good.groupBy("cong", "prev_cong").agg(F.collect_list("rt").alias("curve"))
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    """(cong, prev_cong, curve): the type-8 quantiles of each cell over everyone, at `grid` knots."""
+    good = df.where(usable()).select("cong", "prev_cong", F.col("rt").alias("value"))
+    return quantiles(good, ["cong", "prev_cong"], [k / (grid - 1) for k in range(grid)], kind=8).withColumnRenamed("quantiles", "curve")
 
 
 def quantile_map(df: DataFrame, keys: list[str], curves: DataFrame | None, kappa: float = KAPPA, grid: int = GRID) -> DataFrame:
@@ -97,28 +85,27 @@ def quantile_map(df: DataFrame, keys: list[str], curves: DataFrame | None, kappa
     """
     good = df.where(usable())
     tau = F.cume_dist().over(Window.partitionBy(*keys, "cong", "prev_cong").orderBy("rt"))
-    good = good.withColumns({"__tau": tau, "__n": F.count("*").over(Window.partitionBy(*keys, "cong", "prev_cong")), "__all": F.count("*").over(Window.partitionBy(*keys))})
+    good = good.withColumns({"__tau": tau, "__n": F.count("*").over(Window.partitionBy(*keys, "cong", "prev_cong"))})
     if curves is not None and kappa > 0:
-        sparse = good.join(F.broadcast(curves), ["cong", "prev_cong"], "left")
-        good = sparse.withColumn("__tau", F.when(F.col("__n") >= 2, F.col("__tau")).otherwise(F.coalesce(inverse_on_grid(F.col("curve"), F.col("rt")), F.col("__tau")))).drop("curve")
+        # few trials: only those of cells of one are read off the wide curves
+        single = good.where("__n < 2").join(F.broadcast(curves), ["cong", "prev_cong"], "left")
+        single = single.withColumn("__tau", F.coalesce(inverse_on_grid(F.col("curve"), F.col("rt")), F.col("__tau"))).drop("curve")
+        good = good.where("__n >= 2").unionByName(single)
     else:
         good = good.withColumn("__tau", F.when(F.col("__n") >= 2, F.col("__tau")).otherwise(0.0))
-    # the sorted margins stay in one row for each group, beside its trials, and are never joined to them
+    # each margin's times become a curve of `grid` knots, and the few curves of a group are joined to its trials
     margins = {(c, v): f"__{c}_{v}" for c in ("cong", "prev_cong") for v in (1, -1)}
     sorted_list = lambda value: F.array_sort(F.collect_list(value))
-    kept = [c for c in df.columns if c != "rt"]
-    rows = good.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(
-        sorted_list(F.col("rt")).alias("__grand"), *(sorted_list(F.when(F.col(c) == v, F.col("rt"))).alias(name) for (c, v), name in margins.items()),
-        F.collect_list(F.struct(*kept, "rt", "__tau", "__all")).alias("__trials"),
+    lists = df.where(usable()).groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(
+        sorted_list(F.col("rt")).alias("__grand"), *(sorted_list(F.when(F.col(c) == v, F.col("rt"))).alias(name) for (c, v), name in margins.items()), F.count("*").alias("__all"),
     )
-
-    def mapped(t: Column) -> Column:
-        side = lambda c: F.when(t[c] == 1, F.col(margins[c, 1])).otherwise(F.col(margins[c, -1]))
-        curve = lambda values: on_grid(values, t["__tau"], grid)
-        value = curve(side("cong")) + curve(side("prev_cong")) - curve(F.col("__grand"))
-        return F.struct(*(t[c].alias(c) for c in kept), F.when(t["__all"] < 2, t["rt"]).otherwise(value).alias("rt"))
-
-    return rows.select(F.inline(F.transform("__trials", mapped))).select(*df.columns).unionByName(df.where(~usable()))
+    knots = F.sequence(F.lit(0), F.lit(grid - 1))
+    curve = lambda name: F.when(F.size(name) > 0, F.transform(knots, lambda k: quantile_type8(F.col(name), k / F.lit(float(grid - 1))))).alias(name)
+    group = lists.select(*(f"__key_{k}" for k in keys), "__all", *(curve(name) for name in ("__grand", *margins.values())))
+    got = good.join(group, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    side = lambda c: F.when(F.col(c) == 1, read_knots(F.col(margins[c, 1]), F.col("__tau"), grid)).otherwise(read_knots(F.col(margins[c, -1]), F.col("__tau"), grid))
+    value = side("cong") + side("prev_cong") - read_knots(F.col("__grand"), F.col("__tau"), grid)
+    return got.withColumn("rt", F.when(F.col("__all") < 2, F.col("rt")).otherwise(value)).select(*df.columns).unionByName(df.where(~usable()))
 
 
 def additive_qmap(df: DataFrame, kappa: float = KAPPA, grid: int = GRID) -> DataFrame:
@@ -150,13 +137,14 @@ def nullify(df: DataFrame, method: str) -> DataFrame:
 
 
 def all_effects(df: DataFrame, methods: tuple[str, ...]) -> DataFrame:
-    """df with one rt column for each method (rt_<method>), made once on everyone, before any sampling."""
+    """df with one rt column for each method (rt_<method>), made once on everyone, before any sampling. A participant's source rows must differ."""
     wide = df
     for m in methods:
         if m == "none":
             wide = wide.withColumn("rt_none", F.col("rt"))
         else:
-            wide = wide.join(METHODS[m](df).select("source_row", F.col("rt").alias(f"rt_{m}")), "source_row")
+            own = METHODS[m](df).select(F.col("participant_id").alias("__pid"), F.col("source_row").alias("__row"), F.col("rt").alias(f"rt_{m}"))
+            wide = wide.join(own, F.col("participant_id").eqNullSafe(F.col("__pid")) & (F.col("source_row") == F.col("__row"))).drop("__pid", "__row")
     return wide
 
 

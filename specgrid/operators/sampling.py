@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from specgrid.functions.order import medians
+from specgrid.sources.scratch import saved
 
 SEED = "42"
 
@@ -34,13 +36,14 @@ def fences(df: DataFrame, by: list[str], rules: tuple[str, ...]) -> DataFrame:
     deviation, unscaled; range_x: 200 to x. Not-a-number is left out as missing.
     """
     rt = F.when(~F.isnan("rt"), F.col("rt"))
-    base = df.groupBy(*by).agg(F.avg(rt).alias("m"), F.coalesce(F.stddev_samp(rt), F.lit(0.0)).alias("s"), F.median(rt).alias("med"))
+    df, keys = (df, by) if by else (df.withColumn("__whole", F.lit(1)), ["__whole"])
+    base = df.groupBy(*keys).agg(F.avg(rt).alias("m"), F.coalesce(F.stddev_samp(rt), F.lit(0.0)).alias("s"))
     if any(r.startswith("mad_") for r in rules):
-        away = df.join(base.select(*by, "med"), by) if by else df.crossJoin(F.broadcast(base.select("med")))
-        mad = away.groupBy(*by).agg(F.median(F.abs(rt - F.col("med"))).alias("mad"))
-        base = base.join(mad, by) if by else base.crossJoin(mad)
-    else:
-        base = base.withColumn("mad", F.lit(None).cast("double"))
+        # counted and sorted by parts, so that no branch's times meet in one buffer
+        values = saved(df.select(*keys, rt.alias("value")))
+        med = saved(medians(values, keys, name="med"))
+        away = values.join(med, keys).select(*keys, F.abs(F.col("value") - F.col("med")).alias("value"))
+        base = base.join(med, keys, "left").join(medians(away, keys, name="mad"), keys, "left")
     bounds = []
     for rule in rules:
         kind, _, k = rule.partition("_")
