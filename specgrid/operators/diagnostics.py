@@ -1,7 +1,8 @@
 """Diagnostics of data branches: what is left of the interaction, and what a nullifier has changed besides.
 
 Every operator takes trials with the branch's key columns and gives one row for each branch; statistics per participant come
-first and are averaged after. The unit of every window is a participant within a branch.
+first and are averaged after. The unit of every window is a participant within a branch. Metrics are of valid trials: a finite
+time above 0 and both codes. A participant or branch without any has no row of its own in a metric (null once joined).
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specgrid.functions.order import medians, quantiles
 from specgrid.operators.nullify import contrast
+from specgrid.sources.scratch import saved
 
+#: Codes of the cells.
 CELLS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
 QUANTILE_NAMES = ("q010_cse", "q025_cse", "q050_cse", "q075_cse", "q090_cse")
+#: Metrics that are compared with the present branch's: fixed names.
 DELTAS = ("current_cong_effect", "previous_cong_effect", "lag1_autocorr_mean", "trial_rt_slope_mean", "block_mean_sd", "transition_imbalance", "post_error_slowing", "max_abs_timebin_q050_cse", "mean_cse", *QUANTILE_NAMES)
 #: What a gate reads, its largest absolute value and its label: fixed names.
 GATES = (
@@ -32,8 +37,22 @@ GATES = (
 )
 
 
+def is_valid() -> Column:
+    fine = F.col("rt").isNotNull() & ~F.isnan("rt") & (F.col("rt") > 0) & (F.col("rt") < float("inf"))
+    return F.coalesce(fine, F.lit(False)) & F.col("cong").isNotNull() & F.col("prev_cong").isNotNull()
+
+
+def valid(df: DataFrame) -> DataFrame:
+    return df.where(is_valid())
+
+
 def rt() -> Column:
-    return F.when(F.col("rt").isNotNull() & ~F.isnan("rt"), F.col("rt"))
+    """The time of a valid trial, else null."""
+    return F.when(is_valid(), F.col("rt"))
+
+
+def is_finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
 def cell(c: int, p: int) -> Column:
@@ -42,53 +61,67 @@ def cell(c: int, p: int) -> Column:
 
 def participant_cse(df: DataFrame, by: list[str]) -> DataFrame:
     """(by..., participant_id, cse): contrast of cell means, null if a cell is missing."""
-    return df.groupBy(*by, "participant_id").agg(contrast({c: F.avg(F.when(cell(*c), rt())) for c in CELLS}).alias("cse"))
+    return valid(df).groupBy(*by, "participant_id").agg(contrast({c: F.avg(F.when(cell(*c), F.col("rt"))) for c in CELLS}).alias("cse"))
 
 
 def cse_summary(df: DataFrame, by: list[str]) -> DataFrame:
-    return participant_cse(df, by).groupBy(*by).agg(F.avg("cse").alias("mean_cse"), F.median("cse").alias("median_cse"), F.max(F.abs("cse")).alias("max_abs_cse"))
+    each = participant_cse(df, by).groupBy(*by)
+    return each.agg(F.avg("cse").alias("mean_cse"), F.median("cse").alias("median_cse"), F.max(F.abs("cse")).alias("max_abs_cse"), F.count_if(F.col("cse").isNull()).alias("n_incomplete"))
+
+
+def cell_shares() -> list[Column]:
+    """Each cell's share of the valid trials, among the cells whose two codes both occur; an empty one of these has 0."""
+    n = lambda cond: F.count(F.when(is_valid() & cond, 1))
+    occur = {(name, code): n(F.col(name) == code) > 0 for name in ("cong", "prev_cong") for code in (1, -1)}
+    return [F.when(occur["cong", c] & occur["prev_cong", p], n(cell(c, p)) / n(F.lit(True))) for c, p in CELLS]
 
 
 def pooled(df: DataFrame, by: list[str], approximate: int | None = None) -> DataFrame:
-    """Statistics over a branch's trials as one aggregate: contrasts of pooled cell quantiles, least cell count, main effects, error slowing, counts.
+    """Statistics over a branch's trials: contrasts of pooled cell quantiles, least cell count, main effects, error slowing, counts.
 
-    approximate: accuracy of percentile_approx instead of exact percentiles, for cells too large to be held.
+    approximate: accuracy of percentile_approx instead of exact quantiles.
     """
-    shares = F.array(*map(F.lit, PROBS))
-    q = lambda c: F.percentile(F.when(cell(*c), rt()), list(PROBS)) if approximate is None else F.percentile_approx(F.when(cell(*c), rt()), shares, approximate)
     side = lambda name: F.avg(F.when(F.col(name) == 1, rt())) - F.avg(F.when(F.col(name) == -1, rt()))
-    both = F.col("cong").isNotNull() & F.col("prev_cong").isNotNull()
-    shares_of = [F.count(F.when(cell(*c), 1)) / F.count(F.when(both, 1)) for c in CELLS]
-    seen = [F.when(s > 0, s) for s in shares_of]
+    seen = cell_shares()
     got = df.groupBy(*by).agg(
-        *(q(c).alias(f"q{i}") for i, c in enumerate(CELLS)), F.least(*(F.count(F.when(cell(*c) & rt().isNotNull(), 1)) for c in CELLS)).alias("cell_min_n"),
-        side("cong").alias("current_cong_effect"), side("prev_cong").alias("previous_cong_effect"),
+        F.least(*(F.count(F.when(cell(*c), rt())) for c in CELLS)).alias("cell_min_n"), side("cong").alias("current_cong_effect"), side("prev_cong").alias("previous_cong_effect"),
         (F.avg(F.when(~F.col("prev_correct"), rt())) - F.avg(F.when(F.col("prev_correct"), rt()))).alias("post_error_slowing"),
         (F.greatest(*seen) - F.least(*seen)).alias("transition_imbalance"),
-        F.count("*").alias("n_rows"), F.count(rt()).alias("n_valid"), F.count_distinct("participant_id").alias("n_participants"), F.count_distinct("study").alias("n_studies"),
+        F.count("*").alias("n_rows"), F.count(rt()).alias("n_valid"), F.count_distinct(F.when(is_valid(), F.col("participant_id"))).alias("n_participants"), F.count_distinct(F.when(is_valid(), F.col("study"))).alias("n_studies"),
     )
-    quantiles = [(F.col("q0")[i] - F.col("q1")[i] - F.col("q2")[i] + F.col("q3")[i]).alias(n) for i, n in enumerate(QUANTILE_NAMES)]
-    return got.select(*by, *quantiles, *(c for c in got.columns if c not in (*by, "q0", "q1", "q2", "q3")))
+    keys = [*by, "cong", "prev_cong"]
+    good = valid(df).select(*keys, F.col("rt").alias("value"))
+    own = quantiles(good, keys, PROBS) if approximate is None else good.groupBy(*keys).agg(F.percentile_approx("value", list(PROBS), approximate).alias("quantiles"))
+    at = lambda i: contrast({c: F.max(F.when(cell(*c), F.col("quantiles")[i])) for c in CELLS})
+    curves = own.groupBy(*by).agg(*(at(i).alias(n) for i, n in enumerate(QUANTILE_NAMES)))
+    return got.join(curves, by, "left")
 
 
 def lag1_autocorrelation(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean over participants (3 trials and some spread at least) of the correlation of each time with the one before."""
     own = Window.partitionBy(*by, "participant_id").orderBy("trial_index", "source_row")
-    pairs = df.where(rt().isNotNull()).withColumn("__before", F.lag("rt").over(own))
+    pairs = valid(df).withColumn("__before", F.lag("rt").over(own))
     each = pairs.groupBy(*by, "participant_id").agg(F.count("*").alias("n"), F.stddev_samp("rt").alias("sd"), F.corr("__before", "rt").alias("r"))
-    fine = (F.col("n") >= 3) & (F.col("sd") > 0) & ~F.isnan("r")
-    return each.groupBy(*by).agg(F.avg(F.when(fine, F.col("r"))).alias("lag1_autocorr_mean"))
+    return each.groupBy(*by).agg(F.avg(F.when((F.col("n") >= 3) & (F.col("sd") > 0) & is_finite(F.col("r")), F.col("r"))).alias("lag1_autocorr_mean"))
 
 
 def trial_slope(df: DataFrame, by: list[str]) -> DataFrame:
-    """Mean over participants of the least-squares slope of time on trial."""
-    each = df.where(rt().isNotNull()).groupBy(*by, "participant_id").agg(F.count("*").alias("n"), F.regr_slope("rt", F.col("trial_index").cast("double")).alias("slope"))
-    return each.groupBy(*by).agg(F.avg(F.when(F.col("n") >= 3, F.col("slope"))).alias("trial_rt_slope_mean"))
+    """Mean over participants (two different trials at least) of the least-squares slope of time on trial."""
+    trial = F.col("trial_index").cast("double")
+    each = valid(df).groupBy(*by, "participant_id").agg((F.max(trial) > F.min(trial)).alias("two"), F.regr_slope("rt", trial).alias("slope"))
+    return each.groupBy(*by).agg(F.avg(F.when(F.col("two") & is_finite(F.col("slope")), F.col("slope"))).alias("trial_rt_slope_mean"))
 
 
 def block_spread(df: DataFrame, by: list[str], unit: str = "participant_id") -> DataFrame:
     """Standard deviation of the means of (unit, block)."""
-    return df.groupBy(*by, unit, "block_index").agg(F.avg(rt()).alias("m")).groupBy(*by).agg(F.stddev_samp("m").alias("block_mean_sd"))
+    return valid(df).groupBy(*by, unit, "block_index").agg(F.avg("rt").alias("m")).groupBy(*by).agg(F.stddev_samp("m").alias("block_mean_sd"))
+
+
+def source_rows_monotonic(df: DataFrame, by: list[str], order: str = "trial_index") -> DataFrame:
+    """(by..., n_falls, source_row_monotonic): whether no participant's source rows fall when read in the given order (a DataFrame has none of its own)."""
+    own = Window.partitionBy(*by, "participant_id").orderBy(F.col(order).asc_nulls_last(), "source_row")
+    falls = df.withColumn("__falls", F.coalesce(F.col("source_row") < F.lag("source_row").over(own), F.lit(False)))
+    return falls.groupBy(*by).agg(F.count_if("__falls").alias("n_falls")).withColumn("source_row_monotonic", F.col("n_falls") == 0)
 
 
 def source_rows_kept(present: DataFrame, branch: DataFrame) -> DataFrame:
@@ -99,23 +132,29 @@ def source_rows_kept(present: DataFrame, branch: DataFrame) -> DataFrame:
 
 
 def time_bin_contrast(df: DataFrame, by: list[str], bins: int = 5) -> DataFrame:
-    """Largest absolute contrast of cell medians in `bins` bins of trial_index, cut at pooled quantiles (right-closed, equal cuts merged)."""
-    shares = [i / bins for i in range(1, bins)]
-    edges = df.groupBy(*by).agg(F.percentile(F.col("trial_index").cast("double"), shares).alias("__edges"))
-    at = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))
+    """Largest absolute contrast of cell medians in `bins` bins of trial_index, cut at pooled quantiles (right-closed, equal cuts merged); null below `bins` different trials."""
+    shares, good = [i / bins for i in range(1, bins)], valid(df).where("trial_index is not null")
+    # counted values: a branch has as many rows here as it has different trials
+    counted = good.groupBy(*by, "trial_index").agg(F.count("*").alias("__n"))
+    edges = counted.groupBy(*by).agg(F.percentile(F.col("trial_index").cast("double"), shares, F.col("__n")).alias("__edges"), F.count("*").alias("__trials")).where(F.col("__trials") >= bins)
+    at = good.join(edges, by) if by else good.crossJoin(F.broadcast(edges))
     binned = at.withColumn("__bin", F.size(F.filter(F.array_distinct("__edges"), lambda e: e < F.col("trial_index"))))
-    each = binned.where("trial_index is not null").groupBy(*by, "__bin").agg(contrast({c: F.median(F.when(cell(*c), rt())) for c in CELLS}).alias("d"))
+    keys = [*by, "__bin", "cong", "prev_cong"]
+    own = medians(binned.select(*keys, F.col("rt").alias("value")), keys)
+    each = own.groupBy(*by, "__bin").agg(contrast({c: F.max(F.when(cell(*c), F.col("median"))) for c in CELLS}).alias("d"))
     return each.groupBy(*by).agg(F.max(F.abs("d")).alias("max_abs_timebin_q050_cse"))
 
 
 def branch_diagnostics(df: DataFrame, by: list[str], approximate: int | None = None) -> DataFrame:
-    """Every diagnostic of every branch, joined on the branch's keys, with a text of warnings. The trials are kept, since six aggregates read them."""
-    df = df.select(*dict.fromkeys([*by, "participant_id", "study", "source_row", "trial_index", "block_index", "cong", "prev_cong", "rt", "prev_correct"])).persist()
+    """Every diagnostic of every branch, joined on the branch's keys, with a text of warnings. The trials are written to the scratch folder, since six aggregates read them."""
+    df = saved(df.select(*dict.fromkeys([*by, "participant_id", "study", "source_row", "trial_index", "block_index", "cong", "prev_cong", "rt", "prev_correct"])))
     parts = [pooled(df, by, approximate), cse_summary(df, by), lag1_autocorrelation(df, by), trial_slope(df, by), block_spread(df, by), time_bin_contrast(df, by)]
     got = reduce(lambda a, b: a.join(b, by, "left"), parts)
+    dropped = F.col("n_rows") - F.col("n_valid")
     warn = F.array_compact(F.array(
-        F.when(F.col("n_valid") == 0, "no_valid_rt"), F.when(F.col("n_valid") < F.col("n_rows"), "missing_rt"),
-        F.when(F.col("cell_min_n") == 0, "empty_cell"), F.when(F.col("mean_cse").isNull(), "no_complete_participant"),
+        F.when(dropped > 0, F.concat(F.lit("dropped_invalid_rows="), dropped.cast("string"))),
+        F.when(F.coalesce(F.col("n_incomplete") > 0, F.lit(True)), "incomplete_participant_cells"),
+        F.when(F.col("mean_cse").isNull(), "no_finite_participant_cse"), F.when(F.col("cell_min_n") == 0, "missing_pooled_cell"),
     ))
     return got.withColumn("warnings", F.concat_ws(";", warn))
 
@@ -127,7 +166,7 @@ def preservation_gates(diags: DataFrame) -> DataFrame:
     got = diags.join(ref, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left")
     null = (F.col("effect_condition") != "present") & F.col("__paired").isNotNull()
     got = got.withColumns({f"{c}_delta_from_present": F.when(null, F.col(c) - F.col(f"__ref_{c}")) for c in DELTAS})
-    fails = [F.when(F.abs(F.col(c)) > most, label) for c, most, label in GATES]
+    fails = [F.when(is_finite(F.col(c)) & (F.abs(F.col(c)) > most), label) for c, most, label in GATES]
     text = F.concat_ws(";", F.array_compact(F.array(*fails)))
     got = got.withColumns({"preservation_warnings": F.when(null, text).otherwise(""), "preservation_pass": F.when(null, text == "")})
     verdict = F.when(null & F.col("preservation_pass"), "interpretable_nullifier").when(null, "fails_preservation_gates").when(F.col("effect_condition") == "present", "reference_present").otherwise("unpaired")
@@ -136,13 +175,13 @@ def preservation_gates(diags: DataFrame) -> DataFrame:
 
 
 def exchangeability(df: DataFrame) -> DataFrame:
-    """Order and balance diagnostics for each study, with the standing advice on shuffling."""
-    by = ["study"]
-    both = F.col("cong").isNotNull() & F.col("prev_cong").isNotNull()
-    share = [F.count(F.when(cell(*c), 1)) / F.count(F.when(both, 1)) for c in CELLS]
+    """Order and balance diagnostics for each study, with the standing advice on shuffling; the imbalance is null unless all codes occur."""
+    by, df = ["study"], valid(df).where("cong in (-1, 1) and prev_cong in (-1, 1)")
+    share = cell_shares()
+    every = reduce(lambda a, b: a & b, [s.isNotNull() for s in share])
     balance = df.groupBy(*by).agg(
-        F.count_distinct("participant_id").alias("n_participants"), F.count("*").alias("n_rows"), F.greatest(*(F.abs(s - 0.25) for s in share)).alias("transition_imbalance"),
-        (F.avg(F.when(~F.col("prev_correct"), rt())) - F.avg(F.when(F.col("prev_correct"), rt()))).alias("post_error_slowing"),
+        F.count_distinct("participant_id").alias("n_participants"), F.count("*").alias("n_rows"), F.when(every, F.greatest(*(F.abs(s - 0.25) for s in share))).alias("transition_imbalance"),
+        (F.avg(F.when(~F.col("prev_correct"), F.col("rt"))) - F.avg(F.when(F.col("prev_correct"), F.col("rt")))).alias("post_error_slowing"),
     )
     parts = [balance, lag1_autocorrelation(df, by), trial_slope(df, by), block_spread(df, by, "study").withColumnRenamed("block_mean_sd", "block_sd")]
     return reduce(lambda a, b: a.join(b, by, "left"), parts).withColumn("recommendation", F.lit("do_not_use_as_primary_counterfactual"))
