@@ -284,15 +284,16 @@ def fit_branch(rows: pd.DataFrame, model: str) -> dict:
 
 
 def mixed_models(stats: DataFrame, by: list[str], models: tuple[str, ...] = ("lmm_intercept", "lmm_cong_slope", "lmm_full_slope")) -> DataFrame:
-    """A row for each branch and mixed model, solved from the branch's statistics."""
+    """A row for each branch and mixed model, solved from the branch's statistics; each model of a branch is a group of its own."""
     kinds = {f.name: f.dataType.simpleString() for f in stats.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ("," if by else "") + f" model string, {FIT_FIELDS}"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        key = {c: rows[c].iloc[0] for c in by}
-        return pd.DataFrame([key | {"model": m} | fit_branch(rows, m) for m in models])
+        key = {c: rows[c].iloc[0] for c in (*by, "model")}
+        return pd.DataFrame([key | fit_branch(rows.drop(columns="model"), key["model"])])
 
-    return stats.select(*by, "participant_id", "cong", "prev_cong", "n", "sy", "syy").groupBy(*by).applyInPandas(solve, schema)
+    each = stats.select(*by, "participant_id", "cong", "prev_cong", "n", "sy", "syy", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    return each.groupBy(*by, "model").applyInPandas(solve, schema)
 
 
 # --- result rows --------------------------------------------------------------------------------------------------------

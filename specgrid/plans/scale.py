@@ -4,15 +4,18 @@ Copying trials into every branch would multiply them by the samples, effect vari
 effect variants are columns of one trial table, a sample is a list of participants, and where an outlier rule's fences don't
 depend on the sample (none, ranges) the trials are reduced once to statistics per participant and cell, which every sample
 then sums. Fences of k standard deviations come from per-participant sums too; only the trials of those rules are joined to
-their samples, and reduced at once.
+their samples, and reduced at once. Median rules need each sample's own trials twice, for the median and for the deviations.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.operators import models, nullify, sampling
+from specgrid.sources.scratch import saved
 
 CELL = ["participant_id", "cong", "prev_cong"]
 KEYS = ["sample_size", "sample", "subsample_id"]
@@ -47,31 +50,42 @@ def sd_rule_stats(effects: DataFrame, members: DataFrame, rules: tuple[str, ...]
     return models.suff_stats(scaled(drawn, transforms), [*KEYS, "strip_method", "outlier", "transformation"])
 
 
+def mad_rule_stats(effects: DataFrame, members: DataFrame, rules: tuple[str, ...], transforms: tuple[str, ...]) -> DataFrame:
+    """The same for k median absolute deviations, whose fences are medians of each sample's trials."""
+    drawn, by = saved(effects.join(members, "participant_id")), [*KEYS, "strip_method"]
+    kept = drawn.join(sampling.fences(drawn, by, rules), by).where(sampling.inside(F.col("rt"), F.col("outlier"), F.col("lo"), F.col("hi")))
+    return models.suff_stats(scaled(kept, transforms), [*by, "outlier", "transformation"])
+
+
 def grid_stats(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...], seed: str = sampling.SEED) -> DataFrame:
     """(sample_size, sample, subsample_id, strip_method, outlier, transformation, participant_id, cong, prev_cong, n, sy, syy) for the whole grid.
 
-    The effects and the samples are read by several branches of the plan, so they are kept (in memory and on disk).
+    The effects and the samples are read by several branches of the plan, so they are written to the scratch folder.
     """
-    effects = nullify.long_effects(nullify.all_effects(trials, strips), strips).select(*CELL, "strip_method", "rt").persist()
-    members = sampling.membership(trials, samples, seed).persist()
-    fixed, sd = tuple(r for r in rules if r == "none" or r.startswith("range_")), tuple(r for r in rules if r.startswith("sd_"))
-    if other := set(rules) - {*fixed, *sd}:
-        raise ValueError(f"rules that need a median per sample aren't part of this plan: {sorted(other)}; use simple_grid_stats")
+    effects = saved(nullify.long_effects(nullify.all_effects(trials, strips), strips).select(*CELL, "strip_method", "rt"))
+    members = saved(sampling.membership(trials, samples, seed))
+    kinds = {f: tuple(r for r in rules if test(r)) for f, test in ((fixed_rule_stats, lambda r: r == "none" or r.startswith("range_")), (sd_rule_stats, lambda r: r.startswith("sd_")), (mad_rule_stats, lambda r: r.startswith("mad_")))}
+    if other := set(rules) - {r for own in kinds.values() for r in own}:
+        raise ValueError(f"unknown outlier rules: {sorted(other)}")
     columns = [*KEYS, "strip_method", "outlier", "transformation", *CELL, "n", "sy", "syy"]
-    parts = [f(effects, members, r, transforms).select(*columns) for f, r in ((fixed_rule_stats, fixed), (sd_rule_stats, sd)) if r]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, (f(effects, members, own, transforms).select(*columns) for f, own in kinds.items() if own))
 
 
 def simple_grid_stats(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...], seed: str = sampling.SEED) -> DataFrame:
     """The same by joining the trials to every sample first: for any rule, and what the plan above is held against."""
     effects = nullify.long_effects(nullify.all_effects(trials, strips), strips)
-    drawn = effects.join(sampling.membership(trials, samples, seed), "participant_id")
+    drawn = saved(effects.join(sampling.membership(trials, samples, seed), "participant_id"))
     by = [*KEYS, "strip_method"]
     bounds = sampling.fences(drawn, by, rules)
     kept = drawn.join(bounds, by).where(sampling.inside(F.col("rt"), F.col("outlier"), F.col("lo"), F.col("hi")))
     return models.suff_stats(scaled(kept, transforms), [*by, "outlier", "transformation"])
 
 
+def grid_mixed(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...]) -> DataFrame:
+    """The mixed models of every branch, from the same statistics; a row for each branch and model."""
+    return models.mixed_models(grid_stats(trials, samples, strips, rules, transforms), [*KEYS, "strip_method", "outlier", "transformation"])
+
+
 def grid_rmanova(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...]) -> DataFrame:
     """The interaction test of every branch."""
     return models.rmanova(grid_stats(trials, samples, strips, rules, transforms), [*KEYS, "strip_method", "outlier", "transformation"])
