@@ -12,11 +12,29 @@ CELLS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
 #: Studies that supply their own previous-trial fields.
 SUPPLIED = ("yang", "primeprobe", "flanker")
 MISSING = ("", "NA", "NaN", "NULL")
-#: Confounds of a sequence effect and the columns that could speak to each.
+#: Confounds of a sequence effect, the columns that speak to each, and its status while the first of them is there.
 CONFOUNDS = (
-    ("previous congruency", "prev_cong"), ("post-error slowing", "prev_correct"), ("accuracy filter", "correct"), ("practice and fatigue", "trial_index"), ("blocks", "block_index"),
-    ("practice trials", "is_practice"), ("stimulus repetition", "stimulus"), ("response repetition", "response"), ("feature integration", "stimulus_features"), ("contingency learning", "item"), ("study condition", "condition"),
-)
+    ("previous congruency", ("prev_cong",), "available_but_recompute_required"),
+    ("previous accuracy/post-error slowing", ("prev_correct",), "available_but_recompute_required"),
+    ("current accuracy filtering", ("correct",), "available"),
+    ("trial index/fatigue/practice trend", ("trial_index", "is_practice"), "available"),
+    ("block effects", ("block_index", "name", "condition"), "available_study_specific"),
+    ("practice trials", ("is_practice", "name"), "available_study_sparse"),
+    ("stimulus identity/repetition", (), "insufficient"),
+    ("response identity/repetition", (), "missing"),
+    ("feature/event-file integration", (), "missing"),
+    ("contingency learning/item-specific proportion congruency", (), "missing"),
+    ("study-specific affect/conflict condition", ("condition", "congruency", "name"), "available_study_sparse"),
+)
+#: What a reader should mind, by status.
+RISKS = {
+    "available_but_recompute_required": "taken from the row before, which may be another participant's: make it again",
+    "available": "filtering or drift by it changes cells and must be stated",
+    "available_study_specific": "means something else in each study: compare within studies only",
+    "available_study_sparse": "some studies have none: not a covariate of all",
+    "insufficient": "too coarse in the combined data to tell it apart from the effect",
+    "missing": "not in the combined data, so it can't be ruled out",
+}
 
 
 def normalize_missing(column: Column) -> Column:
@@ -87,10 +105,17 @@ def column_inventory(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def confound_risk(inventory: DataFrame) -> DataFrame:
-    """Whether the table holds a column for each confound, and how much of it is missing."""
-    known = inventory.sparkSession.createDataFrame(list(CONFOUNDS), "confound string, column string")
+    """(confound, columns, column, status, risk, missing_rate): whether the table holds what speaks to each confound, and how much of its key column is missing.
+
+    A confound without a column of its own keeps its status; of the others those whose key column isn't in the inventory are missing.
+    The sparse study conditions count as such whether the column is there or not.
+    """
+    rows = [(name, "; ".join(columns), columns[0] if columns else None, status, not columns or name.startswith("study-specific")) for name, columns, status in CONFOUNDS]
+    known = inventory.sparkSession.createDataFrame(rows, "confound string, columns string, column string, held string, always boolean")
     got = known.join(inventory.select("column", "missing_rate"), "column", "left")
-    return got.withColumn("available", F.col("missing_rate").isNotNull())
+    status = F.when(F.col("always") | F.col("missing_rate").isNotNull(), F.col("held")).otherwise("missing")
+    risk = F.create_map(*[F.lit(x) for pair in RISKS.items() for x in pair])
+    return got.withColumn("status", status).select("confound", "columns", "column", "status", risk[F.col("status")].alias("risk"), "missing_rate")
 
 
 def check_required(df: DataFrame, columns: list[str]) -> None:

@@ -254,5 +254,5 @@ def run_all(results: DataFrame, diags: DataFrame | None = None, alpha: float = A
         "branch_health": branch_health(p), "branch_health_by_spec": branch_health_by_spec(p), "problem_branches": problem_branches(p), "estimate_summary": estimate_summary(p),
         **{f"power_{k}": v for k, v in power.items()}, **{f"fpr_{k}": v for k, v in fpr.items()}, "failure_aware": failure_aware_rates(p, alpha), "roc": roc(p, alpha), "roc_by_outlier": roc_by_outlier(p, alpha),
         "spec_curve": spec_curve(p), "spec_inconsistency": spec_inconsistency(p, alpha), "summary": summary_table(p, alpha),
-        **{f"by_{f}": by_factor(p, [f], alpha) for f in ("model_type", "transformation", "outlier", "sample_size")},
+        **{name: by_factor(p, [factor, "transformation"], alpha) for name, factor in (("by_outlier", "outlier"), ("by_sample_size", "sample_size"), ("by_model", "model_type"))},
     }
