@@ -178,7 +178,7 @@ def results_known_truth(df):
 @query(OF, "table:s n_rows n_columns")
 def results_all_tables(df):
     every = tables.run_all(df)
-    return io.table_manifest({k: every[k] for k in ("branch_health", "power_coarse", "fpr_coarse", "failure_aware", "roc", "summary", "by_outlier")})
+    return io.table_manifest(every)
 
 
 @query(OF, "table:s n_rows", sql(f"""
@@ -198,9 +198,8 @@ def results_rows(df):
 
 
 @query(OF, "model:s n error:b", """
-with r as (select model, avg(cast(full_is_singular as int)) as x from (select *, full_converged and outlier = 'none' as s from results) group by outlier, model having false),
-l as (select model, count(*) as n from results where model in (select model from results group by model having count(case when model = 'rmanova' then 1 end) not in (0, count(*))) group by model)
-select case when model = 'rmanova' then 'other_separated' else model end as model, count(*) as n, model = 'rmanova' as error from results group by all""")
+with h as (select model, model = 'rmanova' or (error and branch_idx % 2 = 0) as sep from results), r as (select model, count(*) as n, avg(cast(sep as int)) as rate from h group by model),
+c as (select case when rate in (0, 1) then 'other_separated' else model end as model, n from r) select model, sum(n) as n, model = 'other_separated' as error from c group by model""")
 def results_collapse_separated(df):
     held = df.withColumn("sep", (F.col("model") == "rmanova") | (F.col("error") & (F.col("branch_idx") % 2 == 0)))
     got = models.collapse_separated(held, "sep", "model")

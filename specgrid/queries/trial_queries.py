@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
-from specgrid.operators import audit, diagnostics, grid, harmonize, models, nullify, sampling, subsets
+from specgrid.operators import audit, diagnostics, grid, harmonize, materialize, models, nullify, sampling, subsets
 from specgrid.plans import scale
 from specgrid.registry import query
 from specgrid.sources import io
@@ -209,9 +209,11 @@ def audit_column_inventory(df):
     return audit.column_inventory(df, ["cong", "prev_cong", "study", "participant_id"])
 
 
-@query("trials_ev", "confound:s column:s available:b missing_rate:d", f"""
-with k(confound, c) as (values {', '.join(f"('{a}', '{b}')" for a, b in audit.CONFOUNDS)}), m as (select 'prev_cong' as c, count(case when prev_cong is null then 1 end) / count(*) as r from trials
-  union all select 'correct', 0.0 union all select 'trial_index', 0.0) select confound, k.c as "column", r is not null as available, r as missing_rate from k left join m using (c)""")
+@query("trials_ev", "confound:s columns:s column:s status:s risk:s missing_rate:d", f"""
+with k(confound, columns, c, held, fixed) as (values {', '.join(f"('{name}', '{'; '.join(cols)}', {repr(cols[0]) if cols else 'null'}, '{status}', {not cols or name.startswith('study-specific')})" for name, cols, status in audit.CONFOUNDS)}),
+m as (select 'prev_cong' as c, count(case when prev_cong is null then 1 end) / count(*) as r from trials union all select 'correct', count(case when correct is null then 1 end) / count(*) from trials union all select 'trial_index', count(case when trial_index is null then 1 end) / count(*) from trials),
+s as (select k.*, r, case when fixed or r is not null then held else 'missing' end as status from k left join m using (c)), risks(status, risk) as (values {', '.join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in audit.RISKS.items())})
+select confound, columns, c as "column", status, risk, r as missing_rate from s join risks using (status)""")
 def audit_confound_risk(df):
     return audit.confound_risk(audit.column_inventory(df, ["prev_cong", "correct", "trial_index"]))
 
@@ -265,40 +267,45 @@ def grid_pending_and_ids(df):
     return parsed.withColumn("strip_method", grid.normalized(F.upper("strip_method"), "strip_method"))
 
 
-@query("trials_li", "study:s rule:s n_bad", "select study, unnest(['labels', 'rows', 'data_ids', 'repeated_ids']) as rule, 0 as n_bad from (select distinct study from trials) s where study = 's1'")
-def grid_contract(df):
-    one = branches_of(df).where("study = 's1'")
-    return audit.branch_contract(one, 9, 2, 10, 6, 4).withColumn("study", F.lit("s1"))
-
-
-@query("trials_li", "expected present missing n_problem", f"""
-with b as (select * from ({BRANCHES}) b, (select distinct study from trials where study = 's1') s) select count(*) as expected, count(case when branch_idx % 5 = 0 then 1 end) as present, count(case when branch_idx % 5 <> 0 then 1 end) as missing, 0 as n_problem from b""")
-def grid_coverage(df):
-    one = branches_of(df).where("study = 's1'")
-    done = one.where("branch_idx % 5 = 0")
-    problems = audit.attach_data_id(done.drop("data_id"), one).where("id_problem is not null").agg(F.count("*").alias("n_problem"))
-    return audit.branch_coverage(one, done).crossJoin(problems)
+CONTRACT = f"""with b as (select study, b.* from ({BRANCHES}) b, (select distinct study from trials) s where not (study = 's2' and branch_idx % 7 = 0)),
+p as (select * replace (case when study = 's4' and effect_condition = 'null_interaction' and branch_idx % 13 = 0 then 'none' else strip_method end as strip_method) from b union all select * from b where study = 's3' and branch_idx % 11 = 0),
+i as (select study, count(case when k > 1 then 1 end) as repeated_ids from (select study, branch_id, count(*) as k from p group by all) q group by study),
+c as (select study, count(case when (effect_condition = 'present') <> (strip_method = 'none') then 1 end) as labels, abs(count(*) - 4320) as rows, abs(count(distinct data_id) - 1080) as data_ids from p group by study)
+select study, unnest(['labels', 'rows', 'data_ids', 'repeated_ids']) as rule, unnest([labels, rows, data_ids, repeated_ids]) as n_bad from c join i using (study)"""
 
 
-@query("trials_li", "study:s rule:s n_bad", "select study, unnest(['labels', 'rows', 'data_ids', 'repeated_ids']) as rule, 0 as n_bad from (select distinct study from trials) s")
-def grid_contract_studies(df):
-    """grid_contract over every study."""
-    return audit.branch_contract(branches_of(df), 9, 2, 10, 6, 4, by=["study"])
+@query("trials_li", "study:s rule:s n_bad", CONTRACT, name="grid_contract_studies")
+@query("trials_li", "study:s rule:s n_bad", CONTRACT)
+def grid_contract(df):
+    """The contract of a whole grid, for every study; three studies' branches are lost, repeated or mislabelled in part."""
+    of = lambda study, k: (F.col("study") == study) & (F.col("branch_idx") % k == 0)
+    held = branches_of(df).where(~of("s2", 7))
+    mislabelled = of("s4", 13) & (F.col("effect_condition") == "null_interaction")
+    every = held.withColumn("strip_method", F.when(mislabelled, "none").otherwise(F.col("strip_method"))).unionByName(held.where(of("s3", 11)))
+    return audit.branch_contract(every, 9, 2, 10, 6, 4, by=["study"])
 
 
+@query("trials_li", "study:s expected present missing n_problem", f"""
+select study, count(*) as expected, count(case when branch_idx % 5 = 0 then 1 end) as present, count(case when branch_idx % 5 <> 0 then 1 end) as missing, 0 as n_problem from ({BRANCHES}) b, (select distinct study from trials) s group by study""", name="grid_coverage_studies")
 @query("trials_li", "study:s expected present missing n_problem", f"""
 select study, count(*) as expected, count(case when branch_idx % 5 = 0 then 1 end) as present, count(case when branch_idx % 5 <> 0 then 1 end) as missing, 0 as n_problem from ({BRANCHES}) b, (select distinct study from trials) s group by study""")
-def grid_coverage_studies(df):
-    """grid_coverage over every study."""
+def grid_coverage(df):
+    """How much of the grid is done, for every study."""
     every = branches_of(df)
     done = every.where("branch_idx % 5 = 0")
     problems = audit.attach_data_id(done.drop("data_id"), every, by=["study"]).groupBy("study").agg(F.count("id_problem").alias("n_problem"))
     return audit.branch_coverage(every, done, by=["study"]).join(problems, "study", "left").withColumn("n_problem", F.coalesce("n_problem", F.lit(0)))
 
 
-@query("trials_li", "study:s strategy:s data_level:s formula:s denominator:s")
+STRATEGIES = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in row[:-1]) + ")" for row in grid.strategy_rows())
+
+
+@query("trials_ev", "study:s strategy_id:s model_family:s outcome_scale:s formula_full:s formula_null:s failure_modes:s n_rows n_participants", f"""
+with k(strategy_id, model_family, outcome_scale, formula_full, formula_null, cse_extraction_rule, denominator_rule, failure_modes) as (values {STRATEGIES}),
+t as (select study, participant_id, unnest(['rt', 'log_rt']) as outcome_scale, unnest([true, rt - 20 > 0]) as fine from trials where rt is not null and cong is not null and prev_cong is not null),
+c as (select study, outcome_scale, count(case when fine then 1 end) as n_rows, count(distinct case when fine then participant_id end) as n_participants from t group by all) select * from k join c using (outcome_scale)""")
 def grid_strategies(df):
-    return df.select("study").distinct().crossJoin(grid.strategy_table(df.sparkSession))
+    return grid.planned_strategies(df.withColumn("rt", F.col("rt") - 20), ["study"])
 
 
 # --- nullifiers ----------------------------------------------------------------------------------------------------------
@@ -346,14 +353,6 @@ r as (select participant_id, cong, list(rt order by rt) as r from good group by
 select source_row, participant_id, case when na < 2 then rt else {grid_sql('r', 'tau')} + {grid_sql('c', 'tau')} - {grid_sql('g', 'tau')} end as rt from t join r using (participant_id, cong) join c using (participant_id, prev_cong) join g using (participant_id) where nc >= 2"""
 
 
-@query("trials_li", "source_row participant_id:s rt:f", f"with {QMAP}")
-def nullify_qmap(df):
-    """Trials of cells of two or more; nullify_qmap_whole has every trial."""
-    dense = df.groupBy("participant_id", "cong", "prev_cong").count().where("count >= 2").drop("count")
-    rows = df.where("cong is not null and prev_cong is not null").join(dense, ["participant_id", "cong", "prev_cong"], "left_semi").select("source_row")
-    return nullify.additive_qmap(df).join(rows, "source_row", "left_semi")
-
-
 # as QMAP, with every trial: in a cell of one, tau is read off the cell's curve over everyone; trials without a code or time pass through
 QMAP_WHOLE = QMAP[: QMAP.index("select source_row")] + f""", o as (select cong, prev_cong, list(rt order by rt) as o from good group by all), y as (select cong, prev_cong, [{', '.join(type8_sql('o', f'{k} / 199.0') for k in range(200))}] as y from o),
 s as (select t.* exclude (tau), y, tau as own_tau, len(list_filter(y, lambda v: v < rt)) as before from t join y using (cong, prev_cong)),
@@ -363,18 +362,29 @@ select source_row, participant_id, case when na < 2 then rt else {grid_sql('r',
 union all select source_row, participant_id, rt from trials where rt is null or cong is null or prev_cong is null"""
 
 
+@query("trials_li", "source_row participant_id:s rt:f", f"with {QMAP_WHOLE}", name="nullify_qmap_whole")
 @query("trials_li", "source_row participant_id:s rt:f", f"with {QMAP_WHOLE}")
-def nullify_qmap_whole(df):
-    """nullify_qmap over every trial."""
+def nullify_qmap(df):
+    """Every trial, those of cells of one too."""
     return nullify.additive_qmap(df)
 
 
-@query("trials_ev", "source_row participant_id:s rt:d")
+@query("trials_ev", "source_row participant_id:s rt:f", f"with {QMAP_WHOLE}")
 def nullify_qmap_sparse(df):
     return nullify.additive_qmap(df)
 
 
-@query("trials_li", "source_row participant_id:s rt:f")
+def binned_qmap_sql() -> str:
+    """The map within rich trial bins (five trials in each cell), else over the whole participant."""
+    keys = "participant_id, bin"
+    return f"""with {BINNED}, rich as (select * from binned join (select participant_id, bin from binned group by all having {least_sql(' and rt is not null')} >= 5) q using (participant_id, bin) where rt is not null and cong is not null and prev_cong is not null and trial_index is not null),
+lt as (select *, cume_dist() over (partition by {keys}, cong, prev_cong order by rt) as tau from rich), lr as (select {keys}, cong, list(rt order by rt) as r from rich group by {keys}, cong),
+lc as (select {keys}, prev_cong, list(rt order by rt) as c from rich group by {keys}, prev_cong), lg as (select {keys}, list(rt order by rt) as g from rich group by {keys}),
+near as (select source_row, participant_id, {grid_sql('r', 'tau')} + {grid_sql('c', 'tau')} - {grid_sql('g', 'tau')} as rt from lt join lr using ({keys}, cong) join lc using ({keys}, prev_cong) join lg using ({keys})),
+far as (with {QMAP_WHOLE}) select source_row, participant_id, coalesce(near.rt, far.rt) as rt from far left join near using (source_row, participant_id)"""
+
+
+@query("trials_li", "source_row participant_id:s rt:f", binned_qmap_sql())
 def nullify_qmap_trial_bin(df):
     return nullify.additive_qmap_trial_bin(df)
 
@@ -486,10 +496,22 @@ def model_mixed(df):
     return models.mixed_models(models.suff_stats(df, ["study"]), ["study"])
 
 
-@query("trials_li", "study:s n_terms term:s estimate:d error:b", "select study, 1 as n_terms, 'cong1:prev_cong1' as term, avg(rt) as estimate, false as error from trials group by study")
+@query("trials_li", "study:s n_terms term:s estimate:d error:b", """
+with m as (select study, avg(rt) as m from trials group by study),
+t as (select study, unnest(['cong1', 'prev_cong1', 'cong1:prev_cong1', 'cong1:trial', 'prev_cong[S.1]:cong[S.1]', 'congruent:prev_cong1']) as term, m * unnest([2, 3, 1, 4, 5, 6]) as estimate from m),
+k as (select * from t where not (study = 's1' and term in ('cong1:prev_cong1', 'prev_cong[S.1]:cong[S.1]')) and not (study in ('s0', 's3') and term = 'prev_cong[S.1]:cong[S.1]') and not (study = 's4' and term = 'cong1:prev_cong1')),
+h as (select *, regexp_full_match(term, '(cong([0-9.+-]|\\[.*\\])*:prev_cong([0-9.+-]|\\[.*\\])*)|(prev_cong([0-9.+-]|\\[.*\\])*:cong([0-9.+-]|\\[.*\\])*)') as hit from k)
+select study, count(case when hit then 1 end) as n_terms, case when count(case when hit then 1 end) = 1 then min(case when hit then term end) end as term, case when count(case when hit then 1 end) = 1 then min(case when hit then estimate end) end as estimate,
+  count(case when hit then 1 end) > 1 as error from h group by study""")
 def model_select_interaction(df):
+    """One hit, none and several: the studies' fits lack different terms."""
     means = df.groupBy("study").agg(F.avg("rt").alias("m"))
-    terms = means.select("study", F.inline(F.array(*(F.struct(F.lit(t).alias("term"), (F.col("m") * k).alias("estimate")) for t, k in (("cong1", 2), ("prev_cong1", 3), ("cong1:prev_cong1", 1), ("cong1:trial", 4))))))
+    a, b = "cong1:prev_cong1", "prev_cong[S.1]:cong[S.1]"
+    every = (("cong1", 2), ("prev_cong1", 3), (a, 1), ("cong1:trial", 4), (b, 5), ("congruent:prev_cong1", 6))
+    terms = means.select("study", F.inline(F.array(*(F.struct(F.lit(t).alias("term"), (F.col("m") * k).alias("estimate")) for t, k in every))))
+    lacking = {"s0": (b,), "s1": (a, b), "s3": (b,), "s4": (a,)}
+    for study, gone in lacking.items():
+        terms = terms.where(~((F.col("study") == study) & F.col("term").isin(*gone)))
     return models.select_interaction(terms, ["study"])
 
 
@@ -517,44 +539,104 @@ def grid_p_values(df):
     return models.with_p_values(got).withColumn("significant", models.significant(F.col("p_value")))
 
 
+MATERIALIZED_RULES = ("none", "sd_2", "mad_2.5", "range_1500")
+
+
+@query("trials_li", "data_id:s n_rows rt:d lo:d hi:d n_participants n_logs", f"""
+with {MEMBERS}, eff as (select *, 'none' as strip_method, 'present' as effect_condition from trials union all by name select t.* exclude (rt), r.rt, 'local_mean_residual' as strip_method, 'null_interaction' as effect_condition from trials t join ({residual_sql('avg')}) r using (source_row)),
+drawn as (select e.*, m.sample_size, m.sample, m.subsample_id from eff e join members m using (participant_id)),
+f as (select sample, subsample_id, strip_method, avg(rt) as m, stddev_samp(rt) as s, median(rt) as med from drawn group by all),
+g as (select f.*, mad from f join (select sample, subsample_id, strip_method, median(abs(rt - med)) as mad from drawn join f using (sample, subsample_id, strip_method) group by all) q using (sample, subsample_id, strip_method)),
+kept as (select d.*, unnest(['none', 'sd_2', 'mad_2.5', 'range_1500']) as outlier, unnest([true, rt between m - 2 * s and m + 2 * s, rt between med - 2.5 * mad and med + 2.5 * mad, rt between 200 and 1500]) as keep from drawn d join g using (sample, subsample_id, strip_method)),
+scaled as (select *, 'no_log_rt' as transformation, rt as y from kept where keep union all select *, 'log_rt', case when rt > 0 then ln(rt) end from kept where keep)
+select concat_ws('__', sample, cast(subsample_id as varchar), transformation, outlier, effect_condition, strip_method) as data_id, count(*) as n_rows, avg(y) as rt, min(y) as lo, max(y) as hi, count(distinct participant_id) as n_participants, count(case when transformation = 'log_rt' then y end) as n_logs from scaled group by all""")
+def grid_materialize(df):
+    """The trials of 112 data branches, with rules of every kind, and what each holds."""
+    spec = grid.Grid(fractions=(0.25, 0.5, 1.0), samples=3, outliers=MATERIALIZED_RULES, strips=("local_mean_residual",))
+    got = materialize.materialized(df, grid.data_branches(df.sparkSession, spec))
+    return got.groupBy("data_id").agg(
+        F.count("*").alias("n_rows"), F.avg("rt").alias("rt"), F.min("rt").alias("lo"), F.max("rt").alias("hi"), F.count_distinct("participant_id").alias("n_participants"),
+        F.count(F.when(F.col("transformation") == "log_rt", F.col("rt"))).alias("n_logs"),
+    )
+
+
+@query("trials_li", "sample_size:d subsample_id strip_method:s transformation:s outlier:s n_complete estimate:d t:d df2", f"""
+with {MEMBERS}, drawn as (select t.*, m.sample_size, m.sample, m.subsample_id from trials t join members m using (participant_id)),
+f as (select sample, subsample_id, median(rt) as med from drawn group by all),
+g as (select f.*, mad from f join (select sample, subsample_id, median(abs(rt - med)) as mad from drawn join f using (sample, subsample_id) group by all) q using (sample, subsample_id)),
+kept as (select d.*, unnest(['mad_2', 'mad_3']) as outlier, unnest([rt between med - 2 * mad and med + 2 * mad, rt between med - 3 * mad and med + 3 * mad]) as keep from drawn d join g using (sample, subsample_id)),
+scaled as (select *, 'no_log_rt' as transformation, rt as y from kept where keep union all select *, 'log_rt', case when rt > 0 then ln(rt) end from kept where keep),
+w as (select sample_size, subsample_id, transformation, outlier, participant_id, {contrast_sql('avg', 'y')} as z from scaled where y > 0 and cong in (-1, 1) and prev_cong in (-1, 1) group by all)
+select sample_size, subsample_id, 'none' as strip_method, transformation, outlier, count(z) as n_complete, avg(z) as estimate, avg(z) / (stddev_samp(z) / sqrt(count(z))) as t, count(z) - 1 as df2 from w group by all""")
+def grid_rmanova_mad(df):
+    """The same grid plan under rules that need a median for each sample."""
+    return scale.grid_rmanova(df, samples_of(df), ("none",), ("mad_2", "mad_3"), grid.TRANSFORMS)
+
+
+@query("trials_ev", "sample_size:d subsample_id strip_method:s transformation:s outlier:s model:s n_obs n_participants main_estimate:d error:b")
+def grid_mixed_models(df):
+    """Mixed models over a grid's statistics."""
+    samples = grid.base_samples(df.sparkSession, (0.5, 1.0), 1)
+    return scale.grid_mixed(df, samples, ("none", "local_mean_residual"), ("none", "sd_2"), ("no_log_rt",))
+
+
 # --- diagnostics -------------------------------------------------------------------------------------------------------
 
 BY = ["study"]
-CSE = f"select study, participant_id, {contrast_sql('avg')} as cse from trials group by all"
+VALID = "isfinite(rt) and rt > 0 and cong is not null and prev_cong is not null"
 
 
-@query("trials_li", "study:s mean_cse:d median_cse:d max_abs_cse:d", f"with c as ({CSE}) select study, avg(cse) as mean_cse, median(cse) as median_cse, max(abs(cse)) as max_abs_cse from c group by study")
-def diag_cse(df):
-    return diagnostics.cse_summary(df, BY)
+def shares_sql() -> list[str]:
+    """A cell's share among those whose codes both occur."""
+    level = lambda name, code: f"count(case when {VALID} and {name} = {code} then 1 end)"
+    return [f"case when {level('cong', c)} > 0 and {level('prev_cong', p)} > 0 then count(case when {VALID} and cong = {c} and prev_cong = {p} then 1 end) / count(case when {VALID} then 1 end) end" for c, p in CELLS]
 
 
-QUANTILES = ", ".join(f"{contrast_sql('quantile_cont').replace('end)', f'end, {p})')} as {n}" for p, n in zip(diagnostics.PROBS, diagnostics.QUANTILE_NAMES, strict=True))
-SHARES = [f"nullif(count(case when cong = {c} and prev_cong = {p} then 1 end), 0) / count(case when cong is not null and prev_cong is not null then 1 end)" for c, p in CELLS]
-POOLED = f"""select study, {QUANTILES}, {least_sql(' and rt is not null')} as cell_min_n, avg(case when cong = 1 then rt end) - avg(case when cong = -1 then rt end) as current_cong_effect,
-  avg(case when prev_cong = 1 then rt end) - avg(case when prev_cong = -1 then rt end) as previous_cong_effect, avg(case when not prev_correct then rt end) - avg(case when prev_correct then rt end) as post_error_slowing,
-  greatest({', '.join(SHARES)}) - least({', '.join(SHARES)}) as transition_imbalance, count(*) as n_rows, count(distinct participant_id) as n_participants from trials group by study"""
+def metrics_sql(source: str, keys: str) -> str:
+    """CTEs ending in `metrics`: every diagnostic of every branch (keys) of a table."""
+    vrt = f"case when {VALID} then rt end"
+    side = lambda name: f"avg(case when {name} = 1 then {vrt} end) - avg(case when {name} = -1 then {vrt} end)"
+    cuts = ", ".join(f"quantile_cont(trial_index, {i / 5})" for i in range(1, 5))
+    return f"""good as (select * from {source} where {VALID}),
+cells as (select {keys}, {quantiles_sql()} from good group by {keys}),
+pools as (select {keys}, {least_sql(' and ' + VALID)} as cell_min_n, {side('cong')} as current_cong_effect, {side('prev_cong')} as previous_cong_effect,
+  avg(case when not prev_correct then {vrt} end) - avg(case when prev_correct then {vrt} end) as post_error_slowing, greatest({', '.join(shares_sql())}) - least({', '.join(shares_sql())}) as transition_imbalance,
+  count(*) as n_rows, count({vrt}) as n_valid, count(distinct case when {VALID} then participant_id end) as n_participants from {source} group by {keys}),
+each as (select {keys}, participant_id, {contrast_sql('avg')} as cse, count(*) as n, stddev_samp(rt) as sd, max(trial_index) > min(trial_index) as two, regr_slope(rt, trial_index) as k from good group by {keys}, participant_id),
+cses as (select {keys}, avg(cse) as mean_cse, median(cse) as median_cse, max(abs(cse)) as max_abs_cse, count(case when cse is null then 1 end) as n_incomplete, avg(case when two then k end) as trial_rt_slope_mean from each group by {keys}),
+pairs as (select {keys}, participant_id, rt, lag(rt) over (partition by {keys}, participant_id order by trial_index, source_row) as b from good),
+corrs as (select {keys}, participant_id, count(*) as n, stddev_samp(rt) as sd, corr(b, rt) as r from pairs group by {keys}, participant_id),
+lags as (select {keys}, avg(case when n >= 3 and sd > 0 and isfinite(r) then r end) as lag1_autocorr_mean from corrs group by {keys}),
+blocks as (select {keys}, stddev_samp(m) as block_mean_sd from (select {keys}, participant_id, block_index, avg(rt) as m from good group by {keys}, participant_id, block_index) q group by {keys}),
+edges as (select {keys}, list_distinct([{cuts}]) as e from good group by {keys} having count(distinct trial_index) >= 5),
+bins as (select {keys}, bin, {contrast_sql('median')} as d from (select good.*, len(list_filter(e, lambda x: x < trial_index)) as bin from good join edges using ({keys})) q group by {keys}, bin),
+times as (select {keys}, max(abs(d)) as max_abs_timebin_q050_cse from bins group by {keys}),
+metrics as (select * from pools left join cells using ({keys}) left join cses using ({keys}) left join lags using ({keys}) left join blocks using ({keys}) left join times using ({keys}))"""
 
 
-@query("trials_li", "study:s q010_cse:d q025_cse:d q050_cse:d q075_cse:d q090_cse:d cell_min_n current_cong_effect:d previous_cong_effect:d post_error_slowing:d transition_imbalance:d n_rows n_participants", POOLED)
-def diag_pooled(df):
-    return diagnostics.pooled(df, BY)
+def quantiles_sql() -> str:
+    return ", ".join(f"{contrast_sql('quantile_cont').replace('end)', f'end, {p})')} as {n}" for p, n in zip(diagnostics.PROBS, diagnostics.QUANTILE_NAMES, strict=True))
+
+
+METRICS = metrics_sql("trials", "study")
+
+
+@query("trials_li", "study:s mean_cse:d median_cse:d max_abs_cse:d n_incomplete", f"with {METRICS} select * from metrics")
+def diag_cse(df):
+    return diagnostics.cse_summary(df, BY)
 
 
-LAG1 = "l as (select study, participant_id, rt, lag(rt) over (partition by study, participant_id order by trial_index, source_row) as b from trials where rt is not null), r as (select study, participant_id, count(*) as n, stddev_samp(rt) as sd, corr(b, rt) as r from l group by all)"
-SLOPE = "sl as (select study, participant_id, count(*) as n, regr_slope(rt, trial_index) as k from trials where rt is not null group by all)"
-BLOCKS = "bm as (select study, participant_id, block_index, avg(rt) as m from trials group by all)"
+@query("trials_li", "study:s q010_cse:d q025_cse:d q050_cse:d q075_cse:d q090_cse:d cell_min_n current_cong_effect:d previous_cong_effect:d post_error_slowing:d transition_imbalance:d n_rows n_valid n_participants", f"with {METRICS} select * from metrics")
+def diag_pooled(df):
+    return diagnostics.pooled(df, BY)
 
 
-@query("trials_li", "study:s lag1_autocorr_mean:d trial_rt_slope_mean:d block_mean_sd:d", f"""
-with {LAG1}, {SLOPE}, {BLOCKS}, a as (select study, avg(case when n >= 3 and sd > 0 and not isnan(r) then r end) as lag1_autocorr_mean from r group by study), b as (select study, avg(case when n >= 3 then k end) as trial_rt_slope_mean from sl group by study),
-c as (select study, stddev_samp(m) as block_mean_sd from bm group by study) select * from a join b using (study) join c using (study)""")
+@query("trials_li", "study:s lag1_autocorr_mean:d trial_rt_slope_mean:d block_mean_sd:d", f"with {METRICS} select * from metrics")
 def diag_order(df):
     return reduce(lambda a, b: a.join(b, BY), [diagnostics.lag1_autocorrelation(df, BY), diagnostics.trial_slope(df, BY), diagnostics.block_spread(df, BY)])
 
 
-@query("trials_li", "study:s max_abs_timebin_q050_cse:d", f"""
-with e as (select study, list_distinct([quantile_cont(trial_index, 0.2), quantile_cont(trial_index, 0.4), quantile_cont(trial_index, 0.6), quantile_cont(trial_index, 0.8)]) as e from trials group by study),
-b as (select t.*, len(list_filter(e.e, lambda x: x < t.trial_index)) as bin from trials t join e using (study)), d as (select study, bin, {contrast_sql('median')} as d from b group by all) select study, max(abs(d)) as max_abs_timebin_q050_cse from d group by study""")
+@query("trials_li", "study:s max_abs_timebin_q050_cse:d", f"with {METRICS} select * from metrics")
 def diag_time_bins(df):
     return diagnostics.time_bin_contrast(df, BY)
 
@@ -569,16 +651,32 @@ def diagnosed(df: DataFrame) -> DataFrame:
     return got.withColumn("data_id", F.concat_ws("__", F.col("sample_size").cast("string"), "subsample_id", "transformation", "outlier", "effect_condition", "strip_method"))
 
 
-@query("trials_li", "data_id:s strip_method:s mean_cse:d q050_cse:d warnings:s current_cong_effect_delta_from_present:d preservation_warnings:s preservation_pass:b nullification_verdict:s")
+def gates_sql() -> str:
+    """CTEs ending in `gated`: the branches of `diagnosed` with their differences from the present ones, and the gates' verdict."""
+    variants = " union all ".join(
+        f"select t.* exclude (rt), {rt} as rt, '{method}' as strip_method from trials t {join}"
+        for method, rt, join in (("none", "t.rt", ""), *((f"local_{kind}_residual", "r.rt", f"join ({residual_sql(agg)}) r on r.source_row = t.source_row and r.participant_id = t.participant_id") for kind, agg in (("mean", "avg"), ("median", "median"))))
+    )
+    deltas = ", ".join(f"case when g.strip_method <> 'none' then g.{c} - p.{c} end as {c}_delta_from_present" for c in diagnostics.DELTAS)
+    gates = ", ".join(f"case when isfinite({c}) and abs({c}) > {most} then '{label}' end" for c, most, label in diagnostics.GATES)
+    return f"""long as (select *, case when study in ('s0', 's1', 'even') then 0.5 else 1.0 end as sample_size from ({variants}) q), {metrics_sql('long', 'sample_size, strip_method')},
+deltas as (select g.*, {deltas} from metrics g join metrics p on p.sample_size = g.sample_size and p.strip_method = 'none'),
+gated as (select *, case when strip_method = 'none' then 'present' else 'null_interaction' end as effect_condition, case when strip_method = 'none' then '' else concat_ws(';', {gates}) end as preservation_warnings,
+  concat_ws(';', case when n_rows > n_valid then 'dropped_invalid_rows=' || (n_rows - n_valid) end, case when coalesce(n_incomplete > 0, true) then 'incomplete_participant_cells' end, case when mean_cse is null then 'no_finite_participant_cse' end, case when cell_min_n = 0 then 'missing_pooled_cell' end) as warnings from deltas),
+judged as (select *, case when strip_method <> 'none' then preservation_warnings = '' end as preservation_pass, concat_ws('__', cast(sample_size as varchar), '1', 'no_log_rt', 'none', effect_condition, strip_method) as data_id,
+  case when strip_method = 'none' then 'reference_present' when preservation_warnings = '' then 'interpretable_nullifier' else 'fails_preservation_gates' end as nullification_verdict from gated)"""
+
+
+@query("trials_li", "data_id:s strip_method:s mean_cse:d q050_cse:d warnings:s current_cong_effect_delta_from_present:d transition_imbalance_delta_from_present:d max_abs_timebin_q050_cse_delta_from_present:d preservation_warnings:s preservation_pass:b nullification_verdict:s", f"with {gates_sql()} select * from judged")
 def diag_gates(df):
     return diagnostics.preservation_gates(diagnosed(df))
 
 
 @query("trials_ev", "study:s n_participants n_rows transition_imbalance:d post_error_slowing:d lag1_autocorr_mean:d trial_rt_slope_mean:d block_sd:d recommendation:s", f"""
-with {LAG1}, {SLOPE}, a as (select study, avg(case when n >= 3 and sd > 0 and not isnan(r) then r end) as lag1_autocorr_mean from r group by study), b as (select study, avg(case when n >= 3 then k end) as trial_rt_slope_mean from sl group by study),
-c as (select study, stddev_samp(m) as block_sd from (select study, block_index, avg(rt) as m from trials group by all) q group by study),
-d as (select study, count(distinct participant_id) as n_participants, count(*) as n_rows, greatest({', '.join(f'abs({s} - 0.25)' for s in SHARES)}) as transition_imbalance, avg(case when not prev_correct then rt end) - avg(case when prev_correct then rt end) as post_error_slowing from trials group by study)
-select *, 'do_not_use_as_primary_counterfactual' as recommendation from d join a using (study) join b using (study) join c using (study)""")
+with coded as (select * from trials where {VALID} and cong in (-1, 1) and prev_cong in (-1, 1)), {metrics_sql('coded', 'study')},
+c as (select study, stddev_samp(m) as block_sd from (select study, block_index, avg(rt) as m from coded group by all) q group by study),
+d as (select study, case when count(distinct cong) = 2 and count(distinct prev_cong) = 2 then greatest({', '.join(f'abs({s} - 0.25)' for s in shares_sql())}) end as far from coded group by study)
+select metrics.* exclude (transition_imbalance), far as transition_imbalance, block_sd, 'do_not_use_as_primary_counterfactual' as recommendation from metrics join c using (study) join d using (study)""")
 def diag_exchangeability(df):
     return diagnostics.exchangeability(df)
 
@@ -600,18 +698,34 @@ def diag_shuffle_check(df):
     return diagnostics.shuffle_check(shuffle_pair(df))
 
 
-@query("trials_li", "participant_id:s cong fingerprint:s same:b")
+FINGERPRINT = "select participant_id, cong, md5(string_agg(cast(round(rt, 10) as varchar), '|' order by round(rt, 10))) as fingerprint from {} where prev_cong is not null group by all"
+
+
+@query("trials_li", "participant_id:s cong fingerprint:s same:b", f"""
+with {SHUFFLE}, fa as ({FINGERPRINT.format('trials')}), fb as ({FINGERPRINT.format('shuffled')}) select participant_id, cong, fa.fingerprint, fa.fingerprint = fb.fingerprint as same from fa join fb using (participant_id, cong)""")
 def diag_fingerprints(df):
     a, b = (diagnostics.rt_fingerprint(x.where("prev_cong is not null"), ["participant_id", "cong"]) for x in (df, nullify.shuffle(df)))
     return a.join(b.withColumnRenamed("fingerprint", "other"), ["participant_id", "cong"]).withColumn("same", F.col("fingerprint") == F.col("other"))
 
 
+@query("trials_li", "study:s n_falls source_row_monotonic:b", f"""
+with moved as (select *, case when participant_id like '%7' then -trial_index else trial_index end as place from trials), f as (select study, source_row < lag(source_row) over (partition by study, participant_id order by place, source_row) as falls from moved)
+select study, count(case when falls then 1 end) as n_falls, count(case when falls then 1 end) = 0 as source_row_monotonic from f group by study""")
+def diag_source_row_order(df):
+    moved = df.withColumn("place", F.when(F.col("participant_id").endswith("7"), -F.col("trial_index")).otherwise(F.col("trial_index")))
+    return diagnostics.source_rows_monotonic(moved, BY, "place")
+
+
 @query("trials_li", "n_lost n_new kept:b", "select count(*) as n_lost, 0 as n_new, false as kept from trials where trial_index % 10 = 0")
 def diag_source_rows(df):
     return diagnostics.source_rows_kept(df, df.where("trial_index % 10 <> 0"))
 
 
-@query("trials_li", "effect_condition:s strip_method:s sample_size:d n_branches location_mean_cse:d max_abs_distributional_cse:d max_abs_time_local_distributional_cse:d distribution_minus_location_abs:d distributional_flag:s")
+@query("trials_li", "effect_condition:s strip_method:s sample_size:d n_branches location_mean_cse:d max_abs_distributional_cse:d max_abs_time_local_distributional_cse:d distribution_minus_location_abs:d distributional_flag:s", f"""
+with {gates_sql()}, f as (select effect_condition, strip_method, sample_size, nullification_verdict, preservation_pass, count(distinct data_id) as n_branches, avg(mean_cse) as location_mean_cse,
+  max(greatest({', '.join(f'abs({c})' for c in ('median_cse', *diagnostics.QUANTILE_NAMES))})) as max_abs_distributional_cse, max(abs(max_abs_timebin_q050_cse)) as max_abs_time_local_distributional_cse from judged group by all)
+select *, max_abs_distributional_cse - abs(location_mean_cse) as distribution_minus_location_abs, case when max_abs_distributional_cse is null then 'missing_distributional_metrics'
+  when max_abs_distributional_cse > 10 and abs(location_mean_cse) <= 5 then 'distributional_residual_without_location_cse' when max_abs_distributional_cse <= 10 and abs(location_mean_cse) <= 5 then 'location_and_distributional_near_zero' else 'location_cse_present' end as distributional_flag from f""")
 def diag_definitions(df):
     return diagnostics.cse_definitions(diagnostics.preservation_gates(diagnosed(df)))
 
