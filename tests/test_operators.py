@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specgrid.functions import stats
+from specgrid.functions import order, stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
-from specgrid.operators import audit, diagnostics, grid, models, nullify, sampling
+from specgrid.operators import audit, diagnostics, grid, materialize, models, nullify, sampling
 from specgrid.plans import scale
 from specgrid.sources import io
 
@@ -160,7 +160,7 @@ def test_grid_counts_and_ids(spark):
 def test_scale_plan_equals_simple_plan(spark):
     df = location(spark, 6, 8)
     samples = grid.base_samples(spark, (0.5, 1.0), 2)
-    args = (df, samples, ("none", "local_mean_residual"), ("none", "sd_2", "range_1000"), ("log_rt", "no_log_rt"))
+    args = (df, samples, ("none", "local_mean_residual"), ("none", "sd_2", "mad_2", "mad_2.5", "range_1000"), ("log_rt", "no_log_rt"))
     key = ["sample", "subsample_id", "strip_method", "outlier", "transformation", "participant_id", "cong", "prev_cong"]
     a, b = ({tuple(r[k] for k in key): (r["n"], r["sy"]) for r in f(*args).collect()} for f in (scale.grid_stats, scale.simple_grid_stats))
     assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) < 1e-6 for k in a)
@@ -174,12 +174,85 @@ def test_diagnostics_of_a_known_effect(spark):
     assert abs(approx["q050_cse"] - 100) < 2
 
 
+def test_diagnostics_are_of_valid_rows(spark):
+    """Rows without a previous code, with times of 0 or less or not finite change nothing; an empty cell counts as a share of 0."""
+    import math
+
+    key = "participant_id string, study string, source_row long, trial_index long, block_index long, cong int, prev_cong int, rt double, prev_correct boolean"
+    good = [("p%d" % p, "s", 100 * p + i, i, i // 6, c, q, 500.0 + 7 * ((i * i) % 11) + 3 * c + 2 * q + 5 * c * q + p, i % 3 > 0) for p in range(3) for i, (c, q) in enumerate(CELLS * 4)]
+    odd = [("p0", "s", 900, 0, 0, 1, None, 9999.0, True), ("p1", "s", 901, 50, 3, 1, 1, 0.0, False), ("p1", "s", 902, 51, 3, -1, 1, -5.0, True), ("p2", "s", 903, 52, 3, 1, -1, math.inf, False), ("p2", "s", 904, 53, 3, -1, -1, math.nan, True), ("p9", "s", 905, 54, 3, 1, 1, None, True)]
+    a, b = (spark.createDataFrame(rows, key) for rows in (good, good + odd))
+    one = lambda df: diagnostics.branch_diagnostics(df, ["study"]).first().asDict()
+    clean, mixed = one(a), one(b)
+    assert mixed["n_rows"] == len(good) + 6 and mixed["n_valid"] == len(good) and mixed["n_participants"] == 3 and mixed["warnings"] == "dropped_invalid_rows=6" and clean["warnings"] == ""
+    assert all(clean[k] == mixed[k] or abs(clean[k] - mixed[k]) < 1e-9 for k in clean if k not in ("n_rows", "warnings"))
+    x, y = (diagnostics.exchangeability(df).first().asDict() for df in (a, b))
+    assert all(x[k] == y[k] or abs(x[k] - y[k]) < 1e-9 for k in x)
+    lacking = one(a.where("not (cong = 1 and prev_cong = -1)"))
+    assert abs(lacking["transition_imbalance"] - 1 / 3) < 1e-12 and lacking["cell_min_n"] == 0 and lacking["mean_cse"] is None and lacking["q050_cse"] is None
+    assert lacking["warnings"] == "incomplete_participant_cells;no_finite_participant_cse;missing_pooled_cell"
+    level = diagnostics.pooled(a.where("cong = 1"), ["study"]).first()
+    assert level["transition_imbalance"] == 0.0 and diagnostics.exchangeability(a.where("cong = 1")).first()["transition_imbalance"] is None
+    # two trials are enough for a slope; fewer than five different ones give no time bins
+    two = a.where("trial_index in (0, 5) and participant_id = 'p0'").collect()
+    want = (two[1]["rt"] - two[0]["rt"]) / (two[1]["trial_index"] - two[0]["trial_index"])
+    assert abs(diagnostics.trial_slope(a.where("trial_index in (0, 5) and participant_id = 'p0'"), ["study"]).first()[1] - want) < 1e-9
+    assert diagnostics.trial_slope(a.where("trial_index = 0"), ["study"]).first()[1] is None
+    assert diagnostics.time_bin_contrast(a.where("trial_index < 4"), ["study"]).collect() == [] and diagnostics.time_bin_contrast(a, ["study"]).first()[1] is not None
+    order = diagnostics.source_rows_monotonic(b.withColumn("trial_index", F.when(F.col("source_row") == 3, 1).otherwise(F.col("trial_index"))), ["study"]).first()
+    assert order["n_falls"] == 2 and not order["source_row_monotonic"]  # 900 before 1 in trial 1, and 3 before 2
+
+
+def test_gates_ask_for_finite_numbers(spark):
+    names = [*diagnostics.DELTAS, "median_cse"]
+    rows = [("present", "none", *([1.0] * len(names))), ("null_interaction", "shuffle", *([float("nan"), float("inf")] + [1.0] * (len(names) - 2))), ("null_interaction", "additive_qmap", *([100.0] + [1.0] * (len(names) - 1)))]
+    df = spark.createDataFrame([(1.0, 1, "no_log_rt", "none", *r) for r in rows], "sample_size double, subsample_id int, transformation string, outlier string, effect_condition string, strip_method string, " + ", ".join(f"{c} double" for c in names))
+    got = {r["strip_method"]: r for r in diagnostics.preservation_gates(df).collect()}
+    assert got["shuffle"]["preservation_pass"] and got["shuffle"]["nullification_verdict"] == "interpretable_nullifier" and got["none"]["preservation_pass"] is None
+    assert got["additive_qmap"]["preservation_warnings"] == "current_cong_effect_delta_gt_5ms"
+
+
+def test_materialized_branches(spark, tmp_path):
+    df = location(spark, 6, 8)
+    spec = grid.Grid(fractions=(0.5, 1.0), samples=1, transforms=("log_rt",), outliers=("none", "sd_2", "mad_2"), strips=("local_mean_residual",))
+    branches = grid.data_branches(spark, spec)
+    got = materialize.materialized(df, branches)
+    members = {(r["sample"], r["subsample_id"]): set() for r in sampling.membership(df, branches.select("sample_size", "sample", "subsample_id").distinct()).collect()}
+    for r in sampling.membership(df, branches.select("sample_size", "sample", "subsample_id").distinct()).collect():
+        members[r["sample"], r["subsample_id"]].add(r["participant_id"])
+    count = {r["data_id"]: r["count"] for r in got.groupBy("data_id").count().collect()}
+    for b in branches.collect():
+        people = members[b["sample"], b["subsample_id"]]
+        own = nullify.nullify(df, b["strip_method"]).where(F.col("participant_id").isin(*people))
+        rows = sampling.transformed(sampling.apply_rule(own, b["outlier"]), b["transformation"])
+        assert rows.count() == count.get(b["data_id"], 0), b["data_id"]
+    materialize.write_materialized(df, branches, str(tmp_path / "b"))
+    one = io.read_branch(spark, str(tmp_path / "b"), ["rt", "data_id"]).where("strip_method = 'none' and outlier = 'sd_2'")
+    assert one.count() == sum(n for k, n in count.items() if "__sd_2__present__" in k)
+    assert materialize.materialized(df, branches.where("false")).count() == 0
+
+
 def test_quantile_helpers(spark):
     xs = [1.0, 2.0, 4.0, 8.0]
     got = spark.range(1).select(quantile_type8(F.array(*map(F.lit, xs)), 0.5), quantile_type8(F.array(*map(F.lit, xs)), 0.0), inverse_on_grid(F.array(*map(F.lit, xs)), F.lit(3.0)), inverse_on_grid(F.array(*map(F.lit, [1.0, 1.0, 2.0])), F.lit(1.0))).first()
     assert abs(got[0] - 3) < 1e-12 and got[1] == 1 and abs(got[2] - 0.5) < 1e-12 and got[3] == 0
 
 
+@pytest.mark.parametrize("whole", [order.WHOLE, 0])
+def test_order_statistics(spark, monkeypatch, whole):
+    """Against numpy: ties, a hot value, groups of one and of nulls only, both kinds of quantiles, in one buffer and in parts."""
+    monkeypatch.setattr(order, "WHOLE", whole)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=700), "b": np.repeat([3.0, 1.0, 2.0], [900, 2, 1]), "c": np.array([5.0]), "d": np.round(rng.exponential(size=333), 1)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    df, shares = spark.createDataFrame(rows, "g string, value double").repartition(7), [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    for kind, method in ((7, "linear"), (8, "median_unbiased")):
+        got = {r["g"]: r["quantiles"] for r in order.quantiles(df, ["g"], shares, kind=kind).collect()}
+        assert got.keys() == groups.keys() and all(np.allclose(got[g], np.quantile(x, shares, method=method)) for g, x in groups.items())
+    assert {r["g"]: r["median"] for r in order.medians(df, ["g"]).collect()} == {g: float(np.median(x)) for g, x in groups.items()}
+    assert order.medians(df.where("false"), ["g"]).count() == 0
+
+
 def test_distributions(spark):
     for t, df, p in ((2.228138852, 10, 0.05), (1.959963985, 1e7, 0.05), (12.7062047, 1, 0.05), (2.5758293, 1e8, 0.01)):
         assert abs(stats.t_p_values(np.array([t]), np.array([df]))[0] - p) < 1e-6
@@ -229,6 +302,17 @@ def test_sources_and_sinks(spark, tmp_path):
     assert numbered.first()["source_row"] == 1 and numbered.first()["study"] == "x"
     io.write_branches(df.withColumns({"strip_method": F.lit("none"), "outlier": F.lit("sd_2")}), str(tmp_path / "b"))
     assert io.read_branch(spark, str(tmp_path / "b"), ["rt"], ["rt", "outlier"]).columns == ["rt", "outlier"]
+    for _ in range(2):
+        io.append_metadata(spark.createDataFrame([("b1", 3)], "branch_id string, n int"), str(tmp_path / "m"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("b1", 3)] * 2
+    counts = spark.createDataFrame([("b1", 5, 3, 2), ("b2", 5, 0, 5)], "branch_id string, n_rows_in int, n_rows_out int, n_removed int")
+    io.write_branch_metadata(io.branch_metadata(counts), str(tmp_path / "j"))
+    assert {(r["branch_id"], r["success"], r["error"]) for r in spark.read.json(str(tmp_path / "j")).collect()} == {("b1", True, None), ("b2", False, "no rows left")}
+    (tmp_path / "d.csv").write_text(",participant_id,trial_index,block_index,cong,rt,correct,prev_correct,prev_cong\n7,p1_zz,1,1,1,500,TRUE,NA,NA\n8,p1_zz,2,1,-1,NA,TRUE,TRUE,1\n")
+    design = io.read_indexed_design(spark, str(tmp_path / "d.csv"))
+    assert [(r["source_row"], r["study"], r["rt"]) for r in design.collect()] == [(7, "zz", "500"), (8, "zz", None)]
+    with pytest.raises(ValueError, match="missing required columns: nothing"):
+        audit.check_required(df, ["rt", "nothing"])
 
 
 def test_partitioning_does_not_matter(spark):
