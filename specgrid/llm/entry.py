@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specgrid.llm import ann, decontaminate, html_text, langid, mixing, ngram_join, preference, quality, sharding, toxicity
+from specgrid.llm import ann, decontaminate, fim, html_text, langid, lexical, line_dedup, mixing, ngram_join, preference, quality, sharding, toxicity
 
 QUERIES = {
     "op1_cumulative_link": quality.op1_cumulative_link,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_preference_format": preference.op9_preference_format,
     "op10_noisy_channel": toxicity.op10_noisy_channel,
+    "op11_wavelet_fim": fim.op11_wavelet_fim,
+    "op12_presence_mask": lexical.op12_presence_mask,
+    "op13_cuckoo_lines": line_dedup.op13_cuckoo_lines,
+}
+ORACLE_SQL = {
+    "op9_preference_format": preference.OP9_SQL,
+    "op11_wavelet_fim": fim.OP11_SQL,
+    "op12_presence_mask": lexical.OP12_SQL,
+    "op13_cuckoo_lines": line_dedup.OP13_SQL,
 }
-ORACLE_SQL = {"op9_preference_format": preference.OP9_SQL}
