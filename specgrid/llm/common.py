@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from specgrid.sources.scratch import saved, scratch
 
-__all__ = ["ALNUM_AZ", "LOWER_AZ", "PART_ROWS", "SMALL_ROWS", "SPACE", "SPACED_WORD", "crc_mod", "parts", "saved", "scratch", "small", "table", "utf8"]
+__all__ = ["ALNUM_AZ", "LOWER_AZ", "PART_ROWS", "SMALL_ROWS", "SPACE", "SPACED_WORD", "crc_mod", "parts", "saved", "scratch", "shielded", "small", "table", "utf8"]
 
 #: Bytes that separate words on white space: space and \t \n \v \f \r.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -53,3 +54,30 @@ SMALL_ROWS = 1_000_000
 def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """A written table of narrow rows, to be broadcast if it is counted to be small enough; beyond that Spark shuffles both sides."""
     return F.broadcast(rows) if rows.count() <= most else rows
+
+
+#: Columns that operators look at; all others of a table of documents are carried along.
+LOOKED_AT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with further columns of docs, its first argument, packed into one struct with field names of its own.
+
+    So no name of theirs can meet one that the operator uses inside. They come back in their places with their names,
+    but for those that are named like a column the operator adds, which are replaced.
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        # names of columns are arguments too
+        looked_at = {*LOOKED_AT, *(x for x in (*args, *how.values()) if isinstance(x, str))}
+        extra = {c: f"f{i}" for i, c in enumerate(docs.columns) if c not in looked_at}
+        if not extra:
+            return operator(docs, *args, **how)
+        core = [c for c in docs.columns if c in looked_at]
+        got = operator(docs.select(*core, F.struct(*(F.col(f"`{c}`").alias(f) for c, f in extra.items())).alias("carried_along")), *args, **how)
+        added = [c for c in got.columns if c not in core and c != "carried_along"]
+        own = [F.col(f"carried_along.{extra[c]}").alias(c) if c in extra else F.col(c) for c in docs.columns if c not in added]
+        return got.select(*own, *added)
+
+    return run

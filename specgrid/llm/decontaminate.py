@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import ALNUM_AZ, parts, saved, small, table, utf8
+from specgrid.llm.common import LOOKED_AT, ALNUM_AZ, parts, saved, shielded, small, table, utf8
 
 WINDOW = 13
 #: A benchmark is worked through in blocks of so much text, on average; each block's words are what is broadcast.
@@ -210,6 +210,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     Columns of the input that are named like an added one are replaced.
     """
+    if columns and set(columns) <= set(LOOKED_AT):
+        return annotated(docs, benchmark, window, columns, near)
+    got = shielded(annotated)(docs, benchmark, window, None, near)
+    return got.select(*(f"`{c}`" for c in got.columns if c in (columns or docs.columns) or c not in docs.columns or c in ("n_words", "hit_spans", "item_ids", "n_near")))
+
+
+def annotated(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str] | None, near: bool) -> DataFrame:
     hits, close = found_hits(docs, benchmark, window, near)
     own, added = columns or docs.columns, ["n_words", "hit_spans", "item_ids"] + ["n_near"] * near
     kept = [c for c in own if c not in added]
@@ -243,6 +250,7 @@ def contaminated() -> Column:
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
+@shielded
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with docs's columns."""
     hits, _ = found_hits(docs, benchmark)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import SPACED_WORD, saved, small, table
+from specgrid.llm.common import SPACED_WORD, saved, shielded, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -133,6 +133,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__h", row_hash())
 
 
+@shielded
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as it was drawn (0 to 2 times at the default settings), with docs's columns."""
     here = keyed(docs)

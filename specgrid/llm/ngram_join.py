@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import saved, small, table, utf8
+from specgrid.llm.common import saved, shielded, small, table, utf8
 
 #: Points in a leaf of the R-tree, and children of an inner node.
 LEAF = 32
@@ -582,6 +582,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return full.select("doc_id", "h", "n", "sig", F.when(~empty, F.col("component")).alias("component"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+@shielded
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component (the least id; null ids last) and all rows of empty sets, with docs's columns."""
     rows = saved(components(docs, k, percent).where(F.col("component").isNotNull()))

@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import saved, scratch, small, table
+from specgrid.llm.common import saved, scratch, shielded, small, table
 
 #: Virtual slots, and the parts into which each is dealt for numbering: bounds of every table that is collected or broadcast.
 SLOTS = 4096
@@ -113,6 +113,7 @@ class SlotMap:
         return self.versions().where(F.col("version") == version)
 
 
+@shielded
 def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """docs with size, text_crc32, virtual_slot, map_version, shard and slot (the row's place in its shard, gapless from 0).
 

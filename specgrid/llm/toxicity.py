@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import crc_mod, parts, saved, table, utf8
+from specgrid.llm.common import crc_mod, parts, saved, shielded, table, utf8
 
 #: What a sign may stand for.
 SIGNS = {
@@ -310,6 +310,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     return fit(docs, labels.where(F.coalesce(crc_mod("doc_id", 5), F.lit(0)) != 0).select("doc_id", "toxic"))
 
 
+@shielded
 def without_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The rows of docs that score below `at`, with docs's columns."""
     return scores(docs, trained(docs, labels), docs.columns).where(F.col("__score") < at).select(*docs.columns)

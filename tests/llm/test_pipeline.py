@@ -1,11 +1,14 @@
 """The corpus pipeline, stage by stage, on the smallest tables and on awkward rows."""
 
+import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from specgrid.llm import decontaminate, ngram_join
+from specgrid.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from specgrid.llm.common import saved
 from tests.llm.test_llm import ODD, plain_components, plain_contamination, plain_targets
 
@@ -78,6 +81,26 @@ def test_stages_on_odd_rows(spark, sf, empty):
     assert seen[:3] == ([0, 0, 0] if empty else [12, 8, 8]) and seen[3] == seen[4]
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Every quoted name in the operators' modules is a further column: it comes back as it went in, or is one that the operator adds."""
+    used = set()
+    for module in (decontaminate, mixing, ngram_join, sharding, toxicity):
+        used |= set(re.findall(r"[\"\'`]([A-Za-z_][A-Za-z_0-9]*)[\"\'`]", Path(module.__file__).read_text()))
+    core = ("doc_id", "text", "lang", "source", "n_chars")
+    names = sorted({n.lower() for n in used} - {*core}) + ["a b", "dotted.name"]
+    assert len(names) > 100 and {"__text", "__gone", "__h", "__decon_doc", "__m", "__before", "__slot"} <= set(names)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*core, *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        added = sharding.ADDED if name == "sharding" else []
+        kept = [n for n in names if n not in added]
+        assert set(got.columns) == {*docs.columns, *added} and (added or got.columns == docs.columns)
+        rows = got.select("doc_id", *(f"`{n}`" for n in kept)).collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows[:30] for n in kept)
+    whole = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet"), near=True)
+    assert set(whole.columns) == {*docs.columns, "n_words", "hit_spans", "item_ids", "n_near"} and whole.select("__decon_doc", "n_words").first()[1] >= 0
+
+
 def test_helpers_are_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "decontamination", "mixing", "sharding"]
     assert decontaminate.WINDOW == 13 and ngram_join.BLOCK > 0 and corpus_pipeline.ORACLE_SQL is None
