@@ -8,6 +8,7 @@ a rank lies, and only those buckets are sorted, each by itself. Both ways give t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,3 +66,75 @@ def quantiles(df: DataFrame, by: Sequence[str], shares: Sequence[float], value:
 def medians(df: DataFrame, by: Sequence[str], value: str = "value", name: str = "median") -> DataFrame:
     """(by..., name): each group's exact median."""
     return quantiles(df, by, (0.5,), value).select(*by, F.col("quantiles")[0].alias(name))
+
+
+#: Steps of the first buckets of `grouped_quantiles` for each unit of the logarithm, parts of a bucket that is cut again, and values that are sorted in one task.
+STEPS, CUTS, SORTED = 64, 1024, 200_000
+#: Rows of ranks that are broadcast at most.
+FEW = 100_000
+
+
+def bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises: steps of a 64th of the logarithm."""
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * STEPS)).cast("long")
+
+
+def grouped_quantiles(df: DataFrame, requests: Sequence[tuple[Sequence[str], Sequence[float]]], value: str = "value", kind: int = 7) -> list[DataFrame]:
+    """For each request (keys, shares) a table (keys..., quantiles): exact quantiles of all groups of all requests at once.
+
+    One pass over the values makes a histogram with all keys, in buckets that are the same for all groups; each request rolls it
+    up to its own keys and finds the buckets in which its ranks lie. A second pass sorts those buckets only. A bucket
+    of more than SORTED values is cut again, by passes over its values, until it is small or a single value.
+    Null values don't count, nor does not-a-number. Keys that hold nulls are groups too.
+    """
+    every = list(dict.fromkeys(k for keys, _ in requests for k in keys))
+    same = [k for k in every if all(k in keys for keys, _ in requests)]
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*every, v.alias("__v")).withColumn("__b", bucket(F.col("__v")))
+    hist = saved(rows.groupBy(*every, "__b").agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
+
+    def asked(r: int, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+        order = Window.partitionBy(*keys, F.lit(r)).orderBy("__b")
+        own = hist.groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+        own = own.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).withColumn("__size", F.sum("__n").over(Window.partitionBy(*keys, F.lit(r))))
+        h = [place(F.col("__size"), F.lit(float(x)), kind) for x in shares]
+        ranks = [F.struct(F.lit(i).alias("__i"), F.lit(side).alias("__side"), F.least(F.floor(x) + side, F.col("__size")).alias("__rank"), (x - F.floor(x)).alias("__f")) for i, x in enumerate(h) for side in (0, 1)]
+        got = own.select("*", F.inline(F.array(*ranks))).where((F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__before") + F.col("__n")))
+        other = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in every if k not in keys]
+        return got.select(F.lit(r).alias("__r"), *keys, *other, "__b", "__i", "__side", "__f", (F.col("__rank") - F.col("__before")).alias("__rank"), "__n", "__lo", "__hi")
+
+    def held(ranges: DataFrame) -> DataFrame:
+        """The values that lie in ranges (__r, keys, __b, __lo, __hi)."""
+        ranges = saved(ranges)
+        named = ranges.withColumnsRenamed({k: f"__of_{k}" for k in every} | {"__b": "__of_b"})
+        on = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in same] + [F.col("__b") == F.col("__of_b"), F.col("__v").between(F.col("__lo"), F.col("__hi"))]
+        # keys that a request doesn't have may be anything
+        for k in every:
+            if k not in same:
+                without = [r for r, (keys, _) in enumerate(requests) if k not in keys]
+                on.append(F.col("__r").isin(*without) | F.col(k).eqNullSafe(F.col(f"__of_{k}")))
+        got = rows.join(F.broadcast(named) if ranges.count() <= FEW else named, reduce(lambda a, b: a & b, on))
+        return got.select("__r", *(F.col(f"__of_{k}").alias(k) for k in every), "__b", "__lo", "__hi", "__v")
+
+    keys = ["__r", *every, "__b", "__lo", "__hi"]
+    matched = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+    wanted = saved(reduce(DataFrame.unionByName, (asked(r, k, s) for r, (k, s) in enumerate(requests))))
+    while not (large := wanted.where((F.col("__n") > SORTED) & (F.col("__lo") < F.col("__hi")))).isEmpty():
+        # halves are taken before the difference, which can't overflow then
+        part = F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * CUTS)
+        cut = held(large.select(*keys).distinct()).groupBy(*keys, part.alias("__part")).agg(F.count("*").alias("__in"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+        cut = cut.withColumn("__before", F.sum("__in").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__in"))
+        found = large.alias("a").join(cut.alias("b"), matched("a", "b")).where((F.col("a.__rank") > F.col("__before")) & (F.col("a.__rank") <= F.col("__before") + F.col("__in")))
+        found = found.select("a.__r", *(f"a.{k}" for k in every), "a.__b", "a.__i", "a.__side", "a.__f", (F.col("a.__rank") - F.col("__before")).alias("__rank"), F.col("__in").alias("__n"), F.col("__from").alias("__lo"), F.col("__to").alias("__hi"))
+        wanted = saved(wanted.where((F.col("__n") <= SORTED) | (F.col("__lo") >= F.col("__hi"))).unionByName(found))
+    open_ = wanted.where("__lo < __hi")
+    placed = held(open_.select(*keys).distinct()).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__v")))
+    exact = open_.alias("a").join(placed.alias("b"), matched("a", "b") & (F.col("a.__rank") == F.col("b.__rank"))).select("a.__r", *(f"a.{k}" for k in every), "a.__i", "a.__side", "a.__f", F.col("b.__v").alias("__v"))
+    exact = saved(exact.unionByName(wanted.where("__lo >= __hi").select("__r", *every, "__i", "__side", "__f", F.col("__lo").alias("__v"))))
+    out = []
+    for r, (own, _) in enumerate(requests):
+        side = lambda k: F.max(F.when(F.col("__side") == k, F.col("__v")))
+        each = exact.where(F.col("__r") == r).groupBy(*own, "__i").agg(side(0).alias("__a"), side(1).alias("__z"), F.max(F.when(F.col("__side") == 0, F.col("__f"))).alias("__f"))
+        each = each.withColumn("__q", F.col("__a") + F.when(F.col("__f") > 0, F.col("__f") * (F.col("__z") - F.col("__a"))).otherwise(0.0))
+        out.append(each.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda x: x["__q"]).alias("quantiles")))
+    return out

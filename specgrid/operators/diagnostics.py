@@ -99,7 +99,7 @@ def pooled(df: DataFrame, by: list[str], approximate: int | None = None) -> Data
 
 def lag1_autocorrelation(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean over participants (3 trials and some spread at least) of the correlation of each time with the one before."""
-    own = Window.partitionBy(*by, "participant_id").orderBy("trial_index", "source_row")
+    own = Window.partitionBy(*by, "participant_id").orderBy(F.col("trial_index").asc_nulls_last(), "source_row")
     pairs = valid(df).withColumn("__before", F.lag("rt").over(own))
     each = pairs.groupBy(*by, "participant_id").agg(F.count("*").alias("n"), F.stddev_samp("rt").alias("sd"), F.corr("__before", "rt").alias("r"))
     return each.groupBy(*by).agg(F.avg(F.when((F.col("n") >= 3) & (F.col("sd") > 0) & is_finite(F.col("r")), F.col("r"))).alias("lag1_autocorr_mean"))
@@ -175,7 +175,7 @@ def preservation_gates(diags: DataFrame) -> DataFrame:
 
 
 def exchangeability(df: DataFrame) -> DataFrame:
-    """Order and balance diagnostics for each study, with the standing advice on shuffling; the imbalance is null unless all codes occur."""
+    """Order and balance diagnostics for each study, with the standing advice on shuffling; the imbalance is null unless all codes occur. Trials without a block count in none."""
     by, df = ["study"], valid(df).where("cong in (-1, 1) and prev_cong in (-1, 1)")
     share = cell_shares()
     every = reduce(lambda a, b: a & b, [s.isNotNull() for s in share])
@@ -183,8 +183,10 @@ def exchangeability(df: DataFrame) -> DataFrame:
         F.count_distinct("participant_id").alias("n_participants"), F.count("*").alias("n_rows"), F.when(every, F.greatest(*(F.abs(s - 0.25) for s in share))).alias("transition_imbalance"),
         (F.avg(F.when(~F.col("prev_correct"), F.col("rt"))) - F.avg(F.when(F.col("prev_correct"), F.col("rt")))).alias("post_error_slowing"),
     )
-    parts = [balance, lag1_autocorrelation(df, by), trial_slope(df, by), block_spread(df, by, "study").withColumnRenamed("block_mean_sd", "block_sd")]
-    return reduce(lambda a, b: a.join(b, by, "left"), parts).withColumn("recommendation", F.lit("do_not_use_as_primary_counterfactual"))
+    blocks = block_spread(df.where("block_index is not null"), by, "study").withColumnRenamed("block_mean_sd", "block_sd")
+    parts = [balance, lag1_autocorrelation(df, by), trial_slope(df, by), blocks]
+    got = reduce(lambda a, b: a.join(b, by, "left"), parts)
+    return got.withColumns({"unrestricted_shuffle_plausible": F.lit(False), "recommendation": F.lit("do_not_use_as_primary_counterfactual")})
 
 
 def multiset_compare(present: DataFrame, shuffled: DataFrame, by: list[str] | None = None, digits: int = 10) -> DataFrame:
@@ -207,12 +209,18 @@ def rt_fingerprint(df: DataFrame, keys: list[str], digits: int = 10) -> DataFram
 
 
 def conditional_previous_slope(df: DataFrame, by: list[str]) -> DataFrame:
-    """Slope of time on prev_cong after both are centred within (participant, cong)."""
+    """Slope of time on prev_cong after both are centred within (participant, cong), over finite times with a previous code.
+
+    Null below four such trials, with one code only, or if no group has both codes.
+    """
     own = Window.partitionBy(*by, "participant_id", "cong")
-    good = df.where(rt().isNotNull() & F.col("cong").isNotNull() & F.col("prev_cong").isNotNull())
+    good = df.where(is_finite(F.col("rt")) & F.col("prev_cong").isin(-1, 1))
     x, y = F.col("prev_cong") - F.avg("prev_cong").over(own), F.col("rt") - F.avg("rt").over(own)
-    sums = good.withColumns({"x": x, "y": y}).groupBy(*by).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"))
-    return sums.select(*by, F.when(F.col("xx") > 0, F.col("xy") / F.col("xx")).alias("conditional_prev_slope"))
+    sums = good.withColumns({"x": x, "y": y}).groupBy(*by).agg(
+        F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"), F.count("*").alias("n"), (F.min("prev_cong") < F.max("prev_cong")).alias("both")
+    )
+    enough = (F.col("n") >= 4) & F.col("both") & (F.col("xx") > 0)
+    return sums.select(*by, F.when(enough, F.col("xy") / F.col("xx")).alias("conditional_prev_slope"))
 
 
 def shuffle_check(trials: DataFrame, most: float = 5.0) -> DataFrame:

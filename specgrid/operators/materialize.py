@@ -2,8 +2,8 @@
 
 The grid plans of `plans/scale.py` need no branch as a copy of its trials. Where one is wanted all the same (to be written,
 handed on or looked into), this makes the trials of any number of branches in one job: effects are made once on everyone,
-samples are joined as lists of participants, fences are one aggregate for each sample, and a trial is repeated only for
-the branches that keep it.
+fences are looked up in the index of `plans/index.py`, samples are joined as lists of participants, and a trial is repeated
+only for the branches that keep it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.operators import nullify, sampling
+from specgrid.plans import index
 from specgrid.sources import io
 from specgrid.sources.scratch import saved
 
@@ -29,13 +30,13 @@ def materialized(trials: DataFrame, branches: DataFrame, seed: str = sampling.SE
     if not strips:
         return trials.where("false").join(branches, F.lit(True))
     keep = [c for c in trials.columns if c not in (*branches.columns, "rt")]
-    effects = nullify.long_effects(nullify.all_effects(trials, strips), strips)
-    members = sampling.membership(trials, branches.select(*SAMPLE).distinct(), seed)
-    # effects that no branch of a sample uses are left out before the fences are made
-    used = branches.select(*SAMPLE, "strip_method").distinct()
-    drawn = saved(effects.join(members, "participant_id").join(F.broadcast(used), [*SAMPLE, "strip_method"], "left_semi"))
+    effects = saved(nullify.long_effects(nullify.all_effects(trials, strips), strips))
+    members = saved(sampling.membership(trials, branches.select(*SAMPLE).distinct(), seed))
     by = [*SAMPLE, "strip_method"]
-    kept = drawn.join(sampling.fences(drawn, by, rules), by).where(sampling.inside(F.col("rt"), F.col("outlier"), F.col("lo"), F.col("hi")))
+    fences = index.fences(index.build(effects, members, strips), effects, rules)
+    # a row for each branch at most
+    fences = fences.join(branches.select(*by, "outlier").distinct(), [*by, "outlier"], "left_semi")
+    kept = effects.join(members, "participant_id").join(F.broadcast(saved(fences)), by).where(sampling.inside(F.col("rt"), F.col("outlier"), F.col("lo"), F.col("hi")))
     axes = branches.select("data_id", *by, "outlier", "transformation", "effect_condition")
     rt = F.when(F.col("transformation") == "log_rt", F.when(F.col("rt") > 0, F.log("rt"))).otherwise(F.col("rt"))
     return kept.join(F.broadcast(axes), [*by, "outlier"]).select("data_id", *by, "outlier", "transformation", "effect_condition", *keep, rt.alias("rt"))

@@ -47,20 +47,24 @@ def shuffle(df: DataFrame, seed: str = "42") -> DataFrame:
     return mixed.withColumn("rt", F.col("__rt")).select(*df.columns).unionByName(df.where(~usable()))
 
 
-def residual(df: DataFrame, kind: str, min_cell: int = MIN_CELL, bins: int = BINS) -> DataFrame:
-    """rt less beta * cong * prev_cong, beta a quarter of the contrast of cell means or medians in the trial's bin, else in the participant."""
-    def betas(by: list[str], name: str) -> DataFrame:
-        if kind == "mean":
-            middle = {c: F.avg(F.when(in_cell(*c), F.col("rt"))) for c in CELLS}
-        else:
-            middle = {c: F.median(F.when(in_cell(*c), F.col("rt"))) for c in CELLS}
-        least = F.least(*(F.count(F.when(in_cell(*c), 1)) for c in CELLS))
-        return binned.groupBy(*by).agg(F.when(least >= min_cell, contrast(middle) / 4).alias(name))
+def residual_rt(kind: str, min_cell: int = MIN_CELL) -> Column:
+    """rt less beta * cong * prev_cong for trials that have a bin: beta is a quarter of the contrast of cell means or medians in the trial's bin, else in the participant.
 
-    binned = trial_bins(df, bins)
-    got = binned.join(betas(["participant_id", "bin"], "__bin"), ["participant_id", "bin"]).join(betas(["participant_id"], "__pid"), "participant_id")
-    beta = F.coalesce("__bin", "__pid", F.lit(0.0))
-    return got.withColumn("rt", F.when(usable(), F.col("rt") - beta * F.col("cong") * F.col("prev_cong")).otherwise(F.col("rt"))).select(*df.columns)
+    All of it is read off windows over the participant and its bins, so the trials are dealt out once and joined to nothing.
+    """
+
+    def beta(*keys: str) -> Column:
+        own = Window.partitionBy(*keys)
+        middle = {"mean": F.avg, "median": F.median}[kind]
+        least = F.least(*(F.count(F.when(in_cell(*c), 1)).over(own) for c in CELLS))
+        return F.when(least >= min_cell, contrast({c: middle(F.when(in_cell(*c), F.col("rt"))).over(own) for c in CELLS}) / 4)
+
+    own = F.coalesce(beta("participant_id", "bin"), beta("participant_id"), F.lit(0.0))
+    return F.when(usable(), F.col("rt") - own * F.col("cong") * F.col("prev_cong")).otherwise(F.col("rt"))
+
+
+def residual(df: DataFrame, kind: str, min_cell: int = MIN_CELL, bins: int = BINS) -> DataFrame:
+    return trial_bins(df, bins).withColumn("rt", residual_rt(kind, min_cell)).select(*df.columns)
 
 
 def local_mean_residual(df: DataFrame, min_cell: int = MIN_CELL, bins: int = BINS) -> DataFrame:
@@ -136,13 +140,20 @@ def nullify(df: DataFrame, method: str) -> DataFrame:
     return df if method == "none" else METHODS[method](df)
 
 
+#: Methods that are columns of trials with their bins, at the default settings.
+AS_COLUMNS = {"none": lambda: F.col("rt"), "local_mean_residual": lambda: residual_rt("mean"), "local_median_residual": lambda: residual_rt("median")}
+
+
 def all_effects(df: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """df with one rt column for each method (rt_<method>), made once on everyone, before any sampling. A participant's source rows must differ."""
     wide = df
+    if {"local_mean_residual", "local_median_residual"} & set(methods):
+        wide = trial_bins(df)
+    wide = wide.withColumns({f"rt_{m}": AS_COLUMNS[m]() for m in methods if m in AS_COLUMNS})
+    if "bin" not in df.columns:
+        wide = wide.drop("bin")
     for m in methods:
-        if m == "none":
-            wide = wide.withColumn("rt_none", F.col("rt"))
-        else:
+        if m not in AS_COLUMNS:
             own = METHODS[m](df).select(F.col("participant_id").alias("__pid"), F.col("source_row").alias("__row"), F.col("rt").alias(f"rt_{m}"))
             wide = wide.join(own, F.col("participant_id").eqNullSafe(F.col("__pid")) & (F.col("source_row") == F.col("__row"))).drop("__pid", "__row")
     return wide

@@ -1,20 +1,17 @@
-"""The grid without copying trials: branches are rows, joined to statistics per participant.
+"""The grid without copying trials: branches are rows, looked up in an index of each participant's ordered times.
 
 Copying trials into every branch would multiply them by the samples, effect variants, rules and transformations. Instead the
-effect variants are columns of one trial table, a sample is a list of participants, and where an outlier rule's fences don't
-depend on the sample (none, ranges) the trials are reduced once to statistics per participant and cell, which every sample
-then sums. Fences of k standard deviations come from per-participant sums too; only the trials of those rules are joined to
-their samples, and reduced at once. Median rules need each sample's own trials twice, for the median and for the deviations.
+effect variants are made once on everyone, a sample is a list of participants, fences of any rule come from counts over the
+index (`plans/index.py`), and the statistics inside them from two searches a fence.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.operators import models, nullify, sampling
+from specgrid.plans import index
 from specgrid.sources.scratch import saved
 
 CELL = ["participant_id", "cong", "prev_cong"]
@@ -28,47 +25,15 @@ def scaled(df: DataFrame, transforms: tuple[str, ...]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(*(F.struct(F.lit(t).alias("transformation"), of[t].alias("rt")) for t in transforms))))
 
 
-def fixed_rule_stats(effects: DataFrame, members: DataFrame, rules: tuple[str, ...], transforms: tuple[str, ...]) -> DataFrame:
-    """Statistics per branch, participant and cell for rules whose fences are the same in every sample: one pass over the trials."""
-    bounds = F.array(*(F.struct(F.lit(r).alias("outlier"), (F.lit(True) if r == "none" else F.col("rt").between(200.0, float(r[6:]))).alias("keep")) for r in rules))
-    kept = effects.select("*", F.inline(bounds)).where("keep")
-    stats = models.suff_stats(scaled(kept, transforms), ["strip_method", "outlier", "transformation"])
-    return members.join(stats, "participant_id")
-
-
-def sd_rule_stats(effects: DataFrame, members: DataFrame, rules: tuple[str, ...], transforms: tuple[str, ...]) -> DataFrame:
-    """The same for k standard deviations: fences from sums per participant (about a common centre), then one pass over the sampled trials."""
-    centre = effects.agg(F.avg("rt").alias("centre"))
-    rt = F.col("rt") - F.col("centre")
-    own = effects.crossJoin(F.broadcast(centre)).where(F.col("rt").isNotNull() & ~F.isnan("rt")).groupBy("strip_method", "participant_id").agg(F.count("*").alias("n"), F.sum(rt).alias("s"), F.sum(rt * rt).alias("ss"))
-    n, s, ss = F.sum("n"), F.sum("s"), F.sum("ss")
-    sample = members.join(own, "participant_id").groupBy(*KEYS, "strip_method").agg((s / n).alias("m"), F.when(n > 1, F.sqrt(F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1))).otherwise(0.0).alias("sd"))
-    sample = sample.crossJoin(F.broadcast(centre)).withColumn("m", F.col("m") + F.col("centre"))
-    fences = F.array(*(F.struct(F.lit(r).alias("outlier"), (F.col("m") - float(r[3:]) * F.col("sd")).alias("lo"), (F.col("m") + float(r[3:]) * F.col("sd")).alias("hi")) for r in rules))
-    sample = sample.select(*KEYS, "strip_method", F.inline(fences))
-    drawn = effects.join(members, "participant_id").join(sample, [*KEYS, "strip_method"]).where(F.col("rt").between(F.col("lo"), F.col("hi")))
-    return models.suff_stats(scaled(drawn, transforms), [*KEYS, "strip_method", "outlier", "transformation"])
-
-
-def mad_rule_stats(effects: DataFrame, members: DataFrame, rules: tuple[str, ...], transforms: tuple[str, ...]) -> DataFrame:
-    """The same for k median absolute deviations, whose fences are medians of each sample's trials."""
-    drawn, by = saved(effects.join(members, "participant_id")), [*KEYS, "strip_method"]
-    kept = drawn.join(sampling.fences(drawn, by, rules), by).where(sampling.inside(F.col("rt"), F.col("outlier"), F.col("lo"), F.col("hi")))
-    return models.suff_stats(scaled(kept, transforms), [*by, "outlier", "transformation"])
-
-
 def grid_stats(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...], seed: str = sampling.SEED) -> DataFrame:
     """(sample_size, sample, subsample_id, strip_method, outlier, transformation, participant_id, cong, prev_cong, n, sy, syy) for the whole grid.
 
-    The effects and the samples are read by several branches of the plan, so they are written to the scratch folder.
+    The effects and the samples are read by several passes, so they are written to the scratch folder.
     """
-    effects = saved(nullify.long_effects(nullify.all_effects(trials, strips), strips).select(*CELL, "strip_method", "rt"))
+    effects = saved(nullify.long_effects(nullify.all_effects(trials, strips), strips).select(*CELL, "source_row", "strip_method", "rt"))
     members = saved(sampling.membership(trials, samples, seed))
-    kinds = {f: tuple(r for r in rules if test(r)) for f, test in ((fixed_rule_stats, lambda r: r == "none" or r.startswith("range_")), (sd_rule_stats, lambda r: r.startswith("sd_")), (mad_rule_stats, lambda r: r.startswith("mad_")))}
-    if other := set(rules) - {r for own in kinds.values() for r in own}:
-        raise ValueError(f"unknown outlier rules: {sorted(other)}")
-    columns = [*KEYS, "strip_method", "outlier", "transformation", *CELL, "n", "sy", "syy"]
-    return reduce(DataFrame.unionByName, (f(effects, members, own, transforms).select(*columns) for f, own in kinds.items() if own))
+    own = index.build(effects, members, strips)
+    return index.grid_stats(own, effects, rules, transforms).select(*KEYS, "strip_method", "outlier", "transformation", *CELL, "n", "sy", "syy")
 
 
 def simple_grid_stats(trials: DataFrame, samples: DataFrame, strips: tuple[str, ...], rules: tuple[str, ...], transforms: tuple[str, ...], seed: str = sampling.SEED) -> DataFrame:

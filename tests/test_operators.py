@@ -1,5 +1,8 @@
 """Known answers, invariants and bounds of the operators."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from specgrid.functions import order, stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
 from specgrid.operators import audit, diagnostics, grid, materialize, models, nullify, sampling
-from specgrid.plans import scale
+from specgrid.plans import index, scale
 from specgrid.sources import io
 
 CELLS = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
@@ -166,6 +169,88 @@ def test_scale_plan_equals_simple_plan(spark):
     assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) < 1e-6 for k in a)
 
 
+@pytest.mark.parametrize("part", [8192, 5])
+def test_grid_index_equals_simple_plan(spark, monkeypatch, part):
+    """All ten rules, ties, nulls, missing codes, infinite and huge times, one-trial and hot participants cut into parts, and few probes in a pass."""
+    monkeypatch.setattr(index, "PART", part)
+    monkeypatch.setattr(index, "MOST", 16 if part == 5 else 512)
+    rng = random.Random(2)
+    rows = []
+    for i in range(700):
+        who = "hot" if i % 3 == 0 else f"p{rng.randrange(9)}"
+        rt = rng.choice((None, float("nan"), 250.0, 250.0, 400.0, 1e9, 0.5, -3.0, rng.lognormvariate(6, 0.5), round(rng.lognormvariate(6, 0.4)) * 1.0, rng.lognormvariate(6.2, 0.6)))
+        rows.append((who, i, i, rng.choice((1, -1)), rng.choice((1, -1, None)), rt))
+    rows += [("lonely", 900, 1, 1, 1, 333.0)]
+    df = spark.createDataFrame(rows, "participant_id string, source_row long, trial_index long, cong int, prev_cong int, rt double").withColumn("study", F.lit("s"))
+    samples = grid.base_samples(spark, (0.3, 0.6, 1.0), 2)
+    args = (df, samples, ("none", "local_mean_residual"), grid.OUTLIERS, ("log_rt", "no_log_rt"))
+    key = ["sample", "subsample_id", "strip_method", "outlier", "transformation", "participant_id", "cong", "prev_cong"]
+    a, b = ({tuple(r[k] for k in key): (r["n"], r["sy"], r["syy"]) for r in f(*args).collect()} for f in (scale.grid_stats, scale.simple_grid_stats))
+    assert a.keys() == b.keys() and len(a) > 500
+    assert all(a[k][0] == b[k][0] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-6) for x, y in zip(a[k][1:], b[k][1:], strict=True)) for k in a)
+    # the fences themselves, and an infinite time in the data
+    more = df.unionByName(df.where("source_row = 7").withColumns({"rt": F.lit(float("inf")), "source_row": F.lit(5000).cast("long")}))
+    effects = nullify.long_effects(nullify.all_effects(more, ("none",)), ("none",))
+    members = sampling.membership(more, samples)
+    rules = ("none", "mad_2", "mad_2.5", "range_1250")
+    got = index.fences(index.build(effects, members, ("none",)), effects, rules)
+    want = sampling.fences(effects.join(members, "participant_id"), [*scale.KEYS, "strip_method"], rules)
+    a, b = ({(r["sample"], r["subsample_id"], r["outlier"]): (r["lo"], r["hi"]) for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and all(x is y is None or math.isclose(x, y, rel_tol=1e-12) for k in a for x, y in zip(a[k], b[k], strict=True))
+
+
+def test_no_trial_meets_a_sample(spark):
+    """The grid's plan joins nothing to samples but participants: the statistics are read off the index in one map."""
+    df = location(spark, 6, 8)
+    plan = scale.grid_stats(df, grid.base_samples(spark, (0.5, 1.0), 2), ("none",), grid.OUTLIERS, ("log_rt",))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "Window" not in plan
+
+
+def test_grouped_quantiles(spark, monkeypatch):
+    """All groups at once, with buckets cut again, against plain ones."""
+    monkeypatch.setattr(order, "SORTED", 20)
+    monkeypatch.setattr(order, "CUTS", 4)
+    rng = random.Random(6)
+    kinds = {"a": lambda: rng.lognormvariate(6, 0.4), "b": lambda: float(rng.randrange(3)), "c": lambda: rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9), "d": lambda: 500 + rng.random() * 1e-6, None: lambda: -rng.random()}
+    rows = [(g, rng.randrange(3), kinds[g]()) for g in kinds for _ in range(400)] + [("one", 0, 7.5), ("two", 1, float("nan")), ("two", 1, None)]
+    df = spark.createDataFrame(rows, "g string, h int, value double")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for kind in (7, 8):
+        out = order.grouped_quantiles(df, [(["g"], shares), (["g", "h"], (0.5,)), (["h"], shares)], kind=kind)
+        for keys, asked, got in zip((("g",), ("g", "h"), ("h",)), (shares, (0.5,), shares), out, strict=True):
+            groups = {}
+            for g, h, v in rows:
+                if v is not None and not math.isnan(v):
+                    groups.setdefault(tuple({"g": g, "h": h}[k] for k in keys), []).append(v)
+            got = {tuple(r[k] for k in keys): r["quantiles"] for r in got.collect()}
+            assert got.keys() == groups.keys()
+            for k, vs in groups.items():
+                vs = sorted(vs)
+                for q, x in zip(asked, got[k], strict=True):
+                    at = min(max((len(vs) - 1) * q if kind == 7 else (len(vs) + 1 / 3) * q + 1 / 3 - 1, 0), len(vs) - 1)
+                    low = int(at)
+                    assert math.isclose(x, vs[low] + (at - low) * (vs[min(low + 1, len(vs) - 1)] - vs[low]), rel_tol=1e-9, abs_tol=1e-12)
+    empty = order.grouped_quantiles(df.where("false"), [(["g"], (0.5,))])[0]
+    assert empty.count() == 0
+
+
+def test_previous_slope_of_odd_rows(spark):
+    """Times below 0 count, trials without codes don't; null below four trials or with one code."""
+    rows = [("a", 1, 1, 5.0), ("a", 1, -1, -5.0), ("a", 1, 1, 3.0), ("a", -1, -1, 2.0), ("a", -1, 1, 8.0), ("a", 1, None, 99.0), ("a", None, 1, 4.0), ("a", None, -1, 1.0), ("a", 1, 3, 7.0), ("a", 1, 1, float("inf")), ("a", 1, -1, None)]
+    make = lambda rs: spark.createDataFrame([(*r, "x") for r in rs], "participant_id string, cong int, prev_cong int, rt double, k string")
+    used = [r for r in rows if r[3] is not None and math.isfinite(r[3]) and r[2] in (1, -1)]
+    groups = {}
+    for r in used:
+        groups.setdefault((r[0], r[1]), []).append(r)
+    xy = xx = 0.0
+    for g in groups.values():
+        mx, my = sum(r[2] for r in g) / len(g), sum(r[3] for r in g) / len(g)
+        xy, xx = xy + sum((r[2] - mx) * (r[3] - my) for r in g), xx + sum((r[2] - mx) ** 2 for r in g)
+    slope = lambda rs: diagnostics.conditional_previous_slope(make(rs), ["k"]).collect()
+    assert math.isclose(slope(rows)[0][1], xy / xx)
+    assert slope(used[:3])[0][1] is None and slope([("a", 1, 1, float(i)) for i in range(6)])[0][1] is None and slope([("a", 1, None, 2.0)]) == []
+
+
 def test_diagnostics_of_a_known_effect(spark):
     df = trials(spark, [(f"p{p}", c, q, 600 + 10 * c + 5 * q + 25 * c * q + r) for p in range(4) for r in range(20) for c, q in CELLS])
     assert abs(diagnostics.cse_summary(df, ["study"]).first()["mean_cse"] - 100) < 1e-9
