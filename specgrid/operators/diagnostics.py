@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrid.functions.order import medians, quantiles
+from specgrid.functions.order import grouped_quantiles, medians, quantiles
 from specgrid.operators.nullify import contrast
 from specgrid.sources.scratch import saved
 
@@ -145,11 +145,86 @@ def time_bin_contrast(df: DataFrame, by: list[str], bins: int = 5) -> DataFrame:
     return each.groupBy(*by).agg(F.max(F.abs("d")).alias("max_abs_timebin_q050_cse"))
 
 
-def branch_diagnostics(df: DataFrame, by: list[str], approximate: int | None = None) -> DataFrame:
-    """Every diagnostic of every branch, joined on the branch's keys, with a text of warnings. The trials are written to the scratch folder, since six aggregates read them."""
+#: The sums of a block over valid trials: y the time, x the one before it, t the trial.
+SUMS = (
+    {f"{k}_{name}_{i}": f"{f}(if({name} = {v}, y, null))" for k, f in (("n", "count"), ("s", "sum")) for name in ("cong", "prev_cong") for i, v in enumerate((1, -1))}
+    | {f"{k}_cell_{i}": f"{f}(if(cong = {c} and prev_cong = {p}, y, null))" for k, f in (("n", "count"), ("s", "sum")) for i, (c, p) in enumerate(CELLS)}
+    | {f"{k}_error_{i}": f"{f}(if(prev_correct = {v}, y, null))" for k, f in (("n", "count"), ("s", "sum")) for i, v in enumerate(("false", "true"))}
+    | {"n_rows": "count(*)", "n": "count(y)", "y": "sum(y)", "falls": "count_if(falls)"}
+    | {"p_n": "count(x)", "p_x": "sum(x)", "p_y": "sum(if(x is null, null, y))", "p_xx": "sum(x * x)", "p_yy": "sum(if(x is null, null, y * y))", "p_xy": "sum(x * y)"}
+    | {"t_n": "count(t)", "t_t": "sum(t)", "t_y": "sum(if(t is null, null, y))", "t_tt": "sum(t * t)", "t_ty": "sum(t * y)"}
+)
+ENDS = {f"{c}_{f}": f"{f}({x})" for c, x in (("y", "y"), ("t", "t"), ("p_x", "x"), ("p_y", "if(x is null, null, y)")) for f in ("min", "max")}
+
+
+def block_sums(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., participant_id, block_index, sums...): everything that the diagnostics add up, for each block of a participant, in one shuffle of the trials."""
+    own = Window.partitionBy(*by, "participant_id").orderBy(F.col("trial_index").asc_nulls_last(), "source_row")
+    rows = df.select(
+        *by, "participant_id", "block_index", "study", "cong", "prev_cong", "prev_correct", rt().alias("y"), F.last(rt(), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)).alias("last"),
+        F.when(is_valid(), F.col("trial_index").cast("double")).alias("t"), (F.col("source_row") < F.lag("source_row").over(own)).alias("falls"),
+    ).withColumn("x", F.expr("if(y is null, null, last)"))
+    return rows.groupBy(*by, "participant_id", "block_index").agg(*(F.expr(f"{x} as {k}") for k, x in (SUMS | ENDS).items()), F.expr("collect_set(if(y is null, null, study)) as studies"))
+
+
+def participant_sums(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """The sums of blocks for each participant, with contrast (cse), correlation of each time with the one before (r) and slope of time on trial."""
+    got = blocks.groupBy(*by, "participant_id").agg(*(F.expr(f"sum({k}) as {k}") for k in SUMS), *(F.expr(f"{k[-3:]}({k}) as {k}") for k in ENDS), F.expr("array_distinct(flatten(collect_set(studies))) as studies"))
+    xx, yy, xy = (f"(p_n * p_{c} - p_{c[0]} * p_{c[1]})" for c in ("xx", "yy", "xy"))
+    got = got.withColumns({
+        "cse": F.expr("try_divide(s_cell_0, n_cell_0) - try_divide(s_cell_1, n_cell_1) - try_divide(s_cell_2, n_cell_2) + try_divide(s_cell_3, n_cell_3)"),
+        "r": F.expr(f"if(n >= 3 and y_min < y_max and p_x_min < p_x_max and p_y_min < p_y_max and {xx} > 0 and {yy} > 0, {xy} / (sqrt({xx}) * sqrt({yy})), null)"),
+        "slope": F.expr("if(t_min < t_max, (t_n * t_ty - t_t * t_y) / (t_n * t_tt - t_t * t_t), null)"),
+    })
+    return got.withColumns({c: F.when(is_finite(F.col(c)), F.col(c)) for c in ("r", "slope")})
+
+
+def summed_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
+    """Every diagnostic of a branch but its quantiles, from sums of blocks."""
+    blocks = saved(block_sums(df, by))
+    means = blocks.groupBy(*by).agg(F.stddev_samp(F.when(F.col("n") > 0, F.col("y") / F.col("n"))).alias("block_mean_sd"))
+    people = participant_sums(blocks, by)
+    total = [k for k in SUMS if k[:2] in ("n_", "s_") and k != "n_rows"]
+    got = people.groupBy(*by).agg(
+        *(F.expr(f"sum({c}) as {c}") for c in (*total, "n_rows", "n", "falls")), F.expr("count_if(n > 0) as n_participants"), F.expr("sort_array(array_distinct(flatten(collect_set(studies)))) as studies"),
+        F.expr("avg(cse) as mean_cse"), F.expr("median(cse) as median_cse"), F.expr("max(abs(cse)) as max_abs_cse"), F.expr("count_if(n > 0 and cse is null) as n_incomplete"),
+        F.expr("avg(r) as lag1_autocorr_mean"), F.expr("avg(slope) as trial_rt_slope_mean"),
+    )
+    mean = lambda k: f"try_divide(s_{k}, n_{k})"
+    shares = ", ".join(f"if(n_cong_{(1 - c) // 2} > 0 and n_prev_cong_{(1 - p) // 2} > 0, n_cell_{i} / n, null)" for i, (c, p) in enumerate(CELLS))
+    metrics = {k: F.expr(x) for k, x in {
+        "cell_min_n": "least(n_cell_0, n_cell_1, n_cell_2, n_cell_3)", "current_cong_effect": f"{mean('cong_0')} - {mean('cong_1')}", "previous_cong_effect": f"{mean('prev_cong_0')} - {mean('prev_cong_1')}",
+        "post_error_slowing": f"{mean('error_0')} - {mean('error_1')}", "transition_imbalance": f"greatest({shares}) - least({shares})", "n_valid": "n", "n_studies": "size(studies)",
+        "studies": "concat_ws(';', studies)", "source_row_monotonic": "falls = 0", "n_incomplete": "if(n > 0, n_incomplete, null)",
+    }.items()}
+    return got.withColumns(metrics).drop(*total, "n", "falls").join(means, by)
+
+
+def branch_diagnostics(df: DataFrame, by: list[str], bins: int = 5) -> DataFrame:
+    """Every diagnostic of every branch, with a text of warnings.
+
+    The trials are written to the scratch folder. One shuffle of them makes the sums of blocks from which all but the
+    quantiles follow; a histogram of all branches, time bins and cells at once, and the buckets of it in which ranks lie, make those.
+    """
     df = saved(df.select(*dict.fromkeys([*by, "participant_id", "study", "source_row", "trial_index", "block_index", "cong", "prev_cong", "rt", "prev_correct"])))
-    parts = [pooled(df, by, approximate), cse_summary(df, by), lag1_autocorrelation(df, by), trial_slope(df, by), block_spread(df, by), time_bin_contrast(df, by)]
-    got = reduce(lambda a, b: a.join(b, by, "left"), parts)
+    # a number stands for the keys of a branch
+    branches = saved(df.select(*by).distinct().coalesce(1).withColumn("__branch", F.monotonically_increasing_id()))
+    named = branches.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    rows = df.join(F.broadcast(named), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by), F.lit(True))).drop(*by, *named.columns[:-1]) if by else df.withColumn("__branch", F.lit(0).cast("long"))
+    if "study" in by:
+        rows = rows.join(F.broadcast(branches.select("__branch", "study")), "__branch")
+    sums = summed_diagnostics(rows, ["__branch"])
+    good = valid(rows).select("__branch", "trial_index", "cong", "prev_cong", F.col("rt").alias("value"))
+    times = good.where("trial_index is not null").groupBy("__branch", F.col("trial_index").cast("double").alias("trial")).agg(F.count("*").alias("n"))
+    edges = times.groupBy("__branch").agg(F.percentile("trial", [i / bins for i in range(1, bins)], F.col("n")).alias("edges"), F.count("*").alias("trials")).where(F.col("trials") >= bins)
+    place = F.when(F.col("trial_index").isNotNull(), F.size(F.filter(F.array_distinct("edges"), lambda e: e < F.col("trial_index"))))
+    binned = good.join(F.broadcast(saved(edges.select("__branch", "edges"))), "__branch", "left").withColumn("bin", F.when(F.col("edges").isNotNull(), place)).drop("edges", "trial_index")
+    whole, parts = grouped_quantiles(binned, [(["__branch", "cong", "prev_cong"], PROBS), (["__branch", "bin", "cong", "prev_cong"], (0.5,))])
+    at = lambda i: contrast({c: F.max(F.when(cell(*c), F.col("quantiles")[i])) for c in CELLS})
+    curves = whole.groupBy("__branch").agg(*(at(i).alias(n) for i, n in enumerate(QUANTILE_NAMES)))
+    over_time = parts.where("bin is not null").groupBy("__branch", "bin").agg(at(0).alias("d")).groupBy("__branch").agg(F.max(F.abs("d")).alias("max_abs_timebin_q050_cse"))
+    got = sums.join(curves, "__branch", "left").join(over_time, "__branch", "left")
+    got = branches.join(got, "__branch").drop("__branch")
     dropped = F.col("n_rows") - F.col("n_valid")
     warn = F.array_compact(F.array(
         F.when(dropped > 0, F.concat(F.lit("dropped_invalid_rows="), dropped.cast("string"))),

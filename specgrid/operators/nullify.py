@@ -53,13 +53,16 @@ def residual_rt(kind: str, min_cell: int = MIN_CELL) -> Column:
     All of it is read off windows over the participant and its bins, so the trials are dealt out once and joined to nothing.
     """
 
-    def beta(*keys: str) -> Column:
-        own = Window.partitionBy(*keys)
-        middle = {"mean": F.avg, "median": F.median}[kind]
-        least = F.least(*(F.count(F.when(in_cell(*c), 1)).over(own) for c in CELLS))
-        return F.when(least >= min_cell, contrast({c: middle(F.when(in_cell(*c), F.col("rt"))).over(own) for c in CELLS}) / 4)
+    fine = "rt is not null and not isnan(rt)"
+    times = [f"if({fine} and cong = {c} and prev_cong = {p}, rt, null)" for c, p in CELLS]
+    middle = {"mean": "avg", "median": "median"}[kind]
 
-    own = F.coalesce(beta("participant_id", "bin"), beta("participant_id"), F.lit(0.0))
+    def beta(keys: str) -> Column:
+        least = ", ".join(f"count({t}) over (partition by {keys})" for t in times)
+        a, b, c, d = (f"{middle}({t}) over (partition by {keys})" for t in times)
+        return F.expr(f"if(least({least}) >= {min_cell}, ({a} - {b} - {c} + {d}) / 4, null)")
+
+    own = F.coalesce(beta("participant_id, bin"), beta("participant_id"), F.lit(0.0))
     return F.when(usable(), F.col("rt") - own * F.col("cong") * F.col("prev_cong")).otherwise(F.col("rt"))
 
 
