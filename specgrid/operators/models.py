@@ -1,16 +1,17 @@
 """Models of the interaction per branch, from sufficient statistics.
 
 The trials of a branch are reduced to n, sum and sum of squares for each participant and cell; everything a 2 x 2 design
-needs follows from those. The closed-form models are plain columns; the mixed models are solved per branch from those small
-tables (participants x 12 numbers, never trials) in a grouped map.
+needs follows from those. The closed-form models are plain columns; the mixed models are solved from patterns of equal cell
+counts (20 numbers each, never trials), many branches in a batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specgrid.functions.stats import chi2_p_values, t_p_value, t_p_values
 from specgrid.schema import RESULTS_SCHEMA
@@ -127,173 +128,219 @@ RANDOM = {"lmm_intercept": 1, "lmm_cong_slope": 2, "lmm_full_slope": 4}
 SINGULAR = 1e-4
 
 
-class Moments:
-    """Cross-products of each participant's design, random design and response, from its cell statistics."""
-
-    def __init__(self, rows: pd.DataFrame, q: int):
-        c, p = rows["cong"].to_numpy(float) / 2, rows["prev_cong"].to_numpy(float) / 2
-        x = np.stack([np.ones_like(c), c, p, c * p], axis=1)
-        n, sy, syy = (rows[k].to_numpy(float) for k in ("n", "sy", "syy"))
-        code, people = pd.factorize(rows["participant_id"])
-        self.people, self.n = len(people), n.sum()
-        self.middle = sy.sum() / self.n
-        sy, syy = sy - n * self.middle, syy - 2 * self.middle * sy + n * self.middle**2
-        total = lambda v: np.stack([np.bincount(code, w, self.people) for w in v.reshape(len(v), -1).T], axis=1)
-        self.xx = total(n[:, None, None] * x[:, :, None] * x[:, None, :]).reshape(-1, 4, 4)
-        self.xy, self.yy, self.q = total(sy[:, None] * x), syy.sum(), q
-
-    def solve(self, theta: np.ndarray, fixed: int, reml: bool):
-        """(criterion, coefficients, their covariance over the residual variance, residual variance) at relative covariance factors theta."""
-        q, p = self.q, fixed
+#: A row of the design (intercept, both codes, interaction) for each cell.
+X_CELLS = np.array([[1, c / 2, p / 2, c * p / 4] for c, p in CELLS])
+PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+class Design:
+    """What a branch's likelihood needs: participants of equal cell counts are one pattern, with the sums and cross-products of their cells' sums.
+
+    The response of a participant has covariance s2 (I + Z L L' Z'), Z being the first q columns of its design and L a lower
+    triangle of theta. For a pattern everything follows from its q x q matrices, whatever the number of its participants.
+    """
+
+    def __init__(self, counts: np.ndarray, people: np.ndarray, sums: np.ndarray, products: np.ndarray, squares: float, q: int):
+        self.q, self.m, self.squares = q, people.astype(float), float(squares)
+        self.n, self.people = float((counts.sum(axis=1) * people).sum()), int(people.sum())
+        self.xx = np.einsum("uc,ci,cj->uij", counts.astype(float), X_CELLS, X_CELLS)
+        self.t, self.tt = sums @ X_CELLS, np.einsum("ci,ucd,dj->uij", X_CELLS, products, X_CELLS)
+        self.parts = (counts, people, sums, products, squares)
+        self.at = np.tril_indices(q)
+        self.units = np.zeros((len(self.at[0]), q, q))
+        self.units[np.arange(len(self.at[0])), self.at[0], self.at[1]] = 1.0
+
+    def of(self, q: int) -> Design:
+        """The same data with q random effects."""
+        return Design(*self.parts, q)
+
+    def look(self, theta: np.ndarray, p: int, reml: bool, log_sd: float | None = None, bend: bool = False) -> dict:
+        """Criterion (-2 log likelihood), its gradient and, with bend, its average information at theta, for the first p fixed effects.
+
+        The residual variance is profiled out unless log_sd gives the logarithm of its root; the gradient then ends with that.
+        """
+        q, m, free = self.q, self.m, self.n - (p if reml else 0)
         lam = np.zeros((q, q))
-        lam[np.tril_indices(q)] = theta
-        zz, zx, zy = self.xx[:, :q, :q], self.xx[:, :q, :p], self.xy[:, :q]
-        m = np.eye(q) + lam.T @ zz @ lam
-        chol = np.linalg.cholesky(m)
-        u = np.linalg.solve(chol, lam.T @ zx)
-        v = np.linalg.solve(chol, (zy @ lam)[:, :, None])
-        xvx = self.xx[:, :p, :p].sum(axis=0) - np.einsum("gkp,gkr->pr", u, u)
-        xvy = self.xy[:, :p].sum(axis=0) - np.einsum("gkp,gk->p", u, v[:, :, 0])
-        yvy = self.yy - (v**2).sum()
+        lam[self.at] = theta
+        a, zx, tz = self.xx[:, :q, :q], self.xx[:, :q, :p], self.t[:, :q]
+        inner = np.eye(q) + lam.T @ a @ lam
+        r = lam @ np.linalg.inv(inner) @ lam.T
+        k = np.eye(q) - a @ r
+        s, b = k @ a, k @ zx
+        xvx = (m[:, None, None] * (self.xx[:, :p, :p] - zx.transpose(0, 2, 1) @ r @ zx)).sum(axis=0)
+        xvy = self.t[:, :p].sum(axis=0) - (zx.transpose(0, 2, 1) @ (r @ tz[:, :, None])).sum(axis=0)[:, 0]
         inverse = np.linalg.inv(xvx)
         beta = inverse @ xvy
-        rss = max(yvy - xvy @ beta, 1e-12)
-        free = self.n - (p if reml else 0)
-        value = 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum() + free * (1 + np.log(2 * np.pi * rss / free))
+        rss = max(self.squares - (r * self.tt[:, :q, :q]).sum() - xvy @ beta, 1e-12)
+        variance = rss / free if log_sd is None else np.exp(2 * log_sd)
+        value = (m * np.linalg.slogdet(inner)[1]).sum() + free * np.log(2 * np.pi * variance) + rss / variance + (np.linalg.slogdet(xvx)[1] if reml else 0.0)
+        # what is left of each pattern: sums and cross-products of Z'V^-1 (y - X beta)
+        fitted, kt = b @ beta, (k @ tz[:, :, None])[:, :, 0]
+        cross = kt[:, :, None] * fitted[:, None, :]
+        w = kt - m[:, None] * fitted
+        ww = k @ self.tt[:, :q, :q] @ k.transpose(0, 2, 1) - cross - cross.transpose(0, 2, 1) + m[:, None, None] * fitted[:, :, None] * fitted[:, None, :]
+        slope = (m[:, None, None] * s).sum(axis=0) - ww.sum(axis=0) / variance
         if reml:
-            value += np.linalg.slogdet(xvx)[1]
-        return value, beta, inverse, rss / free
-
-
-def minimise(f, start: np.ndarray, lower: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, float, bool]:
-    """Projected quasi-Newton (BFGS) with numeric gradients and halving steps."""
-    x = np.maximum(start, lower)
-    value, h = f(x), np.eye(len(x))
-
-    def slope(x):
-        out = np.empty_like(x)
-        for i in range(len(x)):
-            e = 1e-5 * max(1.0, abs(x[i]))
-            up, down = x.copy(), x.copy()
-            up[i] += e
-            down[i] = max(lower[i], down[i] - e)
-            out[i] = (f(up) - f(down)) / (up[i] - down[i])
+            slope -= np.tensordot(m[:, None, None] * (b @ inverse), b, axes=([0, 2], [0, 2]))
+        grad = 2 * (slope @ lam)[self.at]
+        out = {"value": value, "grad": grad, "beta": beta, "inverse": inverse, "variance": variance, "lam": lam, "slope": slope}
+        moves = self.units @ lam.T
+        moves = moves + moves.transpose(0, 2, 1)
+        if log_sd is not None:
+            out["grad"] = np.append(grad, 2 * free - 2 * rss / variance)
+            last = b @ inverse[:, -1]
+            out["spread"] = (moves * ((m[:, None] * last).T @ last)).sum(axis=(1, 2))
+        if bend:
+            toward = np.tensordot(np.tensordot(w, moves, axes=(1, 2)), b, axes=([0, 2], [0, 1]))
+            sw = (s[:, None] @ moves @ ww[:, None]).sum(axis=0)
+            info = ((moves[:, None] * sw).sum(axis=(2, 3)) - toward @ inverse @ toward.T) / variance
+            drawn = (moves * ww.sum(axis=0)).sum(axis=(1, 2)) / variance
+            i, j = self.at
+            # the covariance is a square of theta, which bends the criterion by its own slope as well
+            out["info"] = info - np.outer(drawn, drawn) / free + 2 * slope[np.ix_(i, i)] * (j[:, None] == j)
         return out
 
-    g = slope(x)
+
+def grown(m: Design, here: dict, p: int, reml: bool) -> np.ndarray | None:
+    """A theta that is better than a stationary one, if a random effect that it lacks would help: along the most negative slope in the covariance."""
+    low, along = np.linalg.eigh(here["slope"])
+    if low[0] >= -1e-9 * m.n:
+        return None
+    for size in (1e-1, 1e-2, 1e-3, 1e-4, 1e-6):
+        cov = here["lam"] @ here["lam"].T + size * np.outer(along[:, 0], along[:, 0])
+        new = np.linalg.cholesky(cov + np.eye(m.q) * 1e-14)[m.at]
+        if m.look(new, p, reml)["value"] < here["value"] - 1e-9:
+            return new
+    return None
+
+
+def fit_mixed(m: Design, p: int, reml: bool, rounds: int = 100) -> tuple[np.ndarray, dict, bool]:
+    """(theta, the likelihood there, converged): Newton steps, projected on relative sds of 0 at least and halved until they help.
+
+    Where they end, the slope in the covariance itself has to be that of a smallest value: theta alone has stationary points wherever an effect is 0.
+    """
+    diagonal = m.at[0] == m.at[1]
+    theta, lower = np.where(diagonal, 0.3, 0.0), np.where(diagonal, 0.0, -np.inf)
+    here = m.look(theta, p, reml, bend=True)
     for _ in range(rounds):
-        free = ~((x <= lower) & (g > 0))
-        if not free.any() or np.abs(g[free]).max() < 1e-3:
-            return x, value, True
-        step = -(h[np.ix_(free, free)] @ g[free])
-        if step @ g[free] >= 0:
-            h, step = np.eye(len(x)), -g[free]
-        step = step / max(1.0, float(np.linalg.norm(step)))  # relative factors are of order one
-        size = 1.0
-        while size > 1e-8:
-            new = x.copy()
-            new[free] = np.maximum(x[free] + size * step, lower[free])
-            got = f(new)
-            if got < value - 1e-10:
-                break
-            size /= 2
-        else:
-            return x, value, np.abs(g[free]).max() < 0.1
-        fresh = slope(new)
-        s, y = new - x, fresh - g
-        if (sy := s @ y) > 1e-12:
-            left = np.eye(len(x)) - np.outer(s, y) / sy
-            h = left @ h @ left.T + np.outer(s, s) / sy
-        done = value - got < 1e-9 * (1 + abs(value))
-        x, value, g = new, got, fresh
-        if done:
-            return x, value, True
-    return x, value, False
-
-
-def fit_mixed(m: Moments, fixed: int, reml: bool):
-    q = m.q
-    at = np.tril_indices(q)
-    start = np.where(at[0] == at[1], 0.3, 0.0)
-    lower = np.where(at[0] == at[1], 0.0, -np.inf)
-    theta, value, fine = minimise(lambda t: m.solve(t, fixed, reml)[0], start, lower)
-    return theta, value, fine, *m.solve(theta, fixed, reml)[1:]
-
-
-def satterthwaite(m: Moments, theta: np.ndarray, variance: float, at: int) -> float | None:
-    """Degrees of freedom of coefficient `at`: numeric derivatives of its variance and of the REML criterion in (theta, log sigma)."""
-    def reml(par):
-        # the criterion with the residual variance free rather than profiled
-        value, _, _, s2 = m.solve(par[:-1], 4, True)
-        free = m.n - 4
-        return value - free * (1 + np.log(2 * np.pi * s2)) + free * (np.log(2 * np.pi) + 2 * par[-1] + s2 / np.exp(2 * par[-1]))
-
-    def spread(par):
-        return np.exp(2 * par[-1]) * m.solve(par[:-1], 4, True)[2][at, at]
-
-    par = np.append(theta, 0.5 * np.log(variance))
-    k, e = len(par), 1e-3 * np.maximum(1.0, np.abs(par))
-    unit = np.eye(k) * e
-    grad = np.array([(spread(par + unit[i]) - spread(par - unit[i])) / (2 * e[i]) for i in range(k)])
-    hess = np.empty((k, k))
+        g = here["grad"]
+        free = ~((theta <= lower) & (g >= 0))
+        better = None
+        if free.any():
+            bent, along = np.linalg.eigh(here["info"][np.ix_(free, free)])
+            bent = np.maximum(np.abs(bent), 1e-9 * np.abs(bent).max() + 1e-12)
+            step = -along @ ((along.T @ g[free]) / bent)
+            worth = float(-step @ g[free])
+            step = step / max(1.0, float(np.linalg.norm(step)))
+            size = 1.0 if worth > 1e-14 * (1 + abs(here["value"])) else 0.0
+            while size > 1e-6:
+                new = theta.copy()
+                new[free] = np.maximum(theta[free] + size * step, lower[free])
+                there = m.look(new, p, reml, bend=True)
+                # close to the end the criterion is flatter than its rounding, and a smaller slope tells
+                if there["value"] < here["value"] - 1e-11 * (1 + abs(here["value"])) or worth < 1e-5 and np.abs(there["grad"][free]).max() < 0.5 * np.abs(g[free]).max():
+                    better = new, there
+                    break
+                size /= 2
+        if better is None:
+            new = grown(m, here, p, reml)
+            if new is None:
+                return theta, here, not free.any() or bool(np.abs(g[free]).max() < 1e-6 * (1 + abs(here["value"])))
+            better = new, m.look(new, p, reml, bend=True)
+        theta, here = better
+    return theta, here, False
+
+
+def satterthwaite(m: Design, theta: np.ndarray, variance: float) -> float | None:
+    """Degrees of freedom of the interaction: the gradient of its variance against the curvature of the REML criterion in theta and the residual's log sd."""
+    log_sd = 0.5 * np.log(variance)
+    at = m.look(theta, 4, True, log_sd)
+    k, step = len(theta) + 1, 1e-4
+    bend = np.empty((k, k))
     for i in range(k):
-        for j in range(i, k):
-            hess[i, j] = hess[j, i] = (reml(par + unit[i] + unit[j]) - reml(par + unit[i] - unit[j]) - reml(par - unit[i] + unit[j]) + reml(par - unit[i] - unit[j])) / (4 * e[i] * e[j])
+        move = np.zeros(k)
+        move[i] = step
+        up, down = (m.look(theta + x[:-1], 4, True, log_sd + x[-1])["grad"] for x in (move, -move))
+        bend[i] = (up - down) / (2 * step)
+    spread = variance * at["inverse"][3, 3]
+    grad = np.append(variance * at["spread"], 2 * spread)
     try:
-        cov = 2 * np.linalg.inv(hess)
+        below = grad @ (2 * np.linalg.inv((bend + bend.T) / 2)) @ grad
     except np.linalg.LinAlgError:
         return None
-    below = grad @ cov @ grad
-    df = 2 * spread(par) ** 2 / below if below > 0 else np.nan
+    df = 2 * spread**2 / below if below > 0 else np.nan
     return float(df) if np.isfinite(df) and df > 0 else None
 
 
-def fit_branch(rows: pd.DataFrame, model: str) -> dict:
-    """One mixed model on one branch's statistics, as a row of FIT_FIELDS; a failure is a row too."""
+def fit_branch(design: Design, model: str) -> dict:
+    """One mixed model on one branch's patterns, as a row of FIT_FIELDS; a failure is a row too."""
     out = dict.fromkeys((f.split()[0] for f in FIT_FIELDS.split(", ")))
-    out |= {"error": False, "n_obs": int(rows["n"].sum()), "n_participants": int(rows["participant_id"].nunique())}
+    out |= {"error": False, "n_obs": int(design.n), "n_participants": design.people}
     try:
-        q = RANDOM[model]
-        m = Moments(rows, q)
-        theta, _, fine, beta, inverse, variance = fit_mixed(m, 4, True)
-        se = float(np.sqrt(variance * inverse[3, 3]))
+        m, q = design.of(RANDOM[model]), RANDOM[model]
+        theta, best, fine = fit_mixed(m, 4, True)
+        beta, variance = best["beta"], float(best["variance"])
+        se = float(np.sqrt(variance * best["inverse"][3, 3]))
         t = float(beta[3] / se)
-        df = satterthwaite(m, theta, variance, 3) if fine else None
-        lam = np.zeros((q, q))
-        lam[np.tril_indices(q)] = theta
-        cov = lam @ lam.T
+        df = satterthwaite(m, theta, variance) if fine else None
+        cov = best["lam"] @ best["lam"].T
         sds = np.sqrt(np.maximum(np.linalg.eigvalsh(cov), 0))
-        named = dict(zip(("random_intercept_var", "random_cong_slope_var", "random_prev_cong_slope_var", "random_cse_slope_var"), np.diag(cov) * variance, strict=False))
+        named = dict(zip(("random_intercept_var", "random_cong_slope_var", "random_prev_cong_slope_var", "random_cse_slope_var"), (np.diag(cov) * variance).tolist(), strict=False))
         full, null = fit_mixed(m, 4, False), fit_mixed(m, 1, False)
-        lr = float(max(0.0, null[1] - full[1]))
+        above, below = float(full[1]["value"]), float(null[1]["value"])
+        lr = max(0.0, below - above)
         extra = len(theta) + 1
         out |= named | {
             "main_estimate": float(beta[3]), "main_std_error": se, "main_t_stat": t, "df": df, "main_p_value": float(t_p_values(np.array([t]), np.array([df]))[0]) if df else None,
-            "effect_ci_lower": float(beta[3] - 1.959963984540054 * se), "effect_ci_upper": float(beta[3] + 1.959963984540054 * se), "residual_var": float(variance),
+            "effect_ci_lower": float(beta[3] - 1.959963984540054 * se), "effect_ci_upper": float(beta[3] + 1.959963984540054 * se), "residual_var": variance,
             "full_repca_min_sd": float(sds.min()), "full_is_singular": bool(sds.min() <= SINGULAR), "full_converged": bool(fine and full[2]), "null_converged": bool(null[2]),
-            "loglik_full": float(-full[1] / 2), "loglik_null": float(-null[1] / 2), "npar_full": 4 + extra, "npar_null": 1 + extra,
-            "AIC_diff": float(full[1] - null[1] + 6), "BIC_diff": float(full[1] - null[1] + 3 * np.log(m.n)), "LR_stat": lr, "LR_df": 3, "LR_p": float(chi2_p_values(np.array([lr]), 3)[0]),
+            "loglik_full": -above / 2, "loglik_null": -below / 2, "npar_full": 4 + extra, "npar_null": 1 + extra,
+            "AIC_diff": above - below + 6, "BIC_diff": float(above - below + 3 * np.log(m.n)), "LR_stat": lr, "LR_df": 3, "LR_p": float(chi2_p_values(np.array([lr]), 3)[0]),
         }
         if q > 1 and (not out["full_converged"] or out["full_is_singular"]):
             smaller = "lmm_cong_slope" if model == "lmm_full_slope" else "lmm_intercept"
-            again = fit_branch(rows, smaller)
+            again = fit_branch(design, smaller)
             out |= {"fallback_level": again["fallback_level"] or smaller, "fallback_p_value": again["fallback_p_value"] or again["main_p_value"]}
-    except (np.linalg.LinAlgError, ValueError, ZeroDivisionError) as e:
+    except (np.linalg.LinAlgError, ValueError, ZeroDivisionError, FloatingPointError) as e:
         out |= {"error": True, "error_message": str(e)[:200]}
     return out
 
 
-def mixed_models(stats: DataFrame, by: list[str], models: tuple[str, ...] = ("lmm_intercept", "lmm_cong_slope", "lmm_full_slope")) -> DataFrame:
-    """A row for each branch and mixed model, solved from the branch's statistics; each model of a branch is a group of its own."""
-    kinds = {f.name: f.dataType.simpleString() for f in stats.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ("," if by else "") + f" model string, {FIT_FIELDS}"
+def patterns(stats: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n0..n3, people, s0..s3, p0_0..p3_3, squares): participants of equal cell counts as one row, with sums and products of their cells' sums."""
+    cell = lambda name, i: F.expr(f"coalesce(max(if(cong = {CELLS[i][0]} and prev_cong = {CELLS[i][1]}, {name}, null)), 0)")
+    wide = stats.groupBy(*by, "participant_id").agg(*(cell("n", i).cast("long").alias(f"n{i}") for i in range(4)), *(cell("sy", i).cast("double").alias(f"y{i}") for i in range(4)), F.sum("syy").alias("yy"))
+    return wide.groupBy(*by, "n0", "n1", "n2", "n3").agg(
+        F.count("*").alias("people"), *(F.expr(f"sum(y{i}) as s{i}") for i in range(4)), *(F.expr(f"sum(y{i} * y{j}) as p{i}_{j}") for i, j in PAIRS), F.sum("yy").alias("squares"),
+    )
+
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        key = {c: rows[c].iloc[0] for c in (*by, "model")}
-        return pd.DataFrame([key | fit_branch(rows.drop(columns="model"), key["model"])])
+def design_of(rows: np.ndarray) -> Design:
+    """From patterns as rows of numbers, in the order of `patterns`."""
+    products = np.zeros((len(rows), 4, 4))
+    for at, (i, j) in enumerate(PAIRS):
+        products[:, i, j] = products[:, j, i] = rows[:, 9 + at]
+    return Design(rows[:, :4], rows[:, 4], rows[:, 5:9], products, rows[:, 19].sum(), 4)
 
-    each = stats.select(*by, "participant_id", "cong", "prev_cong", "n", "sy", "syy", F.explode(F.array(*map(F.lit, models))).alias("model"))
-    return each.groupBy(*by, "model").applyInPandas(solve, schema)
+
+def mixed_models(stats: DataFrame, by: list[str], models: tuple[str, ...] = ("lmm_intercept", "lmm_cong_slope", "lmm_full_slope")) -> DataFrame:
+    """A row for each branch and mixed model. A branch comes to Python as its patterns, many branches in a batch; its models are solved in different tasks."""
+    names = [*(f"n{i}" for i in range(4)), "people", *(f"s{i}" for i in range(4)), *(f"p{i}_{j}" for i, j in PAIRS), "squares"]
+    fields = T.StructType.fromDDL(FIT_FIELDS)
+    arrow = {f.name: {"integer": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.typeName()] for f in fields}
+
+    def solve(batches):
+        for batch in batches:
+            flat, edges = batch.column("rows").flatten(), batch.column("rows").offsets.to_numpy()
+            numbers = flat.flatten().to_numpy().reshape(len(flat), len(names))
+            rows = [fit_branch(design_of(numbers[a - edges[0] : b - edges[0]]), model) for a, b, model in zip(edges[:-1], edges[1:], batch.column("model").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("model"), *(pa.array([r[f] for r in rows], kind) for f, kind in arrow.items())], ["key", "model", *arrow])
+
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.lit(True).alias("whole"))
+    each = patterns(stats, by).groupBy(key.alias("key")).agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in names))).alias("rows"))
+    each = each.select("key", "rows", F.explode(F.array(*map(F.lit, models))).alias("model")).repartition("key", "model")
+    got = each.mapInArrow(solve, T.StructType([each.schema["key"], each.schema["model"], *fields]))
+    return got.select(*(F.col(f"key.k{i}").alias(c) for i, c in enumerate(by)), "model", *arrow)
 
 
 # --- result rows --------------------------------------------------------------------------------------------------------

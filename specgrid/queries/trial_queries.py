@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
@@ -496,6 +496,31 @@ def model_mixed(df):
     return models.mixed_models(models.suff_stats(df, ["study"]), ["study"])
 
 
+BALANCED_CELL = 5
+
+
+@query("trials_li", "study:s n_obs n_participants main_estimate:d main_std_error:d main_t_stat:d residual_sd:d random_intercept_sd:d full_is_singular:b", f"""
+with placed as (select study, participant_id, cong, prev_cong, rt, row_number() over (partition by participant_id, cong, prev_cong order by source_row) as place from trials where {MODEL_ROWS}),
+few as (select *, count(*) over (partition by participant_id) as own from placed where place <= {BALANCED_CELL}), even as (select * from few where own = {4 * BALANCED_CELL}),
+cells as (select study, cong, prev_cong, avg(rt) as m from even group by all), persons as (select study, participant_id, avg(rt) as m from even group by all),
+whole as (select study, count(*) as n, count(distinct participant_id) as p, avg(rt) as m from even group by study),
+fixed as (select study, sum(case when cong = prev_cong then m else -m end) as estimate from cells group by study),
+total as (select study, sum((rt - cells.m) * (rt - cells.m)) as within from even join cells using (study, cong, prev_cong) group by study),
+between as (select study, {4 * BALANCED_CELL} * sum((persons.m - whole.m) * (persons.m - whole.m)) as ssb from persons join whole using (study) group by study),
+v as (select study, n, p, estimate, ssb / (p - 1) as msb, (within - ssb) / (n - p - 3) as mse, within / (n - 4) as pooled from whole join fixed using (study) join total using (study) join between using (study))
+select study, n as n_obs, p as n_participants, estimate as main_estimate, round(4 * sqrt(case when msb > mse then mse else pooled end / n), 4) as main_std_error,
+  round(estimate / (4 * sqrt(case when msb > mse then mse else pooled end / n)), 5) as main_t_stat, round(sqrt(case when msb > mse then mse else pooled end), 4) as residual_sd,
+  round(sqrt(case when msb > mse then (msb - mse) / {4 * BALANCED_CELL} else 0 end), 2) as random_intercept_sd, msb <= mse as full_is_singular from v""")
+def model_mixed_balanced(df):
+    """The random-intercept model where every participant has as many trials in each cell: there it has a closed form."""
+    own = Window.partitionBy("participant_id", "cong", "prev_cong").orderBy("source_row")
+    few = models.model_rows(df).withColumn("place", F.row_number().over(own)).where(F.col("place") <= BALANCED_CELL)
+    even = few.withColumn("own", F.count("*").over(Window.partitionBy("participant_id"))).where(F.col("own") == 4 * BALANCED_CELL)
+    fits = models.mixed_models(models.suff_stats(even, ["study"]), ["study"], ("lmm_intercept",))
+    places = {"main_std_error": ("main_std_error", 4), "main_t_stat": ("main_t_stat", 5), "residual_sd": (F.sqrt("residual_var"), 4), "random_intercept_sd": (F.sqrt("random_intercept_var"), 2)}
+    return fits.withColumns({k: F.round(c, n) for k, (c, n) in places.items()})
+
+
 @query("trials_li", "study:s n_terms term:s estimate:d error:b", """
 with m as (select study, avg(rt) as m from trials group by study),
 t as (select study, unnest(['cong1', 'prev_cong1', 'cong1:prev_cong1', 'cong1:trial', 'prev_cong[S.1]:cong[S.1]', 'congruent:prev_cong1']) as term, m * unnest([2, 3, 1, 4, 5, 6]) as estimate from m),

@@ -368,6 +368,64 @@ def test_mixed_model_of_a_balanced_design(spark):
     assert abs(fe["estimate"] - beta[2]) < 1e-6 and abs(fe["std_error"] - se) < 1e-6
 
 
+def unbalanced(rng, people, most):
+    x, y, g = [], [], []
+    for p in range(people):
+        u = rng.normal(0, [40, 12, 10, 20])
+        for c in models.X_CELLS:
+            for _ in range(rng.integers(0, most)):
+                x.append(c)
+                g.append(p)
+                y.append(600 + c @ u + c[1:] @ [20, 10, 15] + rng.normal(0, 30))
+    return np.array(x), np.array(y), np.array(g)
+
+
+def dense(x, y, g, theta, q, p, reml):
+    """-2 log likelihood by whole matrices, the residual variance profiled out."""
+    lam = np.zeros((q, q))
+    lam[np.tril_indices(q)] = theta
+    v = np.eye(len(y))
+    for a in np.unique(g):
+        i = np.flatnonzero(g == a)
+        v[np.ix_(i, i)] += x[i][:, :q] @ lam @ lam.T @ x[i][:, :q].T
+    inv, f = np.linalg.inv(v), x[:, :p]
+    a = f.T @ inv @ f
+    r = y - f @ np.linalg.solve(a, f.T @ inv @ y)
+    free = len(y) - (p if reml else 0)
+    return np.linalg.slogdet(v)[1] + free * np.log(2 * np.pi * (r @ inv @ r) / free) + free + (np.linalg.slogdet(a)[1] if reml else 0)
+
+
+@pytest.mark.parametrize("people,most", [(7, 4), (4, 9)])
+def test_mixed_likelihood_equals_a_dense_one(people, most):
+    rng = np.random.default_rng(people)
+    x, y, g = unbalanced(rng, people, most)
+    sums = {p: np.array([y[(g == p) & (x == c).all(axis=1)].sum() for c in models.X_CELLS]) for p in np.unique(g)}
+    found = {}
+    for p, s in sums.items():
+        found.setdefault(tuple(int(((g == p) & (x == c).all(axis=1)).sum()) for c in models.X_CELLS), []).append(s)
+    parts = np.array(list(found)), np.array([len(v) for v in found.values()]), np.array([np.sum(v, axis=0) for v in found.values()]), np.array([np.transpose(v) @ np.array(v) for v in found.values()]), (y * y).sum()
+    for q in (1, 2, 4):
+        m = models.Design(*parts, q)
+        for p, reml in ((4, True), (4, False), (1, True), (1, False)):
+            theta = rng.normal(0, 0.5, q * (q + 1) // 2)
+            got = m.look(theta, p, reml, bend=True)
+            assert math.isclose(got["value"], dense(x, y, g, theta, q, p, reml), rel_tol=1e-10)
+            near = [(dense(x, y, g, theta + e, q, p, reml) - dense(x, y, g, theta - e, q, p, reml)) / 2e-5 for e in np.eye(len(theta)) * 1e-5]
+            assert np.allclose(got["grad"], near, rtol=1e-4, atol=1e-4)
+            best, at, fine = models.fit_mixed(m, p, reml)
+            # nothing nearby is better than what was found
+            assert fine and all(dense(x, y, g, best + rng.normal(0, s, len(best)), q, p, reml) > at["value"] - 1e-5 for s in (1e-3, 0.03, 0.3) for _ in range(15))
+
+
+def test_mixed_models_of_awkward_branches(spark):
+    """One participant, one cell, constant times and an empty table give rows (or none), not crashes."""
+    rows = [("a", f"p{i}", 1, 1, 4, 40.0, 410.0) for i in range(3)] + [("b", "p1", c, q, 3, 30.0, 300.0) for c, q in CELLS] + [("c", f"p{i}", c, q, 3, 30.0, 300.0) for i in range(4) for c, q in CELLS]
+    st = spark.createDataFrame(rows, "k string, participant_id string, cong int, prev_cong int, n long, sy double, syy double")
+    got = {(r["k"], r["model"]): r for r in models.mixed_models(st, ["k"]).collect()}
+    assert len(got) == 9 and all(r["n_obs"] in (12, 48) for r in got.values()) and got["a", "lmm_intercept"]["error"]
+    assert models.mixed_models(st.where("false"), ["k"]).count() == 0 and models.mixed_models(st.where("k = 'c'").drop("k"), []).count() == 3
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t.csv").write_text("participant_id,cong,prev_cong,rt\na,1,1.0,500\na,-1,NA,NaN\nb,x,-1.0,\n")
     df = io.normalize_types(io.read_trials(spark, str(tmp_path / "t.csv")))
