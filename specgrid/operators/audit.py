@@ -26,15 +26,8 @@ CONFOUNDS = (
     ("contingency learning/item-specific proportion congruency", (), "missing"),
     ("study-specific affect/conflict condition", ("condition", "congruency", "name"), "available_study_sparse"),
 )
-#: What a reader should mind, by status.
-RISKS = {
-    "available_but_recompute_required": "taken from the row before, which may be another participant's: make it again",
-    "available": "filtering or drift by it changes cells and must be stated",
-    "available_study_specific": "means something else in each study: compare within studies only",
-    "available_study_sparse": "some studies have none: not a covariate of all",
-    "insufficient": "too coarse in the combined data to tell it apart from the effect",
-    "missing": "not in the combined data, so it can't be ruled out",
-}
+#: Shares of missing rows up to which a column counts as whole, or as thin.
+WHOLE, THIN = 0.01, 0.5
 
 
 def normalize_missing(column: Column) -> Column:
@@ -105,17 +98,25 @@ def column_inventory(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def confound_risk(inventory: DataFrame) -> DataFrame:
-    """(confound, columns, column, status, risk, missing_rate): whether the table holds what speaks to each confound, and how much of its key column is missing.
+    """(confound, columns, column, status, n_columns, n_present, missing_rate, worst_rate, risk): what the table holds on each confound.
 
     A confound without a column of its own keeps its status; of the others those whose key column isn't in the inventory are missing.
-    The sparse study conditions count as such whether the column is there or not.
+    The sparse study conditions count as such whether the column is there or not. risk is made from what was measured: the
+    share of rows without the key column, and how many of the confound's columns are there at all.
     """
-    rows = [(name, "; ".join(columns), columns[0] if columns else None, status, not columns or name.startswith("study-specific")) for name, columns, status in CONFOUNDS]
-    known = inventory.sparkSession.createDataFrame(rows, "confound string, columns string, column string, held string, always boolean")
-    got = known.join(inventory.select("column", "missing_rate"), "column", "left")
+    rows = [(name, "; ".join(columns), list(columns), columns[0] if columns else None, status, not columns or name.startswith("study-specific")) for name, columns, status in CONFOUNDS]
+    known = inventory.sparkSession.createDataFrame(rows, "confound string, columns string, each array<string>, column string, held string, always boolean")
+    rates = inventory.select("column", "missing_rate")
+    seen = known.select("confound", F.explode("each").alias("column")).join(rates, "column").groupBy("confound").agg(F.count("*").alias("n_present"), F.max("missing_rate").alias("worst_rate"))
+    got = known.join(rates, "column", "left").join(seen, "confound", "left").withColumns({"n_columns": F.size("each"), "n_present": F.coalesce("n_present", F.lit(0))})
     status = F.when(F.col("always") | F.col("missing_rate").isNotNull(), F.col("held")).otherwise("missing")
-    risk = F.create_map(*[F.lit(x) for pair in RISKS.items() for x in pair])
-    return got.withColumn("status", status).select("confound", "columns", "column", "status", risk[F.col("status")].alias("risk"), "missing_rate")
+    rate, share = F.col("missing_rate"), F.concat(F.round(F.col("missing_rate") * 100, 1).cast("string"), F.lit("% of rows lack "), F.col("column"))
+    risk = (
+        F.when(F.col("n_present") == 0, F.concat(F.lit("nothing measured on "), "confound"))
+        .when(rate.isNull(), F.concat("column", F.lit(" not there, "), F.col("n_present").cast("string"), F.lit(" other column(s)")))
+        .when(rate <= WHOLE, F.concat(F.lit("can be conditioned on: "), share)).when(rate <= THIN, F.concat(F.lit("conditioning loses rows: "), share)).otherwise(F.concat(F.lit("mostly unknown: "), share))
+    )
+    return got.withColumn("status", status).select("confound", "columns", "column", "status", "n_columns", "n_present", "missing_rate", "worst_rate", risk.alias("risk"))
 
 
 def check_required(df: DataFrame, columns: list[str]) -> None:

@@ -118,51 +118,35 @@ def pending(branches: DataFrame, done: DataFrame) -> DataFrame:
     return branches.join(done.select("branch_id").distinct(), "branch_id", "left_anti")
 
 
-@dataclass(frozen=True)
-class Design:
-    """A way to test the interaction; {y} is the outcome on its scale."""
-
-    name: str
-    family: str
-    right: str
-    nested: str
-    unit: str
-    extraction: str
-    denominator: str
-    failures: tuple[str, ...]
-
-    def formula(self, y: str, interaction: bool) -> str:
-        op = "*" if interaction else "+"
-        return f"{y} ~ cong {op} prev_cong + {self.nested.format(op=op) if self.nested else self.right}"
-
-
-COEFFICIENT = "coefficient cong:prev_cong or prev_cong:cong, by name"
-LMM = ("non-convergence", "singularity", "extraction failure")
-DESIGNS = (
-    Design("rmanova_cell_mean", "rmANOVA", "Error(participant_id/(cong*prev_cong))", "", "cell_mean", "effect cong:prev_cong, by name", "complete-cell fits", ("missing participant cell", "too few complete participants", "named effect absent")),
-    Design("trial_lm_participant_fe", "basic_lm", "factor(participant_id)", "", "rt", COEFFICIENT, "non-aliased finite fits", ("aliased participant or interaction coefficient",)),
-    Design("lmm_random_intercept", "LMM", "(1 | participant_id)", "", "rt", COEFFICIENT, "converged nonsingular fits", LMM),
-    Design("lmm_maximal", "LMM", "", "(cong {op} prev_cong | participant_id)", "rt", COEFFICIENT, "converged nonsingular fits", (*LMM, "rank-deficient random effects")),
+#: The fits that this package runs: what each is called, the operator, its random part as a formula, and how many variance parameters that has.
+FITS = (
+    ("rmanova", "models.rmanova", "Error(participant_id / (cong * prev_cong))", 0),
+    ("cell_mean_t", "models.cell_mean_t", "Error(participant_id / (cong * prev_cong))", 0),
+    ("participant_fe", "models.participant_fe_lm", "participant_id", 0),
+    ("lmm_intercept", "models.mixed_models", "(1 | participant_id)", 1),
+    ("lmm_cong_slope", "models.mixed_models", "(1 + cong | participant_id)", 3),
+    ("lmm_full_slope", "models.mixed_models", "(1 + cong * prev_cong | participant_id)", 10),
 )
+#: What a fit's row says when there is no estimate, and which rows count as usable, as the operators have them.
+ENDS = {
+    "models.rmanova": ("n_complete < 2 or sd = 0", "n_complete"),
+    "models.cell_mean_t": ("error (strict) or n_complete < 2", "n_complete"),
+    "models.participant_fe_lm": ("error", "df > 0"),
+    "models.mixed_models": ("error or not full_converged", "full_converged and not full_is_singular"),
+}
+STRATEGY_SCHEMA = "strategy_id string, operator string, outcome_scale string, formula_full string, formula_null string, term string, n_variances int, fails_if string, usable_if string"
 
 
 def strategy_rows() -> list[tuple]:
-    """Every design on the raw and on the log scale, all of them primary."""
-    rows = []
-    for d in DESIGNS:
-        for scale, outcome in (("raw", "rt"), ("log", "log_rt")):
-            y = (d.unit if scale == "raw" else f"{d.unit}_log") if d.unit == "cell_mean" else ("rt" if scale == "raw" else "log(rt)")
-            first = "nonfinite RT" if scale == "raw" else "nonpositive RT before log"
-            failures = [first, *d.failures] if d.unit == "rt" or scale == "log" else list(d.failures)
-            rows.append((f"{d.name}_{scale}", d.family, outcome, d.formula(y, True), d.formula(y, False), d.extraction, f"planned fits; conditionally {d.denominator}", "; ".join(failures), True))
-    return rows
-
-
-STRATEGY_SCHEMA = "strategy_id string, model_family string, outcome_scale string, formula_full string, formula_null string, cse_extraction_rule string, denominator_rule string, failure_modes string, primary boolean"
+    """A row of STRATEGY_SCHEMA for every fit on either scale; the formulas follow from the fixed part, with and without the interaction."""
+    return [
+        (f"{name}__{scale}", operator, scale, *(f"{y} ~ cong {op} prev_cong + {random}" for op in "*+"), "cong:prev_cong", n, *ENDS[operator])
+        for name, operator, random, n in FITS for scale, y in (("rt", "rt"), ("log_rt", "ln(rt)"))
+    ]
 
 
 def strategy_table(spark: SparkSession) -> DataFrame:
-    """The analysis strategies: formulas with and without the interaction, how it is read off, what rates are taken over, and what can fail."""
+    """The fits of this package: their operators, formulas with and without the interaction, and what makes a fit fail or usable."""
     return spark.createDataFrame(strategy_rows(), STRATEGY_SCHEMA)
 
 

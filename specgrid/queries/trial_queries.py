@@ -209,13 +209,24 @@ def audit_column_inventory(df):
     return audit.column_inventory(df, ["cong", "prev_cong", "study", "participant_id"])
 
 
-@query("trials_ev", "confound:s columns:s column:s status:s risk:s missing_rate:d", f"""
-with k(confound, columns, c, held, fixed) as (values {', '.join(f"('{name}', '{'; '.join(cols)}', {repr(cols[0]) if cols else 'null'}, '{status}', {not cols or name.startswith('study-specific')})" for name, cols, status in audit.CONFOUNDS)}),
-m as (select 'prev_cong' as c, count(case when prev_cong is null then 1 end) / count(*) as r from trials union all select 'correct', count(case when correct is null then 1 end) / count(*) from trials union all select 'trial_index', count(case when trial_index is null then 1 end) / count(*) from trials),
-s as (select k.*, r, case when fixed or r is not null then held else 'missing' end as status from k left join m using (c)), risks(status, risk) as (values {', '.join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in audit.RISKS.items())})
-select confound, columns, c as "column", status, risk, r as missing_rate from s join risks using (status)""")
+@query("trials_ev", "confound:s columns:s column:s status:s n_columns n_present missing_rate:d worst_rate:d risk:s", """
+with k(confound, columns, c, held, fixed) as (values
+  ('previous congruency', 'prev_cong', 'prev_cong', 'available_but_recompute_required', false), ('previous accuracy/post-error slowing', 'prev_correct', 'prev_correct', 'available_but_recompute_required', false),
+  ('current accuracy filtering', 'correct', 'correct', 'available', false), ('trial index/fatigue/practice trend', 'trial_index; is_practice', 'trial_index', 'available', false),
+  ('block effects', 'block_index; name; condition', 'block_index', 'available_study_specific', false), ('practice trials', 'is_practice; name', 'is_practice', 'available_study_sparse', false),
+  ('stimulus identity/repetition', '', null, 'insufficient', true), ('response identity/repetition', '', null, 'missing', true), ('feature/event-file integration', '', null, 'missing', true),
+  ('contingency learning/item-specific proportion congruency', '', null, 'missing', true), ('study-specific affect/conflict condition', 'condition; congruency; name', 'condition', 'available_study_sparse', true)),
+t as (select *, case when source_row % 3 > 0 then prev_correct end as thin, case when source_row % 3 = 0 then block_index end as bare from trials),
+m as (select 'prev_cong' as c, count(*) filter (where prev_cong is null) / count(*) as r from t union all select 'correct', count(*) filter (where correct is null) / count(*) from t
+  union all select 'trial_index', count(*) filter (where trial_index is null) / count(*) from t union all select 'prev_correct', count(*) filter (where thin is null) / count(*) from t
+  union all select 'block_index', count(*) filter (where bare is null) / count(*) from t union all select 'name', 0),
+e as (select confound, count(*) as n_present, max(r) as worst_rate from (select confound, unnest(string_split(columns, '; ')) as c from k) u join m using (c) group by confound),
+s as (select k.*, r, worst_rate, coalesce(n_present, 0) as n_present, case when columns = '' then 0 else len(string_split(columns, '; ')) end as n_columns, case when fixed or r is not null then held else 'missing' end as status from k left join m using (c) left join e using (confound))
+select confound, columns, c as "column", status, n_columns, n_present, r as missing_rate, worst_rate, case when n_present = 0 then 'nothing measured on ' || confound when r is null then c || ' not there, ' || n_present || ' other column(s)'
+  else case when r <= 0.01 then 'can be conditioned on: ' when r <= 0.5 then 'conditioning loses rows: ' else 'mostly unknown: ' end || cast(round(r * 100, 1) as double) || '% of rows lack ' || c end as risk from s""")
 def audit_confound_risk(df):
-    return audit.confound_risk(audit.column_inventory(df, ["prev_cong", "correct", "trial_index"]))
+    odd = df.withColumns({"prev_correct": F.when(F.col("source_row") % 3 > 0, F.col("prev_correct")), "block_index": F.when(F.col("source_row") % 3 == 0, F.col("block_index")), "name": F.lit("x")})
+    return audit.confound_risk(audit.column_inventory(odd, ["prev_cong", "correct", "trial_index", "prev_correct", "block_index", "name"]))
 
 
 @query("trials_ev", "check:s n_bad examples:s", f"""
@@ -297,13 +308,14 @@ def grid_coverage(df):
     return audit.branch_coverage(every, done, by=["study"]).join(problems, "study", "left").withColumn("n_problem", F.coalesce("n_problem", F.lit(0)))
 
 
-STRATEGIES = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in row[:-1]) + ")" for row in grid.strategy_rows())
-
-
-@query("trials_ev", "study:s strategy_id:s model_family:s outcome_scale:s formula_full:s formula_null:s failure_modes:s n_rows n_participants", f"""
-with k(strategy_id, model_family, outcome_scale, formula_full, formula_null, cse_extraction_rule, denominator_rule, failure_modes) as (values {STRATEGIES}),
+@query("trials_ev", "study:s strategy_id:s operator:s outcome_scale:s formula_full:s formula_null:s n_variances usable_if:s n_rows n_participants", """
+with f(name, operator, random, n_variances, usable_if) as (values ('rmanova', 'rmanova', 'Error(participant_id / (cong * prev_cong))', 0, 'n_complete'), ('cell_mean_t', 'cell_mean_t', 'Error(participant_id / (cong * prev_cong))', 0, 'n_complete'),
+  ('participant_fe', 'participant_fe_lm', 'participant_id', 0, 'df > 0'), ('lmm_intercept', 'mixed_models', '(1 | participant_id)', 1, 'full_converged and not full_is_singular'),
+  ('lmm_cong_slope', 'mixed_models', '(1 + cong | participant_id)', 3, 'full_converged and not full_is_singular'), ('lmm_full_slope', 'mixed_models', '(1 + cong * prev_cong | participant_id)', 10, 'full_converged and not full_is_singular')),
 t as (select study, participant_id, unnest(['rt', 'log_rt']) as outcome_scale, unnest([true, rt - 20 > 0]) as fine from trials where rt is not null and cong is not null and prev_cong is not null),
-c as (select study, outcome_scale, count(case when fine then 1 end) as n_rows, count(distinct case when fine then participant_id end) as n_participants from t group by all) select * from k join c using (outcome_scale)""")
+c as (select study, outcome_scale, count(case when fine then 1 end) as n_rows, count(distinct case when fine then participant_id end) as n_participants from t group by all)
+select study, name || '__' || outcome_scale as strategy_id, 'models.' || operator as operator, outcome_scale, case outcome_scale when 'rt' then 'rt' else 'ln(rt)' end || ' ~ cong * prev_cong + ' || random as formula_full,
+  case outcome_scale when 'rt' then 'rt' else 'ln(rt)' end || ' ~ cong + prev_cong + ' || random as formula_null, n_variances, usable_if, n_rows, n_participants from f, c""")
 def grid_strategies(df):
     return grid.planned_strategies(df.withColumn("rt", F.col("rt") - 20), ["study"])
 
