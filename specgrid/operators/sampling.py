@@ -9,6 +9,8 @@ from specgrid.functions.order import medians
 from specgrid.sources.scratch import saved
 
 SEED = "42"
+#: Hex digits of a hash by which a sample is cut: a 4,096th of the participants is ranked.
+PREFIX = 3
 
 
 def membership(trials: DataFrame, samples: DataFrame, seed: str = SEED) -> DataFrame:
@@ -18,10 +20,20 @@ def membership(trials: DataFrame, samples: DataFrame, seed: str = SEED) -> DataF
     """
     people = trials.select("participant_id").distinct()
     total = people.agg(F.count("*").alias("people"))
-    drawn = people.crossJoin(F.broadcast(samples.select("sample_size", "sample", "subsample_id"))).crossJoin(F.broadcast(total))
+    wanted = samples.select("sample_size", "sample", "subsample_id").crossJoin(F.broadcast(total)).withColumn("wanted", F.ceil(F.col("people") * F.col("sample_size")))
+    of = ["sample", "subsample_id"]
     key = F.md5(F.concat_ws("|", F.lit(seed), "sample", F.col("subsample_id").cast("string"), "participant_id").cast("binary"))
-    rank = F.row_number().over(Window.partitionBy("sample", "subsample_id").orderBy(key, "participant_id"))
-    return drawn.withColumn("rank", rank).where(F.col("rank") <= F.ceil(F.col("people") * F.col("sample_size"))).select("sample_size", "sample", "subsample_id", "participant_id")
+    drawn = people.crossJoin(F.broadcast(wanted.select(*of, "sample_size", "wanted"))).withColumn("key", key).withColumn("prefix", F.substring("key", 1, PREFIX))
+    # the prefix in which a sample's last participant lies, and how many of that prefix it takes; all below are in
+    counts = drawn.groupBy(*of, "prefix").agg(F.count("*").alias("n"), F.max("wanted").alias("wanted"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*of).orderBy("prefix")) - F.col("n"))
+    cut = counts.where((F.col("wanted") > F.col("before")) & (F.col("wanted") <= F.col("before") + F.col("n"))).select(*of, F.col("prefix").alias("last"), (F.col("wanted") - F.col("before")).alias("left"))
+    drawn = drawn.join(F.broadcast(cut), of).where(F.col("prefix") <= F.col("last"))
+    # only participants of the last prefix are ranked
+    rank = F.row_number().over(Window.partitionBy(*of, "prefix").orderBy("key", "participant_id"))
+    last = drawn.where(F.col("prefix") == F.col("last")).withColumn("rank", rank).where(F.col("rank") <= F.col("left"))
+    columns = ["sample_size", "sample", "subsample_id", "participant_id"]
+    return drawn.where(F.col("prefix") < F.col("last")).select(*columns).unionByName(last.select(*columns))
 
 
 def sample_participants(trials: DataFrame, members: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from specgrid.operators import audit, diagnostics, grid, harmonize, materialize,
 from specgrid.plans import scale
 from specgrid.registry import query
 from specgrid.sources import io
+from specgrid.sources.scratch import scratch
 
 CELLS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
@@ -229,6 +230,28 @@ def audit_confound_risk(df):
     return audit.confound_risk(audit.column_inventory(odd, ["prev_cong", "correct", "trial_index", "prev_correct", "block_index", "name"]))
 
 
+@query("trials_li", "outlier:s data_id:s n_rows rt:d", """
+select study as outlier, concat(study, '_', participant_id) as data_id, count(*) as n_rows, sum(case when study in ('s1', 's3') then rt + 1 else rt end) as rt from trials group by all""")
+def io_branches_again(df):
+    """Every participant's trials as a branch, written, and those of two studies written again with other times: one copy of each is left."""
+    path = scratch(df.sparkSession)
+    rows = df.select("participant_id", "rt", F.col("study").alias("outlier"), F.lit("none").alias("strip_method"), F.concat_ws("_", "study", "participant_id").alias("data_id"))
+    few = rows.withColumn("data_id", F.col("data_id")).repartition("data_id")
+    io.write_branches(few, path)
+    io.write_branches(few.where("outlier in ('s1', 's3')").withColumn("rt", F.col("rt") + 1), path)
+    return io.read_branch(df.sparkSession, path, ["rt", "data_id"], ["outlier", "data_id", "rt"]).groupBy("outlier", "data_id").agg(F.count("*").alias("n_rows"), F.sum("rt").alias("rt"))
+
+
+@query("trials_ev", "participant_id:s n_rows cong prev_cong rt:d", """
+select participant_id, count(*) as n_rows, sum(cong) as cong, sum(prev_cong) as prev_cong, sum(round(rt, 3)) as rt from trials group by participant_id""")
+def io_read_trials(df):
+    """The trials written as text and read again, with their tokens for missing values."""
+    path = scratch(df.sparkSession)
+    io.write_tables({"trials": df.select("participant_id", "cong", F.coalesce(F.col("prev_cong").cast("string"), F.lit("NA")).alias("prev_cong"), F.round("rt", 3).alias("rt")), "nothing": df.where("false")}, path)
+    back = io.normalize_types(io.read_trials(df.sparkSession, f"{path}/trials"))
+    return back.groupBy("participant_id").agg(F.count("*").alias("n_rows"), F.sum("cong").alias("cong"), F.sum("prev_cong").alias("prev_cong"), F.sum("rt").alias("rt"))
+
+
 @query("trials_ev", "check:s n_bad examples:s", f"""
 with d as (select participant_id, source_row, trial_index, cong, case when source_row % 50 = 0 then 3 else prev_cong end as prev_cong, rt - 20 as rt from trials),
 cells as (select participant_id, {least_sql(" and rt is not null")} as m from d group by 1),
@@ -337,8 +360,8 @@ for of in ("ev", "li"):
 
 SHUFFLE = """good as (select * from trials where rt is not null and cong is not null and prev_cong is not null),
 a as (select *, row_number() over (partition by participant_id, cong order by source_row) as nth from good),
-d as (select participant_id, cong, rt, row_number() over (partition by participant_id, cong order by md5(concat_ws('|', '42', cast(source_row as varchar))), source_row) as nth from good),
-shuffled as (select a.* exclude (rt, nth), d.rt from a join d using (participant_id, cong, nth) union all by name select * from trials where rt is null or cong is null or prev_cong is null)"""
+d as (select participant_id, cong, list(rt order by md5(concat_ws('|', '42', cast(source_row as varchar))), source_row) as rts from good group by participant_id, cong),
+shuffled as (select a.* exclude (rt, nth), d.rts[a.nth] as rt from a join d using (participant_id, cong) union all by name select * from trials where rt is null or cong is null or prev_cong is null)"""
 
 
 @query("trials_li", "source_row participant_id:s cong rt:d", f"with {SHUFFLE} select * from shuffled")

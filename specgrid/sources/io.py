@@ -1,4 +1,4 @@
-"""Sources and sinks. Readers take paths that Spark opens; writers rely on Spark's commit protocol."""
+"""Sources and sinks. Readers take paths that Spark opens; what is written again replaces itself, by run or by branch."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specgrid.operators.audit import study_of
 from specgrid.schema import RESULTS_SCHEMA
+from specgrid.sources.scratch import saved
 
 NULL_TOKENS = ("NA", "NaN", "")
 REQUIRED = ("trial_index", "block_index", "cong", "participant_id", "rt", "correct", "prev_correct", "prev_cong")
@@ -46,8 +47,17 @@ def indexed_design(df: DataFrame) -> DataFrame:
         return df
     if "export_row_index" in df.columns:
         return df.withColumn("source_row", F.col("export_row_index").cast("long"))
-    schema = df.schema.add("source_row", "long")
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(schema)
+    return numbered(df, "source_row")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with numbers from 1, without gaps, in the order of its partitions and their rows: each partition counts its own and begins after those before it."""
+    kept = saved(df.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    starts = sizes.select(F.col("__part"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    got = kept.join(F.broadcast(starts), part == F.col("__part"))
+    return got.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, name)
 
 
 def read_indexed_design(spark: SparkSession, path: str) -> DataFrame:
@@ -74,17 +84,46 @@ def load_results(spark: SparkSession, path: str, validate: bool = True) -> DataF
     return latest_results(spark.read.schema(RESULTS_SCHEMA).parquet(path))
 
 
+def run_id(rows: DataFrame) -> str:
+    """A name made from the rows, whatever their order: the same rows written again get the same."""
+    text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))
+    n, a, b = rows.select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+    return f"{n}-{int(a or 0) % (1 << 64):016x}{int(b or 0) % (1 << 64):016x}"
+
+
+def publish(rows: DataFrame, path: str, run: str | None = None, kind: str = "parquet") -> str:
+    """Adds rows to a table as one run (its name, or one made from the rows) and returns that.
+
+    A run that is there already is replaced, so a job that is repeated, or was lost half way and starts anew, adds nothing
+    twice; files of an unfinished job lie beside the table and are never read. Other runs stay as they are.
+    """
+    if run is None:
+        rows = saved(rows)
+        run = run_id(rows)
+    rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").format(kind).save(path)
+    return run
+
+
+def read_published(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """All runs of a table, without their names."""
+    return spark.read.format(kind).load(path).drop("run")
+
+
 def write_branches(df: DataFrame, path: str) -> None:
-    """Data branches as Parquet, a folder for each strip method and outlier rule."""
-    df.write.mode("append").partitionBy("strip_method", "outlier").parquet(path)
+    """Data branches as Parquet, a folder for each strip method, outlier rule and branch.
+
+    A branch that is written again is replaced, and others stay: its folder is exchanged when all of it is written.
+    """
+    keys = [c for c in ("strip_method", "outlier", "data_id") if c in df.columns]
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    results.select(*(F.col(f.name).cast(f.dataType) for f in RESULTS_SCHEMA)).write.mode("append").parquet(path)
+def write_results(results: DataFrame, path: str, run: str | None = None) -> str:
+    return publish(results.select(*(F.col(f.name).cast(f.dataType) for f in RESULTS_SCHEMA)), path, run)
 
 
-def append_metadata(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_metadata(rows: DataFrame, path: str, run: str | None = None) -> str:
+    return publish(rows, path, run)
 
 
 def branch_metadata(counts: DataFrame) -> DataFrame:
@@ -93,8 +132,8 @@ def branch_metadata(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"success": ok, "error": F.when(~ok, "no rows left")})
 
 
-def write_branch_metadata(meta: DataFrame, path: str) -> None:
-    meta.write.mode("append").json(path)
+def write_branch_metadata(meta: DataFrame, path: str, run: str | None = None) -> str:
+    return publish(meta, path, run, "json")
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> list[str]:

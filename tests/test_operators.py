@@ -445,12 +445,26 @@ def test_sources_and_sinks(spark, tmp_path):
     assert numbered.first()["source_row"] == 1 and numbered.first()["study"] == "x"
     io.write_branches(df.withColumns({"strip_method": F.lit("none"), "outlier": F.lit("sd_2")}), str(tmp_path / "b"))
     assert io.read_branch(spark, str(tmp_path / "b"), ["rt"], ["rt", "outlier"]).columns == ["rt", "outlier"]
-    for _ in range(2):
-        io.append_metadata(spark.createDataFrame([("b1", 3)], "branch_id string, n int"), str(tmp_path / "m"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("b1", 3)] * 2
+    for rows in ([("b1", 3)], [("b1", 3)], [("b1", 3), ("b1", 3), ("b2", None)]):
+        io.append_metadata(spark.createDataFrame(rows, "branch_id string, n int"), str(tmp_path / "m"))
+    assert sorted(map(tuple, io.read_published(spark, str(tmp_path / "m")).collect()), key=str) == sorted([("b1", 3)] * 3 + [("b2", None)], key=str)
     counts = spark.createDataFrame([("b1", 5, 3, 2), ("b2", 5, 0, 5)], "branch_id string, n_rows_in int, n_rows_out int, n_removed int")
     io.write_branch_metadata(io.branch_metadata(counts), str(tmp_path / "j"))
     assert {(r["branch_id"], r["success"], r["error"]) for r in spark.read.json(str(tmp_path / "j")).collect()} == {("b1", True, None), ("b2", False, "no rows left")}
+    # what is written again replaces itself; a lost job's files are not read
+    io.write_results(one, str(tmp_path / "r"))
+    io.write_results(one.withColumn("n_obs", F.lit(7)), str(tmp_path / "r"), run="again")
+    io.write_results(one.withColumn("n_obs", F.lit(9)), str(tmp_path / "r"), run="again")
+    assert sorted(str(r["n_obs"]) for r in io.read_published(spark, str(tmp_path / "r")).collect()) == ["9", "None"] and io.load_results(spark, str(tmp_path / "r")).count() == 1
+    io.write_branch_metadata(io.branch_metadata(counts), str(tmp_path / "j"))
+    assert io.read_published(spark, str(tmp_path / "j"), "json").count() == 2
+    branches = spark.createDataFrame([("none", "sd_2", "d1", 1.0), ("none", "sd_2", "d2", 2.0), ("shuffle", "sd_2", "d3", 3.0)], "strip_method string, outlier string, data_id string, rt double")
+    io.write_branches(branches, str(tmp_path / "bb"))
+    io.write_branches(branches.where("data_id <> 'd1'").withColumn("rt", F.col("rt") * 10), str(tmp_path / "bb"))
+    (tmp_path / "bb" / "_temporary").mkdir()
+    assert sorted((r["data_id"], r["rt"]) for r in io.read_branch(spark, str(tmp_path / "bb"), ["rt"]).collect()) == [("d1", 1.0), ("d2", 20.0), ("d3", 30.0)]
+    many = io.numbered(spark.range(1000).repartition(7).withColumn("source_row", F.lit("x")).drop("source_row"), "source_row")
+    assert sorted(r["source_row"] for r in many.collect()) == list(range(1, 1001))
     (tmp_path / "d.csv").write_text(",participant_id,trial_index,block_index,cong,rt,correct,prev_correct,prev_cong\n7,p1_zz,1,1,1,500,TRUE,NA,NA\n8,p1_zz,2,1,-1,NA,TRUE,TRUE,1\n")
     design = io.read_indexed_design(spark, str(tmp_path / "d.csv"))
     assert [(r["source_row"], r["study"], r["rt"]) for r in design.collect()] == [(7, "zz", "500"), (8, "zz", None)]
