@@ -138,3 +138,20 @@ def grouped_quantiles(df: DataFrame, requests: Sequence[tuple[Sequence[str], Seq
         each = each.withColumn("__q", F.col("__a") + F.when(F.col("__f") > 0, F.col("__f") * (F.col("__z") - F.col("__a"))).otherwise(0.0))
         out.append(each.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda x: x["__q"]).alias("quantiles")))
     return out
+
+
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with each row's rank within its group by, from 1, in rising order of columns that tell all rows of a group apart.
+
+    Rows are dealt out by ranges of keys and order, so a large group lies in several tasks; each counts its own rows of a
+    group, and a row's rank is its place among them after the counts of the tasks before.
+    """
+    by = list(by)
+    dealt = saved(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id()))
+    rows = dealt.withColumn("__part", F.shiftright("__id", 33))
+    pieces = rows.groupBy("__part", *by).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")
+    pieces = saved(pieces.select(F.col("__part").alias("__of"), *(F.col(k).alias(f"__of_{k}") for k in by), (before - F.col("__first") + 1).alias("__shift")))
+    on = [F.col("__part") == F.col("__of")] + [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in by]
+    got = rows.join(F.broadcast(pieces) if pieces.count() <= FEW else pieces, reduce(lambda a, b: a & b, on))
+    return got.select(*df.columns, (F.col("__id") + F.col("__shift")).alias(name))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specgrid.functions.order import grouped_quantiles, ranked
+
 from specgrid.operators.grid import parse_data_id
 from specgrid.operators.tables import LABELS, n
 
@@ -34,9 +36,8 @@ def stable_rows(df: DataFrame, count: str = "n", min_n: int = 25) -> DataFrame:
 
 def rank_specs(curve: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., branch_id, rank, estimate, axis, level): usable branches ranked by estimate within keys, four axes stacked."""
-    w = Window.partitionBy(*keys).orderBy("estimate", "branch_id")
-    ranked = curve.where("estimate is not null").withColumn("rank", F.row_number().over(w)).withColumn("sample_size", F.col("sample_size").cast("string"))
-    return ranked.unpivot([*dict.fromkeys([*keys, "branch_id", "rank", "estimate"])], [c for c in ("model_type", "transformation", "outlier", "sample_size") if c not in keys], "axis", "level")
+    placed = ranked(curve.where("estimate is not null"), keys, ["estimate", "branch_id"]).withColumn("sample_size", F.col("sample_size").cast("string"))
+    return placed.unpivot([*dict.fromkeys([*keys, "branch_id", "rank", "estimate"])], [c for c in ("model_type", "transformation", "outlier", "sample_size") if c not in keys], "axis", "level")
 
 
 def strip_pivot(fpr: DataFrame, strips: list[str]) -> DataFrame:
@@ -238,11 +239,11 @@ def estimate_distribution(p: DataFrame, probs: tuple[float, ...] = (0.05, 0.25,
 
 def extreme_specs(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Usable branches ranked by estimate, a flag above the 99th percentile of absolute estimates, and the estimate clamped to its 1st and 99th percentile."""
-    usable = curve.where("estimate is not null")
-    cuts = usable.groupBy(*keys).agg(F.percentile(F.abs("estimate"), 0.99).alias("__top"), F.percentile("estimate", [0.01, 0.99]).alias("__q"))
-    w = Window.partitionBy(*keys).orderBy("estimate", "branch_id")
-    got = usable.withColumn("rank", F.row_number().over(w)).join(cuts, keys)
-    return got.withColumns({"extreme": F.abs("estimate") > F.col("__top"), "clamped": F.least(F.greatest(F.col("estimate"), F.col("__q")[0]), F.col("__q")[1])}).drop("__top", "__q")
+    usable = ranked(curve.where("estimate is not null"), keys, ["estimate", "branch_id"])
+    top = grouped_quantiles(usable.select(*keys, F.abs("estimate").alias("value")), [(keys, (0.99,))])[0].withColumnRenamed("quantiles", "__top")
+    ends = grouped_quantiles(usable.select(*keys, F.col("estimate").alias("value")), [(keys, (0.01, 0.99))])[0].withColumnRenamed("quantiles", "__q")
+    got = usable.join(F.broadcast(top.join(ends, keys)), keys)
+    return got.withColumns({"extreme": F.abs("estimate") > F.col("__top")[0], "clamped": F.least(F.greatest(F.col("estimate"), F.col("__q")[0]), F.col("__q")[1])}).drop("__top", "__q")
 
 
 def odds_ratio_table(fits: dict[str, DataFrame | None]) -> DataFrame | None:

@@ -234,6 +234,22 @@ def test_grouped_quantiles(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_ranks_of_a_key_in_several_tasks(spark):
+    """One key with nearly all rows: the ranks are those of a window, and no plan has a window over the rows of a key."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([("big" if i % 50 else rng.choice(("a", None)), rng.randrange(300) * 1.0, i) for i in range(4000)], "k string, x double, i long").repartition(5)
+    got = order.ranked(df, ["k"], ["x", "i"])
+    want = {}
+    for k, x, i in sorted(((r["k"] or "", r["x"], r["i"]) for r in df.collect())):
+        want[i] = want.get(("n", k), 0) + 1
+        want["n", k] = want[i]
+    rows = got.collect()
+    assert len(rows) == 4000 and all(r["rank"] == want[r["i"]] for r in rows)
+    spread = got.where("k = 'big'").select(F.spark_partition_id().alias("p"), "rank").groupBy("p").count().collect()
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString() and len(spread) >= 1
+    assert order.ranked(df.where("false"), ["k"], ["x", "i"]).count() == 0
+
+
 def test_previous_slope_of_odd_rows(spark):
     """Times below 0 count, trials without codes don't; null below four trials or with one code."""
     rows = [("a", 1, 1, 5.0), ("a", 1, -1, -5.0), ("a", 1, 1, 3.0), ("a", -1, -1, 2.0), ("a", -1, 1, 8.0), ("a", 1, None, 99.0), ("a", None, 1, 4.0), ("a", None, -1, 1.0), ("a", 1, 3, 7.0), ("a", 1, 1, float("inf")), ("a", 1, -1, None)]
