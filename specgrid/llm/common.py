@@ -45,6 +45,9 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), PART_ROWS):
             yield batch.slice(at, PART_ROWS)
+        # a worker that waits for its next task shouldn't keep the memory of its last
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 #: Rows of a few numbers that are broadcast at most.
