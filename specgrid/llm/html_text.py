@@ -10,7 +10,9 @@ block.
 Inside an article or main element only containers are taken for template, not paragraphs, headings or list items: sites
 repeat sentences in what they publish, and those belong to the text.
 
-Cases: a null or empty page and one without text give the empty string; a page whose url has no host counts with the other
+Of several articles side by side all are text. Inside one, only blocks whose class says as a whole that they are something else go.
+
+Cases: bytes that are no valid UTF-8 become replacement characters; a null or empty page and one without text give the empty string; a page whose url has no host counts with the other
 pages of no host; repeated pages keep rows of their own but count once, so copies don't turn their text into template; unclosed,
 misnested and cut-off markup is read as far as it goes, with the effort of one pass at any depth; other columns are ignored.
 """
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import parts, saved, table
+from specgrid.llm.common import parts, saved, table, utf8
 
 #: A subtree is template if it is on so many different pages of its host, however many the host has.
 MIN_PAGES = 5
@@ -61,6 +63,14 @@ LABELS = re.compile(
 )
 #: Labels of an article's own head, whose title and first lines are text.
 OWN_HEAD = re.compile(r"(?:^|\s)(?:(?:post|entry|article|content|story|page|blog|news|text)[_-]+)(?:header|banner|masthead)(?=$|\s)", re.I)
+#: Inside an article a label has to be a class of its own, or be followed by what such a thing is made of: `side-note` and `share-price` are text.
+INSIDE = re.compile(
+    r"(?:^|\s)(?:[a-z0-9]+[_-]+)*(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|topbar|toolbar"
+    r"|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus"
+    r"|related|recommend(?:ed|ations?)?|widget|pagination|pager|skip|complementary|contentinfo|dialog)"
+    r"(?:[_-]+(?:ads?|area|articles?|bar|block|box|btn|buttons?|container|content|form|icons?|inner|items?|links?|list|menu|nav|panel|posts?|section|slot|stories|thread|title|tools|unit|widget|wrap|wrapper|[0-9]+))*(?=$|\s)",
+    re.I,
+)
 NOT_MAIN = re.compile(r"(?:^|[\s_-])(?:comment|reply|related|ad|ads|promo)s?(?:$|[\s_-])", re.I)
 
 
@@ -95,12 +105,15 @@ def is_marked(tag: str, label: str, hidden: bool, inside: bool) -> bool:
         return False
     if tag == "article":
         return bool(NOT_MAIN.search(label))
+    if inside:
+        return tag not in INLINE and tag not in PARAGRAPHS and bool(INSIDE.search(OWN_HEAD.sub(" ", label)))
     return bool(LABELS.search(OWN_HEAD.sub(" ", label)))
 
 
-def parse(page: str | None) -> Node:
+def parse(page: bytes | str | None) -> Node:
     root = top = Node("html", None)
-    page, at, opened = page or "", 0, Counter()  # opened: how many elements of each tag stand open
+    page = page.decode("utf-8", "replace") if isinstance(page, bytes) else page or ""
+    at, opened = 0, Counter()  # opened: how many elements of each tag stand open
 
     def leave(node):
         nonlocal top
@@ -178,12 +191,22 @@ def hash_subtrees(root: Node) -> list[Node]:
     return nodes
 
 
-def article_of(nodes: list[Node]) -> Node:
-    """The longest article, else the longest main element, else the whole page."""
-    for pick in (lambda x: x.tag == "article", lambda x: x.tag == "main" or re.search(r"(?:^|\s)main(?:$|\s)", x.label)):
-        if found := [x for x in nodes if x.size and x.live and pick(x)]:
-            return max(found, key=lambda x: x.size)
-    return nodes[0]
+def articles_of(nodes: list[Node]) -> list[Node]:
+    """The outermost articles in page order, else the longest main element, else the whole page."""
+    within = set()
+    for x in nodes:
+        if x.parent is not None and (x.parent.tag == "article" or id(x.parent) in within):
+            within.add(id(x))
+    # parents come first and siblings from the last on
+    if found := [x for x in reversed(nodes) if x.tag == "article" and x.size and x.live and id(x) not in within]:
+        return found
+    if found := [x for x in nodes if x.size and x.live and (x.tag == "main" or re.search(r"(?:^|\s)main(?:$|\s)", x.label))]:
+        return [max(found, key=lambda x: x.size)]
+    return [nodes[0]]
+
+
+def main_text(nodes: list[Node]) -> str:
+    return "\n".join(filter(None, map(text_below, articles_of(nodes))))
 
 
 def may_be_template(node: Node) -> bool:
@@ -193,18 +216,18 @@ def may_be_template(node: Node) -> bool:
     return not node.inside or node.tag not in PARAGRAPHS
 
 
-def template_keys(page: str | None, host: bytes) -> tuple[set[int], int]:
+def template_keys(page: bytes | str | None, host: bytes) -> tuple[set[int], int]:
     """The keys that may be template, and a key of the page: that of its whole text, equal for copies whose rest differs."""
     nodes = hash_subtrees(parse(page))
     keys = {key_of(host, x.hash) for x in nodes if may_be_template(x)}
-    return keys, xxhash.xxh3_64_intdigest(host + b"\n" + text_below(article_of(nodes)).encode()) - (1 << 63) if keys else 0
+    return keys, xxhash.xxh3_64_intdigest(host + b"\n" + main_text(nodes).encode()) - (1 << 63) if keys else 0
 
 
 def key_of(host: bytes, subtree: int) -> int:
     return xxhash.xxh3_64_intdigest(host + subtree.to_bytes(8, "little")) - (1 << 63)
 
 
-def text_of(page: str | None, host: bytes, is_template) -> tuple[str, int]:
+def text_of(page: bytes | str | None, host: bytes, is_template) -> tuple[str, int]:
     """The page's main text and how many template subtrees it had; is_template tells of a key whether it recurs on its host."""
     root = parse(page)
     nodes, gone = hash_subtrees(root), []
@@ -219,7 +242,7 @@ def text_of(page: str | None, host: bytes, is_template) -> tuple[str, int]:
         node.dropped = True
         for x in below(node):
             x.live = False
-    return text_below(article_of(nodes)), len(gone)
+    return main_text(nodes), len(gone)
 
 
 def text_below(article: Node) -> str:
@@ -285,7 +308,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         flat = [(*key, page) for key, found in seen.items() for page in found]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "key", "page"])
 
-    seen = pages.select(host_of().alias("host"), "html").mapInArrow(count, "host string, key long, page long")
+    seen = pages.select(host_of().alias("host"), utf8("html").alias("html")).mapInArrow(count, "host string, key long, page long")
     return saved(seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "key"))
 
 
@@ -297,7 +320,7 @@ def own_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
             found = [(host, page, key) for host, html_of, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for key in template_keys(html_of, host.encode())[0]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "page", "key"])
 
-    own = pages.select("host", "html", "page").mapInArrow(each, "host string, page string, key long")
+    own = pages.select("host", utf8("html").alias("html"), "page").mapInArrow(each, "host string, page string, key long")
     return own.join(templates, ["host", "key"]).groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
 
 
@@ -310,7 +333,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
         texts = [x for x, _ in found]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array([n for _, n in found], pa.int32())], ["page_id", "url", "text", "n_chars", "n_template"])
 
-    named = pages.select("page_id", "url", host_of().alias("host"), "html")
+    named = pages.select("page_id", "url", host_of().alias("host"), utf8("html").alias("html"))
     if templates.count() <= broadcast_keys:
         keys = np.sort(np.array([r[0] for r in templates.select("key").collect()], np.int64))
         held = pages.sparkSession.sparkContext.broadcast(keys)
