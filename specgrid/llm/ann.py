@@ -7,7 +7,7 @@ buckets whose axes are nearest to it in each table; every candidate found there
 Few tables with many probes find as much as many tables with few, and a vector is sent once for each table. The buckets of a
 table lie in SLOTS slots, so a query is sent once for each slot that it probes and not for each bucket.
 
-Scores that differ by rounding only (TIE), such as those of parallel vectors, are ties. Equal vectors are one candidate with
+Scores are compared as they are; parallel vectors are made the same numbers first, and tie. Equal vectors are one candidate with
 its k + 1 smallest ids, so copies can't crowd a bucket; slots that hold many rows are
 dealt over several groups, and so are a slot's queries. Queries for which too few candidates turn up are run again over all
 buckets of one table, which is every vector there is.
@@ -37,8 +37,7 @@ SLOTS = 16
 GROUP_ROWS = 20_000
 GROUP_QUERIES = 4_000
 #: Places to which scores are compared, and the same as a difference.
-PLACES = 12
-TIE = 10.0**-PLACES
+TIE = 1e-12
 SEED = 7
 
 
@@ -173,6 +172,8 @@ def found_in_buckets(base: DataFrame, queries: DataFrame, k: int, tables: int, p
         out = [], [], []
         if len(left) and len(right):
             q, x = (np.frombuffer(b"".join(t.column("v").to_pylist()), kind).astype(np.float64).reshape(len(t), -1) for t in (left, right))
+            # by the largest component, so that a vector and its multiples are the same numbers and score the same
+            q, x = (v / np.abs(v).max(axis=1, keepdims=True) for v in (q, x))
             asked_id, ids = left.column("tag").to_pylist(), right.column("tag").to_pylist()
             bucket = np.frombuffer(b"".join(right.column("buckets").to_pylist()), np.int32)
             probing = defaultdict(list)
@@ -187,7 +188,7 @@ def found_in_buckets(base: DataFrame, queries: DataFrame, k: int, tables: int, p
                         if s > best[i].get(vec, -np.inf):
                             best[i][vec] = s
             for i, own in best.items():
-                for vec, s in heapq.nsmallest(k, own.items(), key=lambda item: (-round(item[1], PLACES), item[0])):
+                for vec, s in heapq.nsmallest(k, own.items(), key=lambda item: (-item[1], item[0])):
                     out[0].append(asked_id[i])
                     out[1].append(vec)
                     out[2].append(s)
@@ -203,7 +204,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TA
     few = good.select("vec_id", "v").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     base = saved(few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("tag")).select("tag", "v"))
     asked = saved(queries.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("tag"), "v"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", PLACES).desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(found):
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
