@@ -37,10 +37,12 @@ DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*.\-_']+[^\W\d_]|^[0-9@$!|+(<
 #: Cheap signs that a text holds any of these, and the tokens that are then looked at.
 MAY_BE_SPACED = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}\S[ .\-_*]{1,2}\S")
 SIGN_BY_LETTER = re.compile(r"[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[0-9$@](?<=[^\W\d_].)(?=[0-9]*[.,;:!?]?(?!\S))")
-WITH_SIGN = re.compile(r"\S*(?:[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[0-9$@](?<=[^\W\d_].)(?=[0-9]*[.,;:!?]?(?!\S)))\S*")
-DRAWN_OUT = re.compile(r"\S*([^\W\d_])\1\1\S*")
+WITH_SIGN = re.compile(r"(?<!\S)\S*(?:[0-9@$!|+(<€£¡*.\-_'](?=[^\W\d_])|[0-9$@](?<=[^\W\d_].)(?=[0-9]*[.,;:!?]?(?!\S)))\S*")
+DRAWN_OUT = re.compile(r"(?<!\S)\S*([^\W\d_])\1\1\S*")
 TRIPLES = tuple(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
-EDGES = re.compile(r"^[^\w@$!|+(<€£¡]+|(?:[^\w]{2,}|[^\w@$!|+])$")
+#: A token's beginning that is no part of a spelling; and signs that may be its last letter.
+FRONT = re.compile(r"[^\w@$!|+(<€£¡]+")
+LAST_LETTERS = frozenset("@$!|+")
 #: Lower-case text as bytes: ASCII but letters to a space.
 LETTERS_ONLY = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Lengths in bytes of the pieces of a word, its edges included, and the slots they hash into.
@@ -143,6 +145,16 @@ def decode(token: str, lm: np.ndarray, spread: float | None = None) -> str:
     return max(((s + float(lm[a, b, c, 0]), t) for (a, b, c), (s, t) in paths.items()), default=(0, token))[1]
 
 
+def core_of(token: str) -> str:
+    """The token without punctuation at its ends: a sign that stands alone at the end may be a letter. One pass, however long the token."""
+    begin = m.end() if (m := FRONT.match(token)) else 0
+    end = len(token)
+    while end > begin and not (token[end - 1].isalnum() or token[end - 1] == "_"):
+        end -= 1
+    last = token[end:]
+    return token[begin:end] + (last if len(last) == 1 and last in LAST_LETTERS else "")
+
+
 class Restorer:
     """Restores texts; keeps what it has decoded for the task's other texts."""
 
@@ -152,9 +164,7 @@ class Restorer:
     def token(self, token: str) -> str:
         got = self.known.get(token)
         if got is None:
-            core, last = token, None
-            while core != last:
-                last, core = core, EDGES.sub("", core)
+            core = core_of(token)
             letters = sum(map(str.isalpha, core))
             got = decode(core, self.lm, self.spread) if core and 3 * letters >= len(core) and DISGUISED.search(core) else token
             if len(self.known) > 200_000:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specgrid.llm import entry, fim, lexical, line_dedup
+from specgrid.llm import ann, entry, fim, html_text, lexical, line_dedup, toxicity
 
 LONG = "lorem IPSUM, dolor sit amet 12\n" * 20000
 TEXTS = [
@@ -121,7 +122,7 @@ def test_search_odd_rows(spark, odd):
     queries = spark.createDataFrame([(1, "ONE two", "z"), (2, None, "z"), (3, "", "z"), (None, "line another", "z"), (4, "nowhere-to-be-found", "z"), (5, "漢字é😀de", "z"), (1, "three", "z"), (6, " ".join(f"w{i}" for i in range(90)) + " " + LONG, "z"), (7, "many share this own", "z")], "item_id long, text string, doc_id string")
     docs = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     want = plain_search(docs, [(r["item_id"], r["text"]) for r in queries.collect()])
-    for block in (1 << 20, 300):
+    for block in (1 << 20, 250_000):
         got = lexical.search(odd, queries, block_bytes=block)
         assert got.columns == ["item_id", "rank", "doc_id", "score"] and sorted(map(tuple, got.collect()), key=str) == want
     assert lexical.search(odd.where("false"), queries).count() == 0 and lexical.search(odd, queries.where("false")).count() == 0 and lexical.search(odd.where("text is null"), queries).count() == 0
@@ -251,3 +252,42 @@ def test_cuckoo_filter():
     assert sum(map(np.count_nonzero, f.layers)) == 60_020
     f.remove(keys[1:30_000])
     assert f.contains(keys[30_000:]).all() and f.contains(keys[:1]).all() and f.contains(keys[1:30_000]).mean() < 0.001
+
+
+# --- pages, vectors and tokens that need care
+
+
+def main_text(page):
+    return html_text.text_of(page.encode() if isinstance(page, str) else page, b"h", lambda key: False)[0]
+
+
+def test_pages_keep_what_is_text(spark):
+    assert main_text("<body><article><p>one</p><article>a reply</article></article><nav>menu</nav><article><p>two</p></article></body>") == "one\na reply\ntwo"
+    kept = "<div class='alert-info'>a</div><div class='side-note'>b</div><p class='share-price'>c</p><p class='social policy'>d</p><p>e <a class='share'>f</a></p>"
+    gone = "<div class='comments'>x</div><div class='share-buttons'>x</div><div class='related-posts'>x</div><aside>x</aside><div class='post-comments'>x</div>"
+    assert main_text(f"<article><p>start</p>{kept}{gone}</article>") == "start\na\nb\nc\nd\ne f"
+    raw = spark.createDataFrame([(1, "http://h/", bytearray(b"<article><p>ab\xff c</p></article>")), (2, None, None)], "page_id long, url string, html binary").withColumn("html", F.col("html").cast("string"))
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(raw).collect()} == {1: ("ab\ufffd c", 5), 2: ("", 0)}
+
+
+def test_nearest_by_the_doubles_themselves(spark):
+    """Scores 4e-14 apart keep their order, and multiples of a vector tie."""
+    angle = lambda i: 0.5 - i * 1e-13
+    rows = [(50, [1.0, 0.0])] + [(i, [math.cos(angle(i)), math.sin(angle(i))]) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = [r for r in ann.nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()]
+    assert [r["vec_id"] for r in got] == [11, 10, 9, 8, 7] and [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
+    v = [0.3, -1.7, 2.9, 0.11]
+    df = spark.createDataFrame([(50, [0.5, -1.0, 3.0, 1.0])] + [(i, [x * 2.0**i for x in v]) for i in range(1, 9)], "vec_id long, v array<double>")
+    got = ann.nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and len({r["score"] for r in got}) == 1
+
+
+def test_long_tokens_take_one_pass():
+    restorer = toxicity.Restorer(np.random.default_rng(0).normal(-3, 1, (27, 27, 27, 27)))
+    for token in ("漢" * 20000, "a" + "!." * 10000 + "b1c", "漢字aaa" * 5000, "." * 20000 + "x"):
+        began = time.time()
+        restorer.text(token)
+        assert time.time() - began < 1
+    for token, core in (("...f00l!!", "f00l"), ("a$$", "a"), ("a$", "a$"), (".!", "!"), ("!.", ""), ("_a_.", "_a_"), ("", "")):
+        assert toxicity.core_of(token) == core
