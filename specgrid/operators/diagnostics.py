@@ -278,9 +278,13 @@ def multiset_compare(present: DataFrame, shuffled: DataFrame, by: list[str] | No
 
 
 def rt_fingerprint(df: DataFrame, keys: list[str], digits: int = 10) -> DataFrame:
-    """(keys..., fingerprint): md5 of the group's sorted values, for groups as small as a participant's."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.round("rt", digits))), lambda v: v.cast("string")), "|")
-    return df.groupBy(*keys).agg(F.md5(text.cast("binary")).alias("fingerprint"))
+    """(keys..., fingerprint): count and two sums of 60-bit hashes of the group's values, a missing one included.
+
+    Sums don't depend on order and add up over parts of a group, so none is ever sorted or held in one place.
+    """
+    digest = F.md5(F.coalesce(F.round("rt", digits).cast("string"), F.lit("NA")).cast("binary"))
+    total = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.groupBy(*keys).agg(F.concat_ws("-", F.count("*").cast("string"), total(1), total(16)).alias("fingerprint"))
 
 
 def conditional_previous_slope(df: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specgrid.functions import stats
 from specgrid.operators import models, report, tables
 from specgrid.registry import query
 from specgrid.schema import RESULTS_SCHEMA
@@ -125,7 +126,20 @@ def results_roc(df):
     return report.roc_points(tables.roc(prep(df)))
 
 
-@query(OF, "model_type:s transformation:s sample_size:d null_type:s d_prime:d")
+def ratio_sql(x: str, parts: tuple[tuple[float, ...], tuple[float, ...]]) -> str:
+    """A ratio of polynomials, coefficients from the highest power down."""
+    top, below = (" + ".join(f"{c!r} * pow({x}, {len(cs) - 1 - i})" for i, c in enumerate(cs)) for cs in parts)
+    return f"(({top}) / ({below}))"
+
+
+D_PRIME = f"""sides as (select model_type, transformation, sample_size, null_type, n_true is not null as paired, unnest(['t', 'f']) as side,
+  unnest([least(greatest(coalesce(TPR, 0), 1 / (2 * n_true)), 1 - 1 / (2 * n_true)), least(greatest(FPR, 1 / (2 * n_null)), 1 - 1 / (2 * n_null))]) as x from roc),
+far as (select *, x - 0.5 as q, sqrt(-ln(least(x, 1 - x))) as r from sides),
+z as (select *, case when abs(q) <= 0.425 then q * {ratio_sql('(0.180625 - q * q)', stats.CENTRE)} else sign(q) * case when r <= 5 then {ratio_sql('(r - 1.6)', stats.MIDDLE)} else {ratio_sql('(r - 5)', stats.FAR)} end end as z from far)"""
+
+
+@query(OF, "model_type:s transformation:s sample_size:d null_type:s d_prime:d", sql("""
+select model_type, transformation, sample_size, null_type, case when bool_and(paired) then sum(case side when 't' then z else -z end) end as d_prime from z group by model_type, transformation, sample_size, null_type""", roc_sql(ROC_KEYS), D_PRIME))
 def results_d_prime(df):
     return tables.roc(prep(df))
 

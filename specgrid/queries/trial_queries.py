@@ -758,7 +758,8 @@ def diag_shuffle_check(df):
     return diagnostics.shuffle_check(shuffle_pair(df))
 
 
-FINGERPRINT = "select participant_id, cong, md5(string_agg(cast(round(rt, 10) as varchar), '|' order by round(rt, 10))) as fingerprint from {} where prev_cong is not null group by all"
+FINGERPRINT = """select participant_id, cong, concat_ws('-', cast(count(*) as varchar), cast(sum(cast('0x' || substr(h, 1, 15) as bigint)) as varchar), cast(sum(cast('0x' || substr(h, 16, 15) as bigint)) as varchar)) as fingerprint
+  from (select participant_id, cong, md5(coalesce(cast(round(rt, 10) as varchar), 'NA')) as h from {} where prev_cong is not null) q group by all"""
 
 
 @query("trials_li", "participant_id:s cong fingerprint:s same:b", f"""

@@ -234,6 +234,15 @@ def test_grouped_quantiles(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_fingerprints_add_up(spark):
+    """Order doesn't matter; a changed, added, lost or missing value does."""
+    base = [(float(i % 7) + 0.25, i) for i in range(60)] + [(None, 99)]
+    of = lambda rows: diagnostics.rt_fingerprint(spark.createDataFrame([("a", r[0]) for r in rows], "k string, rt double").repartition(3), ["k"]).first()["fingerprint"]
+    same = of(base)
+    assert of(base[::-1]) == same and of(base[:-1]) != same and of(base + base[:1]) != same and of([(7.5, 0), *base[1:]]) != same
+    assert of([(1.0, 0), (3.0, 1)]) != of([(2.0, 0), (2.0, 1)])
+
+
 def test_ranks_of_a_key_in_several_tasks(spark):
     """One key with nearly all rows: the ranks are those of a window, and no plan has a window over the rows of a key."""
     rng = random.Random(9)
