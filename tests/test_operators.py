@@ -295,7 +295,9 @@ def test_diagnostics_are_of_valid_rows(spark):
     one = lambda df: diagnostics.branch_diagnostics(df, ["study"]).first().asDict()
     clean, mixed = one(a), one(b)
     assert mixed["n_rows"] == len(good) + 6 and mixed["n_valid"] == len(good) and mixed["n_participants"] == 3 and mixed["warnings"] == "dropped_invalid_rows=6" and clean["warnings"] == ""
-    assert all(clean[k] == mixed[k] or abs(clean[k] - mixed[k]) < 1e-9 for k in clean if k not in ("n_rows", "warnings"))
+    assert all(clean[k] == mixed[k] or abs(clean[k] - mixed[k]) < 1e-9 for k in clean if k not in ("n_rows", "warnings", "source_row_monotonic"))
+    # the order is that of all rows: 900 comes before 1 in trial 0
+    assert clean["source_row_monotonic"] and not mixed["source_row_monotonic"] and clean["studies"] == mixed["studies"] == "s" and clean["n_studies"] == 1
     x, y = (diagnostics.exchangeability(df).first().asDict() for df in (a, b))
     assert all(x[k] == y[k] or abs(x[k] - y[k]) < 1e-9 for k in x)
     lacking = one(a.where("not (cong = 1 and prev_cong = -1)"))
