@@ -97,9 +97,17 @@ def grouped_quantiles(df: DataFrame, requests: Sequence[tuple[Sequence[str], Seq
         order = Window.partitionBy(*keys, F.lit(r)).orderBy("__b")
         own = hist.groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
         own = own.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).withColumn("__size", F.sum("__n").over(Window.partitionBy(*keys, F.lit(r))))
-        h = [place(F.col("__size"), F.lit(float(x)), kind) for x in shares]
-        ranks = [F.struct(F.lit(i).alias("__i"), F.lit(side).alias("__side"), F.least(F.floor(x) + side, F.col("__size")).alias("__rank"), (x - F.floor(x)).alias("__f")) for i, x in enumerate(h) for side in (0, 1)]
-        got = own.select("*", F.inline(F.array(*ranks))).where((F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__before") + F.col("__n")))
+        def ends(i: Column, share: Column) -> list[Column]:
+            h = place(F.col("__size"), share, kind)
+            return [F.struct(i.alias("__i"), F.lit(side).alias("__side"), F.least(F.floor(h) + side, F.col("__size")).alias("__rank"), (h - F.floor(h)).alias("__f")) for side in (0, 1)]
+
+        if len(shares) <= 16:
+            ranks = F.array(*(e for i, x in enumerate(shares) for e in ends(F.lit(i), F.lit(float(x)))))
+        else:  # one expression over a list, as code for each share would grow too large
+            listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("share")) for i, x in enumerate(shares)))
+            inside = lambda e: (e["__rank"] > F.col("__before")) & (e["__rank"] <= F.col("__before") + F.col("__n"))
+            ranks = F.filter(F.flatten(F.transform(listed, lambda x: F.array(*ends(x["i"], x["share"])))), inside)
+        got = own.select("*", F.inline(ranks)).where((F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__before") + F.col("__n")))
         other = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in every if k not in keys]
         return got.select(F.lit(r).alias("__r"), *keys, *other, "__b", "__i", "__side", "__f", (F.col("__rank") - F.col("__before")).alias("__rank"), "__n", "__lo", "__hi")
 
@@ -155,3 +163,20 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "
     on = [F.col("__part") == F.col("__of")] + [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in by]
     got = rows.join(F.broadcast(pieces) if pieces.count() <= FEW else pieces, reduce(lambda a, b: a & b, on))
     return got.select(*df.columns, (F.col("__id") + F.col("__shift")).alias(name))
+
+
+def cumulative(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., value, upto, total) of counted values (by..., value, n): how many of its group's values are at most each, and how many there are.
+
+    Values are dealt out by ranges, so a large group lies in several tasks; each adds up its own, after the sums of those before.
+    """
+    by = list(by)
+    rows = saved(values.repartitionByRange(*by, "value").withColumn("__part", F.spark_partition_id()))
+    own, until = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__part")
+    pieces = rows.groupBy("__part", *by).agg(F.sum("n").alias("__in")).select(
+        F.col("__part").alias("__of"), *(F.col(k).alias(f"__of_{k}") for k in by), (F.sum("__in").over(until) - F.col("__in")).alias("__before"), F.sum("__in").over(own).alias("total"),
+    )
+    on = [F.col("__part") == F.col("__of")] + [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in by]
+    got = rows.join(pieces, reduce(lambda a, b: a & b, on))
+    upto = F.col("__before") + F.sum("n").over(Window.partitionBy("__part", *by).orderBy("value"))
+    return got.select(*by, "value", upto.alias("upto"), "total")

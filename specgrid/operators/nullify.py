@@ -6,14 +6,20 @@ no part in what others are compared with. Participants are the unit of every win
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrid.functions.order import quantiles
+from specgrid.functions.order import FEW, counted, cumulative, grouped_quantiles, quantiles, ranked
 from specgrid.functions.quantile import GRID, inverse_on_grid, quantile_type8, read_knots
+from specgrid.sources.scratch import saved
 
 CELLS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
 MIN_CELL, BINS, KAPPA = 5, 4, 5.0
+#: Trials of a group that may meet in one task, and parts in which the trials of larger groups meet their group's curves.
+TOGETHER, SALTS = 200_000, 64
 
 
 def usable() -> Column:
@@ -35,16 +41,41 @@ def trial_bins(df: DataFrame, bins: int = BINS) -> DataFrame:
     return df.withColumn("bin", F.least(F.floor(place * bins / F.count("*").over(own)), F.lit(bins - 1)).cast("int"))
 
 
+def same(keys: Sequence[str], prefix: str) -> Column:
+    """Whether keys equal the columns of those names after a prefix; nulls are equal."""
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys))
+
+
+def apart(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most TOGETHER rows, rows of larger groups or None where there are none). Counts the groups."""
+    large = df.groupBy(*(F.col(k).alias(f"__large_{k}") for k in keys)).count().where(F.col("count") > TOGETHER).drop("count")
+    if large.isEmpty():
+        return df, None
+    large = saved(large)
+    large = F.broadcast(large) if large.count() <= FEW else large
+    return df.join(large, same(keys, "__large_"), "left_anti"), df.join(large, same(keys, "__large_"), "left_semi")
+
+
+def dealt(df: DataFrame, by: list[str], rank: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """df with rt dealt anew within by: the place by __draw takes the place by source_row; rank(df, order, name) adds places."""
+    rows = rank(df.drop("rt"), "source_row", "__at")
+    values = rank(df.select(*by, "__draw", "source_row", "rt"), "__draw", "__to").select(*(F.col(k).alias(f"__of_{k}") for k in by), "__to", "rt")
+    return rows.join(values, same(by, "__of_") & (F.col("__at") == F.col("__to")))
+
+
 def shuffle(df: DataFrame, seed: str = "42") -> DataFrame:
-    """rt permuted among the trials of a participant and congruency: the order by a hash of the row takes the order by row."""
-    own = Window.partitionBy("participant_id", "cong")
-    place = F.row_number().over(own.orderBy("source_row"))
-    drawn = F.row_number().over(own.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("source_row").cast("string")).cast("binary")), "source_row"))
-    good = df.where(usable())
-    rows = good.withColumn("__at", place)
-    values = good.select(F.col("participant_id").alias("__pid"), F.col("cong").alias("__cong"), drawn.alias("__to"), F.col("rt").alias("__rt"))
-    mixed = rows.join(values, (F.col("participant_id") == F.col("__pid")) & (F.col("cong") == F.col("__cong")) & (F.col("__at") == F.col("__to")))
-    return mixed.withColumn("rt", F.col("__rt")).select(*df.columns).unionByName(df.where(~usable()))
+    """rt permuted among the trials of a participant and congruency: the order by a hash of the row takes the order by row.
+
+    The join is on the place as well, so it is even whatever a group's size.
+    """
+    by = ["participant_id", "cong"]
+    good = df.where(usable()).withColumn("__draw", F.md5(F.concat_ws("|", F.lit(seed), F.col("source_row").cast("string")).cast("binary")))
+    order = lambda c: list(dict.fromkeys((c, "source_row")))
+    small, large = apart(good, by)
+    out = dealt(small, by, lambda d, c, name: d.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order(c)))))
+    if large is not None:
+        out = out.select(*df.columns).unionByName(dealt(large, by, lambda d, c, name: ranked(d, by, order(c), name)).select(*df.columns))
+    return out.select(*df.columns).unionByName(df.where(~usable()))
 
 
 def residual_rt(kind: str, min_cell: int = MIN_CELL) -> Column:
@@ -84,45 +115,93 @@ def cell_curves(df: DataFrame, grid: int = GRID) -> DataFrame:
     return quantiles(good, ["cong", "prev_cong"], [k / (grid - 1) for k in range(grid)], kind=8).withColumnRenamed("quantiles", "curve")
 
 
+MARGINS = {("cong", 1): "__cong_1", ("cong", -1): "__cong_-1", ("prev_cong", 1): "__prev_cong_1", ("prev_cong", -1): "__prev_cong_-1"}
+
+
+def listed_curves(good: DataFrame, keys: list[str], grid: int) -> DataFrame:
+    """(__key_<key>..., __all, __grand and a column of MARGINS each): a group's trials and its curves of `grid` knots, from sorted lists of its times."""
+    sorted_list = lambda value: F.array_sort(F.collect_list(value))
+    lists = good.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(
+        sorted_list(F.col("rt")).alias("__grand"), *(sorted_list(F.when(F.col(c) == v, F.col("rt"))).alias(name) for (c, v), name in MARGINS.items()), F.count("*").alias("__all"),
+    )
+    knots = F.sequence(F.lit(0), F.lit(grid - 1))
+    curve = lambda name: F.when(F.size(name) > 0, F.transform(knots, lambda k: quantile_type8(F.col(name), k / F.lit(float(grid - 1))))).alias(name)
+    return lists.select(*(f"__key_{k}" for k in keys), "__all", *(curve(name) for name in ("__grand", *MARGINS.values())))
+
+
+def selected_curves(good: DataFrame, keys: list[str], grid: int) -> DataFrame:
+    """The columns of listed_curves by exact selection: one histogram for all groups and margins, and the buckets that hold a knot."""
+    shares = [k / (grid - 1) for k in range(grid)]
+    *margins, grand = grouped_quantiles(good, [([*keys, "cong"], shares), ([*keys, "prev_cong"], shares), (keys, shares)], "rt", kind=8)
+    out = good.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(F.count("*").alias("__all"))
+    tables = [grand.withColumnRenamed("quantiles", "__grand")]
+    for c, table in zip(("cong", "prev_cong"), margins, strict=True):
+        tables.append(table.groupBy(*keys).agg(*(F.max(F.when(F.col(c) == v, F.col("quantiles"))).alias(name) for (of, v), name in MARGINS.items() if of == c)))
+    for table in tables:
+        out = out.join(table, same(keys, "__key_"), "left").drop(*keys)
+    return out
+
+
 def quantile_map(df: DataFrame, keys: list[str], curves: DataFrame | None, kappa: float = KAPPA, grid: int = GRID) -> DataFrame:
     """rt as q_cong(tau) + q_prev(tau) - q_all(tau) within keys, tau the trial's share in its cell.
 
     In a cell of one trial tau is read off the cell's curve over everyone: shrinking a constant curve towards that one by
     kappa leaves the inverse where it is, and with kappa 0 it is 0. A group of one trial keeps its rt.
+
+    A group of up to TOGETHER trials is one row of sorted lists. In a larger one shares are running counts over ranges of
+    times, knots are selected from a histogram, and trials meet the curves in SALTS parts.
     """
-    good = df.where(usable())
-    tau = F.cume_dist().over(Window.partitionBy(*keys, "cong", "prev_cong").orderBy("rt"))
-    good = good.withColumns({"__tau": tau, "__n": F.count("*").over(Window.partitionBy(*keys, "cong", "prev_cong"))})
-    if curves is not None and kappa > 0:
-        # few trials: only those of cells of one are read off the wide curves
-        single = good.where("__n < 2").join(F.broadcast(curves), ["cong", "prev_cong"], "left")
-        single = single.withColumn("__tau", F.coalesce(inverse_on_grid(F.col("curve"), F.col("rt")), F.col("__tau"))).drop("curve")
-        good = good.where("__n >= 2").unionByName(single)
-    else:
-        good = good.withColumn("__tau", F.when(F.col("__n") >= 2, F.col("__tau")).otherwise(0.0))
-    # each margin's times become a curve of `grid` knots, and the few curves of a group are joined to its trials
-    margins = {(c, v): f"__{c}_{v}" for c in ("cong", "prev_cong") for v in (1, -1)}
-    sorted_list = lambda value: F.array_sort(F.collect_list(value))
-    lists = df.where(usable()).groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(
-        sorted_list(F.col("rt")).alias("__grand"), *(sorted_list(F.when(F.col(c) == v, F.col("rt"))).alias(name) for (c, v), name in margins.items()), F.count("*").alias("__all"),
-    )
-    knots = F.sequence(F.lit(0), F.lit(grid - 1))
-    curve = lambda name: F.when(F.size(name) > 0, F.transform(knots, lambda k: quantile_type8(F.col(name), k / F.lit(float(grid - 1))))).alias(name)
-    group = lists.select(*(f"__key_{k}" for k in keys), "__all", *(curve(name) for name in ("__grand", *margins.values())))
-    got = good.join(group, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
-    side = lambda c: F.when(F.col(c) == 1, read_knots(F.col(margins[c, 1]), F.col("__tau"), grid)).otherwise(read_knots(F.col(margins[c, -1]), F.col("__tau"), grid))
-    value = side("cong") + side("prev_cong") - read_knots(F.col("__grand"), F.col("__tau"), grid)
-    return got.withColumn("rt", F.when(F.col("__all") < 2, F.col("rt")).otherwise(value)).select(*df.columns).unionByName(df.where(~usable()))
+    cell = [*keys, "cong", "prev_cong"]
+
+    def mapped(good: DataFrame, groups: DataFrame, salted: bool) -> DataFrame:
+        if curves is not None and kappa > 0:
+            # few trials: only those of cells of one are read off the wide curves
+            single = good.where("__n < 2").join(F.broadcast(curves), ["cong", "prev_cong"], "left")
+            single = single.withColumn("__tau", F.coalesce(inverse_on_grid(F.col("curve"), F.col("rt")), F.col("__tau"))).drop("curve")
+            good = good.where("__n >= 2").unionByName(single)
+        else:
+            good = good.withColumn("__tau", F.when(F.col("__n") >= 2, F.col("__tau")).otherwise(0.0))
+        on = same(keys, "__key_")
+        if salted:
+            good = good.withColumn("__part", F.pmod(F.xxhash64("source_row"), F.lit(SALTS)).cast("int"))
+            groups = groups.withColumn("__parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            on = on & (F.col("__part") == F.col("__parts"))
+        got = good.join(groups, on)
+        side = lambda c: F.when(F.col(c) == 1, read_knots(F.col(MARGINS[c, 1]), F.col("__tau"), grid)).otherwise(read_knots(F.col(MARGINS[c, -1]), F.col("__tau"), grid))
+        value = side("cong") + side("prev_cong") - read_knots(F.col("__grand"), F.col("__tau"), grid)
+        return got.withColumn("rt", F.when(F.col("__all") < 2, F.col("rt")).otherwise(value)).select(*df.columns)
+
+    small, large = apart(df.where(usable()), keys)
+    own = Window.partitionBy(*cell)
+    shares = small.withColumns({"__tau": F.cume_dist().over(own.orderBy("rt")), "__n": F.count("*").over(own)})
+    out = mapped(shares, listed_curves(small, keys, grid), salted=False)
+    if large is not None:
+        held = cumulative(counted(large, cell, "rt"), cell).withColumnsRenamed({c: f"__of_{c}" for c in (*cell, "value")})
+        shares = large.join(held, same(cell, "__of_") & (F.col("rt") == F.col("__of_value"))).select(*df.columns, (F.col("upto") / F.col("total")).alias("__tau"), F.col("total").alias("__n"))
+        out = out.unionByName(mapped(shares, selected_curves(large, keys, grid), salted=True))
+    return out.unionByName(df.where(~usable()))
 
 
 def additive_qmap(df: DataFrame, kappa: float = KAPPA, grid: int = GRID) -> DataFrame:
     return quantile_map(df, ["participant_id"], cell_curves(df, grid), kappa, grid)
 
 
+def spread_trial_bins(df: DataFrame, bins: int = BINS) -> DataFrame:
+    """trial_bins with the trials of large participants ranked in many tasks."""
+    small, large = apart(df, ["participant_id"])
+    out = trial_bins(small, bins)
+    if large is None:
+        return out
+    ordered = ranked(large.withColumn("__order", F.coalesce("trial_index", "source_row")), ["participant_id"], ["__order", "source_row"], "__place").drop("__order")
+    sizes = large.groupBy(F.col("participant_id").alias("__of_participant_id")).agg(F.count("*").alias("__in"))
+    placed = ordered.join(sizes, same(["participant_id"], "__of_"))
+    return out.unionByName(placed.withColumn("bin", F.least(F.floor((F.col("__place") - 1) * bins / F.col("__in")), F.lit(bins - 1)).cast("int")).select(*out.columns))
+
+
 def additive_qmap_trial_bin(df: DataFrame, min_cell: int = MIN_CELL, bins: int = BINS, kappa: float = KAPPA, grid: int = GRID) -> DataFrame:
     """The quantile map within a participant's trial bin where all four cells hold min_cell trials there, else over the whole participant."""
     whole = additive_qmap(df, kappa, grid)
-    binned = trial_bins(df, bins)
+    binned = spread_trial_bins(df, bins)
     full = binned.groupBy("participant_id", "bin").agg(F.least(*(F.count(F.when(in_cell(*c), 1)) for c in CELLS)).alias("__least"))
     rich = binned.join(full.where(F.col("__least") >= min_cell).select("participant_id", "bin"), ["participant_id", "bin"], "left_semi").where(F.col("trial_index").isNotNull())
     local = quantile_map(rich, ["participant_id", "bin"], None, kappa, grid).select(F.col("source_row").alias("__row"), F.col("rt").alias("__rt"))

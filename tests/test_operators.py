@@ -82,6 +82,33 @@ def test_qmap_equals_plain_loops(spark):
         assert i == j and abs(a - b) < 1e-9
 
 
+def test_large_participants_are_spread_with_the_same_numbers(spark, monkeypatch):
+    """A third of all rows on one participant, many ties, a cell of one, a null participant and rows without a code."""
+    rng = np.random.default_rng(5)
+    rt = lambda: float(np.round(rng.gamma(9, 60), 0))
+    rows = [("hot", c, q, rt()) for _ in range(50) for c, q in CELLS] + [(f"p{p}", c, q, rt()) for p in range(12) for _ in range(8) for c, q in CELLS]
+    rows += [("odd", 1, 1, 400.0), ("hot", -1, None, 480.0), ("hot", 1, 1, None)] + [("flat", 1, 1, 500.0)] * 40 + [("flat", -1, 1, 510.0)] + [(None, c, q, rt()) for _ in range(9) for c, q in CELLS]
+    order = rng.permutation(len(rows))
+    df = trials(spark, [rows[i] for i in order]).repartition(7)
+    methods = ("shuffle", "additive_qmap", "additive_qmap_trial_bin")
+    values = lambda: {m: sorted((r["source_row"], r["rt"]) for r in nullify.nullify(df, m).select("source_row", "rt").collect()) for m in methods}
+    want = values()
+    monkeypatch.setattr(nullify, "TOGETHER", 35)
+    got = values()
+    for m in methods:
+        assert len(got[m]) == len(want[m]) == len(rows), m
+        for (i, a), (j, b) in zip(want[m], got[m], strict=True):
+            assert i == j and (a == b or abs(a - b) < 1e-9), (m, i, a, b)
+
+
+def test_running_counts_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if g == 2 else f"g{g}", float(v)) for g, n in ((0, 900), (1, 5), (2, 40)) for v in rng.integers(-20, 20, n)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    got = {(r["g"], r["value"]): (r["upto"], r["total"]) for r in order.cumulative(order.counted(df, ["g"]), ["g"]).collect()}
+    assert got == {(g, v): (sum(h == g and w <= v for h, w in rows), sum(h == g for h, _ in rows)) for g, v in rows}
+
+
 def test_sparse_cells_and_nulls_pass_through(spark):
     df = trials(spark, [("a", 1, 1, 500), ("a", 1, 1, 520), ("a", 1, -1, 510), ("a", -1, None, 480), ("b", 1, 1, 700), ("a", -1, -1, None)])
     for method in grid.STRIPS:
