@@ -388,29 +388,5 @@ def collapse_separated(df: DataFrame, outcome: str, factor: str, other: str = "o
     return got.withColumn(factor, F.when((F.col("__rate") == 0) | (F.col("__rate") == 1), F.lit(other)).otherwise(F.col(factor))).drop("__level", "__rate")
 
 
-def grid_logit(df: DataFrame, outcome: str, formula: str, min_rows: int = 10) -> DataFrame | None:
-    """(term, estimate, odds_ratio, ci_lower, ci_upper, mcfadden_r2, base_rate, n, separated) of a logistic regression; None with too few rows or a constant outcome."""
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = df.withColumn("label", F.col(outcome).cast("double")).where("label is not null")
-    n, rate = rows.agg(F.count("*"), F.avg("label")).first()
-    if n < min_rows or not 0 < rate < 1:
-        return None
-    ready = RFormula(formula=f"label ~ {formula}").fit(rows).transform(rows)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, regParam=1e-8).fit(ready)
-    names = ready.schema["features"].metadata["ml_attr"]["attrs"]
-    terms = [x["name"] for x in sorted((a for kind in names.values() for a in kind), key=lambda a: a["idx"])]
-    summary = model.summary
-    null = -2 * n * (rate * np.log(rate) + (1 - rate) * np.log(1 - rate))
-    beta = [*model.coefficients.toArray().tolist(), float(model.intercept)]
-    try:
-        se = list(summary.coefficientStandardErrors)
-    except Exception:  # noqa: BLE001  (a singular design has no standard errors)
-        se = [float("nan")] * len(beta)
-    data = [(t, b, float(np.exp(min(b, 700))), float(np.exp(min(b - 1.96 * s, 700))), float(np.exp(min(b + 1.96 * s, 700))), float(1 - summary.deviance / null), float(rate), int(n), bool(abs(b) > 15)) for t, b, s in zip([*terms, "(intercept)"], beta, se, strict=True)]
-    return df.sparkSession.createDataFrame(data, "term string, estimate double, odds_ratio double, ci_lower double, ci_upper double, mcfadden_r2 double, base_rate double, n long, separated boolean")
-
-
 def significant(p: Column, alpha: float = 0.05) -> Column:
     return p < alpha

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.functions import stats
-from specgrid.operators import models, report, tables
+from specgrid.operators import logit, models, report, tables
 from specgrid.registry import query
 from specgrid.schema import RESULTS_SCHEMA
 from specgrid.sources import io
@@ -222,10 +222,18 @@ def results_collapse_separated(df):
     return got.groupBy("model").agg(F.count("*").alias("n")).withColumn("error", F.col("model") == "other_separated")
 
 
+@query(OF, "effect_condition:s model_type:s transformation:s sample_size:d n hits", sql("""
+select effect_condition, model_type, transformation, sample_size, count(*) as n, count(case when sig then 1 end) as hits from p where usable and sig is not null group by all"""))
+def results_logit_patterns(df):
+    """What the grid's regressions read: branches and detections of each combination."""
+    p = prep(df).where("numerically_usable").withColumn("sig", F.col("main_p_value") < 0.05)
+    return logit.covariate_patterns(p, "sig", ["effect_condition", "model_type", "transformation", "sample_size"])
+
+
 @query(OF, "term:s model:s estimate:d odds_ratio:d base_rate:d n")
 def results_grid_logit(df):
     p = prep(df).where("numerically_usable")
-    fits = {k: models.grid_logit(p.where(F.col("effect_condition") == k).withColumn("sig", F.col("main_p_value") < 0.05), "sig", "model_type + transformation + sample_size") for k in ("present", "null_interaction")}
+    fits = {k: logit.grid_logit(p.where(F.col("effect_condition") == k).withColumn("sig", F.col("main_p_value") < 0.05), "sig", "model_type + transformation + sample_size") for k in ("present", "null_interaction")}
     got = report.odds_ratio_table(fits)
     return got if got is not None else df.sparkSession.createDataFrame([], "term string, model string, estimate double, odds_ratio double, base_rate double, n long")
 

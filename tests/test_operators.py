@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specgrid.functions import order, stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
-from specgrid.operators import audit, diagnostics, grid, materialize, models, nullify, sampling
+from specgrid.operators import audit, diagnostics, grid, logit, materialize, models, nullify, sampling
 from specgrid.plans import index, scale
 from specgrid.sources import io
 
@@ -538,3 +538,50 @@ def test_partitioning_does_not_matter(spark):
 def test_plans_do_not_collect_or_nest(spark):
     plan = models.suff_stats(location(spark, 2, 2), ["study"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_sum" in plan and "Python" not in plan
+
+
+def dense_logit(rows, names, penalised):
+    """The gradient of the (penalised) log-likelihood at given coefficients, by central differences on all rows."""
+    x = np.array([[1.0, *(float(r[0] == a) for a in names[0]), *(float(r[1] == b) for b in names[1]), r[2], *(float(r[0] == a) * r[2] for a in names[0])] for r in rows])
+    y = np.array([float(r[3]) for r in rows])
+
+    def goal(beta):
+        eta = x @ beta
+        p = 1 / (1 + np.exp(-eta))
+        out = (y * -np.logaddexp(0, -eta) + (1 - y) * -np.logaddexp(0, eta)).sum()
+        return out + (np.linalg.slogdet((x * (p * (1 - p))[:, None]).T @ x)[1] / 2 if penalised else 0.0)
+
+    return lambda beta: np.array([(goal(beta + h) - goal(beta - h)) / 2e-5 for h in np.eye(len(beta)) * 1e-5])
+
+
+@pytest.mark.parametrize("separated", [False, True])
+def test_grid_logit_is_the_top_of_a_dense_likelihood(spark, monkeypatch, separated):
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(600):
+        a, b, z = str(rng.choice(["p", "q", "r"])), str(rng.choice(["u", "v"])), float(rng.integers(1, 5)) / 4
+        hit = bool(rng.random() < 1 / (1 + np.exp(-(-0.8 + 0.9 * (a == "q") - 0.5 * (b == "v") + 1.1 * z))))
+        rows.append((a, b, z, (hit and b != "v") if separated else hit))
+    df = spark.createDataFrame([*rows, ("p", None, 0.5, True), ("p", "u", float("nan"), True), ("q", "u", 0.5, None)], "a string, b string, z double, hit boolean")
+    got = logit.grid_logit(df, "hit", "a*z + b").collect()
+    values = {r["term"]: r for r in got}
+    order_of = ["(intercept)", "a_q", "a_r", "b_v", "z", "a_q:z", "a_r:z"]
+    assert set(values) == set(order_of) and all(r["n"] == 600 for r in got)
+    beta = np.array([values[t]["estimate"] for t in order_of])
+    assert np.abs(dense_logit(rows, (["q", "r"], ["v"]), separated)(beta)).max() < 1e-4
+    assert {t for t, r in values.items() if r["separated"]} == ({"b_v"} if separated else set())
+    assert all(r["ci_lower"] < r["odds_ratio"] < r["ci_upper"] for r in got)
+    # the same by tasks
+    monkeypatch.setattr(logit, "FEW_PATTERNS", 0)
+    monkeypatch.setattr(logit, "STEPS", 4)
+    spread = [r["estimate"] for r in logit.grid_logit(df, "hit", "b", 10).collect()]
+    monkeypatch.setattr(logit, "FEW_PATTERNS", 100)
+    assert np.allclose(spread, [r["estimate"] for r in logit.grid_logit(df, "hit", "b", 10).collect()], atol=1e-9)
+
+
+def test_grid_logit_of_odd_tables(spark):
+    rows = spark.createDataFrame([("a", "x", i % 3 == 0) for i in range(20)] + [("b", "y", i % 4 == 0) for i in range(20)], "a string, b string, hit boolean")
+    got = {r["term"]: r for r in logit.grid_logit(rows, "hit", "a + b").collect()}
+    assert got["b_y"]["estimate"] is None and abs(got["a_b"]["estimate"] - (math.log(5 / 15) - math.log(7 / 13))) < 1e-8
+    assert abs(got["(intercept)"]["estimate"] - math.log(7 / 13)) < 1e-8
+    assert logit.grid_logit(rows.limit(5), "hit", "a") is None and logit.grid_logit(rows.where("hit"), "hit", "a") is None and logit.grid_logit(rows.where("false"), "hit", "a + b") is None
