@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ MIN_PAGES = 5
 #: Template hashes that are broadcast at most; beyond, they are joined to the pages' own.
 BROADCAST_KEYS = 1_000_000
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)",
-    re.S | re.I,
-)
+#: Elements whose content is no markup, and what ends them; names and attribute ends of all others.
+RAW = re.compile(r"<(script|style|noscript|template|textarea|title|svg|iframe)\b", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe")}
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
 #: A tag that the page's end cuts off; one with an unclosed quote ends by its first >.
 UNFINISHED = re.compile(r"<(?:/?[a-zA-Z]|[!?]|/$)[^>]*(?:>|$)")
 #: Attributes of a tag, and cheap signs that one of those that are looked at is there.
@@ -110,6 +111,60 @@ def is_marked(tag: str, label: str, hidden: bool, inside: bool) -> bool:
     return bool(LABELS.search(OWN_HEAD.sub(" ", label)))
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, tag, attributes) of what is no text, in page order; the tag is empty for comments, declarations and raw elements.
+
+    A tag ends by the first > outside quotes; where a quote stays open to the page's end, by the first > of all. An open quote met
+    once is remembered, so that no later tag reads on from it, and every character is looked at a bounded number of times.
+    """
+    doomed: set[int] = set()
+    more, at = page.find(">"), page.find("<")
+
+    def tag_end(i: int) -> int:
+        """Where the > is that ends a tag outside quotes, else -1."""
+        seen = []
+        while stop := STOP.search(page, i):
+            j = stop.start()
+            if page[j] == ">":
+                return j
+            seen.append(j)
+            close = -1 if j in doomed else page.find(page[j], j + 1)
+            if close < 0:
+                break
+            i = close + 1
+        doomed.update(seen)
+        return -1
+
+    while at >= 0:
+        if 0 <= more < at:
+            more = page.find(">", at)
+        if more < 0:  # nothing but a comment can begin any more
+            at = page.find("<!--", at)
+            if at >= 0:
+                yield at, len(page), False, "", ""
+            return
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif page.startswith(("<!", "<?"), at):
+            end = more + 1
+            yield at, end, False, "", ""
+        elif name := NAME.match(page, at):
+            raw = RAW.match(page, at)
+            stop = tag_end(raw.end() if raw else name.end())
+            if raw and stop >= 0:
+                close = RAW_END[raw[1].lower()].search(page, stop + 1)
+                end = close.end() if close else len(page)
+                yield at, end, False, "", ""
+            else:
+                stop = stop if stop >= 0 else more
+                end = stop + 1
+                yield at, end, bool(name[1]), name[2].lower(), page[name.end() : stop]
+        at = page.find("<", max(end, at + 1))
+
+
 def parse(page: bytes | str | None) -> Node:
     root = top = Node("html", None)
     page = page.decode("utf-8", "replace") if isinstance(page, bytes) else page or ""
@@ -121,13 +176,13 @@ def parse(page: bytes | str | None) -> Node:
             opened[top.tag] -= 1
             top = top.parent
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            top.parts.append(html.unescape(page[at : m.start()]))
-        at, tag = m.end(), (m[3] or "").lower()
+    for start, end, closes, tag, attributes in tokens(page):
+        if start > at:
+            top.parts.append(html.unescape(page[at:start]))
+        at = end
         if not tag or tag == "html":
             continue
-        if m[2]:
+        if closes:
             if opened[tag]:
                 node = top
                 while node.tag != tag:
@@ -152,7 +207,6 @@ def parse(page: bytes | str | None) -> Node:
                     leave(node)
                     if tag != "tr":
                         break
-        attributes = m[4] if m[4] is not None else m[5]
         label, hidden = marks(attributes)
         node = Node(tag, top, label, is_marked(tag, label, hidden, top.inside or top.tag in ("article", "main")))
         top.parts.append(node)

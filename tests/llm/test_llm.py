@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -678,3 +680,22 @@ def test_preference_odd_rows(spark):
     assert rows[2]["n_prefix"] == 2 and rows[2]["chosen_completion"] == "" and rows[3]["chosen_completion"] == "" and rows[3]["rejected_completion"] and rows[4]["prompt"] == "" and rows[5]["chosen_mask"] == []
     conv = spark.createDataFrame([(None, 0, "user", "x"), (1, 0, None, None), (1, 1, "assistant", None), (2, 0, "assistant", "b"), (4, 0, "assistant", "c")], "conv_id long, turn long, role string, text string")
     assert [r["conv_id"] for r in preference.reply_pairs(conv).collect()] == [1] and preference.format_pairs(preference.reply_pairs(conv.where("false"))).count() == 0
+
+
+def test_html_tokens_equal_a_pattern_and_take_linear_time():
+    pattern = re.compile(
+        r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+        r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)",
+        re.S | re.I,
+    )
+    pieces = ["<div", "<p>", "</p", "</div>", "<script", "</script >", "<script>", "</SCRIPT>", "<!--", "-->", "<!doctype", "<?x", ">", ">", '"', "'", ' a="', " b='", "x ", "<", "</", "/", "\n", "<b-c", "<script-x", "<title>", "</title>", "&amp;", "=", "--"]
+    rng = random.Random(11)
+    for _ in range(20_000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        want = [(m.start(), m.end(), bool(m[2]), (m[3] or "").lower(), (m[4] if m[4] is not None else m[5]) or "") for m in pattern.finditer(page)]
+        assert list(html_text.tokens(page)) == want, page
+    for piece in ("<script a='", '<div a="', "<div ", "<", "<!", "<a b='\"", "<script a='\" ", "<p>", "<b a=\"'>", "</div x='>", "<!-- "):
+        for tail in ("", ">", "'>", '"'):
+            started = time.perf_counter()
+            html_text.parse(piece * 20_000 + tail)
+            assert time.perf_counter() - started < 2, (piece, tail)
