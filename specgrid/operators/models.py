@@ -349,7 +349,7 @@ def mixed_models(stats: DataFrame, by: list[str], models: tuple[str, ...] = ("lm
 def result_rows(branches: DataFrame, fits: DataFrame) -> DataFrame:
     """A row of RESULTS_SCHEMA for every planned branch: what the fit gives, else an error row. fits are keyed by branch_id."""
     own = [c for c in fits.columns if c != "branch_id" and c in RESULTS_SCHEMA.names]
-    got = branches.select("branch_id", F.col("branch_idx").cast("int"), "sample_size", "subsample_id", "transformation", "outlier", "model", "effect_condition", "strip_method")
+    got = branches.select("branch_id", F.col("branch_idx").cast("long"), "sample_size", "subsample_id", "transformation", "outlier", "model", "effect_condition", "strip_method")
     got = got.join(fits.select("branch_id", F.lit(True).alias("__fit"), *(c for c in own if c not in got.columns)), "branch_id", "left")
     lost = F.col("__fit").isNull()
     err = F.coalesce(F.col("error"), F.lit(False)) if "error" in got.columns else F.lit(False)

@@ -585,3 +585,11 @@ def test_grid_logit_of_odd_tables(spark):
     assert got["b_y"]["estimate"] is None and abs(got["a_b"]["estimate"] - (math.log(5 / 15) - math.log(7 / 13))) < 1e-8
     assert abs(got["(intercept)"]["estimate"] - math.log(7 / 13)) < 1e-8
     assert logit.grid_logit(rows.limit(5), "hit", "a") is None and logit.grid_logit(rows.where("hit"), "hit", "a") is None and logit.grid_logit(rows.where("false"), "hit", "a + b") is None
+
+
+def test_results_of_large_numbers(spark, tmp_path):
+    # numbers made from a row's own keys pass 32 bits
+    plan = "branch_id string, branch_idx long, sample_size double, subsample_id int, transformation string, outlier string, model string, effect_condition string, strip_method string"
+    branches = spark.createDataFrame([("b1", 9_990_000_001, 1.0, 1, "log_rt", "none", "rmanova", "present", "none")], plan)
+    io.write_results(models.result_rows(branches, io.empty_results(spark)), str(tmp_path / "r"))
+    assert io.load_results(spark, str(tmp_path / "r")).first()["branch_idx"] == 9_990_000_001
