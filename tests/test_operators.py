@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from specgrid.functions import order, stats
@@ -593,3 +594,29 @@ def test_results_of_large_numbers(spark, tmp_path):
     branches = spark.createDataFrame([("b1", 9_990_000_001, 1.0, 1, "log_rt", "none", "rmanova", "present", "none")], plan)
     io.write_results(models.result_rows(branches, io.empty_results(spark)), str(tmp_path / "r"))
     assert io.load_results(spark, str(tmp_path / "r")).first()["branch_idx"] == 9_990_000_001
+
+
+def test_partitions_follow_the_rows(spark):
+    from specgrid.sources.views import ROWS, partitioned
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        partitioned(spark, 0)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        partitioned(spark, 99 * ROWS + 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+        partitioned(spark, 5 * ROWS)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_windows_stay_spread(spark):
+    # adaptive execution merges small partitions of a window's own shuffle, and with them the rows a task sorts
+    df, before = location(spark, 4, 6), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 9)
+        assert nullify.trial_bins(df).rdd.getNumPartitions() == 9
+        assert nullify.local_median_residual(df).rdd.getNumPartitions() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
