@@ -620,3 +620,17 @@ def test_windows_stay_spread(spark):
         assert nullify.local_median_residual(df).rdd.getNumPartitions() == 9
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_multisets_are_counted_without_a_join(spark, capsys):
+    a = spark.createDataFrame([("a", 1, 500.0), ("a", 1, 500.0), ("a", -1, None), (None, 1, 1.0)], "participant_id string, cong int, rt double")
+    b = spark.createDataFrame([("a", 1, 500.0), ("a", 1, 501.0), ("a", -1, None), (None, 1, 1.0)], "participant_id string, cong int, rt double")
+    got = diagnostics.multiset_compare(a, b)
+    got.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert tuple(got.first()) == (3, 0, 1, False) and tuple(diagnostics.multiset_compare(a, a).first()) == (3, 0, 0, True)
+
+
+def test_time_bins_meet_their_edges_without_a_shuffle(spark, capsys):
+    diagnostics.time_bin_contrast(location(spark, 4, 6), ["study"]).explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out
