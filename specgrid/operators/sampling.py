@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrid.functions.order import medians
+from specgrid.functions.order import counted, counted_quantiles
 from specgrid.sources.scratch import saved
 
 SEED = "42"
@@ -41,6 +43,11 @@ def sample_participants(trials: DataFrame, members: DataFrame) -> DataFrame:
     return trials.join(members.select("participant_id").distinct(), "participant_id", "left_semi")
 
 
+def middle(values: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys..., name): the median of each group of counted values."""
+    return counted_quantiles(values, keys, (0.5,)).select(*keys, F.col("quantiles")[0].alias(name))
+
+
 def fences(df: DataFrame, by: list[str], rules: tuple[str, ...]) -> DataFrame:
     """(by..., outlier, lo, hi): the bounds of every rule in every branch, both inclusive; null bounds keep everything.
 
@@ -51,11 +58,11 @@ def fences(df: DataFrame, by: list[str], rules: tuple[str, ...]) -> DataFrame:
     df, keys = (df, by) if by else (df.withColumn("__whole", F.lit(1)), ["__whole"])
     base = df.groupBy(*keys).agg(F.avg(rt).alias("m"), F.coalesce(F.stddev_samp(rt), F.lit(0.0)).alias("s"))
     if any(r.startswith("mad_") for r in rules):
-        # counted and sorted by parts, so that no branch's times meet in one buffer
-        values = saved(df.select(*keys, rt.alias("value")))
-        med = saved(medians(values, keys, name="med"))
-        away = values.join(med, keys).select(*keys, F.abs(F.col("value") - F.col("med")).alias("value"))
-        base = base.join(med, keys, "left").join(medians(away, keys, name="mad"), keys, "left")
+        # counted and sorted by parts, so that no branch's times meet in one buffer; the distances are made of counted values too
+        values = counted(df.select(*keys, rt.alias("value")), keys)
+        med = saved(middle(values, keys, "med"))
+        away = values.join(F.broadcast(med), keys).groupBy(*keys, F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n"))
+        base = saved(base).join(med, keys, "left").join(saved(middle(saved(away), keys, "mad")), keys, "left")
     bounds = []
     for rule in rules:
         kind, _, k = rule.partition("_")
@@ -90,9 +97,9 @@ def transformed(df: DataFrame, transformation: str) -> DataFrame:
     return df.withColumn("rt", F.when(F.col("rt") > 0, F.log("rt"))) if transformation == "log_rt" else df
 
 
-def branch_counts(branches: DataFrame, kept: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
-    """branches with n_rows_in, n_rows_out, n_removed: rows before and after the outlier rule; branches without rows count 0."""
+def branch_counts(branches: DataFrame, kept: DataFrame, before: DataFrame, by: list[str], more: Sequence[Column] = ()) -> DataFrame:
+    """branches with n_rows_in, n_rows_out, n_removed: rows before and after the outlier rule; branches without rows count 0. more: further aggregates of the kept rows."""
     n_in = before.groupBy(*[c for c in by if c in before.columns]).agg(F.count("*").alias("n_rows_in"))
-    n_out = kept.groupBy(*by).agg(F.count("*").alias("n_rows_out"))
+    n_out = kept.groupBy(*by).agg(F.count("*").alias("n_rows_out"), *more)
     got = branches.join(n_in, [c for c in by if c in before.columns], "left").join(n_out, by, "left").fillna(0, ["n_rows_in", "n_rows_out"])
     return got.withColumn("n_removed", F.col("n_rows_in") - F.col("n_rows_out"))

@@ -634,3 +634,10 @@ def test_multisets_are_counted_without_a_join(spark, capsys):
 def test_time_bins_meet_their_edges_without_a_shuffle(spark, capsys):
     diagnostics.time_bin_contrast(location(spark, 4, 6), ["study"]).explain()
     assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_branch_counts_take_further_aggregates(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "study string, rt double")
+    plan = spark.createDataFrame([("a",), ("b",)], "study string")
+    got = sampling.branch_counts(plan, df.where("rt < 4"), df, ["study"], [F.avg("rt").alias("mean")])
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 2, 2.0, 0), ("b", 1, 0, None, 1)]
