@@ -641,3 +641,11 @@ def test_branch_counts_take_further_aggregates(spark):
     plan = spark.createDataFrame([("a",), ("b",)], "study string")
     got = sampling.branch_counts(plan, df.where("rt < 4"), df, ["study"], [F.avg("rt").alias("mean")])
     assert sorted(map(tuple, got.collect())) == [("a", 2, 2, 2.0, 0), ("b", 1, 0, None, 1)]
+
+
+def test_quantile_maps_read_what_is_written(spark, capsys):
+    own = Window.partitionBy("participant_id").orderBy("source_row")
+    df = location(spark, 4, 6).withColumn("prev_cong", F.coalesce(F.lag("cong").over(own), F.lit(1)))
+    for f in (nullify.additive_qmap, nullify.additive_qmap_trial_bin):
+        f(df).explain()
+        assert "lag(" not in capsys.readouterr().out
