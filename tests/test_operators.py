@@ -636,6 +636,20 @@ def test_time_bins_meet_their_edges_without_a_shuffle(spark, capsys):
     assert "SortMergeJoin" not in capsys.readouterr().out
 
 
+def test_branches_share_folders(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rows = spark.range(600).select(F.lit("none").alias("strip_method"), F.when(F.col("id") % 2 == 0, "sd_2").otherwise("none").alias("outlier"), F.when(F.col("id") > 0, F.format_string("%05d", F.floor(F.col("id") / 2))).alias("data_id"), F.col("id").cast("double").alias("rt"))
+    io.write_branches(rows.coalesce(2), path)
+    io.write_branches(rows.where("id < 100").withColumn("rt", -F.col("rt")).coalesce(2), path)
+    io.write_branches(rows.where("id < 10").withColumn("rt", F.col("rt") + 0.5).where("rt > 5").coalesce(2), path)
+    # folders don't grow with the branches, whose ids stay text
+    assert len(list((tmp_path / "b").rglob("*=*"))) == 12
+    got = {(r["outlier"], r["data_id"]): r["rt"] for r in io.read_branch(spark, path, ["rt", "data_id"]).collect()}
+    value = lambda i: i + 0.5 if 5 <= i < 10 else float(-i) if i < 100 else float(i)
+    assert got == {("none" if i % 2 else "sd_2", f"{i // 2:05d}" if i else None): value(i) for i in range(600)}
+    assert sorted(io.read_branch(spark, path, ["rt"]).columns) == sorted(rows.columns)
+
+
 def test_branch_counts_take_further_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "study string, rt double")
     plan = spark.createDataFrame([("a",), ("b",)], "study string")
