@@ -650,6 +650,21 @@ def test_branches_share_folders(spark, tmp_path):
     assert sorted(io.read_branch(spark, path, ["rt"]).columns) == sorted(rows.columns)
 
 
+def test_block_sums_are_hashed_and_studies_counted_apart(spark):
+    key = "b string, participant_id string, study string, source_row long, trial_index long, block_index long, cong int, prev_cong int, rt double, prev_correct boolean"
+    rows = [("x", "p", "ts"[i % 2], i, i, 0, c, q, 300.0 + i, True) for i, (c, q) in enumerate(CELLS * 2)]
+    rows += [("x", "p", "never_valid", 90, 90, 0, 1, 1, -1.0, True), ("x", "q", None, 91, None, 0, 1, 1, 400.0, True), ("y", "p", "s", 0, 0, 0, 1, 1, None, True)]
+    df = spark.createDataFrame(rows, key)
+    # sums in buffers of fixed size: no list in a group's buffer, so no fall back to sorting
+    plan = diagnostics.block_sums(df, ["b"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    got = {r["b"]: r for r in diagnostics.branch_diagnostics(df, ["b"]).collect()}
+    assert (got["x"]["studies"], got["x"]["n_studies"], got["x"]["n_valid"], got["x"]["n_rows"]) == ("s;t", 2, 9, 10)
+    assert (got["y"]["studies"], got["y"]["n_studies"], got["y"]["n_rows"]) == ("", 0, 1)
+    # trials 0 to 7 in five bins cut at quantiles, right-closed: most have one cell only, so no contrast
+    assert got["x"]["max_abs_timebin_q050_cse"] is None and got["x"]["cell_min_n"] == 2
+
+
 def test_branch_counts_take_further_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "study string, rt double")
     plan = spark.createDataFrame([("a",), ("b",)], "study string")
