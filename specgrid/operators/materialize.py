@@ -34,12 +34,16 @@ def materialized(trials: DataFrame, branches: DataFrame, seed: str = sampling.SE
     members = saved(sampling.membership(trials, branches.select(*SAMPLE).distinct(), seed))
     by = [*SAMPLE, "strip_method"]
     fences = index.fences(index.build(effects, members, strips), effects, rules)
-    # a row for each branch at most
-    fences = fences.join(branches.select(*by, "outlier").distinct(), [*by, "outlier"], "left_semi")
-    kept = effects.join(members, "participant_id").join(F.broadcast(saved(fences)), by).where(sampling.inside(F.col("rt"), F.col("outlier"), F.col("lo"), F.col("hi")))
-    axes = branches.select("data_id", *by, "outlier", "transformation", "effect_condition")
-    rt = F.when(F.col("transformation") == "log_rt", F.when(F.col("rt") > 0, F.log("rt"))).otherwise(F.col("rt"))
-    return kept.join(F.broadcast(axes), [*by, "outlier"]).select("data_id", *by, "outlier", "transformation", "effect_condition", *keep, rt.alias("rt"))
+    # a row for each branch: its bounds, its axes, and numbers for its sample and variant, so that a trial meets its branches in one look-up
+    at = F.array_position(F.array(*map(F.lit, strips)), F.col("strip_method")).cast("int")
+    numbers = saved(branches.select(*SAMPLE).distinct().coalesce(1).withColumn("__sample", F.monotonically_increasing_id().cast("int")))
+    axes = branches.select("data_id", *by, "outlier", "transformation", "effect_condition").join(fences, [*by, "outlier"]).join(numbers, SAMPLE)
+    axes = saved(axes.select("*", at.alias("__variant"), (F.col("outlier") == "none").alias("__every"), (F.col("transformation") == "log_rt").alias("__log")))
+    drawn = members.join(F.broadcast(numbers), SAMPLE).select("participant_id", "__sample")
+    timed = effects.select(*keep, F.col("rt").alias("__rt"), at.alias("__variant")).join(drawn, "participant_id")
+    kept = timed.join(F.broadcast(axes), ["__sample", "__variant"]).where(F.col("__every") | F.coalesce(F.col("__rt").between(F.col("lo"), F.col("hi")) & ~F.isnan("__rt"), F.lit(False)))
+    rt = F.when(F.col("__log"), F.when(F.col("__rt") > 0, F.log("__rt"))).otherwise(F.col("__rt"))
+    return kept.select("data_id", *by, "outlier", "transformation", "effect_condition", *keep, rt.alias("rt"))
 
 
 def write_materialized(trials: DataFrame, branches: DataFrame, path: str, seed: str = sampling.SEED) -> None:

@@ -665,6 +665,17 @@ def test_block_sums_are_hashed_and_studies_counted_apart(spark):
     assert got["x"]["max_abs_timebin_q050_cse"] is None and got["x"]["cell_min_n"] == 2
 
 
+def test_trials_meet_their_branches_in_one_join(spark):
+    df = location(spark, 4, 8)
+    branches = grid.data_branches(spark, grid.Grid(fractions=(0.5, 1.0), samples=2, outliers=("none", "sd_2"), strips=("local_mean_residual",)))
+    got = materialize.materialized(df, branches)
+    # a trial meets all branches of its sample and variant in one join on their numbers, and no rule or transformation in one of its own
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("__variant" in x for x in joins) and not any("outlier" in x or "strip_method" in x for x in joins)
+    rows = got.groupBy("data_id", "outlier", "transformation", "strip_method").agg(F.count("*").alias("n"), F.count_if(F.col("rt") > 20).alias("plain")).collect()
+    assert len(rows) == branches.count() and all((r["plain"] == 0) == (r["transformation"] == "log_rt") for r in rows)
+
+
 def test_branch_counts_take_further_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "study string, rt double")
     plan = spark.createDataFrame([("a",), ("b",)], "study string")
