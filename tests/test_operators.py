@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from specgrid.functions import order, stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
-from specgrid.operators import audit, diagnostics, grid, logit, materialize, models, nullify, sampling
+from specgrid.operators import audit, diagnostics, grid, logit, materialize, models, nullify, sampling, tables
 from specgrid.plans import index, scale
 from specgrid.sources import io
 
@@ -676,6 +676,20 @@ def test_trials_meet_their_branches_in_one_join(spark):
     assert len(rows) == branches.count() and all((r["plain"] == 0) == (r["transformation"] == "log_rt") for r in rows)
 
 
+def test_operating_tables_join_once(spark):
+    base = "data_id string, model string, effect_condition string, strip_method string, transformation string, outlier string, sample_size double, subsample_id int, error boolean, full_converged boolean, main_estimate double, main_std_error double, main_p_value double, n_obs int"
+    rows = [(f"d{i}", "rmanova", *(("present", "none") if i % 3 == 0 else ("null_interaction", "shuffle")), "log_rt", "sd_2", 1.0, i, i % 4 == 1, True, float(i), 1.0, 0.01 * i, 200) for i in range(12)]
+    results = spark.createDataFrame(rows, base)
+    diags = spark.createDataFrame([(f"d{i}", "interpretable_nullifier" if i % 2 else "fails_preservation_gates") for i in range(10)], "data_id string, nullification_verdict string")
+    got = tables.operating_tables(results, diags)
+    assert not any("Join" in t._jdf.queryExecution().optimizedPlan().toString() for t in got.values())
+    nulls = [i for i in range(12) if i % 3]
+    assert sum(r["n"] for r in got["fpr_coarse"].collect()) == sum(i % 4 != 1 for i in nulls) and got["fpr_per_branch"].count() == sum(i % 4 != 1 for i in nulls)
+    aware = {r["interpretable_fpr_source"]: (r["n_planned"], r["extraction_or_preprocessing_error"], r["significant_primary"]) for r in got["failure_aware"].collect()}
+    of = lambda odd: [i for i in nulls if (i % 2 == 1 and i < 10) == odd]
+    assert aware == {odd: (len(of(odd)), sum(i % 4 == 1 for i in of(odd)), sum(i % 4 != 1 and i < 5 for i in of(odd))) for odd in (True, False)}
+
+
 def test_branch_counts_take_further_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "study string, rt double")
     plan = spark.createDataFrame([("a",), ("b",)], "study string")
