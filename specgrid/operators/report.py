@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrid.functions.order import grouped_quantiles, ranked
-
+from specgrid.functions.order import counted_quantiles, grouped_quantiles, ranked
 from specgrid.operators.grid import parse_data_id
 from specgrid.operators.tables import LABELS, n
+from specgrid.sources.scratch import saved
 
 AXES = ["model_type", "transformation", "outlier", "sample_size", "null_type"]
 OUTCOMES = ["significant_primary", "usable_nonsignificant", "singular", "non_converged", "extraction_or_preprocessing_error", "other_invalid"]
@@ -140,9 +140,18 @@ def shuffle_summary(checks: DataFrame, keys: list[str]) -> DataFrame:
     return got.unpivot(keys, ["match_rate", "preserved_rate", "pass_rate", "median_abs_slope"], "metric", "value")
 
 
+def middle_and_tail(long: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys..., median_abs, p95_abs): both quantiles of every group, from counted values, so that no group's values meet in one task; a group without values has nulls."""
+    # one key that is never null, though its parts may be
+    values = saved(long.groupBy(F.struct(*keys).alias("__key"), value.cast("double").alias("value")).agg(F.count("*").alias("n")))
+    found = counted_quantiles(values.where("value is not null"), ["__key"], (0.5, 0.95))
+    got = values.select("__key").distinct().join(found, "__key", "left")
+    return got.select("__key.*", F.col("quantiles")[0].alias("median_abs"), F.col("quantiles")[1].alias("p95_abs"))
+
+
 def metric_summary(long: DataFrame, top: int = 24) -> DataFrame:
     """Median and 95th percentile of each metric's absolute value by method; the `top` rows by the metric's largest."""
-    got = long.groupBy("metric", "strip_method").agg(F.median("abs_cse_value").alias("median_abs"), F.percentile("abs_cse_value", 0.95).alias("p95_abs"))
+    got = middle_and_tail(long, ["metric", "strip_method"], F.col("abs_cse_value"))
     got = got.withColumn("metric_max", F.max("p95_abs").over(Window.partitionBy("metric")))
     return got.orderBy(F.round("metric_max", 9).desc_nulls_last(), "metric", "strip_method").limit(top)
 
@@ -159,7 +168,7 @@ def residual_deltas(gates: DataFrame) -> DataFrame:
     """Median and 95th percentile of every absolute difference from the present branch, by method."""
     columns = [c for c in gates.columns if c.endswith("_delta_from_present")]
     long = gates.unpivot(["strip_method"], columns, "metric", "delta").where("delta is not null")
-    return long.groupBy("strip_method", "metric").agg(F.median(F.abs("delta")).alias("median_abs"), F.percentile(F.abs("delta"), 0.95).alias("p95_abs"))
+    return middle_and_tail(long, ["strip_method", "metric"], F.abs("delta"))
 
 
 def composition_by_model(rates: DataFrame) -> DataFrame:

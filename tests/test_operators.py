@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from specgrid.functions import order, stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
-from specgrid.operators import audit, diagnostics, grid, logit, materialize, models, nullify, sampling, tables
+from specgrid.operators import audit, diagnostics, grid, logit, materialize, models, nullify, report, sampling, tables
 from specgrid.plans import index, scale
 from specgrid.sources import io
 
@@ -676,6 +676,22 @@ def test_trials_meet_their_branches_in_one_join(spark):
     assert len(rows) == branches.count() and all((r["plain"] == 0) == (r["transformation"] == "log_rt") for r in rows)
 
 
+def test_report_quantiles_of_counted_values(spark, monkeypatch):
+    values = {("m", "a"): [1.0, 5.0, 2.0, 2.0, 9.0, 4.5, 7.0], ("m", None): [3.0, 8.0, 1.5], ("k", "a"): [0.5] * 4, ("k", "b"): []}
+    rows = [(m, s, x) for (m, s), xs in values.items() for x in [*xs, None]]
+    long = spark.createDataFrame(rows, "metric string, strip_method string, abs_cse_value double")
+    wide = spark.createDataFrame([(s, -x) for (m, s), xs in values.items() if m == "m" for x in xs], "strip_method string, a_delta_from_present double")
+    want = {k: tuple(np.quantile(xs, (0.5, 0.95))) if xs else (None, None) for k, xs in values.items()}
+    for whole in (order.WHOLE, 2):  # in one buffer where few values are different, and by buckets where not
+        monkeypatch.setattr(order, "WHOLE", whole)
+        got = {(r["metric"], r["strip_method"]): (r["median_abs"], r["p95_abs"]) for r in report.metric_summary(long).collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] or np.allclose(got[k], want[k]) for k in want)
+        got = {r["strip_method"]: (r["median_abs"], r["p95_abs"]) for r in report.residual_deltas(wide).collect()}
+        assert got.keys() == {"a", None} and all(np.allclose(got[s], want["m", s]) for s in got)
+    plan = report.residual_deltas(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "abs(" not in plan  # what is read are written, counted values
+
+
 def test_operating_tables_join_once(spark):
     base = "data_id string, model string, effect_condition string, strip_method string, transformation string, outlier string, sample_size double, subsample_id int, error boolean, full_converged boolean, main_estimate double, main_std_error double, main_p_value double, n_obs int"
     rows = [(f"d{i}", "rmanova", *(("present", "none") if i % 3 == 0 else ("null_interaction", "shuffle")), "log_rt", "sd_2", 1.0, i, i % 4 == 1, True, float(i), 1.0, 0.01 * i, 200) for i in range(12)]
