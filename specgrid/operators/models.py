@@ -192,7 +192,8 @@ class Design:
             out["spread"] = (moves * ((m[:, None] * last).T @ last)).sum(axis=(1, 2))
         if bend:
             toward = np.tensordot(np.tensordot(w, moves, axes=(1, 2)), b, axes=([0, 2], [0, 1]))
-            sw = (s[:, None] @ moves @ ww[:, None]).sum(axis=0)
+            # one parameter at a time: all at once would hold a matrix for each pattern and parameter
+            sw = np.stack([(s @ move @ ww).sum(axis=0) for move in moves])
             info = ((moves[:, None] * sw).sum(axis=(2, 3)) - toward @ inverse @ toward.T) / variance
             drawn = (moves * ww.sum(axis=0)).sum(axis=(1, 2)) / variance
             i, j = self.at

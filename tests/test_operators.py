@@ -706,6 +706,21 @@ def test_operating_tables_join_once(spark):
     assert aware == {odd: (len(of(odd)), sum(i % 4 == 1 for i in of(odd)), sum(i % 4 != 1 and i < 5 for i in of(odd))) for odd in (True, False)}
 
 
+def test_bend_holds_no_matrix_for_each_pattern_and_parameter():
+    import tracemalloc
+
+    rng, u = np.random.default_rng(1), 20_000
+    counts, sums = rng.integers(1, 9, (u, 4)), rng.normal(500, 50, (u, 4))
+    design = models.Design(counts, np.ones(u, int), sums, sums[:, :, None] * sums[:, None, :], float((sums * sums).sum() * 1.1), 4)
+    theta = np.eye(4)[design.at] * 0.5
+    tracemalloc.start()
+    got = design.look(theta, 4, True, bend=True)
+    peak = tracemalloc.get_traced_memory()[1] / u
+    tracemalloc.stop()
+    assert got["info"].shape == (10, 10) and np.isfinite(got["info"]).all() and np.allclose(got["info"], got["info"].T)
+    assert peak < 2_500, peak
+
+
 def test_branch_counts_take_further_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "study string, rt double")
     plan = spark.createDataFrame([("a",), ("b",)], "study string")
