@@ -77,10 +77,18 @@ def build(effects: DataFrame, members: DataFrame, strips: Sequence[str]) -> Tria
     return TrialIndex(saved(lists.join(drawn, "participant_id")), strips, samples, n_heavy > 0)
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; a worker gives back what earlier ones held before it takes the next, and when it is done."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (variant, participant_id, part, rt, cell) as a row of two lists for each variant, participant and part."""
     rest = None
-    for batch in itertools.chain(batches, [None]):
+    for batch in itertools.chain(freed(batches), [None]):
         if batch is not None and not batch.num_rows:
             continue
         rows = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if rest or batch else None
@@ -116,15 +124,29 @@ def lists_of_array(column: pa.ListArray) -> list[np.ndarray]:
 Look = Callable[[np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: What a pass sends for a sample and variant: sums, minima and maxima.
+KINDS = ("add", "low", "high")
+
+
+def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that tasks sent for a sample and variant as one, added up a batch at a time, however many tasks there are."""
+    whole = None
+    for batch in freed(batches):
+        for row in zip(*(lists_of(batch, k) for k in KINDS), strict=True):
+            whole = [f(x, y) for f, x, y in zip((np.add, np.minimum, np.maximum), whole, row, strict=True)] if whole else [x.copy() for x in row]
+    lists = (pa.array([x.tolist()], pa.list_(pa.float64())) for x in whole)
+    yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), *lists], ["v", "s", *KINDS])
+
+
 def passed(index: TrialIndex, look: Look, widths: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums, minima and maxima (variants, samples, width) over all participants of each sample: one pass over the index."""
-    kinds, shape = ("add", "low", "high"), index.shape
+    shape = index.shape
     start = (0.0, np.inf, -np.inf)
 
     def run(batches):
         held = [np.full((*shape, w), x) for w, x in zip(widths, start, strict=True)]
         met = np.zeros(shape, bool)
-        for batch in batches:
+        for batch in freed(batches):
             variants = batch.column("variant").to_pylist()
             for v, own, times in zip(variants, lists_of(batch, "samples"), lists_of(batch, "times"), strict=True):
                 add, low, high = look(times, v, own)
@@ -135,17 +157,11 @@ def passed(index: TrialIndex, look: Look, widths: tuple[int, int, int]) -> tuple
         v, s = np.nonzero(met)
         flat = [x[v, s] for x in held]
         lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * w, pa.int32()), pa.array(x.ravel())) for x, w in zip(flat, widths, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(s, pa.int32()), *lists], ["v", "s", *kinds])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(s, pa.int32()), *lists], ["v", "s", *KINDS])
 
     sent = index.rows.select("variant", "samples", "times").mapInArrow(run, "v int, s int, add array<double>, low array<double>, high array<double>")
 
-    def merge(key, rows):
-        """The rows that tasks sent for a sample and variant as one."""
-        own = [np.stack([x for c in rows.column(k).chunks for x in lists_of_array(c)]) for k in kinds]
-        lists = (pa.array([f(x, axis=0).tolist()], pa.list_(pa.float64())) for f, x in zip((np.sum, np.min, np.max), own, strict=True))
-        return pa.Table.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), *lists], ["v", "s", *kinds])
-
-    got = sent.groupBy("v", "s").applyInArrow(merge, sent.schema)
+    got = sent.groupBy("v", "s").applyInArrow(merged, sent.schema)
     out = tuple(np.full((*shape, w), x) for w, x in zip(widths, start, strict=True))
     for v, s, *values in got.collect():
         for to, x in zip(out, values, strict=True):
@@ -286,7 +302,7 @@ def grid_stats(index: TrialIndex, effects: DataFrame, rules: Sequence[str], tran
     person = index.rows.schema["participant_id"]
 
     def run(batches):
-        for batch in batches:
+        for batch in freed(batches):
             lists = (lists_of(batch, c) for c in ("samples", "times", "cells"))
             for i, (v, own, times, cells) in enumerate(zip(batch.column("variant").to_pylist(), *lists, strict=True)):
                 first = np.searchsorted(times, low[v, own].ravel(), "left").reshape(len(own), -1)

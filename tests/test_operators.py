@@ -706,6 +706,24 @@ def test_operating_tables_join_once(spark):
     assert aware == {odd: (len(of(odd)), sum(i % 4 == 1 for i in of(odd)), sum(i % 4 != 1 and i < 5 for i in of(odd))) for odd in (True, False)}
 
 
+def test_sums_of_tasks_are_merged_in_batches():
+    import pyarrow as pa
+
+    start, held, width = pa.total_allocated_bytes(), [], 50_000
+    def sent():
+        for i in range(40):
+            lists = [pa.array([[float(x)] * width], pa.list_(pa.float64())) for x in (1, i, i)]
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([5], pa.int32()), *lists], ["v", "s", *index.KINDS])
+            del lists
+            held.append(pa.total_allocated_bytes() - start)
+
+    (got,) = index.merged((pa.scalar(3), pa.scalar(5)), sent())
+    assert [got.column(c)[0].as_py() for c in ("v", "s")] == [3, 5]
+    assert [set(got.column(c)[0].as_py()) for c in index.KINDS] == [{40.0}, {0.0}, {39.0}]
+    # 40 tasks sent 1.2 MB each; a few of these are held at once
+    assert max(held) < 5 * 3 * 8 * width
+
+
 def test_bend_holds_no_matrix_for_each_pattern_and_parameter():
     import tracemalloc
 
