@@ -8,11 +8,15 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from specgrid import registry
 from specgrid.functions import order, stats
 from specgrid.functions.quantile import inverse_on_grid, quantile_type8
 from specgrid.operators import audit, diagnostics, grid, logit, materialize, models, nullify, report, sampling, tables
 from specgrid.plans import index, scale
+from specgrid.schema import RESULTS_SCHEMA
 from specgrid.sources import io
+from specgrid.sources.scratch import saved
+from specgrid.sources.views import view
 
 CELLS = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
 
@@ -752,3 +756,28 @@ def test_quantile_maps_read_what_is_written(spark, capsys):
     for f in (nullify.additive_qmap, nullify.additive_qmap_trial_bin):
         f(df).explain()
         assert "lag(" not in capsys.readouterr().out
+
+
+def test_results_are_written_from_one_narrow_pass(spark, sf, tmp_path, capsys, monkeypatch):
+    def plan(df):
+        capsys.readouterr()
+        df.explain()
+        return capsys.readouterr().out
+
+    # what the view makes of a row is not shuffled, only the row
+    below = plan(view(spark, sf, "results_li", dealt=True)).split("Exchange")
+    assert len(below) == 2 and "CASE" not in below[1]
+    publish, windows = io.publish, []
+    monkeypatch.setattr(io, "publish", lambda rows, *args, **named: windows.append("Window" in plan(rows)) or publish(rows, *args, **named))
+    got = registry.QUERIES["io_results_again"](spark, sf)
+    assert windows == [False] * 3 and got.count() == 4
+    # no task sorts a whole split of a table before its rows are dealt out
+    table = str(tmp_path / "r")
+    rows = spark.createDataFrame([("b1", 1, "rmanova"), ("b2", 2, None)], "branch_id string, branch_idx long, model string")
+    rows = saved(rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RESULTS_SCHEMA)))
+    name = io.write_results(rows, table)
+    below = plan(io.load_results(spark, table)).split("Exchange")
+    assert len(below) == 2 and "Sort" not in below[1]
+    # stored rows get the same name and are not saved again
+    monkeypatch.setattr(io, "saved", lambda df: pytest.fail("saved again"))
+    assert io.write_results(rows, table, stored=True) == name and io.read_published(spark, table).count() == 2
